@@ -1,0 +1,32 @@
+"""Reliable lineage cuts.
+
+Intermediate results that several later steps read (and that must be the same
+for all of them) are checkpointed to the shared folder named by
+``spark.checkpoint.dir``.  Only a local-mode session without that setting gets a
+private folder, as in tests.
+"""
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        sc.setCheckpointDir(configured)
+    elif sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabscope-ckpt-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    return sc.getCheckpointDir()
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
