@@ -1,12 +1,20 @@
 """One scan, many aggregates.
 
 Every per-column metric of the schema, PII and pattern operators is an
-aggregate expression.  ``FusedScan`` puts all of them for a chunk of columns
-into one ``df.agg`` - a single file scan with a partial/final aggregate and no
-data shuffle - and turns the one wide result row into long form (one row per
-column) with ``inline(array(struct(...)))``.  Columns are chunked so that a
-chunk never holds more than ``max_aggs_per_pass`` expressions; a columnar
-source reads each column in exactly one chunk.
+aggregate expression.  ``FusedScan`` groups them into a few ``df.agg`` calls -
+each a file scan with a partial/final aggregate and no data shuffle - and
+turns the one wide result row into long form (one row per column) with
+``inline(array(struct(...)))``.
+
+Grouping rules (they decide whether whole-stage codegen stays on):
+
+* plain aggregates (count, min, max, avg, stddev, regex counts) of a chunk of
+  columns go together while their buffers stay under ``max_fields``
+  (Spark turns codegen off above ``spark.sql.codegen.maxFields`` = 100);
+* sketches (HyperLogLog++, quantile sketch) cannot be code-generated and would
+  switch it off for everything next to them, so they get chunks of their own.
+
+A columnar source reads a column once per chunk it appears in.
 """
 from __future__ import annotations
 
@@ -19,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.families import ColumnSpec
 
 ROWS = "_rows"
+PLAIN, SKETCH = "plain", "sketch"
 
 
 def alias(spec: ColumnSpec, key: str) -> str:
@@ -26,85 +35,113 @@ def alias(spec: ColumnSpec, key: str) -> str:
 
 
 class FusedScan:
-    """Aggregates of many operators over one table, evaluated in one pass per chunk."""
+    """Aggregates of many operators over one table, evaluated in a few passes."""
 
-    def __init__(self, df: DataFrame, specs: list[ColumnSpec], max_aggs: int = 96):
+    def __init__(self, df: DataFrame, specs: list[ColumnSpec], max_fields: int = 90):
         self.df = df
         self.specs = list(specs)
-        self.max_aggs = max_aggs
-        self._exprs: dict[int, dict[str, Column]] = {s.ordinal: {} for s in self.specs}
-        self._chunks: list[tuple[list[ColumnSpec], DataFrame]] | None = None
+        self.max_fields = max_fields
+        # ordinal -> key -> (expression, kind, buffer fields)
+        self._exprs: dict[int, dict[str, tuple[Column, str, int]]] = {s.ordinal: {} for s in self.specs}
+        self._chunks: list[tuple[dict[int, list[str]], DataFrame]] | None = None
 
-    def add(self, spec: ColumnSpec, key: str, expr: Column) -> None:
+    def add(self, spec: ColumnSpec, key: str, expr: Column, kind: str = PLAIN, fields: int = 1) -> None:
         if self._chunks is not None:
             raise RuntimeError("FusedScan already planned")
-        self._exprs[spec.ordinal].setdefault(key, expr)
+        self._exprs[spec.ordinal].setdefault(key, (expr, kind, fields))
 
     def has(self, spec: ColumnSpec, key: str) -> bool:
         return key in self._exprs[spec.ordinal]
 
-    def _plan(self) -> list[tuple[list[ColumnSpec], DataFrame]]:
+    def _plan(self):
         if self._chunks is None:
-            groups: list[list[ColumnSpec]] = []
-            cur: list[ColumnSpec] = []
-            size = 0
-            for s in self.specs:
-                n = len(self._exprs[s.ordinal])
-                if n == 0:
-                    continue
-                if cur and size + n > self.max_aggs:
+            groups: list[list[tuple[int, str]]] = []
+            for kind, budget in ((PLAIN, self.max_fields), (SKETCH, 8)):
+                cur, size = [], 0
+                for s in self.specs:
+                    items = [(k, f) for k, (_, kd, f) in self._exprs[s.ordinal].items() if kd == kind]
+                    if not items:
+                        continue
+                    n = sum(f for _, f in items) if kind == PLAIN else len(items)
+                    if cur and size + n > budget:
+                        groups.append(cur)
+                        cur, size = [], 0
+                    cur += [(s.ordinal, k) for k, _ in items]
+                    size += n
+                if cur:
                     groups.append(cur)
-                    cur, size = [], 0
-                cur.append(s)
-                size += n
-            if cur or not groups:
-                groups.append(cur)
+            if not groups:
+                groups.append([])
             chunks = []
             for g in groups:
                 exprs = [F.count(F.lit(1)).alias(ROWS)]
-                for s in g:
-                    exprs += [e.alias(alias(s, k)) for k, e in self._exprs[s.ordinal].items()]
-                chunks.append((g, self.df.agg(*exprs)))
+                owned: dict[int, list[str]] = {}
+                for o, k in g:
+                    spec = next(s for s in self.specs if s.ordinal == o)
+                    exprs.append(self._exprs[o][k][0].alias(alias(spec, k)))
+                    owned.setdefault(o, []).append(k)
+                chunks.append((owned, self.df.agg(*exprs)))
             self._chunks = chunks
         return self._chunks
 
-    def materialize(self) -> "FusedScan":
-        """Run the pass now; later operators read the one-row results from the driver.
+    def chunk_count(self) -> int:
+        return len(self._plan())
 
-        The result is one row per chunk - its size depends on the schema, not on
-        the data - so later operators re-read nothing.
-        """
+    def materialize(self) -> "FusedScan":
+        """Run the passes now (one job: the union of the one-row chunk aggregates)
+        and keep the merged result row.  Its size depends on the schema, not on
+        the data, so later operators re-read nothing."""
+        if getattr(self, "_row", None) is not None:
+            return self
         spark = self.df.sparkSession
-        done = []
-        for g, wide in self._plan():
-            rows = wide.collect()
-            done.append((g, spark.createDataFrame(rows, wide.schema)))
-        out = FusedScan(self.df, self.specs, self.max_aggs)
+        plans = self._plan()
+        merged_fields, merged_values = [], []
+        seen = set()
+        if len(plans) == 1:
+            results = [plans[0][1].collect()[0]]
+        else:
+            # one job: the chunk scans run side by side; rows are told apart by _chunk
+            tagged = [part.withColumn("_chunk", F.lit(i)) for i, (_, part) in enumerate(plans)]
+            got = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged).collect()
+            by_chunk = {r["_chunk"]: r for r in got}
+            results = [by_chunk[i] for i in range(len(plans))]
+        for (_, part), row in zip(plans, results):
+            for f in part.schema.fields:
+                if f.name in seen:
+                    continue
+                seen.add(f.name)
+                merged_fields.append(f)
+                merged_values.append(row[f.name])
+        from pyspark.sql.types import StructType
+
+        out = FusedScan(self.df, self.specs, self.max_fields)
         out._exprs = self._exprs
-        out._chunks = done
+        out._chunks = plans
+        out._row = spark.createDataFrame([merged_values], StructType(merged_fields))
+        out.values = dict(zip([f.name for f in merged_fields], merged_values))
         return out
 
+    def get(self, spec: ColumnSpec, key: str):
+        """Python value of one metric after ``materialize``."""
+        return self.values.get(alias(spec, key))
+
     def row_count(self) -> Column:
         return F.col(ROWS)
 
     def long(self, specs: Iterable[ColumnSpec], build: Callable[[ColumnSpec], Column | list[Column]],
              schema: str) -> DataFrame:
         """Long form: for every spec in ``specs``, ``build(spec)`` gives one struct
-        (or a list of structs) read from the wide row; all structs must share a type
-        (``schema``, also used for the empty result)."""
-        wanted = {s.ordinal for s in specs}
-        parts = []
-        for g, wide in self._plan():
-            structs: list[Column] = []
-            for s in g:
-                if s.ordinal in wanted:
-                    b = build(s)
-                    structs.extend(b if isinstance(b, list) else [b])
-            if structs:
-                parts.append(wide.select(F.inline(F.array(*structs))))
-        if not parts:
+        (or a list of structs) read from the merged result row; all structs share a
+        type (``schema``, also used for the empty result).  Runs the passes first
+        if they have not run yet."""
+        row = self.materialize()._row
+        structs: list[Column] = []
+        for s in specs:
+            b = build(s)
+            structs.extend(b if isinstance(b, list) else [b])
+        if not structs:
             return self.df.sparkSession.createDataFrame([], schema)
-        return reduce(lambda a, b: a.unionByName(b), parts)
+        return row.select(F.inline(F.array(*structs)))
 
     def value(self, spec: ColumnSpec, key: str) -> Column:
         return F.col(alias(spec, key))

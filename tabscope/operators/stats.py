@@ -5,9 +5,9 @@ is the fused aggregate (null/non-null counts, distinct estimate, extremes,
 mean, deviation and - in approximate mode - the quartile sketch).  Pass 2
 depends on pass 1 only through tiny per-column results:
 
-* approximate mode: outlier counts in a second scan whose fences come from a
-  scalar subquery over the (already computed) quartiles, and exact distinct
-  counts only for the columns that pass the key gate;
+* approximate mode: one more job with the outlier counts (the fences enter as
+  literals computed from the pass-1 quartiles) and exact distinct counts only
+  for the columns that pass the key gate;
 * exact mode: exact distinct counts and discrete quartiles for every column,
   see :mod:`tabscope.operators.quantiles`.
 """
@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
+from ..functions.patterns_fixed import IQR_FENCE
 from ..functions.families import ColumnSpec, column_specs
 from ..options import ProfileOptions
 from . import quantiles as Q
-from .scan import FusedScan
+from .scan import SKETCH, FusedScan
 
 STATS_LONG = (
     "ordinal int, column string, spark_type string, type_family string, nullable boolean, "
@@ -46,16 +47,16 @@ def add_stats_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
         scan.add(s, "nulls", F.count_if(c.isNull()))
         scan.add(s, "nn", F.count(c))
         if not opts.exact and s.distinct_capable:
-            scan.add(s, "adist", F.approx_count_distinct(c, opts.rsd))
+            scan.add(s, "adist", F.approx_count_distinct(c, opts.rsd), SKETCH)
         if s.minmax_kind is not None:
             scan.add(s, "min", F.min(c))
             scan.add(s, "max", F.max(c))
         if s.is_numeric:
-            scan.add(s, "mean", F.avg(c))
-            scan.add(s, "std", F.stddev_samp(c))
+            scan.add(s, "mean", F.avg(c), fields=2)
+            scan.add(s, "std", F.stddev_samp(c), fields=3)
             if not opts.exact:
                 probs = F.array(F.lit(0.25), F.lit(0.75))
-                scan.add(s, "qa", F.percentile_approx(c, probs, opts.sketch_accuracy))
+                scan.add(s, "qa", F.percentile_approx(c, probs, opts.sketch_accuracy), SKETCH)
 
 
 def _get(scan: FusedScan, s: ColumnSpec, key: str, typ: str) -> Column:
@@ -111,44 +112,53 @@ def exact_distinct(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def key_gate(rows: list, opts: ProfileOptions) -> set[int]:
-    """Ordinals worth an exact distinct count, from materialised pass-1 rows."""
-    out = set()
-    for r in rows:
-        n = r["profiled_rows"] or 0
-        if n == 0 or (r["null_count"] or 0) != 0 or r["cardinality_est"] is None:
-            continue
-        est = r["cardinality_est"]
-        if opts.pk_gate == "none" or (opts.pk_gate == "strict" and est == n) or (
-            opts.pk_gate == "tolerant" and est >= n * (1.0 - 3.0 * opts.rsd)
-        ):
-            out.add(r["ordinal"])
+def key_gate_one(n: int, nulls, est, opts: ProfileOptions) -> bool:
+    """Is a column worth an exact distinct count (no nulls, estimate near the rows)?"""
+    if not n or (nulls or 0) != 0 or est is None:
+        return False
+    return (opts.pk_gate == "none" or (opts.pk_gate == "strict" and est == n)
+            or (opts.pk_gate == "tolerant" and est >= n * (1.0 - 3.0 * opts.rsd)))
+
+
+def fence(q1: float, q3: float) -> tuple[float, float]:
+    """IQR fence from quartiles (same double arithmetic as the column expressions)."""
+    iqr = q3 - q1
+    return q1 - IQR_FENCE * iqr, q3 + IQR_FENCE * iqr
+
+
+def second_pass(df: DataFrame, bounds: dict[int, tuple[float, float]], gated: list[ColumnSpec],
+                specs: list[ColumnSpec], max_fields: int) -> dict[int, dict[str, int]]:
+    """Outlier counts (fences as literals) and exact distinct counts of key
+    candidates, in one job.  Returns {ordinal: {"outliers": n, "distinct": d}}."""
+    parts = []
+    numeric = [s for s in specs if s.ordinal in bounds]
+    if numeric:
+        scan = FusedScan(df, numeric, max_fields)
+        for s in numeric:
+            lo, hi = bounds[s.ordinal]
+            scan.add(s, "out", F.count_if((s.col < F.lit(lo)) | (s.col > F.lit(hi))))
+        for _, part in scan._plan():
+            structs = [
+                F.struct(F.lit(s.ordinal).cast("int").alias("ordinal"), F.lit("outliers").alias("metric"),
+                         F.col(f"c{s.ordinal}__out").cast("bigint").alias("value"))
+                for s in numeric if f"c{s.ordinal}__out" in part.columns
+            ]
+            parts.append(part.select(F.inline(F.array(*structs))))
+    for s in gated:
+        parts.append(
+            df.select(s.col.alias("k")).where(F.col("k").isNotNull()).distinct()
+            .agg(F.count(F.lit(1)).alias("value"))
+            .select(F.lit(s.ordinal).cast("int").alias("ordinal"), F.lit("distinct").alias("metric"), "value")
+        )
+    out: dict[int, dict[str, int]] = {}
+    if parts:
+        for r in reduce(lambda a, b: a.unionByName(b), parts).collect():
+            out.setdefault(r["ordinal"], {})[r["metric"]] = r["value"]
     return out
 
 
-def outliers_by_scan(df: DataFrame, specs: list[ColumnSpec], bounds: DataFrame, max_aggs: int) -> DataFrame:
-    """(ordinal, outlier_count) in one more scan.  The fences enter as one scalar
-    subquery over the small bounds table (no join with the data)."""
-    if not specs:
-        return df.sparkSession.createDataFrame([], "ordinal int, outlier_count bigint")
-    o = F.col("ordinal")
-    wide = bounds.agg(
-        *[F.max(F.when(o == s.ordinal, F.col("lower_bound"))).alias(f"l{s.ordinal}") for s in specs],
-        *[F.max(F.when(o == s.ordinal, F.col("upper_bound"))).alias(f"u{s.ordinal}") for s in specs],
-    )
-    fences = wide.select(F.struct(*wide.columns).alias("b")).scalar()
-    scan = FusedScan(df, specs, max_aggs)
-    for s in specs:
-        lo, hi = fences[f"l{s.ordinal}"], fences[f"u{s.ordinal}"]
-        scan.add(s, "out", F.count_if((s.col < lo) | (s.col > hi)))
-    return scan.long(
-        specs,
-        lambda s: F.struct(
-            F.lit(s.ordinal).cast("int").alias("ordinal"),
-            scan.value(s, "out").cast("bigint").alias("outlier_count"),
-        ),
-        "ordinal int, outlier_count bigint",
-    )
+_EXTRA = ("ordinal int, distinct_exact bigint, q1 double, q3 double, lower_bound double, "
+          "upper_bound double, outlier_count bigint")
 
 
 def column_profile(
@@ -168,9 +178,9 @@ def column_profile(
     opts = opts or ProfileOptions()
     specs = column_specs(df.schema, opts.extended_types)
     if scan is None:
-        scan = FusedScan(df, specs, opts.max_aggs_per_pass)
+        scan = FusedScan(df, specs, opts.max_fields_per_pass)
         add_stats_aggs(scan, opts)
-        scan = scan.materialize()
+    scan = scan.materialize()
     base = stats_long(scan)
     numeric = [s for s in specs if s.is_numeric]
 
@@ -196,14 +206,28 @@ def column_profile(
             outl = df.sparkSession.createDataFrame([], "ordinal int, outlier_count bigint")
         base = base.drop("q1", "q3")
     else:
-        rows = base.select("ordinal", "profiled_rows", "null_count", "cardinality_est").collect()
-        gated = key_gate(rows, opts) if not sampled else set()
-        distinct = exact_distinct(df, [s for s in specs if s.ordinal in gated])
-        lb, ub = Q.iqr_bounds(F.col("q1"), F.col("q3"))
-        bounds = base.where(F.col("q1").isNotNull()).select(
-            "ordinal", "q1", "q3", lb.alias("lower_bound"), ub.alias("upper_bound"))
-        with_q = {r["ordinal"] for r in bounds.select("ordinal").collect()}
-        outl = outliers_by_scan(df, [s for s in numeric if s.ordinal in with_q], bounds, opts.max_aggs_per_pass)
+        n = scan.values.get("_rows") or 0
+        gated = [] if sampled or n == 0 else [
+            s for s in specs if s.distinct_capable and key_gate_one(
+                n, scan.get(s, "nulls"), scan.get(s, "adist"), opts)]
+        bounds, quart = {}, {}
+        for s in numeric:
+            qa = scan.get(s, "qa")
+            if qa is not None and qa[0] is not None and qa[1] is not None:
+                q1, q3 = float(qa[0]), float(qa[1])
+                quart[s.ordinal] = (q1, q3)
+                bounds[s.ordinal] = fence(q1, q3)
+        got = second_pass(df, bounds, gated, specs, opts.max_fields_per_pass)
+        extra = [
+            (s.ordinal, got.get(s.ordinal, {}).get("distinct"),
+             *(quart.get(s.ordinal) or (None, None)), *(bounds.get(s.ordinal) or (None, None)),
+             got.get(s.ordinal, {}).get("outliers"))
+            for s in specs
+        ]
+        ex = df.sparkSession.createDataFrame(extra, _EXTRA)
+        distinct = ex.select("ordinal", "distinct_exact")
+        bounds = ex.select("ordinal", "q1", "q3", "lower_bound", "upper_bound")
+        outl = ex.select("ordinal", "outlier_count")
         base = base.drop("q1", "q3")
 
     prof = F.col("profiled_rows")

@@ -20,8 +20,13 @@ class ProfileOptions:
     custom_patterns (name, regex) pairs added to the universal patterns; a name
                    equal to a universal one replaces its regex in place.
     credit_card    add the Luhn-checked CREDIT_CARD personal-data type.
-    max_aggs_per_pass  upper bound of aggregate expressions in one scan; wider
-                   tables are split into column chunks so whole-stage codegen stays on.
+    max_fields_per_pass  upper bound of aggregation-buffer fields of the plain
+                   aggregates in one scan; wider tables are split into column chunks
+                   so whole-stage codegen stays on (Spark's limit is 100).
+    spread_below   when a table arrives in fewer partitions than this fraction of
+                   the default parallelism, it is spread over all cores and kept
+                   (memory and disk) for the few passes of a profile.  A large table
+                   already has many partitions and is never re-shuffled.
     quantile_partitions range partitions for exact quartiles (default: shuffle partitions).
     """
 
@@ -32,7 +37,8 @@ class ProfileOptions:
     extended_types: bool = False
     custom_patterns: tuple[tuple[str, str], ...] = field(default=DEFAULT_CUSTOM_PATTERNS)
     credit_card: bool = False
-    max_aggs_per_pass: int = 96
+    max_fields_per_pass: int = 90
+    spread_below: float = 0.5
     quantile_partitions: int | None = None
 
     @property

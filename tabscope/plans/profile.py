@@ -47,6 +47,18 @@ def sampling_guard(df: DataFrame, row_count: int, above: int = SAMPLE_ABOVE_ROWS
     return df, False
 
 
+def spread_out(df: DataFrame, below: float = 0.5) -> tuple[DataFrame, bool]:
+    """A table stored in a few large splits (e.g. one row group) would be scanned
+    by a few tasks.  If it has fewer partitions than ``below`` x the default
+    parallelism, spread it round-robin over all cores and keep it for the passes
+    of the profile.  Tables with many partitions (every large table) pass
+    through untouched, so nothing big is ever re-shuffled or cached here."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if below <= 0 or df.rdd.getNumPartitions() >= target * below:
+        return df, False
+    return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK), True
+
+
 @dataclass
 class TableProfile:
     source_table: str
@@ -98,9 +110,10 @@ def profile_table(df: DataFrame, table: str, opts: ProfileOptions | None = None,
     work, sampled = sampling_guard(df, row_count) if sample else (df, False)
     if sampled:
         work = work.persist(StorageLevel.MEMORY_AND_DISK)
+    work, spread = spread_out(work, opts.spread_below)
     try:
         specs = column_specs(work.schema, opts.extended_types)
-        scan = FusedScan(work, specs, opts.max_aggs_per_pass)
+        scan = FusedScan(work, specs, opts.max_fields_per_pass)
         stats.add_stats_aggs(scan, opts)
         pii.add_pii_aggs(scan, opts)
         patterns.add_pattern_aggs(scan, opts)
@@ -110,27 +123,23 @@ def profile_table(df: DataFrame, table: str, opts: ProfileOptions | None = None,
             errors.append(f"Scan failed: {e}")
             scan = None
 
-        def step(label, fn, schema):
+        prof = spark.createDataFrame([], _PROFILE_SCHEMA)
+        ps = spark.createDataFrame([], _PII_SCORES)
+        pts = spark.createDataFrame([], _PAT_SCORES)
+        if scan is not None:
             try:
-                return local(fn())
+                prof = local(stats.column_profile(work, opts, table, row_count=row_count, sampled=sampled,
+                                                  scan=scan))
             except Exception as e:  # noqa: BLE001
-                errors.append(f"{label} failed: {e}")
-                return spark.createDataFrame([], schema)
-
-        if scan is not None:
-            prof = step("ColumnProfile", lambda: stats.column_profile(
-                work, opts, table, row_count=row_count, sampled=sampled, scan=scan), _PROFILE_SCHEMA)
-            ps = step("PII", lambda: pii.pii_scores_from(scan, opts, table), _PII_SCORES)
-            pts = step("Patterns", lambda: patterns.pattern_scores_from(scan, opts, table), _PAT_SCORES)
-        else:
-            prof = spark.createDataFrame([], _PROFILE_SCHEMA)
-            ps = spark.createDataFrame([], _PII_SCORES)
-            pts = spark.createDataFrame([], _PAT_SCORES)
-        pf = step("PIIFindings", lambda: pii.pii_findings(ps), _PII_FINDINGS)
-        ptf = step("PatternFindings", lambda: patterns.pattern_findings(pts, prof), _PAT_FINDINGS)
-        profiled = prof.select(F.max("profiled_rows")).first()[0]
+                errors.append(f"ColumnProfile failed: {e}")
+            # both read the materialised pass-1 row only: no further scan of the table
+            ps = pii.pii_scores_from(scan, opts, table)
+            pts = patterns.pattern_scores_from(scan, opts, table)
+        pf = pii.pii_findings(ps)
+        ptf = patterns.pattern_findings(pts, prof)
+        profiled = scan.values.get("_rows") if scan is not None else None
     finally:
-        if sampled:
+        if sampled or spread:
             work.unpersist()
     return TableProfile(
         table, display_name or table, source_system, row_count,
@@ -229,8 +238,8 @@ def profile_tables(frames: dict[str, DataFrame], opts: ProfileOptions | None = N
     batch = BatchProfile(done, fk, None)
     meta = _meta(spark, done, fk_error)
     shown = {t.source_table: t.display_name for t in done}
-    batch.report = build_report(meta, batch.union("profile"), batch.union("pii_findings"),
-                                batch.union("pattern_findings"), fk, shown)
+    batch.report = local(build_report(meta, batch.union("profile"), batch.union("pii_findings"),
+                                      batch.union("pattern_findings"), fk, shown))
     return batch
 
 
