@@ -121,6 +121,26 @@ class FusedScan:
         out.values = dict(zip([f.name for f in merged_fields], merged_values))
         return out
 
+    def with_values(self, extra: dict[tuple[ColumnSpec, str], object], types: dict[str, str]) -> "FusedScan":
+        """Add per-column results computed elsewhere (``types``: key -> SQL type)
+        to the result row, so long forms read everything from one row."""
+        from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+        base = self.materialize()
+        fields = list(base._row.schema.fields)
+        values = [base.values[f.name] for f in fields]
+        for (spec, key), v in extra.items():
+            fields.append(StructField(alias(spec, key), _parse_datatype_string(types[key]), True))
+            values.append(v)
+        out = FusedScan(self.df, self.specs, self.max_fields)
+        out._exprs = {o: dict(d) for o, d in self._exprs.items()}
+        for (spec, key) in extra:
+            out._exprs[spec.ordinal][key] = (F.lit(None), "extra", 0)
+        out._chunks = base._chunks
+        out._row = self.df.sparkSession.createDataFrame([values], StructType(fields))
+        out.values = dict(zip([f.name for f in fields], values))
+        return out
+
     def get(self, spec: ColumnSpec, key: str):
         """Python value of one metric after ``materialize``."""
         return self.values.get(alias(spec, key))

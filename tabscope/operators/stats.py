@@ -28,8 +28,9 @@ from .scan import SKETCH, FusedScan
 STATS_LONG = (
     "ordinal int, column string, spark_type string, type_family string, nullable boolean, "
     "profiled_rows bigint, null_count bigint, non_null_count bigint, cardinality_est bigint, "
-    "min_num double, max_num double, min_str string, max_str string, "
-    "mean_val double, stddev_val double, q1 double, q3 double"
+    "distinct_exact bigint, min_num double, max_num double, min_str string, max_str string, "
+    "mean_val double, stddev_val double, q1 double, q3 double, lower_bound double, upper_bound double, "
+    "outlier_count bigint"
 )
 
 PROFILE_COLUMNS = [
@@ -67,11 +68,6 @@ def _stats_struct(scan: FusedScan, s: ColumnSpec) -> Column:
     kind = s.minmax_kind
     null_d = F.lit(None).cast("double")
     null_s = F.lit(None).cast("string")
-    if scan.has(s, "qa"):
-        qa = scan.value(s, "qa").cast("array<double>")
-        q1, q3 = qa[0], qa[1]
-    else:
-        q1, q3 = null_d, null_d
     return F.struct(
         F.lit(s.ordinal).cast("int").alias("ordinal"),
         F.lit(s.name).alias("column"),
@@ -82,17 +78,25 @@ def _stats_struct(scan: FusedScan, s: ColumnSpec) -> Column:
         _get(scan, s, "nulls", "bigint").alias("null_count"),
         _get(scan, s, "nn", "bigint").alias("non_null_count"),
         _get(scan, s, "adist", "bigint").alias("cardinality_est"),
+        _get(scan, s, "dexact", "bigint").alias("distinct_exact"),
         (_get(scan, s, "min", "double") if kind == "num" else null_d).alias("min_num"),
         (_get(scan, s, "max", "double") if kind == "num" else null_d).alias("max_num"),
         (_get(scan, s, "min", "string") if kind == "str" else null_s).alias("min_str"),
         (_get(scan, s, "max", "string") if kind == "str" else null_s).alias("max_str"),
         _get(scan, s, "mean", "double").alias("mean_val"),
         _get(scan, s, "std", "double").alias("stddev_val"),
-        q1.alias("q1"),
-        q3.alias("q3"),
+        _get(scan, s, "q1", "double").alias("q1"),
+        _get(scan, s, "q3", "double").alias("q3"),
+        _get(scan, s, "lb", "double").alias("lower_bound"),
+        _get(scan, s, "ub", "double").alias("upper_bound"),
+        _get(scan, s, "outl", "bigint").alias("outlier_count"),
     )
 
 
+_EXTRA_TYPES = {"dexact": "bigint", "q1": "double", "q3": "double", "lb": "double", "ub": "double",
+                "outl": "bigint"}
+
+
 def stats_long(scan: FusedScan) -> DataFrame:
     return scan.long(scan.specs, lambda s: _stats_struct(scan, s), STATS_LONG)
 
@@ -157,8 +161,34 @@ def second_pass(df: DataFrame, bounds: dict[int, tuple[float, float]], gated: li
     return out
 
 
-_EXTRA = ("ordinal int, distinct_exact bigint, q1 double, q3 double, lower_bound double, "
-          "upper_bound double, outlier_count bigint")
+def _exact_extras(df: DataFrame, specs: list[ColumnSpec], opts: ProfileOptions) -> dict[int, dict]:
+    """Exact distinct counts, discrete quartiles and outlier counts: one
+    checkpointed ranking of numeric values plus one job for everything else.
+    Returns {ordinal: {"dexact": d, "q1": .., "q3": .., "outl": n}}."""
+    numeric = [s for s in specs if s.is_numeric]
+    via_values = {s.ordinal for s in numeric if s.double_is_exact}
+    parts = [
+        d.select("ordinal", F.lit("dexact").alias("metric"), F.col("distinct_exact").cast("double").alias("x"))
+        for d in [exact_distinct(df, [s for s in specs if s.distinct_capable and s.ordinal not in via_values])]
+    ]
+    if numeric:
+        ranked = Q.ranked_values(Q.value_counts(df, numeric), opts.quantile_partitions)
+        totals = ranked.groupBy("ordinal").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("d"))
+        parts.append(totals.where(F.col("ordinal").isin(sorted(via_values) or [-1])).select(
+            "ordinal", F.lit("dexact").alias("metric"), F.col("d").cast("double").alias("x")))
+        quart = Q.exact_quartiles(ranked, totals.select("ordinal", "n"))
+        lb, ub = Q.iqr_bounds(F.col("q1"), F.col("q3"))
+        bounds = quart.select("ordinal", "q1", "q3", lb.alias("lower_bound"), ub.alias("upper_bound"))
+        outl = Q.outliers_from_values(ranked, bounds)
+        parts.append(quart.select("ordinal", F.lit("q1").alias("metric"), F.col("q1").alias("x")))
+        parts.append(quart.select("ordinal", F.lit("q3").alias("metric"), F.col("q3").alias("x")))
+        parts.append(outl.select("ordinal", F.lit("outl").alias("metric"), F.col("outlier_count").cast("double")
+                                 .alias("x")))
+    out: dict[int, dict] = {}
+    for r in reduce(lambda a, b: a.unionByName(b), parts).collect():
+        v = r["x"]
+        out.setdefault(r["ordinal"], {})[r["metric"]] = int(v) if r["metric"] in ("dexact", "outl") else v
+    return out
 
 
 def column_profile(
@@ -173,7 +203,10 @@ def column_profile(
 
     ``row_count`` is the row count of the whole table when ``df`` is a sample of
     it; ratios always divide by the rows actually profiled and no column of a
-    sample is called a key.
+    sample is called a key.  The table is read by pass 1 (the fused aggregate)
+    and pass 2 (outliers and exact distinct counts); both results are one value
+    per column, merged into one driver-side row, so the returned DataFrame
+    costs nothing to read again.
     """
     opts = opts or ProfileOptions()
     specs = column_specs(df.schema, opts.extended_types)
@@ -181,61 +214,41 @@ def column_profile(
         scan = FusedScan(df, specs, opts.max_fields_per_pass)
         add_stats_aggs(scan, opts)
     scan = scan.materialize()
-    base = stats_long(scan)
     numeric = [s for s in specs if s.is_numeric]
-
-    if opts.exact:
-        ranked = None
-        if numeric:
-            ranked = Q.ranked_values(Q.value_counts(df, numeric), opts.quantile_partitions)
-        via_values = {s.ordinal for s in numeric if s.double_is_exact}
-        distinct = exact_distinct(df, [s for s in specs if s.distinct_capable and s.ordinal not in via_values])
-        if ranked is not None:
-            totals = ranked.groupBy("ordinal").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("d"))
-            distinct = distinct.unionByName(
-                totals.where(F.col("ordinal").isin(sorted(via_values))).select(
-                    "ordinal", F.col("d").alias("distinct_exact"))
-            )
-            quart = Q.exact_quartiles(ranked, totals.select("ordinal", "n"))
-            lb, ub = Q.iqr_bounds(F.col("q1"), F.col("q3"))
-            bounds = quart.select("ordinal", "q1", "q3", lb.alias("lower_bound"), ub.alias("upper_bound"))
-            outl = Q.outliers_from_values(ranked, bounds)
-        else:
-            bounds = df.sparkSession.createDataFrame(
-                [], "ordinal int, q1 double, q3 double, lower_bound double, upper_bound double")
-            outl = df.sparkSession.createDataFrame([], "ordinal int, outlier_count bigint")
-        base = base.drop("q1", "q3")
-    else:
-        n = scan.values.get("_rows") or 0
-        gated = [] if sampled or n == 0 else [
-            s for s in specs if s.distinct_capable and key_gate_one(
-                n, scan.get(s, "nulls"), scan.get(s, "adist"), opts)]
-        bounds, quart = {}, {}
+    n = scan.values.get("_rows") or 0
+    extras: dict[tuple[ColumnSpec, str], object] = {}
+    if n > 0 and opts.exact:
+        got = _exact_extras(df, specs, opts)
+        for s in specs:
+            g = got.get(s.ordinal, {})
+            if s.distinct_capable:
+                extras[(s, "dexact")] = g.get("dexact", 0)
+            if s.is_numeric and g.get("q1") is not None:
+                extras[(s, "q1")], extras[(s, "q3")] = g["q1"], g["q3"]
+                extras[(s, "lb")], extras[(s, "ub")] = fence(g["q1"], g["q3"])
+                extras[(s, "outl")] = g.get("outl", 0)
+    elif n > 0:
+        gated = [] if sampled else [
+            s for s in specs if s.distinct_capable and key_gate_one(n, scan.get(s, "nulls"), scan.get(s, "adist"), opts)]
+        bounds = {}
         for s in numeric:
             qa = scan.get(s, "qa")
             if qa is not None and qa[0] is not None and qa[1] is not None:
                 q1, q3 = float(qa[0]), float(qa[1])
-                quart[s.ordinal] = (q1, q3)
+                extras[(s, "q1")], extras[(s, "q3")] = q1, q3
                 bounds[s.ordinal] = fence(q1, q3)
+                extras[(s, "lb")], extras[(s, "ub")] = bounds[s.ordinal]
         got = second_pass(df, bounds, gated, specs, opts.max_fields_per_pass)
-        extra = [
-            (s.ordinal, got.get(s.ordinal, {}).get("distinct"),
-             *(quart.get(s.ordinal) or (None, None)), *(bounds.get(s.ordinal) or (None, None)),
-             got.get(s.ordinal, {}).get("outliers"))
-            for s in specs
-        ]
-        ex = df.sparkSession.createDataFrame(extra, _EXTRA)
-        distinct = ex.select("ordinal", "distinct_exact")
-        bounds = ex.select("ordinal", "q1", "q3", "lower_bound", "upper_bound")
-        outl = ex.select("ordinal", "outlier_count")
-        base = base.drop("q1", "q3")
+        for s in specs:
+            g = got.get(s.ordinal, {})
+            if "distinct" in g:
+                extras[(s, "dexact")] = g["distinct"]
+            if s.ordinal in bounds:
+                extras[(s, "outl")] = g.get("outliers", 0)
+    scan = scan.with_values(extras, _EXTRA_TYPES)
+    base = stats_long(scan)
 
     prof = F.col("profiled_rows")
-    joined = (
-        base.join(F.broadcast(distinct), "ordinal", "left")
-        .join(F.broadcast(bounds), "ordinal", "left")
-        .join(F.broadcast(outl), "ordinal", "left")
-    )
     card = F.col("distinct_exact") if opts.exact else F.col("cardinality_est")
     is_pk = (
         F.lit(not sampled)
@@ -243,7 +256,7 @@ def column_profile(
         & F.col("distinct_exact").isNotNull()
         & (F.col("distinct_exact") == prof)
     )
-    out = joined.where(prof > 0).select(
+    return base.where(prof > 0).select(
         F.lit(source_table).alias("source_table"),
         "ordinal", "column", "spark_type", "type_family", "nullable",
         (F.lit(row_count).cast("bigint") if row_count is not None else prof).alias("row_count"),
@@ -255,12 +268,9 @@ def column_profile(
         ratio(F.coalesce(F.col("distinct_exact"), card), prof).alias("uniqueness_ratio"),
         F.coalesce(is_pk, F.lit(False)).alias("is_pk_candidate"),
         "min_num", "max_num", "min_str", "max_str", "mean_val", "stddev_val",
-        "q1", "q3", "lower_bound", "upper_bound",
-        F.when(F.col("lower_bound").isNotNull(), F.coalesce(F.col("outlier_count"), F.lit(0)))
-        .cast("bigint").alias("outlier_count"),
+        "q1", "q3", "lower_bound", "upper_bound", "outlier_count",
         F.coalesce(F.col("outlier_count") > 0, F.lit(False)).alias("has_outliers"),
     )
-    return out
 
 
 def column_schema(profile: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ recorded in the report's ``errors`` and the rest goes on.
 """
 from __future__ import annotations
 
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -73,6 +74,7 @@ class TableProfile:
     pattern_scores: DataFrame
     pattern_findings: DataFrame
     errors: list[str] = field(default_factory=list)
+    timings: dict[str, float] = field(default_factory=dict)
     report_id: str = field(default_factory=lambda: str(uuid.uuid4()))
     profiled_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc).replace(tzinfo=None))
 
@@ -106,7 +108,16 @@ def profile_table(df: DataFrame, table: str, opts: ProfileOptions | None = None,
     opts = opts or ProfileOptions()
     spark = df.sparkSession
     errors: list[str] = []
+    timings: dict[str, float] = {}
+    clock = [time.perf_counter()]
+
+    def lap(name):
+        now = time.perf_counter()
+        timings[name] = round(now - clock[0], 3)
+        clock[0] = now
+
     row_count = df.count()
+    lap("count")
     work, sampled = sampling_guard(df, row_count) if sample else (df, False)
     if sampled:
         work = work.persist(StorageLevel.MEMORY_AND_DISK)
@@ -122,6 +133,7 @@ def profile_table(df: DataFrame, table: str, opts: ProfileOptions | None = None,
         except Exception as e:  # noqa: BLE001 - recorded, profile goes on empty
             errors.append(f"Scan failed: {e}")
             scan = None
+        lap("pass1")
 
         prof = spark.createDataFrame([], _PROFILE_SCHEMA)
         ps = spark.createDataFrame([], _PII_SCORES)
@@ -132,6 +144,7 @@ def profile_table(df: DataFrame, table: str, opts: ProfileOptions | None = None,
                                                   scan=scan))
             except Exception as e:  # noqa: BLE001
                 errors.append(f"ColumnProfile failed: {e}")
+            lap("pass2")
             # both read the materialised pass-1 row only: no further scan of the table
             ps = pii.pii_scores_from(scan, opts, table)
             pts = patterns.pattern_scores_from(scan, opts, table)
@@ -144,7 +157,7 @@ def profile_table(df: DataFrame, table: str, opts: ProfileOptions | None = None,
     return TableProfile(
         table, display_name or table, source_system, row_count,
         profiled if profiled is not None else (0 if row_count == 0 else None),
-        sampled, prof, ps, pf, pts, ptf, errors,
+        sampled, prof, ps, pf, pts, ptf, errors, timings=timings,
     )
 
 
