@@ -24,4 +24,4 @@ def credit_card_hit(c: Column) -> Column:
     """A 13-19 digit run (spaces or dashes allowed) that passes the Luhn check."""
     run = F.regexp_extract(c, r"(?:\d[ -]?){12,18}\d", 0)
     digits = F.regexp_replace(run, r"[ -]", "")
-    return (F.length(digits) >= 13) & F.luhn_check(digits)
+    return (F.length(digits) >= 13) & F.call_function("luhn_check", digits)
