@@ -25,3 +25,31 @@ def credit_card_hit(c: Column) -> Column:
     run = F.regexp_extract(c, r"(?:\d[ -]?){12,18}\d", 0)
     digits = F.regexp_replace(run, r"[ -]", "")
     return (F.length(digits) >= 13) & F.call_function("luhn_check", digits)
+
+
+# SQL-text builders.  Wide passes are written as SQL expressions and handed to
+# ``selectExpr`` in one call: building thousands of Column objects one py4j
+# call at a time costs more than the scan itself on small tables.
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_id(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_double(x: float) -> str:
+    import math
+
+    if math.isnan(x):
+        return "CAST('NaN' AS DOUBLE)"
+    if math.isinf(x):
+        return "CAST('Infinity' AS DOUBLE)" if x > 0 else "CAST('-Infinity' AS DOUBLE)"
+    return repr(float(x)) + "D"
+
+
+def sql_credit_card(q: str) -> str:
+    run = f"regexp_extract({q}, {sql_str(r'(?:\d[ -]?){12,18}\d')}, 0)"
+    digits = f"regexp_replace({run}, {sql_str('[ -]')}, '')"
+    return f"(length({digits}) >= 13 AND luhn_check({digits}))"

@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio, regex_hits
+from ..functions.exprs import ratio, sql_id, sql_str
 from ..functions.families import column_specs
 from ..functions.patterns_fixed import (
     HIGH_UNIQUENESS, HIGH_UNIQUENESS_RATIO, LOW_CARDINALITY, LOW_CARDINALITY_MAX_DISTINCT,
     LOW_CARDINALITY_MAX_RATIO, NAME_HEURISTICS, PATTERN_MIN_RATIO, UNIVERSAL_PATTERNS,
 )
 from ..options import ProfileOptions
-from .scan import FusedScan
+from .scan import ROWS, FusedScan
 
 PATTERN_LONG = (
     "ordinal int, column string, pattern string, layer string, priority int, "
@@ -37,9 +37,10 @@ def add_pattern_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
     for s in scan.specs:
         if not s.is_string:
             continue
-        scan.add(s, "nn", F.count(s.col))
+        q = sql_id(s.name)
+        scan.add(s, "nn", f"count({q})")
         for j, (_, rx, _) in enumerate(all_patterns(opts.custom_patterns)):
-            scan.add(s, f"pat{j}", regex_hits(s.col, rx))
+            scan.add(s, f"pat{j}", f"count_if(coalesce({q} RLIKE {sql_str(rx)}, false))")
 
 
 def pattern_long(scan: FusedScan, opts: ProfileOptions) -> DataFrame:
@@ -47,16 +48,10 @@ def pattern_long(scan: FusedScan, opts: ProfileOptions) -> DataFrame:
 
     def build(s):
         return [
-            F.struct(
-                F.lit(s.ordinal).cast("int").alias("ordinal"),
-                F.lit(s.name).alias("column"),
-                F.lit(name).alias("pattern"),
-                F.lit(layer).alias("layer"),
-                F.lit(j).cast("int").alias("priority"),
-                scan.value(s, "nn").cast("bigint").alias("non_null_count"),
-                scan.value(s, f"pat{j}").cast("bigint").alias("match_count"),
-                scan.row_count().cast("bigint").alias("profiled_rows"),
-            )
+            f"named_struct('ordinal', {s.ordinal}, 'column', {sql_str(s.name)}, 'pattern', {sql_str(name)}, "
+            f"'layer', {sql_str(layer)}, 'priority', {j}, "
+            f"'non_null_count', CAST({scan.value(s, 'nn')} AS BIGINT), "
+            f"'match_count', CAST({scan.value(s, f'pat{j}')} AS BIGINT), 'profiled_rows', CAST({ROWS} AS BIGINT))"
             for j, (name, _, layer) in enumerate(pats)
         ]
 

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import credit_card_hit, ratio0, regex_hits
+from ..functions.exprs import ratio0, sql_credit_card, sql_id, sql_str
 from ..functions.families import column_specs
 from ..functions.patterns_fixed import (
     PERSON_NAME_CONFIDENCE, PERSON_NAME_REGEX, PERSON_NAME_TYPE, PII_MIN_CONFIDENCE, PII_PATTERNS,
 )
 from ..options import ProfileOptions
-from .scan import FusedScan
+from .scan import ROWS, FusedScan
 
 PII_LONG = (
     "ordinal int, column string, pii_type string, priority int, "
@@ -34,11 +34,12 @@ def add_pii_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
     for s in scan.specs:
         if not s.is_string:
             continue
-        scan.add(s, "nn", F.count(s.col))
+        q = sql_id(s.name)
+        scan.add(s, "nn", f"count({q})")
         for j, (_, pattern) in enumerate(PII_PATTERNS):
-            scan.add(s, f"pii{j}", regex_hits(s.col, pattern))
+            scan.add(s, f"pii{j}", f"count_if(coalesce({q} RLIKE {sql_str(pattern)}, false))")
         if opts.credit_card:
-            scan.add(s, "piicc", F.count_if(F.coalesce(credit_card_hit(s.col), F.lit(False))))
+            scan.add(s, "piicc", f"count_if(coalesce({sql_credit_card(q)}, false))")
 
 
 def pii_long(scan: FusedScan, opts: ProfileOptions) -> DataFrame:
@@ -47,15 +48,9 @@ def pii_long(scan: FusedScan, opts: ProfileOptions) -> DataFrame:
 
     def build(s):
         return [
-            F.struct(
-                F.lit(s.ordinal).cast("int").alias("ordinal"),
-                F.lit(s.name).alias("column"),
-                F.lit(name).alias("pii_type"),
-                F.lit(j).cast("int").alias("priority"),
-                scan.value(s, "nn").cast("bigint").alias("non_null_count"),
-                scan.value(s, key).cast("bigint").alias("match_count"),
-                scan.row_count().cast("bigint").alias("profiled_rows"),
-            )
+            f"named_struct('ordinal', {s.ordinal}, 'column', {sql_str(s.name)}, 'pii_type', {sql_str(name)}, "
+            f"'priority', {j}, 'non_null_count', CAST({scan.value(s, 'nn')} AS BIGINT), "
+            f"'match_count', CAST({scan.value(s, key)} AS BIGINT), 'profiled_rows', CAST({ROWS} AS BIGINT))"
             for j, (name, key) in enumerate(zip(names, keys))
         ]
 

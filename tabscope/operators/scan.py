@@ -41,11 +41,12 @@ class FusedScan:
         self.df = df
         self.specs = list(specs)
         self.max_fields = max_fields
-        # ordinal -> key -> (expression, kind, buffer fields)
-        self._exprs: dict[int, dict[str, tuple[Column, str, int]]] = {s.ordinal: {} for s in self.specs}
+        # ordinal -> key -> (SQL expression, kind, buffer fields)
+        self._exprs: dict[int, dict[str, tuple[str, str, int]]] = {s.ordinal: {} for s in self.specs}
         self._chunks: list[tuple[dict[int, list[str]], DataFrame]] | None = None
 
-    def add(self, spec: ColumnSpec, key: str, expr: Column, kind: str = PLAIN, fields: int = 1) -> None:
+    def add(self, spec: ColumnSpec, key: str, expr: str, kind: str = PLAIN, fields: int = 1) -> None:
+        """Register an aggregate, written as SQL text over the table's columns."""
         if self._chunks is not None:
             raise RuntimeError("FusedScan already planned")
         self._exprs[spec.ordinal].setdefault(key, (expr, kind, fields))
@@ -73,14 +74,15 @@ class FusedScan:
             if not groups:
                 groups.append([])
             chunks = []
+            by_ord = {s.ordinal: s for s in self.specs}
             for g in groups:
-                exprs = [F.count(F.lit(1)).alias(ROWS)]
+                exprs = [f"count(1) AS {ROWS}"]
                 owned: dict[int, list[str]] = {}
                 for o, k in g:
-                    spec = next(s for s in self.specs if s.ordinal == o)
-                    exprs.append(self._exprs[o][k][0].alias(alias(spec, k)))
+                    exprs.append(f"{self._exprs[o][k][0]} AS {alias(by_ord[o], k)}")
                     owned.setdefault(o, []).append(k)
-                chunks.append((owned, self.df.agg(*exprs)))
+                # a global aggregate: selectExpr of aggregate functions, one py4j call
+                chunks.append((owned, self.df.selectExpr(*exprs)))
             self._chunks = chunks
         return self._chunks
 
@@ -135,7 +137,7 @@ class FusedScan:
         out = FusedScan(self.df, self.specs, self.max_fields)
         out._exprs = {o: dict(d) for o, d in self._exprs.items()}
         for (spec, key) in extra:
-            out._exprs[spec.ordinal][key] = (F.lit(None), "extra", 0)
+            out._exprs[spec.ordinal][key] = ("NULL", "extra", 0)
         out._chunks = base._chunks
         out._row = self.df.sparkSession.createDataFrame([values], StructType(fields))
         out.values = dict(zip([f.name for f in fields], values))
@@ -148,20 +150,24 @@ class FusedScan:
     def row_count(self) -> Column:
         return F.col(ROWS)
 
-    def long(self, specs: Iterable[ColumnSpec], build: Callable[[ColumnSpec], Column | list[Column]],
+    def long(self, specs: Iterable[ColumnSpec], build: Callable[[ColumnSpec], str | list[str]],
              schema: str) -> DataFrame:
         """Long form: for every spec in ``specs``, ``build(spec)`` gives one struct
         (or a list of structs) read from the merged result row; all structs share a
         type (``schema``, also used for the empty result).  Runs the passes first
         if they have not run yet."""
         row = self.materialize()._row
-        structs: list[Column] = []
+        structs: list[str] = []
         for s in specs:
             b = build(s)
             structs.extend(b if isinstance(b, list) else [b])
         if not structs:
             return self.df.sparkSession.createDataFrame([], schema)
-        return row.select(F.inline(F.array(*structs)))
+        return row.selectExpr(f"inline(array({', '.join(structs)}))")
 
-    def value(self, spec: ColumnSpec, key: str) -> Column:
-        return F.col(alias(spec, key))
+    def value(self, spec: ColumnSpec, key: str) -> str:
+        """SQL reference to a metric in the result row."""
+        return alias(spec, key)
+
+    def row_count_sql(self) -> str:
+        return ROWS

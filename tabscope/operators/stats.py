@@ -18,12 +18,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio
+from ..functions.exprs import ratio, sql_double, sql_id, sql_str
 from ..functions.patterns_fixed import IQR_FENCE
 from ..functions.families import ColumnSpec, column_specs
 from ..options import ProfileOptions
 from . import quantiles as Q
-from .scan import SKETCH, FusedScan
+from .scan import ROWS, SKETCH, FusedScan
 
 STATS_LONG = (
     "ordinal int, column string, spark_type string, type_family string, nullable boolean, "
@@ -44,53 +44,51 @@ PROFILE_COLUMNS = [
 
 def add_stats_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
     for s in scan.specs:
-        c = s.col
-        scan.add(s, "nulls", F.count_if(c.isNull()))
-        scan.add(s, "nn", F.count(c))
+        q = sql_id(s.name)
+        scan.add(s, "nulls", f"count_if({q} IS NULL)")
+        scan.add(s, "nn", f"count({q})")
         if not opts.exact and s.distinct_capable:
-            scan.add(s, "adist", F.approx_count_distinct(c, opts.rsd), SKETCH)
+            scan.add(s, "adist", f"approx_count_distinct({q}, {sql_double(opts.rsd)})", SKETCH)
         if s.minmax_kind is not None:
-            scan.add(s, "min", F.min(c))
-            scan.add(s, "max", F.max(c))
+            scan.add(s, "min", f"min({q})")
+            scan.add(s, "max", f"max({q})")
         if s.is_numeric:
-            scan.add(s, "mean", F.avg(c), fields=2)
-            scan.add(s, "std", F.stddev_samp(c), fields=3)
+            scan.add(s, "mean", f"avg({q})", fields=2)
+            scan.add(s, "std", f"stddev_samp({q})", fields=3)
             if not opts.exact:
-                probs = F.array(F.lit(0.25), F.lit(0.75))
-                scan.add(s, "qa", F.percentile_approx(c, probs, opts.sketch_accuracy), SKETCH)
+                scan.add(s, "qa", f"percentile_approx({q}, array(0.25D, 0.75D), {opts.sketch_accuracy})", SKETCH)
 
 
-def _get(scan: FusedScan, s: ColumnSpec, key: str, typ: str) -> Column:
-    return scan.value(s, key).cast(typ) if scan.has(s, key) else F.lit(None).cast(typ)
+def _get(scan: FusedScan, s: ColumnSpec, key: str, typ: str) -> str:
+    return f"CAST({scan.value(s, key)} AS {typ})" if scan.has(s, key) else f"CAST(NULL AS {typ})"
 
 
-def _stats_struct(scan: FusedScan, s: ColumnSpec) -> Column:
+def _stats_struct(scan: FusedScan, s: ColumnSpec) -> str:
     kind = s.minmax_kind
-    null_d = F.lit(None).cast("double")
-    null_s = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(s.ordinal).cast("int").alias("ordinal"),
-        F.lit(s.name).alias("column"),
-        F.lit(s.spark_type).alias("spark_type"),
-        F.lit(s.family).alias("type_family"),
-        F.lit(s.nullable).alias("nullable"),
-        scan.row_count().cast("bigint").alias("profiled_rows"),
-        _get(scan, s, "nulls", "bigint").alias("null_count"),
-        _get(scan, s, "nn", "bigint").alias("non_null_count"),
-        _get(scan, s, "adist", "bigint").alias("cardinality_est"),
-        _get(scan, s, "dexact", "bigint").alias("distinct_exact"),
-        (_get(scan, s, "min", "double") if kind == "num" else null_d).alias("min_num"),
-        (_get(scan, s, "max", "double") if kind == "num" else null_d).alias("max_num"),
-        (_get(scan, s, "min", "string") if kind == "str" else null_s).alias("min_str"),
-        (_get(scan, s, "max", "string") if kind == "str" else null_s).alias("max_str"),
-        _get(scan, s, "mean", "double").alias("mean_val"),
-        _get(scan, s, "std", "double").alias("stddev_val"),
-        _get(scan, s, "q1", "double").alias("q1"),
-        _get(scan, s, "q3", "double").alias("q3"),
-        _get(scan, s, "lb", "double").alias("lower_bound"),
-        _get(scan, s, "ub", "double").alias("upper_bound"),
-        _get(scan, s, "outl", "bigint").alias("outlier_count"),
-    )
+    fields = [
+        ("ordinal", f"{s.ordinal}"),
+        ("column", sql_str(s.name)),
+        ("spark_type", sql_str(s.spark_type)),
+        ("type_family", sql_str(s.family)),
+        ("nullable", "true" if s.nullable else "false"),
+        ("profiled_rows", f"CAST({ROWS} AS BIGINT)"),
+        ("null_count", _get(scan, s, "nulls", "bigint")),
+        ("non_null_count", _get(scan, s, "nn", "bigint")),
+        ("cardinality_est", _get(scan, s, "adist", "bigint")),
+        ("distinct_exact", _get(scan, s, "dexact", "bigint")),
+        ("min_num", _get(scan, s, "min", "double") if kind == "num" else "CAST(NULL AS DOUBLE)"),
+        ("max_num", _get(scan, s, "max", "double") if kind == "num" else "CAST(NULL AS DOUBLE)"),
+        ("min_str", _get(scan, s, "min", "string") if kind == "str" else "CAST(NULL AS STRING)"),
+        ("max_str", _get(scan, s, "max", "string") if kind == "str" else "CAST(NULL AS STRING)"),
+        ("mean_val", _get(scan, s, "mean", "double")),
+        ("stddev_val", _get(scan, s, "std", "double")),
+        ("q1", _get(scan, s, "q1", "double")),
+        ("q3", _get(scan, s, "q3", "double")),
+        ("lower_bound", _get(scan, s, "lb", "double")),
+        ("upper_bound", _get(scan, s, "ub", "double")),
+        ("outlier_count", _get(scan, s, "outl", "bigint")),
+    ]
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields) + ")"
 
 
 _EXTRA_TYPES = {"dexact": "bigint", "q1": "double", "q3": "double", "lb": "double", "ub": "double",
@@ -140,14 +138,14 @@ def second_pass(df: DataFrame, bounds: dict[int, tuple[float, float]], gated: li
         scan = FusedScan(df, numeric, max_fields)
         for s in numeric:
             lo, hi = bounds[s.ordinal]
-            scan.add(s, "out", F.count_if((s.col < F.lit(lo)) | (s.col > F.lit(hi))))
-        for _, part in scan._plan():
+            q = sql_id(s.name)
+            scan.add(s, "out", f"count_if({q} < {sql_double(lo)} OR {q} > {sql_double(hi)})")
+        for owned, part in scan._plan():
             structs = [
-                F.struct(F.lit(s.ordinal).cast("int").alias("ordinal"), F.lit("outliers").alias("metric"),
-                         F.col(f"c{s.ordinal}__out").cast("bigint").alias("value"))
-                for s in numeric if f"c{s.ordinal}__out" in part.columns
+                f"named_struct('ordinal', {o}, 'metric', 'outliers', 'value', CAST(c{o}__out AS BIGINT))"
+                for o in owned
             ]
-            parts.append(part.select(F.inline(F.array(*structs))))
+            parts.append(part.selectExpr(f"inline(array({', '.join(structs)}))"))
     for s in gated:
         parts.append(
             df.select(s.col.alias("k")).where(F.col("k").isNotNull()).distinct()
