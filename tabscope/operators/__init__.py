@@ -1,0 +1 @@
+"""DataFrame-to-DataFrame profile operators."""

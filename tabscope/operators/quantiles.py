@@ -55,10 +55,12 @@ def ranked_values(vc: DataFrame, partitions: int | None = None) -> DataFrame:
             carry.update(pdf.groupby("ordinal", sort=False)["lcum"].last().to_dict())
             yield pdf[["ordinal", "v", "cnt", "pid", "lcum"]]
 
-    spark = vc.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without an explicit count AQE may merge neighbouring ranges; partition ids
+    # stay in value order and are fixed by the checkpoint below.
+    ranged = vc.repartitionByRange(partitions, "ordinal", "v") if partitions else vc.repartitionByRange(
+        "ordinal", "v")
     local = (
-        vc.repartitionByRange(n, "ordinal", "v")
+        ranged
         .sortWithinPartitions("ordinal", "v")
         .mapInPandas(running_counts, _RANKED)
     )

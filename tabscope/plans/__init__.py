@@ -1,0 +1 @@
+"""Whole-table and batch plans built from the operators."""

@@ -1,0 +1 @@
+"""Sources (readers, sibling discovery) and the report store."""

@@ -1,0 +1,5 @@
+"""Streaming.
+
+The profiled behaviour has no streaming operator, window, watermark or state:
+profiles are computed over bounded tables.  Nothing is built here; see README.
+"""
