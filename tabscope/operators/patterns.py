@@ -73,9 +73,16 @@ def pattern_scores_from(scan: FusedScan, opts: ProfileOptions, source_table: str
 def pattern_scores(df: DataFrame, opts: ProfileOptions | None = None, source_table: str = "table") -> DataFrame:
     """(source_table, ordinal, column, pattern, layer, priority, non_null_count, match_count, match_ratio)."""
     opts = opts or ProfileOptions()
-    scan = FusedScan(df, column_specs(df.schema, opts.extended_types), opts.max_fields_per_pass)
-    add_pattern_aggs(scan, opts)
-    return pattern_scores_from(scan, opts, source_table)
+    from ..plans.lineage import spread_out
+
+    work, spread = spread_out(df, opts.spread_below)
+    try:
+        scan = FusedScan(work, column_specs(work.schema, opts.extended_types), opts.max_fields_per_pass)
+        add_pattern_aggs(scan, opts)
+        return pattern_scores_from(scan.materialize(), opts, source_table)
+    finally:
+        if spread:
+            work.unpersist()
 
 
 def _name_hints(column: Column) -> Column:

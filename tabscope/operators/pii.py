@@ -72,9 +72,16 @@ def pii_scores_from(scan: FusedScan, opts: ProfileOptions, source_table: str) ->
 def pii_scores(df: DataFrame, opts: ProfileOptions | None = None, source_table: str = "table") -> DataFrame:
     """(source_table, ordinal, column, pii_type, priority, non_null_count, match_count, confidence)."""
     opts = opts or ProfileOptions()
-    scan = FusedScan(df, column_specs(df.schema, opts.extended_types), opts.max_fields_per_pass)
-    add_pii_aggs(scan, opts)
-    return pii_scores_from(scan, opts, source_table)
+    from ..plans.lineage import spread_out
+
+    work, spread = spread_out(df, opts.spread_below)
+    try:
+        scan = FusedScan(work, column_specs(work.schema, opts.extended_types), opts.max_fields_per_pass)
+        add_pii_aggs(scan, opts)
+        return pii_scores_from(scan.materialize(), opts, source_table)
+    finally:
+        if spread:
+            work.unpersist()
 
 
 def pii_findings(scores: DataFrame) -> DataFrame:

@@ -100,20 +100,41 @@ def stats_long(scan: FusedScan) -> DataFrame:
 
 
 def exact_distinct(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
-    """(ordinal, distinct_exact) - one hash-partitioned distinct per column, one job."""
-    parts = [
-        df.select(s.col.alias("k"))
-        .where(F.col("k").isNotNull())
-        .distinct()
-        .agg(F.count(F.lit(1)).alias("distinct_exact"))
-        .select(F.lit(s.ordinal).cast("int").alias("ordinal"), "distinct_exact")
-        for s in specs
-    ]
+    """(ordinal, distinct_exact).  Columns of the same type share one shuffle:
+    (ordinal, value) rows are grouped (the partial aggregate drops repeats map-side),
+    then the groups are counted per ordinal."""
+    by_type: dict[str, list[ColumnSpec]] = {}
+    for s in specs:
+        by_type.setdefault(s.dtype.simpleString(), []).append(s)
+    parts = []
+    for group in by_type.values():
+        u = reduce(lambda a, b: a.unionByName(b), [
+            df.select(F.lit(s.ordinal).cast("int").alias("ordinal"), s.col.alias("k")) for s in group])
+        parts.append(
+            u.where(F.col("k").isNotNull()).distinct()
+            .groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_exact"))
+        )
     if not parts:
         return df.sparkSession.createDataFrame([], "ordinal int, distinct_exact bigint")
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+_EXACT_IN_DOUBLE = 2 ** 53
+
+
+def _double_injective(s: ColumnSpec, lo, hi) -> bool:
+    """Does the cast to double keep distinct values distinct for this column?"""
+    from pyspark.sql import types as T
+
+    if s.double_is_exact:
+        return True
+    if isinstance(s.dtype, T.LongType):
+        return lo is not None and hi is not None and max(abs(lo), abs(hi)) <= _EXACT_IN_DOUBLE
+    if isinstance(s.dtype, T.DecimalType):
+        return s.dtype.precision <= 15
+    return False
+
+
 def key_gate_one(n: int, nulls, est, opts: ProfileOptions) -> bool:
     """Is a column worth an exact distinct count (no nulls, estimate near the rows)?"""
     if not n or (nulls or 0) != 0 or est is None:
@@ -146,12 +167,9 @@ def second_pass(df: DataFrame, bounds: dict[int, tuple[float, float]], gated: li
                 for o in owned
             ]
             parts.append(part.selectExpr(f"inline(array({', '.join(structs)}))"))
-    for s in gated:
-        parts.append(
-            df.select(s.col.alias("k")).where(F.col("k").isNotNull()).distinct()
-            .agg(F.count(F.lit(1)).alias("value"))
-            .select(F.lit(s.ordinal).cast("int").alias("ordinal"), F.lit("distinct").alias("metric"), "value")
-        )
+    if gated:
+        parts.append(exact_distinct(df, gated).select(
+            "ordinal", F.lit("distinct").alias("metric"), F.col("distinct_exact").alias("value")))
     out: dict[int, dict[str, int]] = {}
     if parts:
         for r in reduce(lambda a, b: a.unionByName(b), parts).collect():
@@ -159,12 +177,14 @@ def second_pass(df: DataFrame, bounds: dict[int, tuple[float, float]], gated: li
     return out
 
 
-def _exact_extras(df: DataFrame, specs: list[ColumnSpec], opts: ProfileOptions) -> dict[int, dict]:
+def _exact_extras(df: DataFrame, specs: list[ColumnSpec], opts: ProfileOptions,
+                  scan: FusedScan | None = None) -> dict[int, dict]:
     """Exact distinct counts, discrete quartiles and outlier counts: one
     checkpointed ranking of numeric values plus one job for everything else.
     Returns {ordinal: {"dexact": d, "q1": .., "q3": .., "outl": n}}."""
     numeric = [s for s in specs if s.is_numeric]
-    via_values = {s.ordinal for s in numeric if s.double_is_exact}
+    via_values = {s.ordinal for s in numeric if _double_injective(
+        s, scan.get(s, "min") if scan else None, scan.get(s, "max") if scan else None)}
     parts = [
         d.select("ordinal", F.lit("dexact").alias("metric"), F.col("distinct_exact").cast("double").alias("x"))
         for d in [exact_distinct(df, [s for s in specs if s.distinct_capable and s.ordinal not in via_values])]
@@ -189,6 +209,12 @@ def _exact_extras(df: DataFrame, specs: list[ColumnSpec], opts: ProfileOptions)
     return out
 
 
+def _new_scan(df: DataFrame, opts: ProfileOptions) -> FusedScan:
+    scan = FusedScan(df, column_specs(df.schema, opts.extended_types), opts.max_fields_per_pass)
+    add_stats_aggs(scan, opts)
+    return scan
+
+
 def column_profile(
     df: DataFrame,
     opts: ProfileOptions | None = None,
@@ -207,16 +233,23 @@ def column_profile(
     costs nothing to read again.
     """
     opts = opts or ProfileOptions()
-    specs = column_specs(df.schema, opts.extended_types)
     if scan is None:
-        scan = FusedScan(df, specs, opts.max_fields_per_pass)
-        add_stats_aggs(scan, opts)
+        from ..plans.lineage import spread_out
+
+        work, spread = spread_out(df, opts.spread_below)
+        try:
+            return column_profile(work, opts, source_table, row_count, sampled,
+                                  _new_scan(work, opts))
+        finally:
+            if spread:
+                work.unpersist()
+    specs = column_specs(df.schema, opts.extended_types)
     scan = scan.materialize()
     numeric = [s for s in specs if s.is_numeric]
     n = scan.values.get("_rows") or 0
     extras: dict[tuple[ColumnSpec, str], object] = {}
     if n > 0 and opts.exact:
-        got = _exact_extras(df, specs, opts)
+        got = _exact_extras(df, specs, opts, scan)
         for s in specs:
             g = got.get(s.ordinal, {})
             if s.distinct_capable:

@@ -26,6 +26,7 @@ from ..functions.patterns_fixed import (
 )
 from ..operators import interpret, patterns, pii, relations, stats, summary
 from ..operators.scan import FusedScan
+from .lineage import spread_out
 from ..options import ProfileOptions
 
 _META = (
@@ -48,18 +49,6 @@ def sampling_guard(df: DataFrame, row_count: int, above: int = SAMPLE_ABOVE_ROWS
     return df, False
 
 
-def spread_out(df: DataFrame, below: float = 0.5) -> tuple[DataFrame, bool]:
-    """A table stored in a few large splits (e.g. one row group) would be scanned
-    by a few tasks.  If it has fewer partitions than ``below`` x the default
-    parallelism, spread it round-robin over all cores and keep it for the passes
-    of the profile.  Tables with many partitions (every large table) pass
-    through untouched, so nothing big is ever re-shuffled or cached here."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if below <= 0 or df.rdd.getNumPartitions() >= target * below:
-        return df, False
-    return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK), True
-
-
 @dataclass
 class TableProfile:
     source_table: str
@@ -119,9 +108,13 @@ def profile_table(df: DataFrame, table: str, opts: ProfileOptions | None = None,
     row_count = df.count()
     lap("count")
     work, sampled = sampling_guard(df, row_count) if sample else (df, False)
+    cached = []
     if sampled:
         work = work.persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(work)
     work, spread = spread_out(work, opts.spread_below)
+    if spread:
+        cached.append(work)
     try:
         specs = column_specs(work.schema, opts.extended_types)
         scan = FusedScan(work, specs, opts.max_fields_per_pass)
@@ -152,8 +145,8 @@ def profile_table(df: DataFrame, table: str, opts: ProfileOptions | None = None,
         ptf = patterns.pattern_findings(pts, prof)
         profiled = scan.values.get("_rows") if scan is not None else None
     finally:
-        if sampled or spread:
-            work.unpersist()
+        for c in cached:
+            c.unpersist()
     return TableProfile(
         table, display_name or table, source_system, row_count,
         profiled if profiled is not None else (0 if row_count == 0 else None),
