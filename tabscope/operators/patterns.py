@@ -103,13 +103,9 @@ def pattern_findings(scores: DataFrame, profile: DataFrame) -> DataFrame:
     ``profile`` supplies per column profiled_rows, non_null_count and
     cardinality_est (an estimate, or exact in exact mode)."""
     keys = ["source_table", "ordinal", "column"]
-    matched = (
-        scores.where(F.col("match_ratio") > PATTERN_MIN_RATIO)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("priority", "pattern"))).alias("_m"))
-        .select(*keys, F.transform("_m", lambda x: x["pattern"]).alias("patterns"))
-    )
-    strings = scores.select(*keys).distinct()
+    hit = F.when(F.col("match_ratio") > PATTERN_MIN_RATIO, F.struct("priority", "pattern"))
+    matched = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("_m")).select(
+        *keys, F.transform("_m", lambda x: x["pattern"]).alias("patterns"))
     p = profile.select(*keys, "profiled_rows", "non_null_count", "cardinality_est")
     rows, nn, dist = F.col("profiled_rows"), F.col("non_null_count"), F.col("cardinality_est")
     uniq = F.coalesce(ratio(dist, rows), F.lit(0.0))
@@ -120,8 +116,7 @@ def pattern_findings(scores: DataFrame, profile: DataFrame) -> DataFrame:
     )
     heur = F.concat(_name_hints(F.col("column")), F.filter(F.array(data_hint), lambda x: x.isNotNull()))
     return (
-        strings.join(p, keys)
-        .join(matched, keys, "left")
+        matched.join(p, keys)
         .where(nn > 0)
         .select(
             *keys,

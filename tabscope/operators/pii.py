@@ -85,24 +85,20 @@ def pii_scores(df: DataFrame, opts: ProfileOptions | None = None, source_table:
 
 
 def pii_findings(scores: DataFrame) -> DataFrame:
-    """(source_table, ordinal, column, is_pii, pii_type, confidence) for personal columns."""
+    """(source_table, ordinal, column, is_pii, pii_type, confidence) for personal columns.
+
+    One grouping over the scores: ``max_by`` keeps the type with the highest
+    confidence above the threshold, ties to the lower priority (earlier type)."""
     keys = ["source_table", "ordinal", "column"]
-    best = Window.partitionBy(*keys).orderBy(F.desc("confidence"), F.asc("priority"))
-    winners = (
-        scores.where(F.col("confidence") > PII_MIN_CONFIDENCE)
-        .withColumn("_rank", F.row_number().over(best))
-        .where(F.col("_rank") == 1)
-        .select(*keys, F.col("pii_type").alias("_type"), F.col("confidence").alias("_conf"))
-    )
-    cols = scores.select(*keys).distinct()
+    above = F.col("confidence") > PII_MIN_CONFIDENCE
+    order = F.when(above, F.struct(F.col("confidence"), (-F.col("priority")).alias("p")))
+    best = scores.groupBy(*keys).agg(
+        F.max_by(F.struct("pii_type", "confidence"), order).alias("_best"))
     by_name = F.lower(F.col("column")).rlike(PERSON_NAME_REGEX)
-    return (
-        cols.join(winners, keys, "left")
-        .select(
-            *keys,
-            (F.col("_type").isNotNull() | by_name).alias("is_pii"),
-            F.coalesce(F.col("_type"), F.when(by_name, F.lit(PERSON_NAME_TYPE))).alias("pii_type"),
-            F.coalesce(F.col("_conf"), F.when(by_name, F.lit(PERSON_NAME_CONFIDENCE))).alias("confidence"),
-        )
-        .where("is_pii")
-    )
+    found = F.col("_best").isNotNull()
+    return best.select(
+        *keys,
+        (found | by_name).alias("is_pii"),
+        F.when(found, F.col("_best.pii_type")).when(by_name, F.lit(PERSON_NAME_TYPE)).alias("pii_type"),
+        F.when(found, F.col("_best.confidence")).when(by_name, F.lit(PERSON_NAME_CONFIDENCE)).alias("confidence"),
+    ).where("is_pii")

@@ -175,7 +175,14 @@ def _meta(spark: SparkSession, tables: list[TableProfile], fk_error: str | None)
 
 def build_report(meta: DataFrame, profile: DataFrame, pii_findings: DataFrame,
                  pattern_findings: DataFrame, fk: DataFrame, names: dict[str, str]) -> DataFrame:
-    """One nested report row per table."""
+    """One nested report row per table.
+
+    All inputs hold one row per column, finding or key pair - their size is set
+    by the schemas - so they are gathered into one partition first; otherwise
+    every small groupBy and join below would fan out into many tiny tasks."""
+    meta, profile, pii_findings, pattern_findings, fk = (
+        d.coalesce(1) for d in (meta, profile, pii_findings, pattern_findings, fk))
+
     def nested(df: DataFrame, name: str, *cols) -> DataFrame:
         return df.groupBy("source_table").agg(
             F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
@@ -244,8 +251,11 @@ def profile_tables(frames: dict[str, DataFrame], opts: ProfileOptions | None = N
     batch = BatchProfile(done, fk, None)
     meta = _meta(spark, done, fk_error)
     shown = {t.source_table: t.display_name for t in done}
-    batch.report = local(build_report(meta, batch.union("profile"), batch.union("pii_findings"),
-                                      batch.union("pattern_findings"), fk, shown))
+    # findings once over all tables (small inputs, one partition) rather than per table
+    profile = batch.union("profile").coalesce(1)
+    pf = pii.pii_findings(batch.union("pii_scores").coalesce(1))
+    ptf = patterns.pattern_findings(batch.union("pattern_scores").coalesce(1), profile)
+    batch.report = local(build_report(meta, profile, pf, ptf, fk, shown))
     return batch
 
 
@@ -261,6 +271,7 @@ def batch_summary(reports: DataFrame) -> DataFrame:
 
 def summarize(batch: BatchProfile) -> DataFrame:
     """Interest scores and the top-columns cut for every profiled table."""
-    scores = summary.column_scores(batch.union("profile"), batch.union("pii_findings"),
-                                   batch.union("pattern_findings"))
+    profile = batch.union("profile").coalesce(1)
+    scores = summary.column_scores(profile, pii.pii_findings(batch.union("pii_scores").coalesce(1)),
+                                   patterns.pattern_findings(batch.union("pattern_scores").coalesce(1), profile))
     return summary.top_columns(scores)
