@@ -1,7 +1,9 @@
 """Deterministic interpretation of a profile (no model call).
 
 Per table: a display name, up to three business-key candidates, up to ten
-PII lines and the data-quality flags of the leading columns.
+PII lines and the data-quality flags of the leading columns.  The pieces are
+aggregate expressions over a per-column frame so that a report needs a single
+grouping per table.
 """
 from __future__ import annotations
 
@@ -15,88 +17,98 @@ from ..functions.patterns_fixed import (
 )
 
 BK_TYPE = "array<struct<column:string,confidence:double,reasoning:string>>"
+_KEYS = ["source_table", "ordinal", "column"]
+
+
+def with_dq_flags(per_col: DataFrame) -> DataFrame:
+    """Add ``_dq``: the column's flags (high null rate, outliers), kept only while
+    fewer than ten flags precede the column in table order - so a table may end
+    with eleven, as in the behaviour we match."""
+    null_flag = F.when(
+        F.col("null_pct") >= DQ_NULL_PCT,
+        F.format_string("%s has high null rate (%.0f%%).", F.col("column"),
+                        F.bround(F.col("null_pct") * 100.0, 0)),
+    )
+    out_flag = F.when(F.col("has_outliers"),
+                      F.format_string("%s shows outliers (IQR heuristic).", F.col("column")))
+    flags = F.filter(F.array(null_flag, out_flag), lambda x: x.isNotNull())
+    before = Window.partitionBy("source_table").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    return per_col.withColumn("_flags", flags).withColumn(
+        "_dq", F.when(F.coalesce(F.sum(F.size("_flags")).over(before), F.lit(0)) < DQ_FLAG_LIMIT, F.col("_flags"))
+    ).drop("_flags")
+
+
+def interpretation_aggs() -> list[Column]:
+    """Aggregates over the per-column frame (columns ``_pi`` and ``_dq`` included)."""
+    item = F.struct("ordinal", "column")
+    line = F.format_string(
+        "%s: detected %s (confidence %.2f).",
+        F.col("_pi.column"), F.coalesce(F.col("_pi.pii_type"), F.lit("PII")), F.bround(F.col("_pi.confidence"), 2),
+    )
+    return [
+        F.array_sort(F.collect_list(F.when(F.col("is_pk_candidate"), item))).alias("_pk"),
+        F.array_sort(F.collect_list(F.when(F.lower("column").contains("id"), item))).alias("_id"),
+        F.array_sort(F.collect_list(F.when(F.col("_pi").isNotNull(), F.struct(
+            F.col("ordinal"), line.alias("line"))))).alias("_pil"),
+        F.array_sort(F.collect_list(F.when(F.col("_dq").isNotNull(), F.struct("ordinal", "_dq")))).alias("_dql"),
+    ]
 
 
 def _entity(names: dict[str, str]) -> Column:
-    """Display names are computed on the driver from the table names (metadata)."""
+    """Display names are computed on the driver from table names (metadata)."""
+    fallback = F.initcap(F.translate(F.col("source_table"), "_", " "))
     if not names:
-        return F.lit(None).cast("string")
+        return fallback
     pairs = []
     for table, shown in names.items():
         pairs += [F.lit(table), F.lit(entity_name(shown))]
-    return F.create_map(*pairs)[F.col("source_table")]
+    return F.coalesce(F.create_map(*pairs)[F.col("source_table")], fallback)
 
 
-def bk_candidates(profile: DataFrame) -> DataFrame:
-    """(source_table, bk_candidates): first key candidates, else first id-like columns."""
-    item = F.struct("ordinal", "column")
-    g = profile.groupBy("source_table").agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_pk_candidate"), item))).alias("_pk"),
-        F.array_sort(F.collect_list(F.when(F.lower("column").contains("id"), item))).alias("_id"),
+def interpretation_struct(names: dict[str, str] | None = None) -> Column:
+    chosen = F.when(F.size(F.coalesce("_pk", F.array())) > 0, F.col("_pk")).otherwise(F.col("_id"))
+    bk = F.transform(
+        F.slice(chosen, 1, BK_LIMIT),
+        lambda x: F.struct(x["column"].alias("column"), F.lit(BK_CONFIDENCE).alias("confidence"),
+                           F.lit(BK_REASONING).alias("reasoning")),
     )
-    chosen = F.when(F.size("_pk") > 0, F.col("_pk")).otherwise(F.col("_id"))
-    return g.select(
-        "source_table",
-        F.transform(
-            F.slice(chosen, 1, BK_LIMIT),
-            lambda x: F.struct(
-                x["column"].alias("column"),
-                F.lit(BK_CONFIDENCE).alias("confidence"),
-                F.lit(BK_REASONING).alias("reasoning"),
-            ),
-        ).alias("bk_candidates"),
+    pii = F.transform(F.slice("_pil", 1, PII_SUMMARY_LIMIT), lambda x: x["line"])
+    dq = F.flatten(F.transform("_dql", lambda x: x["_dq"]))
+    return F.struct(
+        _entity(names or {}).alias("suggested_entity_name"),
+        F.coalesce(bk, F.array().cast(BK_TYPE)).alias("bk_candidates"),
+        F.coalesce(pii, F.array().cast("array<string>")).alias("pii_summary"),
+        F.coalesce(dq, F.array().cast("array<string>")).alias("dq_flags"),
+        F.lit(INTERPRETATION_CONFIDENCE).alias("confidence"),
     )
 
 
-def pii_summary(pii_findings: DataFrame) -> DataFrame:
-    """(source_table, pii_summary): ``col: detected TYPE (confidence 0.00).`` for the first ten."""
-    line = F.format_string(
-        "%s: detected %s (confidence %.2f).",
-        F.col("column"), F.coalesce(F.col("pii_type"), F.lit("PII")), F.bround(F.col("confidence"), 2),
-    )
-    g = pii_findings.groupBy("source_table").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("_l"))
-    return g.select("source_table", F.transform(F.slice("_l", 1, PII_SUMMARY_LIMIT), lambda x: x["line"]).alias(
-        "pii_summary"))
+def _pi_struct(pii_findings: DataFrame) -> DataFrame:
+    return pii_findings.select(*_KEYS, F.struct("ordinal", "column", "is_pii", "pii_type", "confidence").alias("_pi"))
+
+
+def bk_candidates(profile: DataFrame) -> DataFrame:
+    """(source_table, bk_candidates): first key candidates, else first id-like columns."""
+    g = profile.groupBy("source_table").agg(*interpretation_aggs()[:2])
+    chosen = F.when(F.size("_pk") > 0, F.col("_pk")).otherwise(F.col("_id"))
+    return g.select("source_table", F.transform(
+        F.slice(chosen, 1, BK_LIMIT),
+        lambda x: F.struct(x["column"].alias("column"), F.lit(BK_CONFIDENCE).alias("confidence"),
+                           F.lit(BK_REASONING).alias("reasoning")),
+    ).alias("bk_candidates"))
 
 
 def dq_flags(profile: DataFrame) -> DataFrame:
-    """(source_table, dq_flags): per column in table order, a high-null flag and an
-    outlier flag; columns are taken while fewer than ten flags precede them."""
-    null_flag = F.when(
-        F.col("null_pct") >= DQ_NULL_PCT,
-        F.format_string("%s has high null rate (%.0f%%).", F.col("column"),
-                        F.bround(F.col("null_pct") * 100.0, 0)),
-    )
-    out_flag = F.when(F.col("has_outliers"), F.format_string("%s shows outliers (IQR heuristic).", F.col("column")))
-    flags = F.filter(F.array(null_flag, out_flag), lambda x: x.isNotNull())
-    before = Window.partitionBy("source_table").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    per_col = profile.select("source_table", "ordinal", flags.alias("_f")).withColumn(
-        "_before", F.coalesce(F.sum(F.size("_f")).over(before), F.lit(0)))
-    g = per_col.where(F.col("_before") < DQ_FLAG_LIMIT).groupBy("source_table").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "_f"))).alias("_l"))
-    return g.select("source_table", F.flatten(F.transform("_l", lambda x: x["_f"])).alias("dq_flags"))
+    """(source_table, dq_flags) for every profiled table."""
+    g = with_dq_flags(profile).groupBy("source_table").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_dq").isNotNull(), F.struct("ordinal", "_dq")))).alias("_dql"))
+    return g.select("source_table", F.flatten(F.transform("_dql", lambda x: x["_dq"])).alias("dq_flags"))
 
 
 def interpretation(tables: DataFrame, profile: DataFrame, pii_findings: DataFrame,
                    display_names: dict[str, str] | None = None) -> DataFrame:
     """(source_table, interpretation struct) for every table in ``tables`` (source_table column)."""
-    names = display_names or {}
-    t = tables.select("source_table")
-    j = (
-        t.join(bk_candidates(profile), "source_table", "left")
-        .join(pii_summary(pii_findings), "source_table", "left")
-        .join(dq_flags(profile), "source_table", "left")
-    )
-    fallback = F.initcap(F.translate(F.col("source_table"), "_", " "))
-    shown = F.coalesce(_entity(names), fallback) if names else fallback
-    return j.select(
-        "source_table",
-        F.struct(
-            shown.alias("suggested_entity_name"),
-            F.coalesce(F.col("bk_candidates"), F.array().cast(BK_TYPE)).alias("bk_candidates"),
-            F.coalesce(F.col("pii_summary"), F.array().cast("array<string>")).alias("pii_summary"),
-            F.coalesce(F.col("dq_flags"), F.array().cast("array<string>")).alias("dq_flags"),
-            F.lit(INTERPRETATION_CONFIDENCE).alias("confidence"),
-        ).alias("interpretation"),
-    )
+    per_col = with_dq_flags(profile.join(_pi_struct(pii_findings), _KEYS, "left"))
+    g = per_col.groupBy("source_table").agg(*interpretation_aggs())
+    return tables.select("source_table").join(g, "source_table", "left").select(
+        "source_table", interpretation_struct(display_names).alias("interpretation"))

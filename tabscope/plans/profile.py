@@ -178,28 +178,30 @@ def build_report(meta: DataFrame, profile: DataFrame, pii_findings: DataFrame,
     """One nested report row per table.
 
     All inputs hold one row per column, finding or key pair - their size is set
-    by the schemas - so they are gathered into one partition first; otherwise
-    every small groupBy and join below would fan out into many tiny tasks."""
+    by the schemas - so they are gathered into one partition, joined per column,
+    and folded into the report with a single grouping per table."""
+    keys = ["source_table", "ordinal", "column"]
     meta, profile, pii_findings, pattern_findings, fk = (
         d.coalesce(1) for d in (meta, profile, pii_findings, pattern_findings, fk))
-
-    def nested(df: DataFrame, name: str, *cols) -> DataFrame:
-        return df.groupBy("source_table").agg(
-            F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-
-    columns = nested(profile, "columns", "ordinal", F.col("column").alias("name"), "spark_type",
-                     "nullable", "is_pk_candidate", "uniqueness_ratio")
-    st = nested(profile, "stats", "ordinal", "column", "null_pct", "cardinality_est", "min_num", "max_num",
-                "min_str", "max_str", "mean_val", "stddev_val", "q1", "q3", "outlier_count", "has_outliers")
-    pi = nested(pii_findings, "pii_info", "ordinal", "column", "is_pii", "pii_type", "confidence")
-    pt = nested(pattern_findings, "detected_patterns", "ordinal", "column", "patterns", "heuristics",
-                "uniqueness_score")
+    pi = pii_findings.select(*keys, F.struct("ordinal", "column", "is_pii", "pii_type", "confidence").alias("_pi"))
+    pt = pattern_findings.select(*keys, F.struct("ordinal", "column", "patterns", "heuristics",
+                                                 "uniqueness_score").alias("_pt"))
+    per_col = profile.join(pi, keys, "left").join(pt, keys, "left")
+    per_col = interpret.with_dq_flags(per_col)
+    grouped = per_col.groupBy("source_table").agg(
+        F.array_sort(F.collect_list(F.struct(
+            "ordinal", F.col("column").alias("name"), "spark_type", "nullable", "is_pk_candidate",
+            "uniqueness_ratio"))).alias("columns"),
+        F.array_sort(F.collect_list(F.struct(
+            "ordinal", "column", "null_pct", "cardinality_est", "min_num", "max_num", "min_str", "max_str",
+            "mean_val", "stddev_val", "q1", "q3", "outlier_count", "has_outliers"))).alias("stats"),
+        F.array_sort(F.collect_list("_pi")).alias("pii_info"),
+        F.array_sort(F.collect_list("_pt")).alias("detected_patterns"),
+        *interpret.interpretation_aggs(),
+    )
     fh = fk.groupBy("source_table").agg(F.array_sort(F.collect_list(F.struct(
         "source_col", "target_table", "target_col", "match_ratio"))).alias("fk_hints"))
-    interp = interpret.interpretation(meta, profile, pii_findings, names)
-    j = meta
-    for part in (columns, st, pi, pt, fh, interp):
-        j = j.join(part, "source_table", "left")
+    j = meta.join(grouped, "source_table", "left").join(fh, "source_table", "left")
 
     def arr(c):
         return F.coalesce(F.col(c), F.array().cast(j.schema[c].dataType))
@@ -208,7 +210,8 @@ def build_report(meta: DataFrame, profile: DataFrame, pii_findings: DataFrame,
         "report_id", "source_table", "source_system", "profiled_at", "row_count", "profiled_rows",
         arr("columns").alias("columns"), arr("stats").alias("stats"), arr("pii_info").alias("pii_info"),
         arr("detected_patterns").alias("detected_patterns"), arr("fk_hints").alias("fk_hints"),
-        "interpretation", "errors", F.lit(REPORT_SCHEMA_VERSION).alias("schema_version"),
+        interpret.interpretation_struct(names).alias("interpretation"),
+        "errors", F.lit(REPORT_SCHEMA_VERSION).alias("schema_version"),
     )
 
 
