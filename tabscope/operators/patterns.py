@@ -47,13 +47,8 @@ def pattern_long(scan: FusedScan, opts: ProfileOptions) -> DataFrame:
     pats = all_patterns(opts.custom_patterns)
 
     def build(s):
-        return [
-            f"named_struct('ordinal', {s.ordinal}, 'column', {sql_str(s.name)}, 'pattern', {sql_str(name)}, "
-            f"'layer', {sql_str(layer)}, 'priority', {j}, "
-            f"'non_null_count', CAST({scan.value(s, 'nn')} AS BIGINT), "
-            f"'match_count', CAST({scan.value(s, f'pat{j}')} AS BIGINT), 'profiled_rows', CAST({ROWS} AS BIGINT))"
-            for j, (name, _, layer) in enumerate(pats)
-        ]
+        return [(s.ordinal, s.name, name, layer, j, scan.get(s, "nn"), scan.get(s, f"pat{j}"), scan.rows)
+                for j, (name, _, layer) in enumerate(pats)]
 
     return scan.long([s for s in scan.specs if s.is_string], build, PATTERN_LONG)
 

@@ -47,12 +47,8 @@ def pii_long(scan: FusedScan, opts: ProfileOptions) -> DataFrame:
     names = pii_types(opts)
 
     def build(s):
-        return [
-            f"named_struct('ordinal', {s.ordinal}, 'column', {sql_str(s.name)}, 'pii_type', {sql_str(name)}, "
-            f"'priority', {j}, 'non_null_count', CAST({scan.value(s, 'nn')} AS BIGINT), "
-            f"'match_count', CAST({scan.value(s, key)} AS BIGINT), 'profiled_rows', CAST({ROWS} AS BIGINT))"
-            for j, (name, key) in enumerate(zip(names, keys))
-        ]
+        return [(s.ordinal, s.name, name, j, scan.get(s, "nn"), scan.get(s, key), scan.rows)
+                for j, (name, key) in enumerate(zip(names, keys))]
 
     return scan.long([s for s in scan.specs if s.is_string], build, PII_LONG)
 

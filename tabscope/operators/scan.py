@@ -44,6 +44,7 @@ class FusedScan:
         # ordinal -> key -> (SQL expression, kind, buffer fields)
         self._exprs: dict[int, dict[str, tuple[str, str, int]]] = {s.ordinal: {} for s in self.specs}
         self._chunks: list[tuple[dict[int, list[str]], DataFrame]] | None = None
+        self.values: dict | None = None
 
     def add(self, spec: ColumnSpec, key: str, expr: str, kind: str = PLAIN, fields: int = 1) -> None:
         """Register an aggregate, written as SQL text over the table's columns."""
@@ -93,7 +94,7 @@ class FusedScan:
         """Run the passes now (one job: the union of the one-row chunk aggregates)
         and keep the merged result row.  Its size depends on the schema, not on
         the data, so later operators re-read nothing."""
-        if getattr(self, "_row", None) is not None:
+        if getattr(self, "values", None) is not None:
             return self
         spark = self.df.sparkSession
         plans = self._plan()
@@ -114,56 +115,47 @@ class FusedScan:
                 seen.add(f.name)
                 merged_fields.append(f)
                 merged_values.append(row[f.name])
-        from pyspark.sql.types import StructType
-
         out = FusedScan(self.df, self.specs, self.max_fields)
         out._exprs = self._exprs
         out._chunks = plans
-        out._row = spark.createDataFrame([merged_values], StructType(merged_fields))
         out.values = dict(zip([f.name for f in merged_fields], merged_values))
         return out
 
-    def with_values(self, extra: dict[tuple[ColumnSpec, str], object], types: dict[str, str]) -> "FusedScan":
-        """Add per-column results computed elsewhere (``types``: key -> SQL type)
-        to the result row, so long forms read everything from one row."""
-        from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
+    def with_values(self, extra: dict[tuple[ColumnSpec, str], object]) -> "FusedScan":
+        """Add per-column results computed elsewhere (pass 2) to the merged values."""
         base = self.materialize()
-        fields = list(base._row.schema.fields)
-        values = [base.values[f.name] for f in fields]
-        for (spec, key), v in extra.items():
-            fields.append(StructField(alias(spec, key), _parse_datatype_string(types[key]), True))
-            values.append(v)
         out = FusedScan(self.df, self.specs, self.max_fields)
         out._exprs = {o: dict(d) for o, d in self._exprs.items()}
         for (spec, key) in extra:
             out._exprs[spec.ordinal][key] = ("NULL", "extra", 0)
         out._chunks = base._chunks
-        out._row = self.df.sparkSession.createDataFrame([values], StructType(fields))
-        out.values = dict(zip([f.name for f in fields], values))
+        out.values = {**base.values, **{alias(spec, key): v for (spec, key), v in extra.items()}}
         return out
 
     def get(self, spec: ColumnSpec, key: str):
         """Python value of one metric after ``materialize``."""
-        return self.values.get(alias(spec, key))
+        return self.materialize().values.get(alias(spec, key))
+
+    @property
+    def rows(self) -> int:
+        return self.materialize().values.get(ROWS) or 0
 
     def row_count(self) -> Column:
         return F.col(ROWS)
 
-    def long(self, specs: Iterable[ColumnSpec], build: Callable[[ColumnSpec], str | list[str]],
+    def long(self, specs: Iterable[ColumnSpec], build: Callable[[ColumnSpec], tuple | list[tuple]],
              schema: str) -> DataFrame:
-        """Long form: for every spec in ``specs``, ``build(spec)`` gives one struct
-        (or a list of structs) read from the merged result row; all structs share a
-        type (``schema``, also used for the empty result).  Runs the passes first
-        if they have not run yet."""
-        row = self.materialize()._row
-        structs: list[str] = []
+        """Long form: for every spec in ``specs``, ``build(spec)`` gives one row (or a
+        list of rows) read from the merged pass results, already cast to their final
+        types inside the aggregates.  The rows are schema-sized (one per column or
+        per column and pattern), so they become a local relation; nothing is compiled
+        or scanned again for them.  Runs the passes first if needed."""
+        self.materialize()
+        rows: list[tuple] = []
         for s in specs:
             b = build(s)
-            structs.extend(b if isinstance(b, list) else [b])
-        if not structs:
-            return self.df.sparkSession.createDataFrame([], schema)
-        return row.selectExpr(f"inline(array({', '.join(structs)}))")
+            rows.extend(b if isinstance(b, list) else [b])
+        return self.df.sparkSession.createDataFrame(rows, schema)
 
     def value(self, spec: ColumnSpec, key: str) -> str:
         """SQL reference to a metric in the result row."""

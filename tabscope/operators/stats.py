@@ -49,54 +49,33 @@ def add_stats_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
         scan.add(s, "nn", f"count({q})")
         if not opts.exact and s.distinct_capable:
             scan.add(s, "adist", f"approx_count_distinct({q}, {sql_double(opts.rsd)})", SKETCH)
+        # results are cast to their report types inside the aggregate
         if s.minmax_kind is not None:
-            scan.add(s, "min", f"min({q})")
-            scan.add(s, "max", f"max({q})")
+            typ = "DOUBLE" if s.minmax_kind == "num" else "STRING"
+            scan.add(s, "min", f"CAST(min({q}) AS {typ})")
+            scan.add(s, "max", f"CAST(max({q}) AS {typ})")
         if s.is_numeric:
-            scan.add(s, "mean", f"avg({q})", fields=2)
-            scan.add(s, "std", f"stddev_samp({q})", fields=3)
+            scan.add(s, "mean", f"CAST(avg({q}) AS DOUBLE)", fields=2)
+            scan.add(s, "std", f"CAST(stddev_samp({q}) AS DOUBLE)", fields=3)
             if not opts.exact:
-                scan.add(s, "qa", f"percentile_approx({q}, array(0.25D, 0.75D), {opts.sketch_accuracy})", SKETCH)
+                scan.add(s, "qa", f"CAST(percentile_approx({q}, array(0.25D, 0.75D), {opts.sketch_accuracy}) "
+                                  "AS ARRAY<DOUBLE>)", SKETCH)
 
 
-def _get(scan: FusedScan, s: ColumnSpec, key: str, typ: str) -> str:
-    return f"CAST({scan.value(s, key)} AS {typ})" if scan.has(s, key) else f"CAST(NULL AS {typ})"
-
-
-def _stats_struct(scan: FusedScan, s: ColumnSpec) -> str:
+def _stats_row(scan: FusedScan, s: ColumnSpec) -> tuple:
     kind = s.minmax_kind
-    fields = [
-        ("ordinal", f"{s.ordinal}"),
-        ("column", sql_str(s.name)),
-        ("spark_type", sql_str(s.spark_type)),
-        ("type_family", sql_str(s.family)),
-        ("nullable", "true" if s.nullable else "false"),
-        ("profiled_rows", f"CAST({ROWS} AS BIGINT)"),
-        ("null_count", _get(scan, s, "nulls", "bigint")),
-        ("non_null_count", _get(scan, s, "nn", "bigint")),
-        ("cardinality_est", _get(scan, s, "adist", "bigint")),
-        ("distinct_exact", _get(scan, s, "dexact", "bigint")),
-        ("min_num", _get(scan, s, "min", "double") if kind == "num" else "CAST(NULL AS DOUBLE)"),
-        ("max_num", _get(scan, s, "max", "double") if kind == "num" else "CAST(NULL AS DOUBLE)"),
-        ("min_str", _get(scan, s, "min", "string") if kind == "str" else "CAST(NULL AS STRING)"),
-        ("max_str", _get(scan, s, "max", "string") if kind == "str" else "CAST(NULL AS STRING)"),
-        ("mean_val", _get(scan, s, "mean", "double")),
-        ("stddev_val", _get(scan, s, "std", "double")),
-        ("q1", _get(scan, s, "q1", "double")),
-        ("q3", _get(scan, s, "q3", "double")),
-        ("lower_bound", _get(scan, s, "lb", "double")),
-        ("upper_bound", _get(scan, s, "ub", "double")),
-        ("outlier_count", _get(scan, s, "outl", "bigint")),
-    ]
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields) + ")"
-
-
-_EXTRA_TYPES = {"dexact": "bigint", "q1": "double", "q3": "double", "lb": "double", "ub": "double",
-                "outl": "bigint"}
+    g = scan.get
+    return (
+        s.ordinal, s.name, s.spark_type, s.family, s.nullable, scan.rows,
+        g(s, "nulls"), g(s, "nn"), g(s, "adist"), g(s, "dexact"),
+        g(s, "min") if kind == "num" else None, g(s, "max") if kind == "num" else None,
+        g(s, "min") if kind == "str" else None, g(s, "max") if kind == "str" else None,
+        g(s, "mean"), g(s, "std"), g(s, "q1"), g(s, "q3"), g(s, "lb"), g(s, "ub"), g(s, "outl"),
+    )
 
 
 def stats_long(scan: FusedScan) -> DataFrame:
-    return scan.long(scan.specs, lambda s: _stats_struct(scan, s), STATS_LONG)
+    return scan.long(scan.specs, lambda s: _stats_row(scan, s), STATS_LONG)
 
 
 def exact_distinct(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
@@ -246,7 +225,7 @@ def column_profile(
     specs = column_specs(df.schema, opts.extended_types)
     scan = scan.materialize()
     numeric = [s for s in specs if s.is_numeric]
-    n = scan.values.get("_rows") or 0
+    n = scan.rows
     extras: dict[tuple[ColumnSpec, str], object] = {}
     if n > 0 and opts.exact:
         got = _exact_extras(df, specs, opts, scan)
@@ -276,7 +255,7 @@ def column_profile(
                 extras[(s, "dexact")] = g["distinct"]
             if s.ordinal in bounds:
                 extras[(s, "outl")] = g.get("outliers", 0)
-    scan = scan.with_values(extras, _EXTRA_TYPES)
+    scan = scan.with_values(extras)
     base = stats_long(scan)
 
     prof = F.col("profiled_rows")
