@@ -30,11 +30,11 @@ _RANKED = "ordinal int, v double, cnt long, pid int, lcum long"
 
 
 def value_counts(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
-    parts = [
-        df.select(F.lit(s.ordinal).cast("int").alias("ordinal"), s.col.cast("double").alias("v"))
-        for s in specs
-    ]
-    u = reduce(lambda a, b: a.unionByName(b), parts).where(F.col("v").isNotNull())
+    """(ordinal, v, cnt) from one scan: each row emits one (ordinal, value) pair per
+    column, and the partial aggregate folds repeats before the shuffle."""
+    pairs = [F.struct(F.lit(s.ordinal).cast("int").alias("ordinal"), s.col.cast("double").alias("v"))
+             for s in specs]
+    u = df.select(F.inline(F.array(*pairs))).where(F.col("v").isNotNull())
     return u.groupBy("ordinal", "v").agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -58,7 +58,7 @@ class FusedScan:
     def _plan(self):
         if self._chunks is None:
             groups: list[list[tuple[int, str]]] = []
-            for kind, budget in ((PLAIN, self.max_fields), (SKETCH, 8)):
+            for kind, budget in ((PLAIN, self.max_fields), (SKETCH, 32)):
                 cur, size = [], 0
                 for s in self.specs:
                     items = [(k, f) for k, (_, kd, f) in self._exprs[s.ordinal].items() if kd == kind]

@@ -79,16 +79,16 @@ def stats_long(scan: FusedScan) -> DataFrame:
 
 
 def exact_distinct(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
-    """(ordinal, distinct_exact).  Columns of the same type share one shuffle:
-    (ordinal, value) rows are grouped (the partial aggregate drops repeats map-side),
-    then the groups are counted per ordinal."""
+    """(ordinal, distinct_exact).  Columns of the same type share one scan and one
+    shuffle: each row emits (ordinal, value) per column, the partial aggregate
+    drops repeats map-side, then the groups are counted per ordinal."""
     by_type: dict[str, list[ColumnSpec]] = {}
     for s in specs:
         by_type.setdefault(s.dtype.simpleString(), []).append(s)
     parts = []
     for group in by_type.values():
-        u = reduce(lambda a, b: a.unionByName(b), [
-            df.select(F.lit(s.ordinal).cast("int").alias("ordinal"), s.col.alias("k")) for s in group])
+        u = df.select(F.inline(F.array(*[
+            F.struct(F.lit(s.ordinal).cast("int").alias("ordinal"), s.col.alias("k")) for s in group])))
         parts.append(
             u.where(F.col("k").isNotNull()).distinct()
             .groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_exact"))
