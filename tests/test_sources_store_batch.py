@@ -103,3 +103,14 @@ def test_sampling_guard(spark):
     assert s.count() == sampling_guard(df, 1000, above=100, target=100, seed=3)[0].count()
     p = ts.column_profile(s, row_count=1000, sampled=True).first()
     assert p["row_count"] == 1000 and p["profiled_rows"] < 1000 and p["is_pk_candidate"] is False
+
+
+def test_report_store_catalog_table(spark):
+    frames = {"region": spark.read.parquet(f"{SF_SMALL}/region.parquet")}
+    batch = ts.profile_tables(frames)
+    spark.sql("CREATE DATABASE IF NOT EXISTS profiling")
+    ts.write_reports(batch.report, table="profiling.reports", fmt="parquet")
+    rid = batch.report.first()["report_id"]
+    doc = ts.get_report(spark, rid, table="profiling.reports")
+    assert doc["source_table"] == "region" and doc["columns"][0]["name"] == "r_regionkey"
+    assert set(spark.table("profiling.reports").columns) >= {"report_id", "report_json", "profiled_date"}
