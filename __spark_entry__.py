@@ -230,9 +230,9 @@ INTERP_TABLES = ["customer", "orders", "lineitem", "events", "documents", "label
 def _q_interpretation(spark, sf_dir):
     profs, pfs = [], []
     for t in INTERP_TABLES:
-        prof, pf, _ = _scores(spark, sf_dir, t)
-        profs.append(prof)
-        pfs.append(pf)
+        df = _load(spark, sf_dir, t)
+        profs.append(_profile(spark, sf_dir, t))
+        pfs.append(pii.pii_findings(pii.pii_scores(df, EXACT, t)))
     tables = spark.createDataFrame([(t,) for t in INTERP_TABLES], "source_table string")
     it = interpret.interpretation(tables, _union(profs), _union(pfs), {t: t for t in INTERP_TABLES})
     i = F.col("interpretation")
