@@ -155,3 +155,17 @@ def test_dq_flags_may_reach_eleven(spark):
     flags = interpret.dq_flags(prof).collect()[0]["dq_flags"]
     assert len(flags) == 11
     assert flags[-1] == "both shows outliers (IQR heuristic)." and flags[0] == "n0 has high null rate (25%)."
+
+
+def test_odd_names_and_types_through_the_batch(spark):
+    df = spark.sql("""SELECT id AS `my id`, CAST(id % 2 = 0 AS BOOLEAN) AS `flag's`, CAST('ab' AS BINARY) AS `b``x`,
+      DATE'2024-01-01' + CAST(id AS INT) AS d, map('k', id) AS m, concat('x', id) AS `a.b`,
+      CAST(id AS DECIMAL(20,2)) AS dec, CAST(NULL AS STRING) AS contact_name FROM range(50)""")
+    for opts in (ts.ProfileOptions(), ts.ProfileOptions(exact=True)):
+        rep = ts.profile_tables({"weird": df}, opts).report.collect()[0]
+        assert rep.errors == []
+        cols = {c.name: c for c in rep.columns}
+        assert cols["my id"].is_pk_candidate and cols["d"].is_pk_candidate and not cols["flag's"].is_pk_candidate
+        st = {s.column: s for s in rep.stats}
+        assert st["dec"].max_num == 49.0 and st["a.b"].min_str == "x0"
+        assert [p.column for p in rep.pii_info] == ["contact_name"]
