@@ -70,7 +70,7 @@ def pattern_scores(df: DataFrame, opts: ProfileOptions | None = None, source_tab
     opts = opts or ProfileOptions()
     from ..plans.lineage import spread_out
 
-    work, spread = spread_out(df, opts.spread_below)
+    work, spread = spread_out(df, opts.spread_below, opts.spread_max_bytes)
     try:
         scan = FusedScan(work, column_specs(work.schema, opts.extended_types), opts.max_fields_per_pass)
         add_pattern_aggs(scan, opts)

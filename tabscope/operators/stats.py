@@ -215,7 +215,7 @@ def column_profile(
     if scan is None:
         from ..plans.lineage import spread_out
 
-        work, spread = spread_out(df, opts.spread_below)
+        work, spread = spread_out(df, opts.spread_below, opts.spread_max_bytes)
         try:
             return column_profile(work, opts, source_table, row_count, sampled,
                                   _new_scan(work, opts))

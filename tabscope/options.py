@@ -24,9 +24,10 @@ class ProfileOptions:
                    aggregates in one scan; wider tables are split into column chunks
                    so whole-stage codegen stays on (Spark's limit is 100).
     spread_below   when a table arrives in fewer partitions than this fraction of
-                   the default parallelism, it is spread over all cores and kept
-                   (memory and disk) for the few passes of a profile.  A large table
-                   already has many partitions and is never re-shuffled.
+                   the default parallelism and is estimated at most
+                   ``spread_max_bytes``, it is spread over all cores and kept (memory
+                   and disk) for the few passes of a profile.  Larger tables are never
+                   re-shuffled or cached by this step.
     quantile_partitions range partitions for exact quartiles (default: shuffle partitions).
     """
 
@@ -39,6 +40,7 @@ class ProfileOptions:
     credit_card: bool = False
     max_fields_per_pass: int = 90
     spread_below: float = 0.5
+    spread_max_bytes: int = 1 << 30
     quantile_partitions: int | None = None
 
     @property

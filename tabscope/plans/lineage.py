@@ -33,13 +33,25 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_out(df: DataFrame, below: float = 0.5) -> tuple[DataFrame, bool]:
-    """A table stored in a few large splits (e.g. one row group) would be scanned
-    by a few tasks.  If it has fewer partitions than ``below`` x the default
-    parallelism, spread it round-robin over all cores and keep it for the passes
-    of the profile.  Tables with many partitions (every large table) pass
-    through untouched, so nothing big is ever re-shuffled or cached here."""
+def size_estimate(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a DataFrame in bytes (file sizes for a scan)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate, no spreading
+        return None
+
+
+def spread_out(df: DataFrame, below: float = 0.5, max_bytes: int = 1 << 30) -> tuple[DataFrame, bool]:
+    """A small table stored in a few large splits (e.g. one Parquet row group) is
+    scanned by a few tasks.  If it has fewer partitions than ``below`` x the
+    default parallelism *and* Catalyst estimates it at no more than ``max_bytes``,
+    spread it round-robin over all cores and keep it (memory and disk) for the
+    passes of the profile.  Anything larger passes through untouched, so no big
+    table is ever re-shuffled or cached here."""
     target = df.sparkSession.sparkContext.defaultParallelism
     if below <= 0 or df.rdd.getNumPartitions() >= target * below:
         return df, False
+    size = size_estimate(df)
+    if size is None or size > max_bytes:
+        return df, False
     return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK), True

@@ -112,7 +112,7 @@ def profile_table(df: DataFrame, table: str, opts: ProfileOptions | None = None,
     if sampled:
         work = work.persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(work)
-    work, spread = spread_out(work, opts.spread_below)
+    work, spread = spread_out(work, opts.spread_below, opts.spread_max_bytes)
     if spread:
         cached.append(work)
     try:
