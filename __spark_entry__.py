@@ -525,13 +525,10 @@ LEFT JOIN (
 
 
 def sql_fk(rule: str, hints_only: bool) -> str:
-    from tabscope.functions.families import ColumnSpec, type_family
-    from pyspark.sql.types import _parse_datatype_string
-
     r = name_rule(rule)
 
     def fam(typ):
-        f = type_family(_parse_datatype_string(typ))
+        f = _family(typ)
         return f if f in ("numeric", "string") else None
 
     keyed = {t: [(c, typ) for c, typ in cols if r.is_key_like(c)] for t, cols in TABLE_COLUMNS.items()}

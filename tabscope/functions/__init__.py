@@ -6,4 +6,4 @@ from .names import (
     DEFAULT_NAME_RULE, STAR_NAME_RULE, NameRule, entity_name, is_person_name,
     name_heuristics, name_rule,
 )
-from .exprs import ratio, ratio0, regex_hits, credit_card_hit
+from .exprs import ratio, ratio0, sql_credit_card, sql_double, sql_id, sql_str

@@ -15,18 +15,6 @@ def ratio0(num: Column, den: Column) -> Column:
     return F.coalesce(ratio(num, den), F.lit(0.0))
 
 
-def regex_hits(c: Column, pattern: str) -> Column:
-    """Rows whose value contains a match of ``pattern`` (nulls never match)."""
-    return F.count_if(F.coalesce(c.rlike(pattern), F.lit(False)))
-
-
-def credit_card_hit(c: Column) -> Column:
-    """A 13-19 digit run (spaces or dashes allowed) that passes the Luhn check."""
-    run = F.regexp_extract(c, r"(?:\d[ -]?){12,18}\d", 0)
-    digits = F.regexp_replace(run, r"[ -]", "")
-    return (F.length(digits) >= 13) & F.call_function("luhn_check", digits)
-
-
 # SQL-text builders.  Wide passes are written as SQL expressions and handed to
 # ``selectExpr`` in one call: building thousands of Column objects one py4j
 # call at a time costs more than the scan itself on small tables.

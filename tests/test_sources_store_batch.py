@@ -114,3 +114,17 @@ def test_report_store_catalog_table(spark):
     doc = ts.get_report(spark, rid, table="profiling.reports")
     assert doc["source_table"] == "region" and doc["columns"][0]["name"] == "r_regionkey"
     assert set(spark.table("profiling.reports").columns) >= {"report_id", "report_json", "profiled_date"}
+
+
+def test_spread_out_only_below_the_size_bound(spark):
+    from tabscope.plans.lineage import size_estimate, spread_out
+
+    df = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    assert df.rdd.getNumPartitions() == 1 and size_estimate(df) > 1000
+    same, spread = spread_out(df, max_bytes=1000)
+    assert same is df and not spread
+    wide, spread = spread_out(df)
+    try:
+        assert spread and wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        wide.unpersist()
