@@ -13,6 +13,8 @@ against tolerances.  Mean and deviation are rounded to 4 places on both sides
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -138,6 +140,13 @@ def _load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 EXACT = ProfileOptions(exact=True)
 
+
+def _llm_queries():
+    """The training-data queries, if that subpackage is here at all; its own import errors show."""
+    spec = importlib.util.find_spec("tabscope.llm")
+    return importlib.import_module("tabscope.llm.entry_queries") if spec and spec.origin else None
+
+
 # ---------------------------------------------------------------------------
 # Spark side
 # ---------------------------------------------------------------------------
@@ -289,6 +298,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["interpretation"] = _q_interpretation
     q["batch_summary"] = _q_batch_summary
     q["sampled_profile_lineitem"] = _q_sampled_profile
+    if llm := _llm_queries():
+        q.update(llm.queries())
     return q
 
 
@@ -589,4 +600,6 @@ FROM (SELECT DISTINCT l_orderkey, l_orderkey IN (SELECT o_orderkey FROM orders W
     o["batch_summary"] = "\nUNION ALL\n".join(
         f"SELECT {_lit(t)} AS source_table, {_lit(entity_name(t))} AS entity, count(*) AS row_count, "
         f"CAST(0.25 AS DOUBLE) AS confidence FROM {t}" for t in TABLES)
+    if llm := _llm_queries():
+        o.update(llm.oracle_sql())
     return o
