@@ -77,11 +77,11 @@ def fences(counts: DataFrame, spread: float = 3.0, min_group: int = 50, k: int =
     merged = [F.kll_merge_agg_double(r).alias(r) for r in RATIOS]
     by_lang = sketches.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("l_n"), *merged)
     by_lang = by_lang.select("l", "l_n", *[F.col(r).alias(f"l_{r}") for r in RATIOS])
-    of_all = sketches.agg(F.sum("n").alias("a_n"), *merged).select("a_n", *[F.col(r).alias(f"a_{r}") for r in RATIOS])
-    groups = sketches.join(by_lang, F.col("lang").eqNullSafe(F.col("l"))).join(F.broadcast(of_all), F.lit(True))
+    of_all = {r: sketches.agg(F.kll_merge_agg_double(r)).scalar() for r in RATIOS}
+    groups = sketches.join(by_lang, F.col("lang").eqNullSafe(F.col("l")))
     out = [F.col("lang"), F.col("source")]
     for r, (_, _, least, both) in RATIOS.items():
-        s = F.when(F.col("n") >= min_group, F.col(r)).when(F.col("l_n") >= min_group, F.col(f"l_{r}")).otherwise(F.col(f"a_{r}"))
+        s = F.when(F.col("n") >= min_group, F.col(r)).when(F.col("l_n") >= min_group, F.col(f"l_{r}")).otherwise(of_all[r])
         low, high = (F.kll_sketch_get_quantile_double(s, F.lit(q)) for q in (0.25, 0.75))
         reach = spread * F.greatest(high - low, F.lit(least))
         out += [(low - reach if both else F.lit(None).cast("double")).alias(f"{r}_low"), (high + reach).alias(f"{r}_high")]
