@@ -5,13 +5,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, line_dedup, mixing, quality, simhash
+from . import chat, decontaminate, langid, line_dedup, mixing, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(_table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op5_source_mixing, op6_benchmark_decontamination, op7_language_id,
+    return {f.__name__: f for f in (op2_warc_archives, op3_simhash_near_dedup, op5_source_mixing, op6_benchmark_decontamination, op7_language_id,
                                    op8_chat_formatting, op9_line_dedup, op10_quality_rules)}
 
 
@@ -52,6 +56,13 @@ _DUCK_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express."""
     return {
+        "op2_warc_archives": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM q WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM q LEFT JOIN f USING (payload_digest)""",
         "op8_chat_formatting": """
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -6,9 +6,9 @@ and their sizes prefix-summed; those before the source's budget are taken.  A
 target of more than the source takes complete epochs first and only the rest by
 key.
 
-The prefix sum is two-level, so no task holds a source: keys fall into about
-``n / bucket_rows`` equally likely buckets of their source, the buckets' sums give
-each bucket's offset, and only a bucket's rows are sorted together.
+The prefix sum has levels, so no task holds a source: keys fall into about
+``n / bucket_rows`` buckets of their source, the sums of buckets and of blocks of
+1000 buckets give each bucket's offset, and only a bucket's rows are sorted together.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in
 order; rows with equal ids are separate documents with one key, ordered by size;
@@ -51,7 +51,7 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...], m
 
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 2,
-        quality: Column | None = None, bucket_rows: int = 5000, seed: int = 42) -> DataFrame:
+        quality: Column | None = None, bucket_rows: int = 500, seed: int = 42) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, epochs, taken.
 
     ``taken`` is the number of words that the mix takes of the document, repeats
@@ -72,9 +72,14 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     plan = written(plan.withColumnRenamed("source", "s"))
     placed = rows.join(plan, rows.source.eqNullSafe(plan.s)).drop("s")
     placed = placed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")))
-    in_source = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (placed.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.sum("size").alias("in_bucket"))
-               .select("s", "b", F.coalesce(F.sum("in_bucket").over(in_source), F.lit(0)).alias("offset")))
+    sums = written(placed.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.sum("size").alias("in_bucket"))
+                   .withColumn("block", F.floor(F.col("b") / 1000)))
+    before_rows = lambda *by: Window.partitionBy("s", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy(F.col("s").alias("bs"), "block").agg(F.sum("in_bucket").alias("in_block")).withColumnRenamed("bs", "s")
+    blocks = blocks.select(F.col("s").alias("bs"), F.col("block").alias("bb"), F.coalesce(F.sum("in_block").over(before_rows("block")), F.lit(0)).alias("past"))
+    inside = sums.withColumn("inside", F.coalesce(F.sum("in_bucket").over(before_rows("block", "b")), F.lit(0)))
+    offsets = (inside.join(blocks, F.col("s").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb")))
+               .select("s", "b", (F.col("past") + F.col("inside")).alias("offset")))
     in_bucket = (Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
                  .rowsBetween(Window.unboundedPreceding, -1))
     before = F.col("offset") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0))
