@@ -381,9 +381,13 @@ def find_spans(docs: DataFrame, model: dict | None, sure: float = 0.9) -> DataFr
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, base {spans}, spans {spans}")
 
 
+def _is_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def span_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans."""
     found = find_spans(docs, fit(docs))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    n = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *n, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
