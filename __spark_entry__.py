@@ -141,10 +141,18 @@ def _load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 EXACT = ProfileOptions(exact=True)
 
 
+def _if_here(package: str, module: str):
+    """``module``, if ``package`` is here at all; import errors inside it show."""
+    spec = importlib.util.find_spec(package)
+    return importlib.import_module(module) if spec and spec.origin else None
+
+
 def _llm_queries():
-    """The training-data queries, if that subpackage is here at all; its own import errors show."""
-    spec = importlib.util.find_spec("tabscope.llm")
-    return importlib.import_module("tabscope.llm.entry_queries") if spec and spec.origin else None
+    return _if_here("tabscope.llm", "tabscope.llm.entry_queries")
+
+
+def _pipeline():
+    return _if_here("corpus_pipeline", "corpus_pipeline")
 
 
 # ---------------------------------------------------------------------------
@@ -300,6 +308,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["sampled_profile_lineitem"] = _q_sampled_profile
     if llm := _llm_queries():
         q.update(llm.queries())
+    if pipeline := _pipeline():
+        q["pipeline"] = pipeline.run
     return q
 
 
@@ -602,4 +612,6 @@ FROM (SELECT DISTINCT l_orderkey, l_orderkey IN (SELECT o_orderkey FROM orders W
         f"CAST(0.25 AS DOUBLE) AS confidence FROM {t}" for t in TABLES)
     if llm := _llm_queries():
         o.update(llm.oracle_sql())
+    if (pipeline := _pipeline()) and pipeline.ORACLE_SQL:
+        o["pipeline"] = pipeline.ORACLE_SQL
     return o
