@@ -187,15 +187,15 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return out
 
 
-def fit(labelled: DataFrame, per_language: int = 300, max_rows: int = 2000, families: dict[str, tuple[str, ...]] = FAMILIES) -> dict:
-    """``labelled``: doc_id, text, lang (rows without one are left out).  The sample's rows come to the
-    driver as count vectors: at most about ``max_rows`` x ``BUCKETS`` floats."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l")
-    n_langs = max(1, sizes.count())
-    wanted = min(per_language, max(1, max_rows // n_langs))
+def fit(labelled: DataFrame, per_language: int = 300, max_rows: int = 2000, max_languages: int = 1000,
+        families: dict[str, tuple[str, ...]] = FAMILIES) -> dict:
+    """``labelled``: doc_id, text, lang (rows without one are left out).  Learns the ``max_languages`` most frequent
+    labels.  The sample's rows come to the driver as count vectors: at most about ``max_rows`` x ``BUCKETS`` floats."""
+    rows = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select(F.col("lang").alias("l"), "n")
+    wanted = min(per_language, max(1, max_rows // max(1, sizes.count())))
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 11)) / float(1 << 53)
-    sample = rows.withColumn("_u", u).join(sizes, F.col("lang") == F.col("l")).where(F.col("_u") * F.col("n") < wanted)
+    sample = rows.withColumn("_u", u).join(F.broadcast(sizes), F.col("lang") == F.col("l")).where(F.col("_u") * F.col("n") < wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
