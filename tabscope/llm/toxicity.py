@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, max_term
     share = min(1.0, max_examples / max(1, known.count()))
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("toxicity")), 11) / float(1 << 53)
     sample = known.where(u < share).withColumnRenamed("doc_id", "_id")
-    chosen = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample.select("_id")), F.col("doc_id") == F.col("_id"))
     rows = written(term_rows(chosen).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).drop("_id"))
     size = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n, n1 = float(size[0]), float(size[1])
