@@ -55,10 +55,12 @@ def chosen_paths(nodes: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     rounds, jumps = max(1, state.count()).bit_length(), []
     for _ in range(rounds):
         to = state.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("up").alias("far"), F.col("sum").alias("more"), F.col("depth").alias("deeper"))
-        joined = state.join(to, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        jumps.append(state.where("up IS NOT NULL").select("tree_id", "node_id", "up"))
-        state = written(joined.select("tree_id", "node_id", F.col("far").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"),
-                                      (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")))
+        below = state.where("up IS NOT NULL")  # the others have reached their root
+        jumps.append(below.select("tree_id", "node_id", "up"))
+        joined = below.join(to, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
+        joined = joined.select("tree_id", "node_id", F.col("far").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"),
+                               (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth"))
+        state = written(joined.union(state.where("up IS NULL")))
         if not state.where("up IS NOT NULL").limit(1).count():
             break
     ends = state.where("up IS NULL").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), (F.col("sum") / F.col("depth")).alias("path_score"), "depth")
