@@ -5,17 +5,18 @@ reports.  ``queries()`` maps every checked operator to a callable
 (spark, sf_dir) -> DataFrame over the whole given tables (or views Spark
 derives from them); ``oracle_sql()`` gives the same result as DuckDB SQL.
 
-Exact mode is used wherever a result is compared: HyperLogLog estimates and
-quantile sketches differ between engines, so they are only checked in pytest
-against tolerances.  Mean and deviation are rounded to 4 places on both sides
-(summation order differs between engines).
+Exact mode is used wherever a result is compared value by value; the default mode's
+sketches are compared with their promised bounds (``default_profile_bounds``).
+Mean and deviation are rounded to 4 places on both sides (summation order differs
+between engines).  The SQL takes nothing from the package: its rules and values are
+written out here.
 """
-
 from __future__ import annotations
 
 import importlib
 import importlib.util
 import os
+import re
 import sys
 from collections.abc import Callable
 
@@ -25,15 +26,12 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from tabscope import ProfileOptions  # noqa: E402
-from tabscope.functions.names import entity_name, is_person_name, name_heuristics, name_rule  # noqa: E402
-from tabscope.functions.patterns_fixed import (  # noqa: E402
-    BK_CONFIDENCE, DEFAULT_CUSTOM_PATTERNS, DQ_NULL_PCT, FK_MIN_RATIO, HIGH_UNIQUENESS, HIGH_UNIQUENESS_RATIO,
-    INTERESTING_NULL_PCT, IQR_FENCE, KEEP_ALL_COLUMNS_UP_TO, LOW_CARDINALITY, LOW_CARDINALITY_MAX_DISTINCT,
-    LOW_CARDINALITY_MAX_RATIO, PATTERN_MIN_RATIO, PERSON_NAME_CONFIDENCE, PII_MIN_CONFIDENCE, PII_PATTERNS,
-    SCORE_OUTLIER, SCORE_PATTERN, SCORE_PII, SCORE_PK, TOP_COLUMNS,
-)
+from tabscope.functions.exprs import sql_double, sql_id  # noqa: E402
+from tabscope.functions.families import column_specs  # noqa: E402
 from tabscope.operators import interpret, patterns, pii, relations, stats, summary  # noqa: E402
-from tabscope.plans.profile import batch_summary, profile_tables  # noqa: E402
+from tabscope.operators.scan import FusedScan  # noqa: E402
+from tabscope.plans.profile import batch_summary, profile_sources, profile_tables  # noqa: E402
+from tabscope.sources.spec import SourceSpec  # noqa: E402
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -122,7 +120,36 @@ def _wide_view():
 
 
 WIDE_VIEW = _wide_view()
-VIEWS = {"pii_view": PII_VIEW, "pattern_view": PATTERN_VIEW, "wide_view": WIDE_VIEW}
+
+# NaN in a third, in one row and in all rows of a column.
+NAN_VIEW = ("lineitem", [
+    ("some_nan", "double", "CASE WHEN l_linenumber % 3 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedprice END"),
+    ("one_nan", "double", "CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN CAST('NaN' AS DOUBLE) ELSE l_quantity END"),
+    ("all_nan", "double", "CAST('NaN' AS DOUBLE)"),
+    ("nan_or_null", "double", "CASE WHEN l_linenumber < 3 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber < 5 THEN NULL ELSE l_tax END"),
+])
+
+# Digit runs that are no card stand before, after and beside one that is.
+CARD_VIEW = ("customer", [
+    ("note", "string", "CASE WHEN c_custkey % 5 = 0 THEN concat('order 1234567890123 card 4111 1111 1111 1111 ', CAST(c_custkey AS STRING)) "
+                       "WHEN c_custkey % 5 = 1 THEN concat('5500-0000-0000-0004/', CAST(c_custkey AS STRING)) "
+                       "WHEN c_custkey % 5 = 2 THEN concat('4111 1111 1111 1112 x 378282246310006 ', CAST(c_custkey AS STRING)) "
+                       "WHEN c_custkey % 5 = 3 THEN concat('378282246310005, ', CAST(c_custkey AS STRING)) END"),
+    ("number", "string", "concat('40000000', lpad(CAST(c_custkey AS STRING), 8, '0'))"),
+])
+
+# Keys beyond 2^53 as bigint and decimal, beside a floating one that must not change how they compare.
+_BIG, _HUGE = "9007199254740992", "1000000000000000000000000000000"
+WIDE_KEYS = {
+    "wk_orders": ("orders", [("acct_id", "bigint", f"o_orderkey + {_BIG}")]),
+    "wk_lines": ("lineitem", [("acct_id", "bigint", f"l_orderkey + {_BIG}")]),
+    "wk_far": ("orders", [("acct_id", "bigint", f"o_orderkey + {_BIG} + 20000")]),
+    "wk_double": ("customer", [("acct_id", "double", f"CAST(c_custkey + {_BIG} AS DOUBLE)")]),
+    "wk_dec": ("orders", [("acct_id", "decimal(38,0)", f"CAST(CAST(o_orderkey AS DECIMAL(38,0)) + CAST({_HUGE} AS DECIMAL(38,0)) AS DECIMAL(38,0))")]),
+    "wk_dec_next": ("orders", [("acct_id", "decimal(38,0)", f"CAST(CAST(o_orderkey + 15000 AS DECIMAL(38,0)) + CAST({_HUGE} AS DECIMAL(38,0)) AS DECIMAL(38,0))")]),
+    "wk_dec_cents": ("customer", [("acct_id", "decimal(20,2)", f"CAST(CAST(c_custkey + {_BIG} AS DECIMAL(18,0)) AS DECIMAL(20,2))")]),
+}
+VIEWS = {"pii_view": PII_VIEW, "pattern_view": PATTERN_VIEW, "wide_view": WIDE_VIEW, "nan_view": NAN_VIEW, "card_view": CARD_VIEW, **WIDE_KEYS}
 
 
 def _columns(name: str) -> list[tuple[str, str]]:
@@ -240,8 +267,8 @@ def _q_top_columns(name):
     return q
 
 
-INTERP_TABLES = ["customer", "orders", "lineitem", "events", "documents", "labels", "conversations",
-                 "pii_view", "wide_view"]
+INTERP_TABLES = [*TABLES, "pii_view", "pattern_view", "wide_view"]
+REPORT_TABLES = [*TABLES, "pii_view", "pattern_view"]
 
 
 def _q_interpretation(spark, sf_dir):
@@ -270,15 +297,85 @@ def _q_batch_summary(spark, sf_dir):
     return batch_summary(batch.report)
 
 
-def _q_sampled_profile(spark, sf_dir):
-    """Sampling guard with a low threshold: a seeded Bernoulli sample of lineitem is
-    profiled; ratios divide by the sampled rows and no key is claimed (rows check)."""
-    from tabscope.plans.profile import sampling_guard
+def _q_nan_profile(spark, sf_dir):
+    return _profile(spark, sf_dir, "nan_view").select(
+        "source_table", "ordinal", "column", "null_count", "non_null_count", "distinct_exact", "min_num", "q1", "q3",
+        "lower_bound", "upper_bound", "outlier_count", "has_outliers")
+
+
+def _q_credit_card(spark, sf_dir):
+    scores = pii.pii_scores(_load(spark, sf_dir, "card_view"), ProfileOptions(credit_card=True), "card_view")
+    return scores.where("pii_type = 'CREDIT_CARD'").select("source_table", "ordinal", "column", "non_null_count", "match_count", "confidence")
+
+
+def _q_fk_wide_numeric(spark, sf_dir):
+    return relations.containment({t: _load(spark, sf_dir, t) for t in WIDE_KEYS})
+
+
+def _q_default_bounds(spark, sf_dir):
+    """The default mode over whole tables: are the quartiles within 0.05 of their rank and the distinct
+    estimates within three standard errors, and are the keys the true ones?"""
+    parts, opts = [], ProfileOptions()
+    for t in TABLES:
+        df = _load(spark, sf_dir, t)
+        specs = column_specs(df.schema)
+        rows = {r["ordinal"]: r for r in stats.column_profile(df, opts, t).collect()}
+        ranks = FusedScan(df, specs)
+        for s in specs:
+            for k in ("q1", "q3"):
+                if rows[s.ordinal][k] is not None:
+                    q = sql_id(s.name)
+                    ranks.add(s, f"{k}lt", f"count_if({q} < {sql_double(rows[s.ordinal][k])})")
+                    ranks.add(s, f"{k}le", f"count_if({q} <= {sql_double(rows[s.ordinal][k])})")
+        exact = {r[0]: r[1] for r in stats.exact_distinct(df, [s for s in specs if s.distinct_capable]).collect()}
+
+        def near(s, k, p):
+            if rows[s.ordinal][k] is None:
+                return None
+            n = rows[s.ordinal]["non_null_count"]
+            return ranks.get(s, f"{k}lt") <= (p + 0.05) * n and ranks.get(s, f"{k}le") >= (p - 0.05) * n
+
+        parts.append(spark.createDataFrame(
+            [(t, s.ordinal, s.name, rows[s.ordinal]["profiled_rows"], near(s, "q1", 0.25), near(s, "q3", 0.75),
+              abs(rows[s.ordinal]["cardinality_est"] - exact.get(s.ordinal, 0)) <= 3 * opts.rsd * exact.get(s.ordinal, 0) + 1,
+              rows[s.ordinal]["is_pk_candidate"]) for s in specs],
+            "source_table string, ordinal int, column string, profiled_rows long, q1_near boolean, q3_near boolean, distinct_near boolean, "
+            "is_pk_candidate boolean"))
+    return _union(parts)
+
+
+_BATCHES: dict = {}
 
-    df = _load(spark, sf_dir, "lineitem")
-    n = df.count()
-    sample, sampled = sampling_guard(df, n, above=n // 2, target=n // 4, seed=7)
-    return stats.column_profile(sample, ProfileOptions(), "lineitem", row_count=n, sampled=sampled)
+
+def _report(spark, sf_dir):
+    """The exact-mode batch report of all tables and two views; its inputs are one-row relations, kept for the queries that read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BATCHES:
+        _BATCHES[key] = profile_tables({t: _load(spark, sf_dir, t) for t in REPORT_TABLES}, EXACT, fk_sources=TABLES).report
+    return _BATCHES[key]
+
+
+def _exploded(field):
+    return lambda spark, sf_dir: _report(spark, sf_dir).select("source_table", F.inline(field))
+
+
+def _q_report_stats(spark, sf_dir):
+    r = _exploded("stats")(spark, sf_dir)
+    return r.withColumn("mean_val", F.round("mean_val", 4)).withColumn("stddev_val", F.round("stddev_val", 4))
+
+
+def _q_report_patterns(spark, sf_dir):
+    r = _exploded("detected_patterns")(spark, sf_dir)
+    return r.select("source_table", "ordinal", "column", F.array_join("patterns", ",").alias("patterns"),
+                    F.array_join("heuristics", ",").alias("heuristics"), "uniqueness_score")
+
+
+def _q_profile_sources(spark, sf_dir):
+    """The 14 tables as source descriptors, beside one that can't be read."""
+    specs = [SourceSpec(table=t, path=f"{sf_dir}/{t}.parquet", format="parquet") for t in TABLES]
+    batch = profile_sources(spark, [*specs, SourceSpec(table="no_such_table", path=f"{sf_dir}/no_such_table.parquet", format="parquet")])
+    return batch.report.select("source_table", "source_system", "row_count", F.size("columns").alias("n_columns"),
+                               (F.size("errors") > 0).alias("failed"), F.size("fk_hints").alias("n_fk_hints"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -305,7 +402,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["top_columns_pii_view"] = _q_top_columns("pii_view")
     q["interpretation"] = _q_interpretation
     q["batch_summary"] = _q_batch_summary
-    q["sampled_profile_lineitem"] = _q_sampled_profile
+    q["column_profile_nan_view"] = _q_nan_profile
+    q["pii_credit_card"] = _q_credit_card
+    q["fk_wide_numeric"] = _q_fk_wide_numeric
+    q["default_profile_bounds"] = _q_default_bounds
+    q["report_columns"] = _exploded("columns")
+    q["report_stats"] = _q_report_stats
+    q["report_pii"] = _exploded("pii_info")
+    q["report_patterns"] = _q_report_patterns
+    q["report_fk"] = _exploded("fk_hints")
+    q["profile_sources"] = _q_profile_sources
     if llm := _llm_queries():
         q.update(llm.queries())
     if pipeline := _pipeline():
@@ -316,7 +422,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ---------------------------------------------------------------------------
 # DuckDB side
 # ---------------------------------------------------------------------------
+# The rules and values of the behaviour to match, written out: the SQL must not share code with what it checks.
+PII_PATTERNS = [
+    ("EMAIL", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
+    ("SSN", r"\d{3}-\d{2}-\d{4}"),
+    ("PHONE", r"(\+\d{1,2}\s)?\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}"),
+]
+VALUE_PATTERNS = [
+    ("IBAN", r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$", "universal"),
+    ("SWIFT_BIC", r"^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$", "universal"),
+    ("ISO_8601", r"^\d{4}-\d{2}-\d{2}", "universal"),
+    ("ISO_4217", r"^[A-Z]{3}$", "universal"),
+    ("EMAIL", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", "universal"),
+    ("ACCOUNT_ID", r"ACC-\d{6}", "custom"),
+    ("CUSTOMER_ID", r"CUST-\d{6}", "custom"),
+    ("LOAN_ID", r"LOAN-\d{6}", "custom"),
+    ("BRANCH_CODE", r"BR-\d{3}", "custom"),
+]
+PERSON_NAME = r"^((first|last|full|given|middle|sur|family|customer|person|employee|client|owner|contact)_)?name$"
+_ENTITY = "array_to_string(list_transform(string_split({0}, '_'), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
 _NUMERIC = {"int", "bigint", "double", "float"}
+#: Columns that Spark knows to hold no null: a CASE whose branches are all literals.
+NEVER_NULL = {("pattern_view", "currency")}
 
 
 def _family(typ: str) -> str:
@@ -369,13 +496,13 @@ def sql_profile(name: str) -> str:
         std = f"round(stddev_samp({q}), 4)" if num else "CAST(NULL AS DOUBLE)"
         q1 = f"CAST(quantile_disc({q}, 0.25) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"
         q3 = f"CAST(quantile_disc({q}, 0.75) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"
-        lb = f"(a.q1 - {IQR_FENCE} * (a.q3 - a.q1))"
-        ub = f"(a.q3 + {IQR_FENCE} * (a.q3 - a.q1))"
+        lb = f"(a.q1 - 1.5 * (a.q3 - a.q1))"
+        ub = f"(a.q3 + 1.5 * (a.q3 - a.q1))"
         outl = (f"CASE WHEN a.q1 IS NULL THEN NULL ELSE (SELECT count(*) FROM {src} z "
                 f"WHERE z.{q} < {lb} OR z.{q} > {ub}) END") if num else "CAST(NULL AS BIGINT)"
         parts.append(f"""
 SELECT {_lit(name)} AS source_table, CAST({i} AS INTEGER) AS ordinal, {_lit(c)} AS "column",
-  {_lit(typ)} AS spark_type, {_lit(fam)} AS type_family, true AS nullable,
+  {_lit(typ)} AS spark_type, {_lit(fam)} AS type_family, {str((name, c) not in NEVER_NULL).lower()} AS nullable,
   a.n AS row_count, a.n AS profiled_rows, a.nulls AS null_count,
   CAST(a.nulls AS DOUBLE) / a.n AS null_pct, a.nn AS non_null_count,
   a.d AS cardinality_est, a.d AS distinct_exact, CAST(a.d AS DOUBLE) / a.n AS uniqueness_ratio,
@@ -412,16 +539,6 @@ FROM (SELECT count(*) AS n, count({q}) AS nn, {hit} AS m FROM {src}) a WHERE a.n
     return "\nUNION ALL\n".join(parts)
 
 
-def _pattern_list():
-    merged = {}
-    from tabscope.functions.patterns_fixed import UNIVERSAL_PATTERNS
-    for n, rx in UNIVERSAL_PATTERNS:
-        merged[n] = (rx, "universal")
-    for n, rx in DEFAULT_CUSTOM_PATTERNS:
-        merged[n] = (rx, "custom")
-    return [(n, rx, layer) for n, (rx, layer) in merged.items()]
-
-
 def sql_pattern_scores(name: str) -> str:
     src = _src(name)
     parts = []
@@ -429,7 +546,7 @@ def sql_pattern_scores(name: str) -> str:
         if _family(typ) != "string":
             continue
         q = _id(c)
-        for j, (pname, rx, layer) in enumerate(_pattern_list()):
+        for j, (pname, rx, layer) in enumerate(VALUE_PATTERNS):
             hit = f"count(*) FILTER (WHERE regexp_matches({q}, {_lit(_re2(rx))}))"
             parts.append(f"""
 SELECT {_lit(name)} AS source_table, CAST({i} AS INTEGER) AS ordinal, {_lit(c)} AS "column",
@@ -440,39 +557,38 @@ FROM (SELECT count(*) AS n, count({q}) AS nn, {hit} AS m FROM {src}) a WHERE a.n
 
 
 def sql_pii_findings(name: str) -> str:
-    person = [c for c, t in _columns(name) if _family(t) == "string" and is_person_name(c)]
-    is_name = f"s.\"column\" IN ({', '.join(_lit(c) for c in person)})" if person else "false"
+    is_name = f"regexp_matches(lower(s.\"column\"), {_lit(PERSON_NAME)})"
     return f"""
 WITH sc AS ({sql_pii_scores(name)}),
 w AS (SELECT *, row_number() OVER (PARTITION BY source_table, ordinal, "column"
                                    ORDER BY confidence DESC, priority ASC) AS rk
-      FROM sc WHERE confidence > {PII_MIN_CONFIDENCE}),
+      FROM sc WHERE confidence > 0.1),
 s AS (SELECT DISTINCT source_table, ordinal, "column" FROM sc)
 SELECT s.source_table, s.ordinal, s."column",
   (w.pii_type IS NOT NULL OR {is_name}) AS is_pii,
   coalesce(w.pii_type, CASE WHEN {is_name} THEN 'NAME' END) AS pii_type,
-  coalesce(w.confidence, CASE WHEN {is_name} THEN CAST({PERSON_NAME_CONFIDENCE} AS DOUBLE) END) AS confidence
+  coalesce(w.confidence, CASE WHEN {is_name} THEN CAST(0.75 AS DOUBLE) END) AS confidence
 FROM s LEFT JOIN (SELECT * FROM w WHERE rk = 1) w
   ON s.source_table = w.source_table AND s.ordinal = w.ordinal AND s."column" = w."column"
 WHERE w.pii_type IS NOT NULL OR {is_name}"""
 
 
 def sql_pattern_findings(name: str, joined: bool = True) -> str:
-    hints = {c: name_heuristics(c) for c, t in _columns(name) if _family(t) == "string"}
-    name_sql = "CASE p.\"column\" " + " ".join(
-        f"WHEN {_lit(c)} THEN {_lit(','.join(h))}" for c, h in hints.items() if h) + " END" \
-        if any(hints.values()) else "NULL"
+    ends = lambda *suffixes: " OR ".join(f"ends_with(lower(p.\"column\"), '{x}')" for x in suffixes)
+    name_sql = (f"CASE WHEN {ends('_id', '_pk', '_key')} THEN 'LIKELY_KEY' END, "
+                f"CASE WHEN {ends('_date', '_dt', '_timestamp')} THEN 'LIKELY_TEMPORAL' END, "
+                f"CASE WHEN {ends('_amt', '_amount', '_bal', '_balance')} THEN 'LIKELY_MEASURE' END")
     d, n, nn = "p.distinct_exact", "p.profiled_rows", "p.non_null_count"
     uniq = f"coalesce(CAST({d} AS DOUBLE) / nullif({n}, 0), 0.0)"
-    data_hint = (f"CASE WHEN {uniq} > {HIGH_UNIQUENESS_RATIO} AND {nn} = {n} THEN {_lit(HIGH_UNIQUENESS)} "
-                 f"WHEN {d} < {LOW_CARDINALITY_MAX_DISTINCT} AND CAST({d} AS DOUBLE) / {nn} < "
-                 f"{LOW_CARDINALITY_MAX_RATIO} THEN {_lit(LOW_CARDINALITY)} END")
+    data_hint = (f"CASE WHEN {uniq} > 0.95 AND {nn} = {n} THEN 'HIGH_UNIQUENESS_CANDIDATE' "
+                 f"WHEN {d} < 50 AND CAST({d} AS DOUBLE) / {nn} < "
+                 f"0.1 THEN 'LOW_CARDINALITY_CATEGORICAL' END")
     heur = f"concat_ws(',', {name_sql}, {data_hint})"
     return f"""
 WITH sc AS ({sql_pattern_scores(name)}),
 p AS ({sql_profile(name)}),
 m AS (SELECT source_table, ordinal, "column", string_agg(pattern, ',' ORDER BY priority) AS patterns
-      FROM sc WHERE match_ratio > {PATTERN_MIN_RATIO} GROUP BY source_table, ordinal, "column"),
+      FROM sc WHERE match_ratio > 0.5 GROUP BY source_table, ordinal, "column"),
 s AS (SELECT DISTINCT source_table, ordinal, "column" FROM sc),
 f AS (SELECT s.source_table, s.ordinal, s."column", coalesce(m.patterns, '') AS patterns,
         {heur} AS heuristics, {uniq} AS uniqueness_score
@@ -483,11 +599,11 @@ SELECT * FROM f WHERE patterns <> '' OR heuristics <> ''"""
 
 
 def sql_scores(name: str) -> str:
-    score = (f"CASE WHEN pi.ordinal IS NOT NULL THEN CAST({SCORE_PII} AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
-             f" + CASE WHEN p.is_pk_candidate THEN CAST({SCORE_PK} AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
-             f" + CASE WHEN pt.ordinal IS NOT NULL THEN CAST({SCORE_PATTERN} AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
+    score = (f"CASE WHEN pi.ordinal IS NOT NULL THEN CAST(2.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
+             f" + CASE WHEN p.is_pk_candidate THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
+             f" + CASE WHEN pt.ordinal IS NOT NULL THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
              f" + coalesce(p.null_pct, 0.0)"
-             f" + CASE WHEN p.has_outliers THEN CAST({SCORE_OUTLIER} AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END")
+             f" + CASE WHEN p.has_outliers THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END")
     return f"""
 WITH p AS ({sql_profile(name)}),
 pi AS ({sql_pii_findings(name)}),
@@ -496,7 +612,7 @@ SELECT p.source_table, p.ordinal, p."column", pi.ordinal IS NOT NULL AS is_pii,
   pt.ordinal IS NOT NULL AS has_pattern, coalesce(p.null_pct, 0.0) AS null_pct, p.has_outliers,
   {score} AS score,
   (pi.ordinal IS NOT NULL OR pt.ordinal IS NOT NULL OR p.is_pk_candidate
-   OR coalesce(p.null_pct, 0.0) >= {INTERESTING_NULL_PCT} OR p.has_outliers) AS interesting
+   OR coalesce(p.null_pct, 0.0) >= 0.10 OR p.has_outliers) AS interesting
 FROM p LEFT JOIN pi ON p.ordinal = pi.ordinal LEFT JOIN pt ON p.ordinal = pt.ordinal"""
 
 
@@ -508,73 +624,76 @@ r AS (SELECT *, count(*) OVER (PARTITION BY source_table) AS n_,
         row_number() OVER (PARTITION BY source_table ORDER BY interesting DESC, score DESC, ordinal) AS r1
       FROM sc)
 SELECT source_table, ordinal, "column", is_pii, is_pk_candidate, has_pattern, null_pct, has_outliers, score,
-  interesting, CASE WHEN n_ <= {KEEP_ALL_COLUMNS_UP_TO} THEN r0 ELSE r1 END AS rank
-FROM r WHERE (CASE WHEN n_ <= {KEEP_ALL_COLUMNS_UP_TO} THEN r0 ELSE r1 END)
-  <= (CASE WHEN n_ <= {KEEP_ALL_COLUMNS_UP_TO} THEN n_ ELSE {TOP_COLUMNS} END)"""
+  interesting, CASE WHEN n_ <= 50 THEN r0 ELSE r1 END AS rank, (n_ <= 50 OR r1 <= 30) AS in_top
+FROM r"""
 
 
 def sql_interpretation_one(name: str) -> str:
     return f"""
-SELECT {_lit(name)} AS source_table, {_lit(entity_name(name))} AS entity,
+SELECT {_lit(name)} AS source_table, {_ENTITY.format(_lit(name))} AS entity,
   coalesce(bk.cols, '') AS bk_columns, CAST(coalesce(bk.k, 0) AS INTEGER) AS bk_count,
-  CASE WHEN coalesce(bk.k, 0) > 0 THEN CAST({BK_CONFIDENCE} AS DOUBLE) END AS bk_confidence,
+  CASE WHEN coalesce(bk.k, 0) > 0 THEN CAST(0.65 AS DOUBLE) END AS bk_confidence,
   coalesce(ps.txt, '') AS pii_summary, coalesce(dq.txt, '') AS dq_flags, CAST(0.25 AS DOUBLE) AS confidence
 FROM (SELECT 1) one
 LEFT JOIN (
-  SELECT CASE WHEN count(*) FILTER (WHERE is_pk_candidate) > 0
-           THEN array_to_string(list_slice(list("column" ORDER BY ordinal) FILTER (WHERE is_pk_candidate), 1, 3), ',')
-           ELSE array_to_string(list_slice(list("column" ORDER BY ordinal)
-                                FILTER (WHERE contains(lower("column"), 'id')), 1, 3), ',') END AS cols,
-         CASE WHEN count(*) FILTER (WHERE is_pk_candidate) > 0
-           THEN least(count(*) FILTER (WHERE is_pk_candidate), 3)
-           ELSE least(count(*) FILTER (WHERE contains(lower("column"), 'id')), 3) END AS k
-  FROM ({sql_profile(name)})) bk ON true
+  SELECT string_agg("column", ',' ORDER BY ordinal) AS cols, count(*) AS k
+  FROM (SELECT *, bool_or(is_pk_candidate) OVER () AS any_key FROM ({sql_profile(name)}))
+  WHERE CASE WHEN any_key THEN is_pk_candidate ELSE contains(lower("column"), 'id') END) bk ON true
 LEFT JOIN (
-  SELECT array_to_string(list_slice(list(printf('%s: detected %s (confidence %.2f).', "column",
-           coalesce(pii_type, 'PII'), confidence) ORDER BY ordinal), 1, 10), ' | ') AS txt
+  SELECT string_agg(printf('%s: detected %s (confidence %.2f).', "column", coalesce(pii_type, 'PII'), confidence), ' | ' ORDER BY ordinal) AS txt
   FROM ({sql_pii_findings(name)})) ps ON true
 LEFT JOIN (
   SELECT array_to_string(flatten(list(f ORDER BY ordinal)), ' | ') AS txt FROM (
-    SELECT ordinal, f, coalesce(sum(len(f)) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING
-                                                  AND 1 PRECEDING), 0) AS before
-    FROM (SELECT ordinal, list_filter([
-            CASE WHEN null_pct >= {DQ_NULL_PCT} THEN printf('%s has high null rate (%.0f%%).', "column", null_pct * 100) END,
+    SELECT ordinal, list_filter([
+            CASE WHEN null_pct >= 0.20 THEN printf('%s has high null rate (%.0f%%).', "column", null_pct * 100) END,
             CASE WHEN has_outliers THEN printf('%s shows outliers (IQR heuristic).', "column") END],
             lambda x: x IS NOT NULL) AS f
-          FROM ({sql_profile(name)})))
-  WHERE before < 10) dq ON true"""
+    FROM ({sql_profile(name)}))) dq ON true"""
+
+
+def _key_like(rule: str, column: str) -> bool:
+    return "id" in column.lower() if rule == "default" else column.lower().endswith("key")
+
+
+def _similar(rule: str, a: str, b: str) -> bool:
+    a, b = ((re.sub(r"^[a-z]+_", "", x.lower()) if rule == "star" else x.lower()).replace("_", "") for x in (a, b))
+    return a in b or b in a
 
 
-def sql_fk(rule: str, hints_only: bool) -> str:
-    r = name_rule(rule)
+def _compared(column: str, typ: str, other: str) -> str:
+    """A floating number on either side makes both floating."""
+    floating = {"double", "float"} & {typ, other}
+    return f"CAST({_id(column)} AS DOUBLE)" if floating else _id(column)
 
+
+def sql_fk(rule: str, hints_only: bool, tables=tuple(TABLES)) -> str:
     def fam(typ):
         f = _family(typ)
         return f if f in ("numeric", "string") else None
 
-    keyed = {t: [(c, typ) for c, typ in cols if r.is_key_like(c)] for t, cols in TABLE_COLUMNS.items()}
+    keyed = {t: [(c, typ) for c, typ in _columns(t) if _key_like(rule, c)] for t in tables}
     parts = []
-    for st in TABLES:
+    for st in tables:
         for a, at in keyed[st]:
             if fam(at) is None:
                 continue
-            for tt in TABLES:
+            for tt in tables:
                 if tt == st:
                     continue
                 for b, bt in keyed[tt]:
-                    if fam(at) == fam(bt) and r.similar(a, b):
+                    if fam(at) == fam(bt) and _similar(rule, a, b):
                         parts.append(f"""
 SELECT {_lit(st)} AS source_table, {_lit(a)} AS source_col, {_lit(tt)} AS target_table, {_lit(b)} AS target_col,
-  (SELECT count(*) FROM (SELECT DISTINCT {_id(a)} AS v FROM {st} WHERE {_id(a)} IS NOT NULL) x
-   WHERE x.v IN (SELECT {_id(b)} FROM {tt} WHERE {_id(b)} IS NOT NULL)) AS match_count,
-  (SELECT count(DISTINCT {_id(a)}) FROM {st}) AS source_distinct,
-  (SELECT count(DISTINCT {_id(b)}) FROM {tt}) AS target_distinct,
-  (SELECT count({_id(b)}) = count(DISTINCT {_id(b)}) FROM {tt}) AS target_is_unique""")
+  (SELECT count(*) FROM (SELECT DISTINCT {_compared(a, at, bt)} AS v FROM {_src(st)} WHERE {_id(a)} IS NOT NULL) x
+   WHERE x.v IN (SELECT {_compared(b, bt, at)} FROM {_src(tt)} WHERE {_id(b)} IS NOT NULL)) AS match_count,
+  (SELECT count(DISTINCT {_compared(a, at, bt)}) FROM {_src(st)}) AS source_distinct,
+  (SELECT count(DISTINCT {_compared(b, bt, at)}) FROM {_src(tt)}) AS target_distinct,
+  (SELECT count({_id(b)}) = count(DISTINCT {_compared(b, bt, at)}) FROM {_src(tt)}) AS target_is_unique""")
     body = "\nUNION ALL\n".join(parts)
     sql = f"""
 SELECT source_table, source_col, target_table, target_col, match_count, source_distinct, target_distinct,
   coalesce(CAST(match_count AS DOUBLE) / nullif(source_distinct, 0), 0.0) AS match_ratio, target_is_unique,
-  (source_distinct > 0 AND CAST(match_count AS DOUBLE) / nullif(source_distinct, 0) >= {FK_MIN_RATIO}
+  (source_distinct > 0 AND CAST(match_count AS DOUBLE) / nullif(source_distinct, 0) >= 0.90
    AND target_distinct >= match_count) AS is_hint
 FROM ({body}) c"""
     if hints_only:
@@ -582,6 +701,36 @@ FROM ({body}) c"""
     return sql
 
 
+def sql_nan_profile() -> str:
+    src, parts = _src("nan_view"), []
+    for i, (c, _) in enumerate(_columns("nan_view"), 1):
+        q = _id(c)
+        parts.append(f"""
+SELECT 'nan_view' AS source_table, CAST({i} AS INTEGER) AS ordinal, {_lit(c)} AS "column", a.nulls AS null_count, a.nn AS non_null_count,
+  a.d AS distinct_exact, a.lo AS min_num, a.q1, a.q3, a.q1 - 1.5 * (a.q3 - a.q1) AS lower_bound, a.q3 + 1.5 * (a.q3 - a.q1) AS upper_bound,
+  CASE WHEN a.q1 IS NOT NULL THEN (SELECT count(*) FROM {src} z WHERE z.{q} < a.q1 - 1.5 * (a.q3 - a.q1) OR z.{q} > a.q3 + 1.5 * (a.q3 - a.q1)) END
+    AS outlier_count,
+  coalesce((SELECT count(*) FROM {src} z WHERE z.{q} < a.q1 - 1.5 * (a.q3 - a.q1) OR z.{q} > a.q3 + 1.5 * (a.q3 - a.q1)) > 0, false) AS has_outliers
+FROM (SELECT count(*) FILTER (WHERE {q} IS NULL) AS nulls, count({q}) AS nn, count(DISTINCT {q}) AS d, min({q}) AS lo,
+        quantile_disc(CASE WHEN NOT isnan({q}) THEN {q} END, 0.25) AS q1, quantile_disc(CASE WHEN NOT isnan({q}) THEN {q} END, 0.75) AS q3 FROM {src}) a""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def sql_credit_card_scores() -> str:
+    src, parts = _src("card_view"), []
+    digit = "CAST(d[k:k] AS INTEGER)"
+    luhn = (f"list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 0 THEN {digit} "
+            f"WHEN {digit} * 2 > 9 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0")
+    for i, (c, _) in enumerate(_columns("card_view"), 1):
+        runs = f"list_transform(regexp_extract_all({_id(c)}, '([0-9][ -]?){{12,18}}[0-9]'), lambda x: regexp_replace(x, '[ -]', '', 'g'))"
+        hit = f"len(list_filter({runs}, lambda d: {luhn})) > 0"
+        parts.append(f"""
+SELECT 'card_view' AS source_table, CAST({i} AS INTEGER) AS ordinal, {_lit(c)} AS "column", a.nn AS non_null_count, a.m AS match_count,
+  CAST(a.m AS DOUBLE) / a.nn AS confidence
+FROM (SELECT count({_id(c)}) AS nn, count(*) FILTER (WHERE {hit}) AS m FROM {src}) a""")
+    return "\nUNION ALL\n".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     for t in TABLES:
@@ -608,8 +757,31 @@ FROM (SELECT DISTINCT l_orderkey, l_orderkey IN (SELECT o_orderkey FROM orders W
     o["top_columns_pii_view"] = sql_top_columns("pii_view")
     o["interpretation"] = "\nUNION ALL\n".join(sql_interpretation_one(t) for t in INTERP_TABLES)
     o["batch_summary"] = "\nUNION ALL\n".join(
-        f"SELECT {_lit(t)} AS source_table, {_lit(entity_name(t))} AS entity, count(*) AS row_count, "
+        f"SELECT {_lit(t)} AS source_table, {_ENTITY.format(_lit(t))} AS entity, count(*) AS row_count, "
         f"CAST(0.25 AS DOUBLE) AS confidence FROM {t}" for t in TABLES)
+    o["column_profile_nan_view"] = sql_nan_profile()
+    o["pii_credit_card"] = sql_credit_card_scores()
+    o["fk_wide_numeric"] = sql_fk("default", False, tuple(WIDE_KEYS))
+    o["default_profile_bounds"] = "\nUNION ALL\n".join(
+        f"SELECT source_table, ordinal, \"column\", profiled_rows, CASE WHEN q1 IS NOT NULL THEN true END AS q1_near, "
+        f"CASE WHEN q3 IS NOT NULL THEN true END AS q3_near, true AS distinct_near, is_pk_candidate FROM ({sql_profile(t)})" for t in TABLES)
+    profiles = {t: sql_profile(t) for t in REPORT_TABLES}
+    o["report_columns"] = "\nUNION ALL\n".join(
+        f"SELECT source_table, ordinal, \"column\" AS name, spark_type, nullable, is_pk_candidate, uniqueness_ratio FROM ({p})" for p in profiles.values())
+    o["report_stats"] = "\nUNION ALL\n".join(
+        f"SELECT source_table, ordinal, \"column\", null_pct, cardinality_est, min_num, max_num, min_str, max_str, mean_val, stddev_val, q1, q3, "
+        f"outlier_count, has_outliers FROM ({p})" for p in profiles.values())
+    o["report_pii"] = "\nUNION ALL\n".join(f"SELECT * FROM ({sql_pii_findings(t)})" for t in REPORT_TABLES)
+    o["report_patterns"] = "\nUNION ALL\n".join(f"SELECT * FROM ({sql_pattern_findings(t)})" for t in REPORT_TABLES if any(
+        _family(ty) == "string" for _, ty in _columns(t)))
+    o["report_fk"] = (f"SELECT source_table, source_col, target_table, target_col, match_ratio FROM "
+                      f"({sql_fk('default', True, tuple(REPORT_TABLES))}) WHERE source_table NOT IN ('pii_view', 'pattern_view')")
+    hints = sql_fk("default", True)
+    o["profile_sources"] = "\nUNION ALL\n".join(
+        f"SELECT {_lit(t)} AS source_table, 'unknown' AS source_system, (SELECT count(*) FROM {t}) AS row_count, "
+        f"CAST({len(TABLE_COLUMNS[t])} AS INTEGER) AS n_columns, false AS failed, "
+        f"(SELECT CAST(count(*) AS INTEGER) FROM ({hints}) WHERE source_table = {_lit(t)}) AS n_fk_hints" for t in TABLES
+    ) + "\nUNION ALL\nSELECT 'no_such_table', 'unknown', CAST(NULL AS BIGINT), 0, true, 0"
     if llm := _llm_queries():
         o.update(llm.oracle_sql())
     if (pipeline := _pipeline()) and pipeline.ORACLE_SQL:

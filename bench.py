@@ -5,7 +5,6 @@ BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -24,7 +23,6 @@ TABLES = [
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    scratch = tempfile.mkdtemp(prefix="tabscope-bench-")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tabscope-bench")
@@ -33,7 +31,6 @@ def main():
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        .config("spark.checkpoint.dir", os.path.join(scratch, "ckpt"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

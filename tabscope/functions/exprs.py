@@ -38,6 +38,28 @@ def sql_double(x: float) -> str:
 
 
 def sql_credit_card(q: str) -> str:
-    run = f"regexp_extract({q}, {sql_str(r'(?:\d[ -]?){12,18}\d')}, 0)"
-    digits = f"regexp_replace({run}, {sql_str('[ -]')}, '')"
-    return f"(length({digits}) >= 13 AND luhn_check({digits}))"
+    """Does any run of 13 to 19 digits in the text (single spaces or hyphens between them) pass the Luhn check?"""
+    runs = f"regexp_extract_all({q}, {sql_str(r'(?:[0-9][ -]?){12,18}[0-9]')}, 0)"
+    return f"exists({runs}, x -> luhn_check(regexp_replace(x, {sql_str('[ -]')}, '')))"
+
+
+_META = set("\\^$.|?*+()[]{}")
+
+
+def literal_prefix(regex: str) -> str:
+    """Text that every match of an unanchored regex must begin with (may be empty)."""
+    if "|" in regex or regex.startswith("(?"):
+        return ""
+    n = next((i for i, c in enumerate(regex) if c in _META), len(regex))
+    if n < len(regex) and regex[n] in "?*{":
+        n -= 1  # the last character is optional
+    return regex[:max(0, n)]
+
+
+def sql_matches(q: str, regex: str, needs: str = "") -> str:
+    """Does the text hold a match?  Conditions that every match needs and that cost little come first: ``needs``,
+    else the regex's literal beginning."""
+    test = f"{q} RLIKE {sql_str(regex)}"
+    start = literal_prefix(regex)
+    needs = needs or (f"contains({{q}}, {sql_str(start)})" if start else "")
+    return f"coalesce({needs.format(q=q)} AND {test}, false)" if needs else f"coalesce({test}, false)"

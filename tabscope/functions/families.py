@@ -27,8 +27,6 @@ _CORE_NUMERIC = (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.Decimal
 _SMALL_INT = (T.ByteType, T.ShortType)
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
-# Types whose cast to double is injective, so distinct doubles = distinct values.
-_DOUBLE_EXACT = (T.IntegerType, T.DoubleType, T.FloatType, T.ByteType, T.ShortType)
 
 
 def type_family(dt: T.DataType, extended: bool = False) -> str:
@@ -101,8 +99,10 @@ class ColumnSpec:
         return not _contains_unhashable(self.dtype)
 
     @property
-    def double_is_exact(self) -> bool:
-        return isinstance(self.dtype, _DOUBLE_EXACT)
+    def sql_number(self) -> str:
+        """The value as a double, in SQL; NaN is null."""
+        x = f"CAST({quote(self.name)} AS DOUBLE)"
+        return f"nanvl({x}, CAST(NULL AS DOUBLE))" if isinstance(self.dtype, (T.FloatType, T.DoubleType)) else x
 
     @property
     def reference_numeric(self) -> bool:
@@ -121,11 +121,3 @@ def column_specs(schema: T.StructType, extended: bool = False) -> list[ColumnSpe
         ColumnSpec(i + 1, f.name, f.dataType, f.nullable, type_family(f.dataType, extended), extended)
         for i, f in enumerate(schema.fields)
     ]
-
-
-def string_columns(schema: T.StructType) -> list[str]:
-    return [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-
-
-def numeric_columns(schema: T.StructType, extended: bool = False) -> list[str]:
-    return [f.name for f in schema.fields if type_family(f.dataType, extended) == NUMERIC]

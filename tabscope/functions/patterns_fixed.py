@@ -29,6 +29,17 @@ UNIVERSAL_PATTERNS = (
     ("EMAIL", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"),
 )
 
+# What every match of a fixed regex needs, as cheap SQL over {q} (a final line break, which ``$`` allows, counts).
+NEEDS = {
+    PII_PATTERNS[0][1]: "contains({q}, '@')",
+    PII_PATTERNS[1][1]: "contains({q}, '-')",
+    UNIVERSAL_PATTERNS[0][1]: "length({q}) BETWEEN 15 AND 36",
+    UNIVERSAL_PATTERNS[1][1]: "length({q}) BETWEEN 8 AND 13",
+    UNIVERSAL_PATTERNS[2][1]: "contains({q}, '-')",
+    UNIVERSAL_PATTERNS[3][1]: "length({q}) BETWEEN 3 AND 5",
+    UNIVERSAL_PATTERNS[4][1]: "contains({q}, '@')",
+}
+
 # FIXED VALUES - the shipped source-system patterns (user patterns; unanchored).
 DEFAULT_CUSTOM_PATTERNS = (
     ("ACCOUNT_ID", r"ACC-\d{6}"),
@@ -56,21 +67,19 @@ FK_MIN_RATIO = 0.90               # greater or equal
 IQR_FENCE = 1.5
 INTERESTING_NULL_PCT = 0.10       # greater or equal
 DQ_NULL_PCT = 0.20                # greater or equal
-SAMPLE_ABOVE_ROWS = 10_000_000
-SAMPLE_TARGET_ROWS = 1_000_000
 REPORT_SCHEMA_VERSION = "1.1.0"
-DEFAULT_SOURCE_SYSTEM = "LoanIQ"
+DEFAULT_SOURCE_SYSTEM = "unknown"
 
 # FIXED VALUES - deterministic interpretation texts and weights.
 BK_CONFIDENCE = 0.65
 BK_REASONING = "Heuristic: unique/non-null or ID-like column."
-BK_LIMIT = 3
-PII_SUMMARY_LIMIT = 10
-DQ_FLAG_LIMIT = 10
+DQ_NULL_TEXT = "%s has high null rate (%.0f%%)."
+DQ_OUTLIER_TEXT = "%s shows outliers (IQR heuristic)."
+PII_TEXT = "%s: detected %s (confidence %.2f)."
 INTERPRETATION_CONFIDENCE = 0.25
 SCORE_PII = 2.0
 SCORE_PK = 1.5
 SCORE_PATTERN = 1.0
 SCORE_OUTLIER = 1.0
-KEEP_ALL_COLUMNS_UP_TO = 50
-TOP_COLUMNS = 30
+TABLE_ORDER_UP_TO = 50            # wider tables are ranked by score
+TOP_COLUMNS = 30                  # and their first so many ranks are marked

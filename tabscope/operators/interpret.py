@@ -1,19 +1,18 @@
 """Deterministic interpretation of a profile (no model call).
 
-Per table: a display name, up to three business-key candidates, up to ten
-PII lines and the data-quality flags of the leading columns.  The pieces are
-aggregate expressions over a per-column frame so that a report needs a single
-grouping per table.
+Per table: a display name, the business-key candidates, a line for each column of
+personal data and the data-quality flags, all complete and in table order (a reader
+who wants the first few takes a slice).  The pieces are aggregate expressions over a
+per-column frame so that a report needs a single grouping per table.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import entity_name
 from ..functions.patterns_fixed import (
-    BK_CONFIDENCE, BK_LIMIT, BK_REASONING, DQ_FLAG_LIMIT, DQ_NULL_PCT, INTERPRETATION_CONFIDENCE,
-    PII_SUMMARY_LIMIT,
+    BK_CONFIDENCE, BK_REASONING, DQ_NULL_PCT, DQ_NULL_TEXT, DQ_OUTLIER_TEXT, INTERPRETATION_CONFIDENCE, PII_TEXT,
 )
 
 BK_TYPE = "array<struct<column:string,confidence:double,reasoning:string>>"
@@ -21,29 +20,18 @@ _KEYS = ["source_table", "ordinal", "column"]
 
 
 def with_dq_flags(per_col: DataFrame) -> DataFrame:
-    """Add ``_dq``: the column's flags (high null rate, outliers), kept only while
-    fewer than ten flags precede the column in table order - so a table may end
-    with eleven, as in the behaviour we match."""
-    null_flag = F.when(
-        F.col("null_pct") >= DQ_NULL_PCT,
-        F.format_string("%s has high null rate (%.0f%%).", F.col("column"),
-                        F.bround(F.col("null_pct") * 100.0, 0)),
-    )
-    out_flag = F.when(F.col("has_outliers"),
-                      F.format_string("%s shows outliers (IQR heuristic).", F.col("column")))
-    flags = F.filter(F.array(null_flag, out_flag), lambda x: x.isNotNull())
-    before = Window.partitionBy("source_table").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return per_col.withColumn("_flags", flags).withColumn(
-        "_dq", F.when(F.coalesce(F.sum(F.size("_flags")).over(before), F.lit(0)) < DQ_FLAG_LIMIT, F.col("_flags"))
-    ).drop("_flags")
+    """Add ``_dq``: the column's flags (high null rate, outliers)."""
+    null_flag = F.when(F.col("null_pct") >= DQ_NULL_PCT,
+                       F.format_string(DQ_NULL_TEXT, F.col("column"), F.bround(F.col("null_pct") * 100.0, 0)))
+    out_flag = F.when(F.col("has_outliers"), F.format_string(DQ_OUTLIER_TEXT, F.col("column")))
+    return per_col.withColumn("_dq", F.filter(F.array(null_flag, out_flag), lambda x: x.isNotNull()))
 
 
 def interpretation_aggs() -> list[Column]:
     """Aggregates over the per-column frame (columns ``_pi`` and ``_dq`` included)."""
     item = F.struct("ordinal", "column")
     line = F.format_string(
-        "%s: detected %s (confidence %.2f).",
-        F.col("_pi.column"), F.coalesce(F.col("_pi.pii_type"), F.lit("PII")), F.bround(F.col("_pi.confidence"), 2),
+        PII_TEXT, F.col("_pi.column"), F.coalesce(F.col("_pi.pii_type"), F.lit("PII")), F.bround(F.col("_pi.confidence"), 2),
     )
     return [
         F.array_sort(F.collect_list(F.when(F.col("is_pk_candidate"), item))).alias("_pk"),
@@ -68,11 +56,11 @@ def _entity(names: dict[str, str]) -> Column:
 def interpretation_struct(names: dict[str, str] | None = None) -> Column:
     chosen = F.when(F.size(F.coalesce("_pk", F.array())) > 0, F.col("_pk")).otherwise(F.col("_id"))
     bk = F.transform(
-        F.slice(chosen, 1, BK_LIMIT),
+        chosen,
         lambda x: F.struct(x["column"].alias("column"), F.lit(BK_CONFIDENCE).alias("confidence"),
                            F.lit(BK_REASONING).alias("reasoning")),
     )
-    pii = F.transform(F.slice("_pil", 1, PII_SUMMARY_LIMIT), lambda x: x["line"])
+    pii = F.transform("_pil", lambda x: x["line"])
     dq = F.flatten(F.transform("_dql", lambda x: x["_dq"]))
     return F.struct(
         _entity(names or {}).alias("suggested_entity_name"),
@@ -92,7 +80,7 @@ def bk_candidates(profile: DataFrame) -> DataFrame:
     g = profile.groupBy("source_table").agg(*interpretation_aggs()[:2])
     chosen = F.when(F.size("_pk") > 0, F.col("_pk")).otherwise(F.col("_id"))
     return g.select("source_table", F.transform(
-        F.slice(chosen, 1, BK_LIMIT),
+        chosen,
         lambda x: F.struct(x["column"].alias("column"), F.lit(BK_CONFIDENCE).alias("confidence"),
                            F.lit(BK_REASONING).alias("reasoning")),
     ).alias("bk_candidates"))

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio, sql_id, sql_str
-from ..functions.families import column_specs
+from ..functions.exprs import ratio, sql_id, sql_matches, sql_str
+from ..functions.families import ColumnSpec, column_specs
 from ..functions.patterns_fixed import (
     HIGH_UNIQUENESS, HIGH_UNIQUENESS_RATIO, LOW_CARDINALITY, LOW_CARDINALITY_MAX_DISTINCT,
-    LOW_CARDINALITY_MAX_RATIO, NAME_HEURISTICS, PATTERN_MIN_RATIO, UNIVERSAL_PATTERNS,
+    LOW_CARDINALITY_MAX_RATIO, NAME_HEURISTICS, NEEDS, PATTERN_MIN_RATIO, UNIVERSAL_PATTERNS,
 )
 from ..options import ProfileOptions
 from .scan import ROWS, FusedScan
@@ -33,6 +33,14 @@ def all_patterns(custom=()) -> list[tuple[str, str, str]]:
     return [(name, rx, layer) for name, (rx, layer) in merged.items()]
 
 
+def patterns_from(df: DataFrame, name: str = "name", regex: str = "regex") -> tuple[tuple[str, str], ...]:
+    """Custom patterns from a small table, in name order (later rows of one name win nothing: names must be unique)."""
+    rows = sorted((r[0], r[1]) for r in df.select(name, regex).where(F.col(name).isNotNull() & F.col(regex).isNotNull()).distinct().collect())
+    if len({n for n, _ in rows}) < len(rows):
+        raise ValueError("a pattern name has two regexes")
+    return tuple(rows)
+
+
 def add_pattern_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
     for s in scan.specs:
         if not s.is_string:
@@ -40,44 +48,29 @@ def add_pattern_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
         q = sql_id(s.name)
         scan.add(s, "nn", f"count({q})")
         for j, (_, rx, _) in enumerate(all_patterns(opts.custom_patterns)):
-            scan.add(s, f"pat{j}", f"count_if(coalesce({q} RLIKE {sql_str(rx)}, false))")
+            scan.add(s, f"pat{j}", f"count_if({sql_matches(q, rx, NEEDS.get(rx, ''))})")
 
 
-def pattern_long(scan: FusedScan, opts: ProfileOptions) -> DataFrame:
+def pattern_scores_from(scan: FusedScan, opts: ProfileOptions, source_table: str, specs: list[ColumnSpec]) -> DataFrame:
     pats = all_patterns(opts.custom_patterns)
 
-    def build(s):
-        return [(s.ordinal, s.name, name, layer, j, scan.get(s, "nn"), scan.get(s, f"pat{j}"), scan.rows)
+    def build(s, ref):
+        return [(s.ordinal, sql_str(s.name), sql_str(name), sql_str(layer), j, ref("nn"), ref(f"pat{j}"), ROWS)
                 for j, (name, _, layer) in enumerate(pats)]
 
-    return scan.long([s for s in scan.specs if s.is_string], build, PATTERN_LONG)
-
-
-def pattern_scores_from(scan: FusedScan, opts: ProfileOptions, source_table: str) -> DataFrame:
-    return (
-        pattern_long(scan, opts)
-        .where(F.col("profiled_rows") > 0)
-        .select(
-            F.lit(source_table).alias("source_table"), "ordinal", "column", "pattern", "layer", "priority",
-            "non_null_count", "match_count",
-            ratio(F.col("match_count"), F.col("non_null_count")).alias("match_ratio"),
-        )
+    return scan.long([s for s in specs if s.is_string], build, PATTERN_LONG).where(F.col("profiled_rows") > 0).select(
+        F.lit(source_table).alias("source_table"), "ordinal", "column", "pattern", "layer", "priority",
+        "non_null_count", "match_count",
+        ratio(F.col("match_count"), F.col("non_null_count")).alias("match_ratio"),
     )
 
 
 def pattern_scores(df: DataFrame, opts: ProfileOptions | None = None, source_table: str = "table") -> DataFrame:
-    """(source_table, ordinal, column, pattern, layer, priority, non_null_count, match_count, match_ratio)."""
+    """(source_table, ordinal, column, pattern, layer, priority, non_null_count, match_count, match_ratio); lazy, one scan."""
     opts = opts or ProfileOptions()
-    from ..plans.lineage import spread_out
-
-    work, spread = spread_out(df, opts.spread_below, opts.spread_max_bytes)
-    try:
-        scan = FusedScan(work, column_specs(work.schema, opts.extended_types), opts.max_fields_per_pass)
-        add_pattern_aggs(scan, opts)
-        return pattern_scores_from(scan.materialize(), opts, source_table)
-    finally:
-        if spread:
-            work.unpersist()
+    scan = FusedScan(df, column_specs(df.schema, opts.extended_types))
+    add_pattern_aggs(scan, opts)
+    return pattern_scores_from(scan, opts, source_table, scan.specs)
 
 
 def _name_hints(column: Column) -> Column:

@@ -7,13 +7,13 @@ person-name rule on the column name; only columns judged personal are kept.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio0, sql_credit_card, sql_id, sql_str
-from ..functions.families import column_specs
+from ..functions.exprs import ratio0, sql_credit_card, sql_id, sql_matches, sql_str
+from ..functions.families import ColumnSpec, column_specs
 from ..functions.patterns_fixed import (
-    PERSON_NAME_CONFIDENCE, PERSON_NAME_REGEX, PERSON_NAME_TYPE, PII_MIN_CONFIDENCE, PII_PATTERNS,
+    NEEDS, PERSON_NAME_CONFIDENCE, PERSON_NAME_REGEX, PERSON_NAME_TYPE, PII_MIN_CONFIDENCE, PII_PATTERNS,
 )
 from ..options import ProfileOptions
 from .scan import ROWS, FusedScan
@@ -37,47 +37,31 @@ def add_pii_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
         q = sql_id(s.name)
         scan.add(s, "nn", f"count({q})")
         for j, (_, pattern) in enumerate(PII_PATTERNS):
-            scan.add(s, f"pii{j}", f"count_if(coalesce({q} RLIKE {sql_str(pattern)}, false))")
+            scan.add(s, f"pii{j}", f"count_if({sql_matches(q, pattern, NEEDS.get(pattern, ''))})")
         if opts.credit_card:
             scan.add(s, "piicc", f"count_if(coalesce({sql_credit_card(q)}, false))")
 
 
-def pii_long(scan: FusedScan, opts: ProfileOptions) -> DataFrame:
+def pii_scores_from(scan: FusedScan, opts: ProfileOptions, source_table: str, specs: list[ColumnSpec]) -> DataFrame:
     keys = [f"pii{j}" for j in range(len(PII_PATTERNS))] + (["piicc"] if opts.credit_card else [])
-    names = pii_types(opts)
 
-    def build(s):
-        return [(s.ordinal, s.name, name, j, scan.get(s, "nn"), scan.get(s, key), scan.rows)
-                for j, (name, key) in enumerate(zip(names, keys))]
+    def build(s, ref):
+        return [(s.ordinal, sql_str(s.name), sql_str(name), j, ref("nn"), ref(key), ROWS)
+                for j, (name, key) in enumerate(zip(pii_types(opts), keys))]
 
-    return scan.long([s for s in scan.specs if s.is_string], build, PII_LONG)
-
-
-def pii_scores_from(scan: FusedScan, opts: ProfileOptions, source_table: str) -> DataFrame:
-    return (
-        pii_long(scan, opts)
-        .where(F.col("profiled_rows") > 0)
-        .select(
-            F.lit(source_table).alias("source_table"), "ordinal", "column", "pii_type", "priority",
-            "non_null_count", "match_count",
-            ratio0(F.col("match_count"), F.col("non_null_count")).alias("confidence"),
-        )
+    return scan.long([s for s in specs if s.is_string], build, PII_LONG).where(F.col("profiled_rows") > 0).select(
+        F.lit(source_table).alias("source_table"), "ordinal", "column", "pii_type", "priority",
+        "non_null_count", "match_count",
+        ratio0(F.col("match_count"), F.col("non_null_count")).alias("confidence"),
     )
 
 
 def pii_scores(df: DataFrame, opts: ProfileOptions | None = None, source_table: str = "table") -> DataFrame:
-    """(source_table, ordinal, column, pii_type, priority, non_null_count, match_count, confidence)."""
+    """(source_table, ordinal, column, pii_type, priority, non_null_count, match_count, confidence); lazy, one scan."""
     opts = opts or ProfileOptions()
-    from ..plans.lineage import spread_out
-
-    work, spread = spread_out(df, opts.spread_below, opts.spread_max_bytes)
-    try:
-        scan = FusedScan(work, column_specs(work.schema, opts.extended_types), opts.max_fields_per_pass)
-        add_pii_aggs(scan, opts)
-        return pii_scores_from(scan.materialize(), opts, source_table)
-    finally:
-        if spread:
-            work.unpersist()
+    scan = FusedScan(df, column_specs(df.schema, opts.extended_types))
+    add_pii_aggs(scan, opts)
+    return pii_scores_from(scan, opts, source_table, scan.specs)
 
 
 def pii_findings(scores: DataFrame) -> DataFrame:

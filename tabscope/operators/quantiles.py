@@ -1,115 +1,112 @@
-"""Exact discrete quartiles and IQR outlier counts without a global sort in one task.
-
-``percentile_disc`` keeps a map of every distinct value in one aggregation
-buffer, which for a global aggregate ends in a single task.  Here the work is
-spread out:
-
-1. ``value_counts``: (ordinal, v, cnt) - one row per distinct value per column.
-   Partial aggregation collapses hot values before the shuffle, so a value
-   holding a third of the rows is one row per map task.
-2. ``ranked_values``: range-partition (ordinal, v), sort inside partitions, add a
-   running count per partition (vectorised, Arrow batches), checkpoint, then add
-   the counts of all earlier partitions.  The offsets table has at most
-   partitions x columns rows, so broadcasting it is bounded by configuration.
-3. ``exact_quantiles``: the discrete p-quantile of n values is the first value
-   whose running count reaches ceil(p*n) (SQL ``percentile_disc``).
+"""Exact discrete quartiles (SQL ``percentile_disc``) by narrowing brackets.
+
+A fine quantile sketch of the first pass gives each quartile an open bracket
+of two values.  One scan counts, for all brackets, the rows below, on and inside
+their ends; that settles quartiles which are an end, and shows how many rows are
+strictly inside.  Brackets of many rows are narrowed by another sketch over the rows
+inside (a factor of thousands each time); of the others the inside rows are
+grouped by value and ranked.  If a sketch missed, the counts show it and the bracket starts
+again from the column's extremes, so the result is exact in any case.  NaN is no value here.
 """
 from __future__ import annotations
 
 import math
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import sql_double
 from ..functions.families import ColumnSpec
-from ..plans.lineage import reliable_checkpoint
 from ..functions.patterns_fixed import IQR_FENCE
-
-_RANKED = "ordinal int, v double, cnt long, pid int, lcum long"
-
-
-def value_counts(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
-    """(ordinal, v, cnt) from one scan: each row emits one (ordinal, value) pair per
-    column, and the partial aggregate folds repeats before the shuffle."""
-    pairs = [F.struct(F.lit(s.ordinal).cast("int").alias("ordinal"), s.col.cast("double").alias("v"))
-             for s in specs]
-    u = df.select(F.inline(F.array(*pairs))).where(F.col("v").isNotNull())
-    return u.groupBy("ordinal", "v").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def ranked_values(vc: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(ordinal, v, cnt, cum): cum = rows of that column with value <= v."""
-    def running_counts(batches):
-        # Defined inside so that it is shipped by value to the Python workers.
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            run = pdf.groupby("ordinal", sort=False)["cnt"].cumsum()
-            base = pdf["ordinal"].map(carry).fillna(0).astype("int64")
-            pdf = pdf.assign(pid=pid, lcum=(run + base).astype("int64"))
-            carry.update(pdf.groupby("ordinal", sort=False)["lcum"].last().to_dict())
-            yield pdf[["ordinal", "v", "cnt", "pid", "lcum"]]
-
-    # Without an explicit count AQE may merge neighbouring ranges; partition ids
-    # stay in value order and are fixed by the checkpoint below.
-    ranged = vc.repartitionByRange(partitions, "ordinal", "v") if partitions else vc.repartitionByRange(
-        "ordinal", "v")
-    local = (
-        ranged
-        .sortWithinPartitions("ordinal", "v")
-        .mapInPandas(running_counts, _RANKED)
-    )
-    local = reliable_checkpoint(local)
-    totals = local.groupBy("pid", "ordinal").agg(F.max("lcum").alias("ptotal"))
-    before = Window.partitionBy("ordinal").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "pid", "ordinal", F.coalesce(F.sum("ptotal").over(before), F.lit(0)).alias("offset")
-    )
-    return (
-        local.join(F.broadcast(offsets), ["pid", "ordinal"])
-        .select("ordinal", "v", "cnt", (F.col("lcum") + F.col("offset")).alias("cum"))
-    )
-
-
-def exact_quartiles(ranked: DataFrame, totals: DataFrame) -> DataFrame:
-    """(ordinal, q1, q3) from ranked values and totals (ordinal, n)."""
-    t = totals.select(
-        "ordinal",
-        F.ceil(F.col("n") * F.lit(0.25)).alias("t1"),
-        F.ceil(F.col("n") * F.lit(0.75)).alias("t3"),
-    )
-    prev = F.col("cum") - F.col("cnt")
-    hit1 = (prev < F.col("t1")) & (F.col("cum") >= F.col("t1"))
-    hit3 = (prev < F.col("t3")) & (F.col("cum") >= F.col("t3"))
-    return (
-        ranked.join(F.broadcast(t), "ordinal")
-        .where(hit1 | hit3)
-        .groupBy("ordinal")
-        .agg(F.max(F.when(hit1, F.col("v"))).alias("q1"), F.max(F.when(hit3, F.col("v"))).alias("q3"))
-    )
-
-
-def iqr_bounds(q1, q3):
-    """(lower, upper) IQR fence as column expressions."""
+from .scan import FusedScan
+
+ACCURACY = 10_000
+#: Rows inside a bracket that are ranked rather than narrowed.
+RANK_ROWS = 1 << 20
+#: Half-width, in rank, of the brackets that a sketch gives: twice what it promises.
+_HALF = 2.0 / ACCURACY
+QUARTILES = (0.25, 0.75)
+
+
+def add_bracket_aggs(scan: FusedScan, spec: ColumnSpec) -> None:
+    v = spec.sql_number
+    ps = [min(1.0, max(0.0, p + d)) for p in QUARTILES for d in (-_HALF, _HALF)]
+    scan.add(spec, "qn", f"count({v})")
+    scan.add(spec, "qmin", f"min({v})")
+    scan.add(spec, "qmax", f"max({v})")
+    scan.add(spec, "qb", f"percentile_approx({v}, array({', '.join(map(sql_double, ps))}), {ACCURACY})")
+
+
+@dataclass
+class _Bracket:
+    spec: ColumnSpec
+    which: int
+    rank: int  # of the quartile among the column's values, from 1
+    lo: float
+    hi: float
+    below: int = 0
+    inside: int = 0
+
+    @property
+    def test(self) -> str:
+        v = self.spec.sql_number
+        return f"({v} > {sql_double(self.lo)} AND {v} < {sql_double(self.hi)})"
+
+
+def exact_quartiles(df: DataFrame, specs: list[ColumnSpec], scan: FusedScan) -> dict[int, tuple[float, float]]:
+    """{ordinal: (q1, q3)} of the columns that have a value; ``scan`` holds :func:`add_bracket_aggs`."""
+    found: dict[tuple[int, int], float] = {}
+    open_: list[_Bracket] = []
+    ends = {}
+    for s in specs:
+        n, b = scan.get(s, "qn"), scan.get(s, "qb")
+        if n:
+            ends[s.ordinal] = scan.get(s, "qmin"), scan.get(s, "qmax")
+            open_ += [_Bracket(s, k, max(1, math.ceil(p * n)), b[2 * k], b[2 * k + 1]) for k, p in enumerate(QUARTILES)]
+    while open_:
+        counts = df.selectExpr(*[e for i, b in enumerate(open_) for e in (
+            f"count_if({b.spec.sql_number} < {sql_double(b.lo)}) AS b{i}", f"count_if({b.spec.sql_number} = {sql_double(b.lo)}) AS l{i}",
+            f"count_if({b.test}) AS i{i}", f"count_if({b.spec.sql_number} = {sql_double(b.hi)}) AS h{i}")]).first()
+        rank, narrow, again = [], [], []
+        for i, b in enumerate(open_):
+            below, on_lo, inside = counts[f"b{i}"], counts[f"l{i}"], counts[f"i{i}"]
+            on_hi = counts[f"h{i}"] if b.hi > b.lo else 0
+            key = (b.spec.ordinal, b.which)
+            if not below < b.rank <= below + on_lo + inside + on_hi:
+                b.lo, b.hi = ends[b.spec.ordinal]
+                again.append(b)
+            elif b.rank <= below + on_lo:
+                found[key] = b.lo
+            elif b.rank > below + on_lo + inside:
+                found[key] = b.hi
+            else:
+                b.below, b.inside = below + on_lo, inside
+                (rank if inside <= RANK_ROWS else narrow).append(b)
+        if rank:
+            found.update(_ranked(df, rank))
+        if narrow:
+            row = df.selectExpr(*[
+                f"percentile_approx(CASE WHEN {b.test} THEN {b.spec.sql_number} END, array("
+                + ", ".join(sql_double(min(1.0, max(0.0, (b.rank - b.below) / b.inside + d))) for d in (-_HALF, _HALF)) + f"), {ACCURACY}) AS q{i}"
+                for i, b in enumerate(narrow)]).first()
+            for i, b in enumerate(narrow):
+                b.lo, b.hi = row[f"q{i}"]
+        open_ = again + narrow
+    return {o: (found[o, 0], found[o, 1]) for o in ends}
+
+
+def _ranked(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
+    """The quartiles of brackets with few rows inside, by grouping and ranking those."""
+    rows = ", ".join(f"named_struct('k', {i}, 'v', CASE WHEN {b.test} THEN {b.spec.sql_number} END, 'want', {b.rank - b.below}L)"
+                     for i, b in enumerate(brackets))
+    values = df.selectExpr(f"inline(array({rows}))").where("v IS NOT NULL").groupBy("k", "want", "v").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = values.withColumn("upto", so_far).where("upto >= want AND upto - n < want").select("k", "v")
+    return {(brackets[r.k].spec.ordinal, brackets[r.k].which): r.v for r in hit.collect()}
+
+
+def fence(q1: float, q3: float) -> tuple[float, float]:
+    """IQR fence from quartiles."""
     iqr = q3 - q1
-    return q1 - F.lit(IQR_FENCE) * iqr, q3 + F.lit(IQR_FENCE) * iqr
-
-
-def outliers_from_values(values: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(ordinal, outlier_count): rows strictly outside (lower_bound, upper_bound)."""
-    out = (F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound"))
-    return (
-        values.join(F.broadcast(bounds.select("ordinal", "lower_bound", "upper_bound")), "ordinal")
-        .groupBy("ordinal")
-        .agg(F.sum(F.when(out, F.col("cnt")).otherwise(F.lit(0))).cast("long").alias("outlier_count"))
-    )
-
-
-def ceil_rank(p: float, n: int) -> int:
-    """Position (1-based) of the discrete p-quantile among n sorted values."""
-    return max(1, math.ceil(p * n))
+    return q1 - IQR_FENCE * iqr, q3 + IQR_FENCE * iqr

@@ -1,17 +1,20 @@
-"""Foreign-key discovery by value containment, all candidate pairs in one job.
-
-1. Candidate pairs come from the schemas alone: key-like names, compatible
-   type families (numeric/numeric or string/string) and similar names.
-2. Every column in a pair contributes (attribute, value) rows; tables are read
-   once per type family and nulls dropped.
-3. ``groupBy(value)`` counts, per value, how often each attribute holds it.  The
-   partial aggregate before the shuffle collapses repeated values, so a value
-   that fills a third of a table costs one row per map task.
-4. One global aggregate over the value groups yields, per attribute, the
-   distinct count and the largest multiplicity, and per candidate pair the
-   number of shared distinct values.  No pairs of rows or attributes are ever
-   materialised; the work is one shuffle of distinct values plus a tiny one.
-
+"""Foreign-key discovery by value containment, all candidate pairs at once.
+
+1. Candidate pairs come from the schemas alone: key-like names, compatible type
+   families (numeric/numeric or string/string) and similar names.  They are a
+   DataFrame, not expressions, so the plan doesn't grow with them.
+2. Each pair is compared in the narrowest class that is exact for both types: whole
+   numbers as bigint, decimals (with decimals or whole numbers) as canonical text,
+   floating numbers as double, strings as they are.  An attribute is read in each class that
+   one of its pairs needs.
+3. ``groupBy(value, attribute)`` counts how often each attribute holds each value; the
+   partial aggregate before the shuffle collapses repeats, so a value that fills a third
+   of a table costs one row per task.
+4. ``groupBy(value)`` turns that into the set of attributes that hold the value, and
+   ``groupBy(set)`` counts the sets, of which there are few.  Joined to the pairs, they give
+   every pair's shared values.
+
+No pair of rows is ever made; the work is one shuffle of distinct values per class.
 This is the value-grouped form of inclusion-dependency discovery (Kruse,
 Papenbrock, Naumann, BTW 2015).
 """
@@ -20,19 +23,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import ratio
 from ..functions.families import ColumnSpec, column_specs, quote
+from ..functions.frames import local_rows
 from ..functions.names import NameRule, name_rule
 from ..functions.patterns_fixed import FK_MIN_RATIO
 
-FK_COLUMNS = [
-    "source_table", "source_col", "target_table", "target_col", "match_count",
-    "source_distinct", "target_distinct", "match_ratio", "target_is_unique", "is_hint",
-]
-_FK_SCHEMA = (
+FK_SCHEMA = (
     "source_table string, source_col string, target_table string, target_col string, "
     "match_count bigint, source_distinct bigint, target_distinct bigint, match_ratio double, "
     "target_is_unique boolean, is_hint boolean"
@@ -53,6 +54,28 @@ class Attr:
         return None
 
 
+def comparison_class(a: ColumnSpec, b: ColumnSpec) -> str:
+    """In which form values of the two types are equal exactly when they are the same number or text."""
+    if a.is_string:
+        return "text"
+    if a.is_integral and b.is_integral:
+        return "whole"
+    floating = (T.FloatType, T.DoubleType)
+    return "double" if isinstance(a.dtype, floating) or isinstance(b.dtype, floating) else "decimal"
+
+
+def _key(spec: ColumnSpec, cls: str) -> Column:
+    if cls == "whole":
+        return spec.col.cast("bigint")
+    if cls == "double":
+        return spec.col.cast("double")
+    text = spec.col.cast("string")
+    if cls == "decimal" and isinstance(spec.dtype, T.DecimalType) and spec.dtype.scale > 0:
+        text = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+        return F.when(text == "-0", "0").otherwise(text)
+    return text
+
+
 def candidate_pairs(frames: dict[str, DataFrame], sources=None, rule: "str | NameRule" = "default",
                     extended: bool = False) -> list[tuple[Attr, Attr]]:
     """Ordered (source, target) column pairs worth a containment check (schema only)."""
@@ -61,75 +84,57 @@ def candidate_pairs(frames: dict[str, DataFrame], sources=None, rule: "str | Nam
         t: [Attr(t, s) for s in column_specs(df.schema, extended) if r.is_key_like(s.name)]
         for t, df in frames.items()
     }
-    pairs = []
-    for st in (sources if sources is not None else list(frames)):
-        for a in keyed.get(st, []):
-            if a.family is None:
-                continue
-            for tt, attrs in keyed.items():
-                if tt == st:
-                    continue
-                for b in attrs:
-                    if a.family == b.family and r.similar(a.spec.name, b.spec.name):
-                        pairs.append((a, b))
-    return pairs
-
-
-def _family_inventory(frames, attrs: list[Attr], ids: dict, cast: str) -> DataFrame:
-    parts = []
+    similar: dict[tuple[str, str], bool] = {}
+
+    def alike(x: str, y: str) -> bool:
+        if (x, y) not in similar:
+            similar[x, y] = r.similar(x, y)
+        return similar[x, y]
+
+    return [(a, b) for st in (sources if sources is not None else frames) for a in keyed.get(st, []) if a.family
+            for tt, attrs in keyed.items() if tt != st for b in attrs if a.family == b.family and alike(a.spec.name, b.spec.name)]
+
+
+def _per_value(frames: dict[str, DataFrame], attrs: list[Attr], ids: dict[Attr, int], cls: str) -> DataFrame:
+    """(v, a, n): how often attribute ``a`` holds value ``v``; each table is read once."""
     by_table: dict[str, list[Attr]] = {}
     for a in attrs:
         by_table.setdefault(a.table, []).append(a)
+    parts = []
     for t, cols in by_table.items():
-        structs = [
-            F.struct(F.lit(ids[a]).cast("int").alias("a"), a.spec.col.cast(cast).alias("v")) for a in cols
-        ]
-        parts.append(frames[t].select(F.inline(F.array(*structs))).where(F.col("v").isNotNull()))
-    return reduce(lambda x, y: x.unionByName(y), parts)
+        cells = [F.struct(F.lit(ids[a]).alias("a"), _key(a.spec, cls).alias("v")) for a in cols]
+        parts.append(frames[t].select(F.inline(F.array(*cells))).where(F.col("v").isNotNull()))
+    return reduce(lambda x, y: x.unionByName(y), parts).groupBy("v", "a").agg(F.count("*").alias("n"))
 
 
 def containment(frames: dict[str, DataFrame], sources=None, rule: "str | NameRule" = "default",
                 min_ratio: float = FK_MIN_RATIO, extended: bool = False) -> DataFrame:
-    """Containment statistics for every candidate pair (see FK_COLUMNS)."""
+    """Containment statistics for every candidate pair (see FK_SCHEMA); lazy."""
     spark = next(iter(frames.values())).sparkSession
     pairs = candidate_pairs(frames, sources, rule, extended)
     if not pairs:
-        return spark.createDataFrame([], _FK_SCHEMA)
+        return local_rows(spark, [], FK_SCHEMA)
+    by_class: dict[str, list[tuple[Attr, Attr]]] = {}
+    for a, b in pairs:
+        by_class.setdefault(comparison_class(a.spec, b.spec), []).append((a, b))
     results = []
-    for fam in ("numeric", "string"):
-        fpairs = [(a, b) for a, b in pairs if a.family == fam]
-        if not fpairs:
-            continue
-        attrs = sorted({x for p in fpairs for x in p}, key=lambda x: (x.table, x.spec.ordinal))
+    for cls, own in by_class.items():
+        attrs = sorted({x for p in own for x in p}, key=lambda x: (x.table, x.spec.ordinal))
         ids = {a: i for i, a in enumerate(attrs)}
-        if fam == "string":
-            cast = "string"
-        else:
-            cast = "bigint" if all(a.spec.is_integral for a in attrs) else "double"
-        inv = _family_inventory(frames, attrs, ids, cast)
-        per_value = inv.groupBy("v").agg(
-            *[F.count_if(F.col("a") == ids[x]).alias(f"n{ids[x]}") for x in attrs]
-        )
-        n = lambda x: F.col(f"n{ids[x]}")
-        totals = per_value.agg(
-            *[F.count_if(n(x) > 0).alias(f"d{ids[x]}") for x in attrs],
-            *[F.max(n(x)).alias(f"m{ids[x]}") for x in attrs],
-            *[F.count_if((n(a) > 0) & (n(b) > 0)).alias(f"i{k}") for k, (a, b) in enumerate(fpairs)],
-        )
-        structs = [
-            F.struct(
-                F.lit(a.table).alias("source_table"),
-                F.lit(a.spec.name).alias("source_col"),
-                F.lit(b.table).alias("target_table"),
-                F.lit(b.spec.name).alias("target_col"),
-                F.col(f"i{k}").cast("bigint").alias("match_count"),
-                F.col(f"d{ids[a]}").cast("bigint").alias("source_distinct"),
-                F.col(f"d{ids[b]}").cast("bigint").alias("target_distinct"),
-                F.coalesce(F.col(f"m{ids[b]}") <= 1, F.lit(True)).alias("target_is_unique"),
-            )
-            for k, (a, b) in enumerate(fpairs)
-        ]
-        results.append(totals.select(F.inline(F.array(*structs))))
+        counted = _per_value(frames, attrs, ids, cls)
+        per_attr = counted.groupBy("a").agg(F.count("*").alias("distinct"), F.max("n").alias("most"))
+        sets = counted.groupBy("v").agg(F.sort_array(F.collect_list("a")).alias("held")).groupBy("held").agg(F.count("*").alias("k"))
+        wanted = local_rows(spark, [(ids[a], ids[b], a.table, a.spec.name, b.table, b.spec.name) for a, b in own],
+                            "s int, t int, source_table string, source_col string, target_table string, target_col string")
+        shared = (sets.where(F.size("held") > 1).select(F.explode("held").alias("s"), "held", "k")
+                  .join(wanted.select("s", "t"), "s").where(F.array_contains("held", F.col("t")))
+                  .groupBy("s", "t").agg(F.sum("k").alias("match_count")))
+        source = per_attr.select(F.col("a").alias("s"), F.col("distinct").alias("source_distinct"))
+        target = per_attr.select(F.col("a").alias("t"), F.col("distinct").alias("target_distinct"), F.col("most").alias("target_most"))
+        results.append(wanted.join(shared, ["s", "t"], "left").join(source, "s", "left").join(target, "t", "left").select(
+            "source_table", "source_col", "target_table", "target_col",
+            *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("match_count", "source_distinct", "target_distinct")],
+            F.coalesce(F.col("target_most") <= 1, F.lit(True)).alias("target_is_unique")))
     out = reduce(lambda x, y: x.unionByName(y), results)
     mr = ratio(F.col("match_count"), F.col("source_distinct"))
     return out.select(
@@ -137,8 +142,8 @@ def containment(frames: dict[str, DataFrame], sources=None, rule: "str | NameRul
         "source_distinct", "target_distinct",
         F.coalesce(mr, F.lit(0.0)).alias("match_ratio"),
         "target_is_unique",
-        ((F.col("source_distinct") > 0) & (mr >= F.lit(min_ratio))
-         & (F.col("target_distinct") >= F.col("match_count"))).alias("is_hint"),
+        F.coalesce((F.col("source_distinct") > 0) & (mr >= F.lit(min_ratio))
+                   & (F.col("target_distinct") >= F.col("match_count")), F.lit(False)).alias("is_hint"),
     )
 
 

@@ -1,33 +1,27 @@
 """One scan, many aggregates.
 
-Every per-column metric of the schema, PII and pattern operators is an
-aggregate expression.  ``FusedScan`` groups them into a few ``df.agg`` calls -
-each a file scan with a partial/final aggregate and no data shuffle - and
-turns the one wide result row into long form (one row per column) with
-``inline(array(struct(...)))``.
-
-Grouping rules (they decide whether whole-stage codegen stays on):
-
-* plain aggregates (count, min, max, avg, stddev, regex counts) of a chunk of
-  columns go together while their buffers stay under ``max_fields``
-  (Spark turns codegen off above ``spark.sql.codegen.maxFields`` = 100);
-* sketches (HyperLogLog++, quantile sketch) cannot be code-generated and would
-  switch it off for everything next to them, so they get chunks of their own.
-
-A columnar source reads a column once per chunk it appears in.
+Every per-column metric of the statistics, personal-data and pattern operators is
+an aggregate expression.  ``FusedScan`` puts them into one global aggregate: one
+scan of the table, partial aggregates per task, no data shuffled.  Sketches are
+binary buffers, so the aggregate has one buffer field per sketch and stays small
+for wide tables; a CSV or a derived view is parsed or computed once, whatever its width.
+
+The one wide result row becomes long form (one row per column, or per column and
+pattern) with ``inline(array(struct(...)))``, lazily: nothing runs until the result is
+used, and once the row has been fetched every long form reads that row only.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from ..functions.exprs import sql_str
 from ..functions.families import ColumnSpec
+from ..functions.frames import local_rows, schema_of
 
 ROWS = "_rows"
-PLAIN, SKETCH = "plain", "sketch"
 
 
 def alias(spec: ColumnSpec, key: str) -> str:
@@ -35,131 +29,77 @@ def alias(spec: ColumnSpec, key: str) -> str:
 
 
 class FusedScan:
-    """Aggregates of many operators over one table, evaluated in a few passes."""
+    """Aggregates of many operators over one table, evaluated in one scan."""
 
-    def __init__(self, df: DataFrame, specs: list[ColumnSpec], max_fields: int = 90):
+    def __init__(self, df: DataFrame, specs: Iterable[ColumnSpec]):
         self.df = df
         self.specs = list(specs)
-        self.max_fields = max_fields
-        # ordinal -> key -> (SQL expression, kind, buffer fields)
-        self._exprs: dict[int, dict[str, tuple[str, str, int]]] = {s.ordinal: {} for s in self.specs}
-        self._chunks: list[tuple[dict[int, list[str]], DataFrame]] | None = None
-        self.values: dict | None = None
+        self._exprs: dict[str, str] = {}
+        self._fields: list[T.StructField] = []
+        self._values: dict[str, object] | None = None
 
-    def add(self, spec: ColumnSpec, key: str, expr: str, kind: str = PLAIN, fields: int = 1) -> None:
+    def add(self, spec: ColumnSpec, key: str, expr: str) -> None:
         """Register an aggregate, written as SQL text over the table's columns."""
-        if self._chunks is not None:
-            raise RuntimeError("FusedScan already planned")
-        self._exprs[spec.ordinal].setdefault(key, (expr, kind, fields))
-
-    def has(self, spec: ColumnSpec, key: str) -> bool:
-        return key in self._exprs[spec.ordinal]
-
-    def _plan(self):
-        if self._chunks is None:
-            groups: list[list[tuple[int, str]]] = []
-            for kind, budget in ((PLAIN, self.max_fields), (SKETCH, 32)):
-                cur, size = [], 0
-                for s in self.specs:
-                    items = [(k, f) for k, (_, kd, f) in self._exprs[s.ordinal].items() if kd == kind]
-                    if not items:
-                        continue
-                    n = sum(f for _, f in items) if kind == PLAIN else len(items)
-                    if cur and size + n > budget:
-                        groups.append(cur)
-                        cur, size = [], 0
-                    cur += [(s.ordinal, k) for k, _ in items]
-                    size += n
-                if cur:
-                    groups.append(cur)
-            if not groups:
-                groups.append([])
-            chunks = []
-            by_ord = {s.ordinal: s for s in self.specs}
-            for g in groups:
-                exprs = [f"count(1) AS {ROWS}"]
-                owned: dict[int, list[str]] = {}
-                for o, k in g:
-                    exprs.append(f"{self._exprs[o][k][0]} AS {alias(by_ord[o], k)}")
-                    owned.setdefault(o, []).append(k)
-                # a global aggregate: selectExpr of aggregate functions, one py4j call
-                chunks.append((owned, self.df.selectExpr(*exprs)))
-            self._chunks = chunks
-        return self._chunks
-
-    def chunk_count(self) -> int:
-        return len(self._plan())
-
-    def materialize(self) -> "FusedScan":
-        """Run the passes now (one job: the union of the one-row chunk aggregates)
-        and keep the merged result row.  Its size depends on the schema, not on
-        the data, so later operators re-read nothing."""
-        if getattr(self, "values", None) is not None:
-            return self
-        spark = self.df.sparkSession
-        plans = self._plan()
-        merged_fields, merged_values = [], []
-        seen = set()
-        if len(plans) == 1:
-            results = [plans[0][1].collect()[0]]
-        else:
-            # one job: the chunk scans run side by side; rows are told apart by _chunk
-            tagged = [part.withColumn("_chunk", F.lit(i)) for i, (_, part) in enumerate(plans)]
-            got = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged).collect()
-            by_chunk = {r["_chunk"]: r for r in got}
-            results = [by_chunk[i] for i in range(len(plans))]
-        for (_, part), row in zip(plans, results):
-            for f in part.schema.fields:
-                if f.name in seen:
-                    continue
-                seen.add(f.name)
-                merged_fields.append(f)
-                merged_values.append(row[f.name])
-        out = FusedScan(self.df, self.specs, self.max_fields)
-        out._exprs = self._exprs
-        out._chunks = plans
-        out.values = dict(zip([f.name for f in merged_fields], merged_values))
-        return out
-
-    def with_values(self, extra: dict[tuple[ColumnSpec, str], object]) -> "FusedScan":
-        """Add per-column results computed elsewhere (pass 2) to the merged values."""
-        base = self.materialize()
-        out = FusedScan(self.df, self.specs, self.max_fields)
-        out._exprs = {o: dict(d) for o, d in self._exprs.items()}
-        for (spec, key) in extra:
-            out._exprs[spec.ordinal][key] = ("NULL", "extra", 0)
-        out._chunks = base._chunks
-        out.values = {**base.values, **{alias(spec, key): v for (spec, key), v in extra.items()}}
-        return out
+        self._exprs.setdefault(alias(spec, key), expr)
+
+    @property
+    def is_empty(self) -> bool:
+        return not self._exprs
+
+    def aggregate(self) -> DataFrame:
+        """The one-row aggregate, not run yet."""
+        return self.df.selectExpr(f"count(1) AS {ROWS}", *[f"{e} AS {a}" for a, e in self._exprs.items()])
+
+    def collect(self) -> "FusedScan":
+        """Run the scan now and keep its row, whose size the schema sets."""
+        if self._values is None:
+            frame = self.aggregate()
+            self._values = frame.first().asDict()
+            self._fields = list(frame.schema.fields)
+        return self
+
+    def adopt(self, others: Iterable["FusedScan"]) -> "FusedScan":
+        """Take the rows of other scans of the same table instead of scanning."""
+        self._values = {}
+        for o in others:
+            self._fields += [f for f in o._fields if f.name not in self._values]
+            self._values.update(o._values)
+        return self
+
+    def put(self, spec: ColumnSpec, key: str, value, kind: T.DataType) -> None:
+        """Add a result computed by a later pass."""
+        self.collect()
+        name = alias(spec, key)
+        self._fields = [f for f in self._fields if f.name != name] + [T.StructField(name, kind)]
+        self._values[name] = value
 
     def get(self, spec: ColumnSpec, key: str):
-        """Python value of one metric after ``materialize``."""
-        return self.materialize().values.get(alias(spec, key))
+        return self.collect()._values.get(alias(spec, key))
 
     @property
     def rows(self) -> int:
-        return self.materialize().values.get(ROWS) or 0
-
-    def row_count(self) -> Column:
-        return F.col(ROWS)
-
-    def long(self, specs: Iterable[ColumnSpec], build: Callable[[ColumnSpec], tuple | list[tuple]],
-             schema: str) -> DataFrame:
-        """Long form: for every spec in ``specs``, ``build(spec)`` gives one row (or a
-        list of rows) read from the merged pass results, already cast to their final
-        types inside the aggregates.  The rows are schema-sized (one per column or
-        per column and pattern), so they become a local relation; nothing is compiled
-        or scanned again for them.  Runs the passes first if needed."""
-        self.materialize()
-        rows: list[tuple] = []
+        return self.collect()._values.get(ROWS) or 0
+
+    def _frame(self) -> tuple[DataFrame, set[str]]:
+        if self._values is None:
+            return self.aggregate(), set(self._exprs) | {ROWS}
+        fields = [f for f in self._fields if f.name in self._values]
+        return (local_rows(self.df.sparkSession, [tuple(self._values[f.name] for f in fields)], T.StructType(fields)),
+                {f.name for f in fields})
+
+    def long(self, specs: Iterable[ColumnSpec], build: Callable[[ColumnSpec, Callable[[str], str]], list[tuple]], schema: str) -> DataFrame:
+        """Long form: ``build(spec, ref)`` gives rows of SQL expressions in the order of ``schema``;
+        ``ref(key)`` names a metric of the column, null if there is none."""
+        fields = schema_of(schema).fields
+        frame, known = self._frame()
+        rows = []
         for s in specs:
-            b = build(s)
-            rows.extend(b if isinstance(b, list) else [b])
-        return self.df.sparkSession.createDataFrame(rows, schema)
-
-    def value(self, spec: ColumnSpec, key: str) -> str:
-        """SQL reference to a metric in the result row."""
-        return alias(spec, key)
-
-    def row_count_sql(self) -> str:
-        return ROWS
+            def ref(key, s=s):
+                return alias(s, key) if alias(s, key) in known else "NULL"
+
+            for values in build(s, ref):
+                items = ", ".join(f"{sql_str(f.name)}, CAST({v} AS {f.dataType.simpleString()})" for f, v in zip(fields, values))
+                rows.append(f"named_struct({items})")
+        if not rows:
+            return local_rows(self.df.sparkSession, [], schema)
+        return frame.selectExpr(f"inline(array({', '.join(rows)}))")

@@ -1,29 +1,29 @@
 """Column schema, statistics, primary-key candidates and IQR outliers.
 
-``column_profile`` returns one row per column of the profiled table.  Pass 1
-is the fused aggregate (null/non-null counts, distinct estimate, extremes,
-mean, deviation and - in approximate mode - the quartile sketch).  Pass 2
-depends on pass 1 only through tiny per-column results:
+``column_profile`` returns one row per column of the profiled table, over all its
+rows.  The first pass is the fused aggregate (null and non-null counts, distinct
+estimate, extremes, mean, deviation, quartile sketch).  The second pass depends on
+the first only through a few values per column:
 
-* approximate mode: one more job with the outlier counts (the fences enter as
-  literals computed from the pass-1 quartiles) and exact distinct counts only
-  for the columns that pass the key gate;
-* exact mode: exact distinct counts and discrete quartiles for every column,
-  see :mod:`tabscope.operators.quantiles`.
+* outlier counts, with the fences as literals;
+* exact distinct counts: in exact mode of every column, else of the columns that
+  pass the key gate, so that a key is only claimed when it has been proved.
+
+In exact mode the quartiles are exact too, see :mod:`tabscope.operators.quantiles`.
+NaN is left out of the quartiles; it lies above every fence, as in any comparison.
 """
 from __future__ import annotations
 
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import ratio, sql_double, sql_id, sql_str
-from ..functions.patterns_fixed import IQR_FENCE
 from ..functions.families import ColumnSpec, column_specs
 from ..options import ProfileOptions
 from . import quantiles as Q
-from .scan import ROWS, SKETCH, FusedScan
+from .scan import ROWS, FusedScan
 
 STATS_LONG = (
     "ordinal int, column string, spark_type string, type_family string, nullable boolean, "
@@ -33,13 +33,8 @@ STATS_LONG = (
     "outlier_count bigint"
 )
 
-PROFILE_COLUMNS = [
-    "source_table", "ordinal", "column", "spark_type", "type_family", "nullable",
-    "row_count", "profiled_rows", "null_count", "null_pct", "non_null_count",
-    "cardinality_est", "distinct_exact", "uniqueness_ratio", "is_pk_candidate",
-    "min_num", "max_num", "min_str", "max_str", "mean_val", "stddev_val",
-    "q1", "q3", "lower_bound", "upper_bound", "outlier_count", "has_outliers",
-]
+#: How far below the row count the estimate of a key may be (the sketch's error is 0.01 by default).
+KEY_SLACK = 0.15
 
 
 def add_stats_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
@@ -48,234 +43,132 @@ def add_stats_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
         scan.add(s, "nulls", f"count_if({q} IS NULL)")
         scan.add(s, "nn", f"count({q})")
         if not opts.exact and s.distinct_capable:
-            scan.add(s, "adist", f"approx_count_distinct({q}, {sql_double(opts.rsd)})", SKETCH)
+            scan.add(s, "adist", f"hll_sketch_estimate(hll_sketch_agg(CASE WHEN {q} IS NOT NULL THEN xxhash64({q}) END, {opts.sketch_lg_k}))")
         # results are cast to their report types inside the aggregate
         if s.minmax_kind is not None:
             typ = "DOUBLE" if s.minmax_kind == "num" else "STRING"
             scan.add(s, "min", f"CAST(min({q}) AS {typ})")
             scan.add(s, "max", f"CAST(max({q}) AS {typ})")
         if s.is_numeric:
-            scan.add(s, "mean", f"CAST(avg({q}) AS DOUBLE)", fields=2)
-            scan.add(s, "std", f"CAST(stddev_samp({q}) AS DOUBLE)", fields=3)
-            if not opts.exact:
-                scan.add(s, "qa", f"CAST(percentile_approx({q}, array(0.25D, 0.75D), {opts.sketch_accuracy}) "
-                                  "AS ARRAY<DOUBLE>)", SKETCH)
-
-
-def _stats_row(scan: FusedScan, s: ColumnSpec) -> tuple:
-    kind = s.minmax_kind
-    g = scan.get
-    return (
-        s.ordinal, s.name, s.spark_type, s.family, s.nullable, scan.rows,
-        g(s, "nulls"), g(s, "nn"), g(s, "adist"), g(s, "dexact"),
-        g(s, "min") if kind == "num" else None, g(s, "max") if kind == "num" else None,
-        g(s, "min") if kind == "str" else None, g(s, "max") if kind == "str" else None,
-        g(s, "mean"), g(s, "std"), g(s, "q1"), g(s, "q3"), g(s, "lb"), g(s, "ub"), g(s, "outl"),
-    )
-
-
-def stats_long(scan: FusedScan) -> DataFrame:
-    return scan.long(scan.specs, lambda s: _stats_row(scan, s), STATS_LONG)
+            scan.add(s, "mean", f"CAST(avg({q}) AS DOUBLE)")
+            scan.add(s, "std", f"CAST(stddev_samp({q}) AS DOUBLE)")
+            if opts.exact:
+                Q.add_bracket_aggs(scan, s)
+            else:
+                scan.add(s, "qa", f"percentile_approx({s.sql_number}, array(0.25D, 0.75D), {opts.sketch_accuracy})")
+
+
+def _distinct_slots(specs: list[ColumnSpec]) -> tuple[list[tuple[str, str]], dict[int, tuple[str, str]]]:
+    """(name, type) of the key slots, and for each column its slot and key expression.
+
+    All columns share a scan and a shuffle: whole numbers, dates, times and booleans
+    go as a bigint, floating numbers as a double, texts, bytes and decimals as bytes (long
+    ones as their SHA-256, told apart by a mark), and each nested type has a slot of its own."""
+    kinds: dict[str, tuple[str, str]] = {"i": ("i", "bigint"), "d": ("d", "double"), "s": ("s", "binary")}
+    at: dict[int, tuple[str, str]] = {}
+    for s in specs:
+        q, dt = sql_id(s.name), s.dtype
+        if s.is_integral or isinstance(dt, T.BooleanType):
+            at[s.ordinal] = "i", f"CAST({q} AS BIGINT)"
+        elif isinstance(dt, T.DateType):
+            at[s.ordinal] = "i", f"CAST(unix_date({q}) AS BIGINT)"
+        elif isinstance(dt, T.TimestampType):
+            at[s.ordinal] = "i", f"unix_micros({q})"
+        elif isinstance(dt, (T.FloatType, T.DoubleType)):
+            at[s.ordinal] = "d", f"CAST({q} AS DOUBLE)"
+        elif isinstance(dt, (T.StringType, T.BinaryType, T.DecimalType)):
+            b = q if isinstance(dt, T.BinaryType) else f"CAST(CAST({q} AS STRING) AS BINARY)"
+            at[s.ordinal] = "s", f"CASE WHEN octet_length({b}) > 64 THEN concat(X'01', unhex(sha2({b}, 256))) ELSE concat(X'00', {b}) END"
+        else:
+            name = kinds.setdefault(dt.simpleString(), (f"x{len(kinds)}", dt.simpleString()))[0]
+            at[s.ordinal] = name, q
+    used = {slot for slot, _ in at.values()}
+    return [k for k in kinds.values() if k[0] in used], at
 
 
 def exact_distinct(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
-    """(ordinal, distinct_exact).  Columns of the same type share one scan and one
-    shuffle: each row emits (ordinal, value) per column, the partial aggregate
-    drops repeats map-side, then the groups are counted per ordinal."""
-    by_type: dict[str, list[ColumnSpec]] = {}
-    for s in specs:
-        by_type.setdefault(s.dtype.simpleString(), []).append(s)
-    parts = []
-    for group in by_type.values():
-        u = df.select(F.inline(F.array(*[
-            F.struct(F.lit(s.ordinal).cast("int").alias("ordinal"), s.col.alias("k")) for s in group])))
-        parts.append(
-            u.where(F.col("k").isNotNull()).distinct()
-            .groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_exact"))
-        )
-    if not parts:
+    """(ordinal, distinct_exact): one scan, one shuffle of the distinct values.  The partial
+    aggregate drops repeats before the shuffle, so a hot value is one row per task."""
+    slots, at = _distinct_slots(specs)
+    if not specs:
         return df.sparkSession.createDataFrame([], "ordinal int, distinct_exact bigint")
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-_EXACT_IN_DOUBLE = 2 ** 53
-
-
-def _double_injective(s: ColumnSpec, lo, hi) -> bool:
-    """Does the cast to double keep distinct values distinct for this column?"""
-    from pyspark.sql import types as T
-
-    if s.double_is_exact:
-        return True
-    if isinstance(s.dtype, T.LongType):
-        return lo is not None and hi is not None and max(abs(lo), abs(hi)) <= _EXACT_IN_DOUBLE
-    if isinstance(s.dtype, T.DecimalType):
-        return s.dtype.precision <= 15
-    return False
+    rows = []
+    for s in specs:
+        own, key = at[s.ordinal]
+        cells = ", ".join(f"'{slot}', {key if slot == own else f'CAST(NULL AS {typ})'}" for slot, typ in slots)
+        rows.append(f"named_struct('ordinal', {s.ordinal}, {cells})")
+    names = [slot for slot, _ in slots]
+    some = " OR ".join(f"{n} IS NOT NULL" for n in names)
+    keys = df.selectExpr(f"inline(array({', '.join(rows)}))").where(some).groupBy("ordinal", *names).agg(F.lit(1).alias("_"))
+    return keys.groupBy("ordinal").agg(F.count("*").alias("distinct_exact"))
 
 
-def key_gate_one(n: int, nulls, est, opts: ProfileOptions) -> bool:
+def passes_key_gate(n: int, nulls, est, opts: ProfileOptions) -> bool:
     """Is a column worth an exact distinct count (no nulls, estimate near the rows)?"""
     if not n or (nulls or 0) != 0 or est is None:
         return False
-    return (opts.pk_gate == "none" or (opts.pk_gate == "strict" and est == n)
-            or (opts.pk_gate == "tolerant" and est >= n * (1.0 - 3.0 * opts.rsd)))
-
-
-def fence(q1: float, q3: float) -> tuple[float, float]:
-    """IQR fence from quartiles (same double arithmetic as the column expressions)."""
-    iqr = q3 - q1
-    return q1 - IQR_FENCE * iqr, q3 + IQR_FENCE * iqr
-
+    return opts.pk_gate == "none" or (est == n if opts.pk_gate == "strict" else est >= n * (1.0 - KEY_SLACK))
 
-def second_pass(df: DataFrame, bounds: dict[int, tuple[float, float]], gated: list[ColumnSpec],
-                specs: list[ColumnSpec], max_fields: int) -> dict[int, dict[str, int]]:
-    """Outlier counts (fences as literals) and exact distinct counts of key
-    candidates, in one job.  Returns {ordinal: {"outliers": n, "distinct": d}}."""
-    parts = []
-    numeric = [s for s in specs if s.ordinal in bounds]
-    if numeric:
-        scan = FusedScan(df, numeric, max_fields)
-        for s in numeric:
-            lo, hi = bounds[s.ordinal]
-            q = sql_id(s.name)
-            scan.add(s, "out", f"count_if({q} < {sql_double(lo)} OR {q} > {sql_double(hi)})")
-        for owned, part in scan._plan():
-            structs = [
-                f"named_struct('ordinal', {o}, 'metric', 'outliers', 'value', CAST(c{o}__out AS BIGINT))"
-                for o in owned
-            ]
-            parts.append(part.selectExpr(f"inline(array({', '.join(structs)}))"))
-    if gated:
-        parts.append(exact_distinct(df, gated).select(
-            "ordinal", F.lit("distinct").alias("metric"), F.col("distinct_exact").alias("value")))
-    out: dict[int, dict[str, int]] = {}
-    if parts:
-        for r in reduce(lambda a, b: a.unionByName(b), parts).collect():
-            out.setdefault(r["ordinal"], {})[r["metric"]] = r["value"]
-    return out
-
-
-def _exact_extras(df: DataFrame, specs: list[ColumnSpec], opts: ProfileOptions,
-                  scan: FusedScan | None = None) -> dict[int, dict]:
-    """Exact distinct counts, discrete quartiles and outlier counts: one
-    checkpointed ranking of numeric values plus one job for everything else.
-    Returns {ordinal: {"dexact": d, "q1": .., "q3": .., "outl": n}}."""
-    numeric = [s for s in specs if s.is_numeric]
-    via_values = {s.ordinal for s in numeric if _double_injective(
-        s, scan.get(s, "min") if scan else None, scan.get(s, "max") if scan else None)}
-    parts = [
-        d.select("ordinal", F.lit("dexact").alias("metric"), F.col("distinct_exact").cast("double").alias("x"))
-        for d in [exact_distinct(df, [s for s in specs if s.distinct_capable and s.ordinal not in via_values])]
-    ]
-    if numeric:
-        ranked = Q.ranked_values(Q.value_counts(df, numeric), opts.quantile_partitions)
-        totals = ranked.groupBy("ordinal").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("d"))
-        parts.append(totals.where(F.col("ordinal").isin(sorted(via_values) or [-1])).select(
-            "ordinal", F.lit("dexact").alias("metric"), F.col("d").cast("double").alias("x")))
-        quart = Q.exact_quartiles(ranked, totals.select("ordinal", "n"))
-        lb, ub = Q.iqr_bounds(F.col("q1"), F.col("q3"))
-        bounds = quart.select("ordinal", "q1", "q3", lb.alias("lower_bound"), ub.alias("upper_bound"))
-        outl = Q.outliers_from_values(ranked, bounds)
-        parts.append(quart.select("ordinal", F.lit("q1").alias("metric"), F.col("q1").alias("x")))
-        parts.append(quart.select("ordinal", F.lit("q3").alias("metric"), F.col("q3").alias("x")))
-        parts.append(outl.select("ordinal", F.lit("outl").alias("metric"), F.col("outlier_count").cast("double")
-                                 .alias("x")))
-    out: dict[int, dict] = {}
-    for r in reduce(lambda a, b: a.unionByName(b), parts).collect():
-        v = r["x"]
-        out.setdefault(r["ordinal"], {})[r["metric"]] = int(v) if r["metric"] in ("dexact", "outl") else v
-    return out
-
-
-def _new_scan(df: DataFrame, opts: ProfileOptions) -> FusedScan:
-    scan = FusedScan(df, column_specs(df.schema, opts.extended_types), opts.max_fields_per_pass)
-    add_stats_aggs(scan, opts)
-    return scan
 
+def outlier_counts(df: DataFrame, specs: list[ColumnSpec], bounds: dict[int, tuple[float, float]]) -> dict[int, int]:
+    """Rows outside the fence, per column: one scan."""
+    scan = FusedScan(df, [s for s in specs if s.ordinal in bounds])
+    for s in scan.specs:
+        lo, hi = bounds[s.ordinal]
+        q = sql_id(s.name)
+        scan.add(s, "out", f"count_if({q} < {sql_double(lo)} OR {q} > {sql_double(hi)})")
+    return {s.ordinal: scan.get(s, "out") for s in scan.specs}
 
-def column_profile(
-    df: DataFrame,
-    opts: ProfileOptions | None = None,
-    source_table: str = "table",
-    row_count: int | None = None,
-    sampled: bool = False,
-    scan: FusedScan | None = None,
-) -> DataFrame:
-    """One row per column: schema, key candidacy and statistics (see PROFILE_COLUMNS).
 
-    ``row_count`` is the row count of the whole table when ``df`` is a sample of
-    it; ratios always divide by the rows actually profiled and no column of a
-    sample is called a key.  The table is read by pass 1 (the fused aggregate)
-    and pass 2 (outliers and exact distinct counts); both results are one value
-    per column, merged into one driver-side row, so the returned DataFrame
-    costs nothing to read again.
-    """
-    opts = opts or ProfileOptions()
-    if scan is None:
-        from ..plans.lineage import spread_out
-
-        work, spread = spread_out(df, opts.spread_below, opts.spread_max_bytes)
-        try:
-            return column_profile(work, opts, source_table, row_count, sampled,
-                                  _new_scan(work, opts))
-        finally:
-            if spread:
-                work.unpersist()
-    specs = column_specs(df.schema, opts.extended_types)
-    scan = scan.materialize()
+def second_pass(scan: FusedScan, opts: ProfileOptions, specs: list[ColumnSpec]) -> None:
+    """Quartiles, fences, outliers and exact distinct counts, added to the first pass's row."""
+    df, n = scan.df, scan.rows
+    if not n:
+        return
     numeric = [s for s in specs if s.is_numeric]
-    n = scan.rows
-    extras: dict[tuple[ColumnSpec, str], object] = {}
-    if n > 0 and opts.exact:
-        got = _exact_extras(df, specs, opts, scan)
-        for s in specs:
-            g = got.get(s.ordinal, {})
-            if s.distinct_capable:
-                extras[(s, "dexact")] = g.get("dexact", 0)
-            if s.is_numeric and g.get("q1") is not None:
-                extras[(s, "q1")], extras[(s, "q3")] = g["q1"], g["q3"]
-                extras[(s, "lb")], extras[(s, "ub")] = fence(g["q1"], g["q3"])
-                extras[(s, "outl")] = g.get("outl", 0)
-    elif n > 0:
-        gated = [] if sampled else [
-            s for s in specs if s.distinct_capable and key_gate_one(n, scan.get(s, "nulls"), scan.get(s, "adist"), opts)]
-        bounds = {}
-        for s in numeric:
-            qa = scan.get(s, "qa")
-            if qa is not None and qa[0] is not None and qa[1] is not None:
-                q1, q3 = float(qa[0]), float(qa[1])
-                extras[(s, "q1")], extras[(s, "q3")] = q1, q3
-                bounds[s.ordinal] = fence(q1, q3)
-                extras[(s, "lb")], extras[(s, "ub")] = bounds[s.ordinal]
-        got = second_pass(df, bounds, gated, specs, opts.max_fields_per_pass)
-        for s in specs:
-            g = got.get(s.ordinal, {})
-            if "distinct" in g:
-                extras[(s, "dexact")] = g["distinct"]
-            if s.ordinal in bounds:
-                extras[(s, "outl")] = g.get("outliers", 0)
-    scan = scan.with_values(extras)
-    base = stats_long(scan)
-
-    prof = F.col("profiled_rows")
+    if opts.exact:
+        quartiles = Q.exact_quartiles(df, numeric, scan)
+        counted = [s for s in specs if s.distinct_capable]
+    else:
+        sketched = {s.ordinal: scan.get(s, "qa") for s in numeric}
+        quartiles = {o: tuple(qa) for o, qa in sketched.items() if qa and None not in qa}
+        counted = [s for s in specs if s.distinct_capable and passes_key_gate(n, scan.get(s, "nulls"), scan.get(s, "adist"), opts)]
+    bounds = {o: Q.fence(*q) for o, q in quartiles.items()}
+    outliers = outlier_counts(df, numeric, bounds)
+    distinct = {r[0]: r[1] for r in exact_distinct(df, counted).collect()} if counted else {}
+    for s in specs:
+        if s in counted:
+            scan.put(s, "dexact", distinct.get(s.ordinal, 0), T.LongType())
+        if s.ordinal in bounds:
+            for key, x in zip(("q1", "q3", "lb", "ub"), (*quartiles[s.ordinal], *bounds[s.ordinal])):
+                scan.put(s, key, float(x), T.DoubleType())
+            scan.put(s, "outl", outliers[s.ordinal], T.LongType())
+
+
+def _stats_rows(s: ColumnSpec, ref) -> list[tuple]:
+    num, text = s.minmax_kind == "num", s.minmax_kind == "str"
+    return [(
+        s.ordinal, sql_str(s.name), sql_str(s.spark_type), sql_str(s.family), str(s.nullable).lower(), ROWS,
+        ref("nulls"), ref("nn"), ref("adist"), ref("dexact"),
+        ref("min") if num else "NULL", ref("max") if num else "NULL", ref("min") if text else "NULL", ref("max") if text else "NULL",
+        ref("mean"), ref("std"), ref("q1"), ref("q3"), ref("lb"), ref("ub"), ref("outl"),
+    )]
+
+
+def profile_from(scan: FusedScan, opts: ProfileOptions, source_table: str, specs: list[ColumnSpec]) -> DataFrame:
+    """The column profile of a scan that has been through :func:`second_pass`."""
+    rows = F.col("profiled_rows")
     card = F.col("distinct_exact") if opts.exact else F.col("cardinality_est")
-    is_pk = (
-        F.lit(not sampled)
-        & (F.col("null_count") == 0)
-        & F.col("distinct_exact").isNotNull()
-        & (F.col("distinct_exact") == prof)
-    )
-    return base.where(prof > 0).select(
+    is_pk = (F.col("null_count") == 0) & (F.col("distinct_exact") == rows)
+    return scan.long(specs, _stats_rows, STATS_LONG).where(rows > 0).select(
         F.lit(source_table).alias("source_table"),
         "ordinal", "column", "spark_type", "type_family", "nullable",
-        (F.lit(row_count).cast("bigint") if row_count is not None else prof).alias("row_count"),
-        "profiled_rows", "null_count",
-        ratio(F.col("null_count"), prof).alias("null_pct"),
+        rows.alias("row_count"), "profiled_rows", "null_count",
+        ratio(F.col("null_count"), rows).alias("null_pct"),
         "non_null_count",
         card.cast("bigint").alias("cardinality_est"),
         "distinct_exact",
-        ratio(F.coalesce(F.col("distinct_exact"), card), prof).alias("uniqueness_ratio"),
+        ratio(F.coalesce(F.col("distinct_exact"), card), rows).alias("uniqueness_ratio"),
         F.coalesce(is_pk, F.lit(False)).alias("is_pk_candidate"),
         "min_num", "max_num", "min_str", "max_str", "mean_val", "stddev_val",
         "q1", "q3", "lower_bound", "upper_bound", "outlier_count",
@@ -283,6 +176,15 @@ def column_profile(
     )
 
 
+def column_profile(df: DataFrame, opts: ProfileOptions | None = None, source_table: str = "table") -> DataFrame:
+    """One row per column: schema, key candidacy and statistics over all rows."""
+    opts = opts or ProfileOptions()
+    scan = FusedScan(df, column_specs(df.schema, opts.extended_types))
+    add_stats_aggs(scan, opts)
+    second_pass(scan, opts, scan.specs)
+    return profile_from(scan, opts, source_table, scan.specs)
+
+
 def column_schema(profile: DataFrame) -> DataFrame:
     """Schema view of a column profile: name, type, nullability, key candidacy."""
     return profile.select(

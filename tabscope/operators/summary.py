@@ -1,12 +1,11 @@
-"""Which columns deserve a look: interest score and the top-columns cut."""
+"""Which columns deserve a look: interest score, rank and the top-columns mark."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns_fixed import (
-    INTERESTING_NULL_PCT, KEEP_ALL_COLUMNS_UP_TO, SCORE_OUTLIER, SCORE_PATTERN, SCORE_PII, SCORE_PK,
-    TOP_COLUMNS,
+    INTERESTING_NULL_PCT, SCORE_OUTLIER, SCORE_PATTERN, SCORE_PII, SCORE_PK, TABLE_ORDER_UP_TO, TOP_COLUMNS,
 )
 
 _KEYS = ["source_table", "ordinal", "column"]
@@ -39,16 +38,14 @@ def column_scores(profile: DataFrame, pii_findings: DataFrame, pattern_findings:
     )
 
 
-def top_columns(scores: DataFrame, keep_all_up_to: int = KEEP_ALL_COLUMNS_UP_TO,
-                top: int = TOP_COLUMNS) -> DataFrame:
-    """Small tables keep every column in table order; wider ones keep ``top``
-    columns: interesting first, then by score, ties in table order."""
+def top_columns(scores: DataFrame, table_order_up_to: int = TABLE_ORDER_UP_TO, top: int = TOP_COLUMNS) -> DataFrame:
+    """Every column with ``rank`` and ``in_top``.  Tables of up to ``table_order_up_to`` columns rank them in table
+    order, all in the top; wider ones rank interesting columns first, then by score, ties in table order, and the
+    first ``top`` are marked."""
     per_table = Window.partitionBy("source_table")
-    order = Window.partitionBy("source_table").orderBy(
-        F.desc("interesting"), F.desc("score"), F.asc("ordinal"))
-    by_ord = Window.partitionBy("source_table").orderBy("ordinal")
-    ranked = scores.withColumn("_n", F.count(F.lit(1)).over(per_table)).withColumn(
-        "rank",
-        F.when(F.col("_n") <= keep_all_up_to, F.row_number().over(by_ord)).otherwise(F.row_number().over(order)),
-    )
-    return ranked.where(F.col("rank") <= F.when(F.col("_n") <= keep_all_up_to, F.col("_n")).otherwise(top)).drop("_n")
+    by_score = per_table.orderBy(F.desc("interesting"), F.desc("score"), F.asc("ordinal"))
+    narrow = F.count("*").over(per_table) <= table_order_up_to
+    ranked = scores.select("*", narrow.alias("_narrow"), F.row_number().over(per_table.orderBy("ordinal")).alias("_nth"),
+                           F.row_number().over(by_score).alias("_best"))
+    ranked = ranked.withColumn("rank", F.when(F.col("_narrow"), F.col("_nth")).otherwise(F.col("_best")))
+    return ranked.withColumn("in_top", F.col("_narrow") | (F.col("rank") <= top)).drop("_narrow", "_nth", "_best")

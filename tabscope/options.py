@@ -1,6 +1,7 @@
 """Knobs shared by all profile operators."""
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from .functions.patterns_fixed import DEFAULT_CUSTOM_PATTERNS
@@ -10,39 +11,32 @@ from .functions.patterns_fixed import DEFAULT_CUSTOM_PATTERNS
 class ProfileOptions:
     """How a table is profiled.
 
-    exact          exact distinct counts and exact (discrete) quartiles instead of
-                   HyperLogLog++ and the quantile sketch; every value is shuffled.
-    rsd            relative standard deviation of ``approx_count_distinct``.
+    exact          exact distinct counts and exact (discrete) quartiles of every column instead of
+                   sketches; the distinct values are shuffled.
+    rsd            relative standard deviation of the distinct-count sketch.
     quantile_error relative rank error of the quartile sketch (``1/accuracy``).
-    pk_gate        ``tolerant``: verify keys whose estimate is within 3*rsd of the row
+    pk_gate        ``tolerant``: verify keys whose estimate is within 15 % of the row
                    count; ``strict``: only when the estimate equals it; ``none``: all.
     extended_types byte/short count as numeric, dates and timestamps get min/max.
     custom_patterns (name, regex) pairs added to the universal patterns; a name
-                   equal to a universal one replaces its regex in place.
+                   equal to a universal one replaces its regex in place
+                   (``patterns.patterns_from`` reads them from a table).
     credit_card    add the Luhn-checked CREDIT_CARD personal-data type.
-    max_fields_per_pass  upper bound of aggregation-buffer fields of the plain
-                   aggregates in one scan; wider tables are split into column chunks
-                   so whole-stage codegen stays on (Spark's limit is 100).
-    spread_below   when a table arrives in fewer partitions than this fraction of
-                   the default parallelism and is estimated at most
-                   ``spread_max_bytes``, it is spread over all cores and kept (memory
-                   and disk) for the few passes of a profile.  Larger tables are never
-                   re-shuffled or cached by this step.
-    quantile_partitions range partitions for exact quartiles (default: shuffle partitions).
     """
 
     exact: bool = False
-    rsd: float = 0.05
+    rsd: float = 0.01
     quantile_error: float = 0.05
     pk_gate: str = "tolerant"
     extended_types: bool = False
     custom_patterns: tuple[tuple[str, str], ...] = field(default=DEFAULT_CUSTOM_PATTERNS)
     credit_card: bool = False
-    max_fields_per_pass: int = 90
-    spread_below: float = 0.5
-    spread_max_bytes: int = 1 << 30
-    quantile_partitions: int | None = None
 
     @property
     def sketch_accuracy(self) -> int:
         return max(1, int(round(1.0 / self.quantile_error)))
+
+    @property
+    def sketch_lg_k(self) -> int:
+        """Size of the distinct-count sketch whose error is about 1.04 / sqrt(2 ** k)."""
+        return min(21, max(4, math.ceil(2 * math.log2(1.04 / self.rsd))))

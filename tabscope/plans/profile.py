@@ -1,157 +1,135 @@
 """Whole-table and batch profiling.
 
-Per table the work is: a row count, pass 1 (the fused aggregate of all
-operators, one row per column chunk comes back), pass 2 (outlier scan plus
-exact distinct counts of key candidates).  Foreign keys for every table of a
-batch are found in one job.  Everything after the passes runs on results whose
-size is set by the schemas, not the data.  Each step is isolated: a failure is
-recorded in the report's ``errors`` and the rest goes on.
+Per table the work is the first pass (the fused aggregate of all operators: one scan,
+one row comes back) and the second (outliers and exact distinct counts of key
+candidates).  Foreign keys of all tables of a batch are found together.  The reports are
+built from one-row relations, lazily, and all rows of every table are profiled.
+
+Failures stay where they happen.  If the first pass fails, each operator tries each column
+alone, and only what fails then is missing, with an entry in ``errors``.  A table that can't
+be read at all still has a report, and foreign keys are searched among the others.
 """
 from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.families import column_specs
-from ..functions.patterns_fixed import (
-    DEFAULT_SOURCE_SYSTEM, REPORT_SCHEMA_VERSION, SAMPLE_ABOVE_ROWS, SAMPLE_TARGET_ROWS,
-)
+from ..functions.families import ColumnSpec, column_specs, quote
+from ..functions.frames import local_rows
+from ..functions.patterns_fixed import DEFAULT_SOURCE_SYSTEM, REPORT_SCHEMA_VERSION
 from ..operators import interpret, patterns, pii, relations, stats, summary
 from ..operators.scan import FusedScan
-from .lineage import spread_out
 from ..options import ProfileOptions
+from ..sources.readers import discover_siblings, read_source
+from ..sources.spec import SourceSpec
 
 _META = (
     "report_id string, source_table string, source_system string, display_name string, "
-    "profiled_at timestamp, row_count bigint, profiled_rows bigint, sampled boolean, errors array<string>"
+    "profiled_at_us bigint, row_count bigint, errors array<string>"
 )
-
-
-def local(df: DataFrame) -> DataFrame:
-    """Bring a schema-sized result (one row per column) to the driver once, so
-    the several reports built from it do not recompute it."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
-def sampling_guard(df: DataFrame, row_count: int, above: int = SAMPLE_ABOVE_ROWS,
-                   target: int = SAMPLE_TARGET_ROWS, seed: int = 42) -> tuple[DataFrame, bool]:
-    """Bernoulli sample of about ``target`` rows when the table has more than ``above``."""
-    if row_count > above:
-        return df.sample(withReplacement=False, fraction=target / row_count, seed=seed), True
-    return df, False
+_EMPTY = {
+    "profile": "source_table string, ordinal int, column string, spark_type string, type_family string, nullable boolean, "
+               "row_count bigint, profiled_rows bigint, null_count bigint, null_pct double, non_null_count bigint, "
+               "cardinality_est bigint, distinct_exact bigint, uniqueness_ratio double, is_pk_candidate boolean, "
+               "min_num double, max_num double, min_str string, max_str string, mean_val double, stddev_val double, "
+               "q1 double, q3 double, lower_bound double, upper_bound double, outlier_count bigint, has_outliers boolean",
+    "pii_scores": "source_table string, ordinal int, column string, pii_type string, priority int, "
+                  "non_null_count bigint, match_count bigint, confidence double",
+    "pattern_scores": "source_table string, ordinal int, column string, pattern string, layer string, priority int, "
+                      "non_null_count bigint, match_count bigint, match_ratio double",
+}
+_TOOLS = (("statistics", stats.add_stats_aggs), ("personal data", pii.add_pii_aggs), ("patterns", patterns.add_pattern_aggs))
 
 
 @dataclass
 class TableProfile:
+    """The long-form results of one table; each reads a one-row relation, not the table."""
+
     source_table: str
     display_name: str
     source_system: str
-    row_count: int
-    profiled_rows: int | None
-    sampled: bool
+    row_count: int | None
     profile: DataFrame
     pii_scores: DataFrame
-    pii_findings: DataFrame
     pattern_scores: DataFrame
-    pattern_findings: DataFrame
     errors: list[str] = field(default_factory=list)
     timings: dict[str, float] = field(default_factory=dict)
     report_id: str = field(default_factory=lambda: str(uuid.uuid4()))
-    profiled_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc).replace(tzinfo=None))
+    profiled_at_us: int = field(default_factory=lambda: time.time_ns() // 1000)
 
+    @property
+    def pii_findings(self) -> DataFrame:
+        return pii.pii_findings(self.pii_scores)
+
+    @property
+    def pattern_findings(self) -> DataFrame:
+        return patterns.pattern_findings(self.pattern_scores, self.profile)
+
+
+def _said(e: Exception) -> str:
+    return next((x for x in str(e).splitlines() if x.strip()), type(e).__name__)
+
+
+def _first_pass(df: DataFrame, opts: ProfileOptions, errors: list[str]) -> tuple[FusedScan, dict[str, list[ColumnSpec]]]:
+    """The scan with its row, and the columns that each operator got through."""
+    specs = column_specs(df.schema, opts.extended_types)
+    scan = FusedScan(df, specs)
+    for _, add in _TOOLS:
+        add(scan, opts)
+    try:
+        return scan.collect(), {tool: specs for tool, _ in _TOOLS}
+    except Exception:  # noqa: BLE001 - find out below which column or operator it was
+        pass
+    parts, done = [], {tool: [] for tool, _ in _TOOLS}
+    for s in specs:
+        for tool, add in _TOOLS:
+            one = FusedScan(df, [s])
+            add(one, opts)
+            if one.is_empty:
+                continue
+            try:
+                parts.append(one.collect())
+                done[tool].append(s)
+            except Exception as e:  # noqa: BLE001 - recorded
+                errors.append(f"{tool} of column {s.name}: {_said(e)}")
+    if not parts:
+        parts.append(FusedScan(df, []).collect())  # rows alone; if that fails too, the table can't be read
+    return scan.adopt(parts), done
 
-_PROFILE_SCHEMA = (
-    "source_table string, ordinal int, column string, spark_type string, type_family string, nullable boolean, "
-    "row_count bigint, profiled_rows bigint, null_count bigint, null_pct double, non_null_count bigint, "
-    "cardinality_est bigint, distinct_exact bigint, uniqueness_ratio double, is_pk_candidate boolean, "
-    "min_num double, max_num double, min_str string, max_str string, mean_val double, stddev_val double, "
-    "q1 double, q3 double, lower_bound double, upper_bound double, outlier_count bigint, has_outliers boolean"
-)
-_PII_SCORES = (
-    "source_table string, ordinal int, column string, pii_type string, priority int, "
-    "non_null_count bigint, match_count bigint, confidence double"
-)
-_PII_FINDINGS = "source_table string, ordinal int, column string, is_pii boolean, pii_type string, confidence double"
-_PAT_SCORES = (
-    "source_table string, ordinal int, column string, pattern string, layer string, priority int, "
-    "non_null_count bigint, match_count bigint, match_ratio double"
-)
-_PAT_FINDINGS = (
-    "source_table string, ordinal int, column string, patterns array<string>, heuristics array<string>, "
-    "uniqueness_score double"
-)
 
+def _unread(spark: SparkSession, table: str, display_name: str | None, source_system: str, errors: list[str]) -> TableProfile:
+    empty = {k: local_rows(spark, [], v) for k, v in _EMPTY.items()}
+    return TableProfile(table, display_name or table, source_system, None, **empty, errors=errors)
 
-def profile_table(df: DataFrame, table: str, opts: ProfileOptions | None = None,
-                  display_name: str | None = None, source_system: str = DEFAULT_SOURCE_SYSTEM,
-                  sample: bool = True) -> TableProfile:
-    """Profile one table; every returned DataFrame is small and already computed."""
+
+def profile_table(df: DataFrame, table: str, opts: ProfileOptions | None = None, display_name: str | None = None,
+                  source_system: str = DEFAULT_SOURCE_SYSTEM) -> TableProfile:
+    """Profile one table, over all its rows; what fails is in ``errors``."""
     opts = opts or ProfileOptions()
-    spark = df.sparkSession
     errors: list[str] = []
-    timings: dict[str, float] = {}
-    clock = [time.perf_counter()]
-
-    def lap(name):
-        now = time.perf_counter()
-        timings[name] = round(now - clock[0], 3)
-        clock[0] = now
-
-    row_count = df.count()
-    lap("count")
-    work, sampled = sampling_guard(df, row_count) if sample else (df, False)
-    cached = []
-    if sampled:
-        work = work.persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(work)
-    work, spread = spread_out(work, opts.spread_below, opts.spread_max_bytes)
-    if spread:
-        cached.append(work)
+    began = time.perf_counter()
     try:
-        specs = column_specs(work.schema, opts.extended_types)
-        scan = FusedScan(work, specs, opts.max_fields_per_pass)
-        stats.add_stats_aggs(scan, opts)
-        pii.add_pii_aggs(scan, opts)
-        patterns.add_pattern_aggs(scan, opts)
-        try:
-            scan = scan.materialize()
-        except Exception as e:  # noqa: BLE001 - recorded, profile goes on empty
-            errors.append(f"Scan failed: {e}")
-            scan = None
-        lap("pass1")
-
-        prof = spark.createDataFrame([], _PROFILE_SCHEMA)
-        ps = spark.createDataFrame([], _PII_SCORES)
-        pts = spark.createDataFrame([], _PAT_SCORES)
-        if scan is not None:
-            try:
-                prof = local(stats.column_profile(work, opts, table, row_count=row_count, sampled=sampled,
-                                                  scan=scan))
-            except Exception as e:  # noqa: BLE001
-                errors.append(f"ColumnProfile failed: {e}")
-            lap("pass2")
-            # both read the materialised pass-1 row only: no further scan of the table
-            ps = pii.pii_scores_from(scan, opts, table)
-            pts = patterns.pattern_scores_from(scan, opts, table)
-        pf = pii.pii_findings(ps)
-        ptf = patterns.pattern_findings(pts, prof)
-        profiled = scan.values.get("_rows") if scan is not None else None
-    finally:
-        for c in cached:
-            c.unpersist()
+        scan, done = _first_pass(df, opts, errors)
+    except Exception as e:  # noqa: BLE001 - recorded
+        return _unread(df.sparkSession, table, display_name, source_system, [*errors, f"reading {table}: {_said(e)}"])
+    first = time.perf_counter()
+    try:
+        stats.second_pass(scan, opts, done["statistics"])
+    except Exception as e:  # noqa: BLE001 - recorded; the first pass stands
+        errors.append(f"second pass: {_said(e)}")
+    timings = {"pass1": round(first - began, 3), "pass2": round(time.perf_counter() - first, 3)}
     return TableProfile(
-        table, display_name or table, source_system, row_count,
-        profiled if profiled is not None else (0 if row_count == 0 else None),
-        sampled, prof, ps, pf, pts, ptf, errors, timings=timings,
-    )
+        table, display_name or table, source_system, scan.rows,
+        stats.profile_from(scan, opts, table, done["statistics"]),
+        pii.pii_scores_from(scan, opts, table, done["personal data"]),
+        patterns.pattern_scores_from(scan, opts, table, done["patterns"]), errors, timings)
 
 
 @dataclass
@@ -161,33 +139,22 @@ class BatchProfile:
     report: DataFrame
 
     def union(self, attr: str) -> DataFrame:
-        return reduce(lambda a, b: a.unionByName(b), [getattr(t, attr) for t in self.tables])
+        return _union([getattr(t, attr) for t in self.tables])
 
 
-def _meta(spark: SparkSession, tables: list[TableProfile], fk_error: str | None) -> DataFrame:
-    rows = [
-        (t.report_id, t.source_table, t.source_system, t.display_name, t.profiled_at, t.row_count,
-         t.profiled_rows, t.sampled, t.errors + ([fk_error] if fk_error else []))
-        for t in tables
-    ]
-    return spark.createDataFrame(rows, _META)
+def _union(frames: Iterable[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def build_report(meta: DataFrame, profile: DataFrame, pii_findings: DataFrame,
                  pattern_findings: DataFrame, fk: DataFrame, names: dict[str, str]) -> DataFrame:
-    """One nested report row per table.
-
-    All inputs hold one row per column, finding or key pair - their size is set
-    by the schemas - so they are gathered into one partition, joined per column,
-    and folded into the report with a single grouping per table."""
+    """One nested report row per table, by one grouping per table of inputs that hold a row per column,
+    finding or key pair.  Lazy."""
     keys = ["source_table", "ordinal", "column"]
-    meta, profile, pii_findings, pattern_findings, fk = (
-        d.coalesce(1) for d in (meta, profile, pii_findings, pattern_findings, fk))
     pi = pii_findings.select(*keys, F.struct("ordinal", "column", "is_pii", "pii_type", "confidence").alias("_pi"))
     pt = pattern_findings.select(*keys, F.struct("ordinal", "column", "patterns", "heuristics",
                                                  "uniqueness_score").alias("_pt"))
-    per_col = profile.join(pi, keys, "left").join(pt, keys, "left")
-    per_col = interpret.with_dq_flags(per_col)
+    per_col = interpret.with_dq_flags(profile.join(pi, keys, "left").join(pt, keys, "left"))
     grouped = per_col.groupBy("source_table").agg(
         F.array_sort(F.collect_list(F.struct(
             "ordinal", F.col("column").alias("name"), "spark_type", "nullable", "is_pk_candidate",
@@ -207,7 +174,7 @@ def build_report(meta: DataFrame, profile: DataFrame, pii_findings: DataFrame,
         return F.coalesce(F.col(c), F.array().cast(j.schema[c].dataType))
 
     return j.select(
-        "report_id", "source_table", "source_system", "profiled_at", "row_count", "profiled_rows",
+        "report_id", "source_table", "source_system", F.timestamp_micros("profiled_at_us").alias("profiled_at"), "row_count",
         arr("columns").alias("columns"), arr("stats").alias("stats"), arr("pii_info").alias("pii_info"),
         arr("detected_patterns").alias("detected_patterns"), arr("fk_hints").alias("fk_hints"),
         interpret.interpretation_struct(names).alias("interpretation"),
@@ -215,53 +182,90 @@ def build_report(meta: DataFrame, profile: DataFrame, pii_findings: DataFrame,
     )
 
 
+def _foreign_keys(frames: dict[str, DataFrame], sources: list[str], rule, opts: ProfileOptions) -> tuple[DataFrame, dict[str, str]]:
+    """Hints among the tables whose key columns can be read, and what was wrong with the others."""
+    spark = next(iter(frames.values())).sparkSession
+    wrong: dict[str, str] = {}
+    for _ in range(2):
+        own = {t: df for t, df in frames.items() if t not in wrong}
+        try:
+            hints = relations.fk_hints(own, [s for s in sources if s in own], rule, extended=opts.extended_types)
+            return local_rows(spark, [tuple(r) for r in hints.collect()], hints.schema), wrong
+        except Exception as e:  # noqa: BLE001 - look for the table that fails
+            pairs = relations.candidate_pairs(own, [s for s in sources if s in own], rule, opts.extended_types)
+            columns: dict[str, set[str]] = {}
+            for a in {x for p in pairs for x in p}:
+                columns.setdefault(a.table, set()).add(a.spec.name)
+            for t, names in columns.items():
+                try:
+                    own[t].selectExpr(*[f"count({quote(c)})" for c in names]).first()
+                except Exception as single:  # noqa: BLE001
+                    wrong[t] = f"foreign keys: {_said(single)}"
+            if not wrong:
+                wrong = {t: f"foreign keys: {_said(e)}" for t in own}
+                break
+    return local_rows(spark, [], relations.FK_SCHEMA).drop("is_hint"), wrong
+
+
 def profile_tables(frames: dict[str, DataFrame], opts: ProfileOptions | None = None,
                    display_names: dict[str, str] | None = None,
                    source_systems: dict[str, str] | None = None,
                    fk_sources=None, fk_targets: dict[str, DataFrame] | None = None,
-                   fk_rule="default", parallelism: int = 4, sample: bool = True) -> BatchProfile:
-    """Profile many tables.  Tables run concurrently from a bounded thread pool
-    (each is its own set of Spark jobs); a table that fails is skipped and the
-    rest of the batch goes on.  Foreign keys of every table against every other
-    (plus ``fk_targets``) are found in one job."""
+                   fk_rule="default", parallelism: int = 4, failed: dict[str, str] | None = None) -> BatchProfile:
+    """Profile many tables.  Tables run concurrently from a bounded thread pool (each is its own
+    Spark jobs).  Foreign keys of every table against every other (plus ``fk_targets``) are found
+    together.  ``failed``: tables that couldn't be loaded, with the reason; they get reports too."""
     opts = opts or ProfileOptions()
-    names = display_names or {}
-    systems = source_systems or {}
-    spark = next(iter(frames.values())).sparkSession
+    names, systems = display_names or {}, source_systems or {}
+    spark = next((df.sparkSession for df in frames.values()), None) or SparkSession.active()
 
     def one(item):
         t, df = item
-        try:
-            return profile_table(df, t, opts, names.get(t), systems.get(t, DEFAULT_SOURCE_SYSTEM), sample)
-        except Exception:  # noqa: BLE001 - a failing table is skipped
-            return None
+        return profile_table(df, t, opts, names.get(t), systems.get(t, DEFAULT_SOURCE_SYSTEM))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        done = [p for p in pool.map(one, frames.items()) if p is not None]
-    all_frames = {**(fk_targets or {}), **frames}
-    fk_error = None
-    try:
-        fk = local(relations.fk_hints(all_frames, sources=fk_sources if fk_sources is not None else list(frames),
-                                      rule=fk_rule, extended=opts.extended_types))
-    except Exception as e:  # noqa: BLE001
-        fk_error = f"RelationTool failed: {e}"
-        fk = spark.createDataFrame([], ", ".join(
-            f"{c} {t}" for c, t in zip(relations.FK_COLUMNS[:-1], [
-                "string", "string", "string", "string", "bigint", "bigint", "bigint", "double", "boolean"])))
-    if not done:
-        empty = spark.createDataFrame([], _META)
-        return BatchProfile([], fk, empty)
-    batch = BatchProfile(done, fk, None)
-    meta = _meta(spark, done, fk_error)
-    shown = {t.source_table: t.display_name for t in done}
-    # findings once over all tables (small inputs, one partition) rather than per table
-    profile = batch.union("profile").coalesce(1)
-    pf = pii.pii_findings(batch.union("pii_scores").coalesce(1))
-    ptf = patterns.pattern_findings(batch.union("pattern_scores").coalesce(1), profile)
-    batch.report = local(build_report(meta, profile, pf, ptf, fk, shown))
+        tables = list(pool.map(one, frames.items()))
+    tables += [_unread(spark, t, names.get(t), systems.get(t, DEFAULT_SOURCE_SYSTEM), [f"reading {t}: {why}"]) for t, why in (failed or {}).items()]
+    readable = {t: df for t, df in frames.items() if next(x for x in tables if x.source_table == t).row_count is not None}
+    everything = {**{t: df for t, df in (fk_targets or {}).items() if t not in frames}, **readable}
+    fk = local_rows(spark, [], relations.FK_SCHEMA).drop("is_hint")
+    if everything:
+        fk, wrong = _foreign_keys(everything, list(fk_sources if fk_sources is not None else readable), fk_rule, opts)
+        for t in tables:
+            t.errors += [wrong[t.source_table]] if t.source_table in wrong else []
+    meta = local_rows(spark, [(t.report_id, t.source_table, t.source_system, t.display_name, t.profiled_at_us, t.row_count, t.errors) for t in tables], _META)
+    if not tables:
+        return BatchProfile([], fk, meta)
+    batch = BatchProfile(tables, fk, meta)
+    profile = batch.union("profile")
+    batch.report = build_report(meta, profile, pii.pii_findings(batch.union("pii_scores")),
+                                patterns.pattern_findings(batch.union("pattern_scores"), profile), fk, {t.source_table: t.display_name for t in tables})
     return batch
 
 
+def profile_sources(spark: SparkSession, specs: Iterable[SourceSpec], opts: ProfileOptions | None = None, data_root: str = "data",
+                    siblings: bool = True, **batch) -> BatchProfile:
+    """Load and profile the tables that the specs name.  With ``siblings`` the other tables in the folder of a
+    typed source serve as foreign-key targets.  A source that can't be read gets a report with the reason."""
+    frames, failed, names, systems, folders = {}, {}, {}, {}, {}
+    for s in specs:
+        names[s.table], systems[s.table] = s.display_name, s.source_system
+        try:
+            frames[s.table] = read_source(spark, s, data_root)
+            frames[s.table].schema  # noqa: B018 - an unreadable source fails here
+            if siblings and not s.path and s.connection_type in ("parquet", "delta"):
+                folders[f"{data_root.rstrip('/')}/{s.connection_type}"] = s.connection_type
+        except Exception as e:  # noqa: BLE001 - recorded
+            frames.pop(s.table, None)
+            failed[s.table] = _said(e)
+    targets: dict[str, DataFrame] = {}
+    for folder, kind in folders.items():
+        found, skipped = discover_siblings(spark, folder, exclude=[*frames, *failed], fmt=kind)
+        targets.update(found)
+        failed.update({t: why for t, why in skipped.items() if t not in frames})
+    return profile_tables(frames, opts, names, systems, fk_targets=targets, failed=failed, **batch)
+
+
 def batch_summary(reports: DataFrame) -> DataFrame:
     """Table, entity, rows and confidence per report."""
     return reports.select(
@@ -273,8 +277,8 @@ def batch_summary(reports: DataFrame) -> DataFrame:
 
 
 def summarize(batch: BatchProfile) -> DataFrame:
-    """Interest scores and the top-columns cut for every profiled table."""
-    profile = batch.union("profile").coalesce(1)
-    scores = summary.column_scores(profile, pii.pii_findings(batch.union("pii_scores").coalesce(1)),
-                                   patterns.pattern_findings(batch.union("pattern_scores").coalesce(1), profile))
+    """Interest scores and ranks for every profiled table."""
+    profile = batch.union("profile")
+    scores = summary.column_scores(profile, pii.pii_findings(batch.union("pii_scores")),
+                                   patterns.pattern_findings(batch.union("pattern_scores"), profile))
     return summary.top_columns(scores)

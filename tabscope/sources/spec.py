@@ -5,9 +5,6 @@ from dataclasses import dataclass, field
 
 from ..functions.patterns_fixed import DEFAULT_SOURCE_SYSTEM
 
-CONNECTION_TYPES = ("parquet", "delta", "csv", "file", "catalog", "databricks", "duckdb")
-FORMATS = ("parquet", "delta", "csv")
-
 
 @dataclass(frozen=True)
 class SourceSpec:
@@ -23,7 +20,7 @@ class SourceSpec:
     table: str
     name: str | None = None
     source_system: str = DEFAULT_SOURCE_SYSTEM
-    database: str = "banking"
+    database: str | None = None
     connection_type: str = "parquet"
     path: str | None = None
     format: str | None = None

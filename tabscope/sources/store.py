@@ -17,7 +17,7 @@ def report_rows(reports: DataFrame) -> DataFrame:
     """Nested reports to the 5 stored columns (+ the day partition)."""
     return reports.select(
         "report_id", "source_table", "source_system", "profiled_at",
-        F.to_json(F.struct(*[F.col(c) for c in reports.columns])).alias("report_json"),
+        F.to_json(F.struct(*[F.col(c) for c in reports.columns]), {"ignoreNullFields": "false"}).alias("report_json"),
         F.to_date("profiled_at").alias("profiled_date"),
     )
 
@@ -47,12 +47,12 @@ def read_reports(spark: SparkSession, path: str | None = None, table: str | None
 def report_by_id(spark: SparkSession, report_id: str, path: str | None = None, table: str | None = None) -> DataFrame:
     """Stored rows of one report (the equality filter reaches the Parquet scan)."""
     return read_reports(spark, path, table).where(F.col("report_id") == F.lit(report_id)).select(
-        "report_id", "source_table", "report_json")
+        "report_id", "source_table", "profiled_at", "report_json")
 
 
 def get_report(spark: SparkSession, report_id: str, path: str | None = None, table: str | None = None) -> dict | None:
-    """The report document as a dict, or None when the id is unknown."""
+    """The report document as a dict (of several with the id, the latest), or None when the id is unknown."""
     if table is None and (path is None or not path_exists(spark, path)):
         return None
-    rows = report_by_id(spark, report_id, path, table).select("report_json").limit(1).collect()
+    rows = report_by_id(spark, report_id, path, table).orderBy(F.desc("profiled_at"), "report_json").limit(1).collect()
     return json.loads(rows[0]["report_json"]) if rows else None

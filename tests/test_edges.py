@@ -2,6 +2,9 @@
 and every threshold at and just beyond its boundary."""
 from decimal import Decimal
 
+import pytest
+from pyspark.sql import functions as F
+
 import tabscope as ts
 from tabscope.operators import interpret, patterns, pii, relations, stats, summary
 
@@ -97,6 +100,9 @@ def test_credit_card_opt_in(spark):
     opts = ts.ProfileOptions(credit_card=True)
     s = {r["pii_type"]: r for r in pii.pii_scores(_strings(spark, vals), opts).collect()}
     assert s["CREDIT_CARD"]["match_count"] == 3
+    later = ["order 1234567890123 card 4111 1111 1111 1111", "1234567890123 only", "5500-0000-0000-0004"]
+    s = {r["pii_type"]: r for r in pii.pii_scores(_strings(spark, later), opts).collect()}
+    assert s["CREDIT_CARD"]["match_count"] == 2
     assert "CREDIT_CARD" not in {r["pii_type"] for r in pii.pii_scores(_strings(spark, vals)).collect()}
 
 
@@ -126,15 +132,15 @@ def test_fk_boundary(spark):
     assert relations.fk_hints({"src": src89, "tgt": target}, sources=["src"]).count() == 0
 
 
-def test_wide_table_top_30(spark):
+def test_wide_table_ranks_every_column_and_marks_30(spark):
     df = spark.range(20).selectExpr(*[f"id * {i} AS c{i:02d}" for i in range(60)])
     prof = stats.column_profile(df, EXACT, "w")
     pf = pii.pii_findings(pii.pii_scores(df, EXACT, "w"))
     ptf = patterns.pattern_findings(patterns.pattern_scores(df, EXACT, "w"), prof)
     top = summary.top_columns(summary.column_scores(prof, pf, ptf)).orderBy("rank").collect()
-    assert len(top) == 30
-    # c01..c59 are unique keys (interesting); c00 is constant 0 - never in the cut
-    assert [r["column"] for r in top] == [f"c{i:02d}" for i in range(1, 31)]
+    # c01..c59 are unique keys (interesting); c00 is constant 0 and comes last
+    assert [r["column"] for r in top] == [f"c{i:02d}" for i in [*range(1, 60), 0]]
+    assert [r["in_top"] for r in top] == [True] * 30 + [False] * 30
 
 
 def test_small_table_keeps_all_columns_in_order(spark):
@@ -142,19 +148,20 @@ def test_small_table_keeps_all_columns_in_order(spark):
     prof = stats.column_profile(df, EXACT, "s")
     top = summary.top_columns(summary.column_scores(prof, pii.pii_findings(pii.pii_scores(df, EXACT, "s")),
                                                     patterns.pattern_findings(patterns.pattern_scores(df, EXACT, "s"), prof)))
-    assert [r["column"] for r in top.orderBy("rank").collect()] == ["k", "t"]
+    assert [(r["column"], r["in_top"]) for r in top.orderBy("rank").collect()] == [("k", True), ("t", True)]
 
 
-def test_dq_flags_may_reach_eleven(spark):
-    # nine columns with one flag (high null rate), then one with two (nulls and outliers)
-    exprs = [f"CASE WHEN id < 5 THEN NULL ELSE id END AS n{i}" for i in range(9)]
+def test_dq_flags_and_key_candidates_are_complete(spark):
+    exprs = [f"CASE WHEN id < 5 THEN NULL ELSE id END AS n{i}" for i in range(14)]
     exprs.append("CASE WHEN id < 5 THEN NULL WHEN id = 19 THEN 1000 ELSE id END AS both")
-    exprs.append("CASE WHEN id < 5 THEN NULL ELSE id END AS late")
+    exprs += [f"id + {i} AS k{i}" for i in range(5)]
     df = spark.range(20).selectExpr(*exprs)
     prof = stats.column_profile(df, EXACT, "f")
     flags = interpret.dq_flags(prof).collect()[0]["dq_flags"]
-    assert len(flags) == 11
-    assert flags[-1] == "both shows outliers (IQR heuristic)." and flags[0] == "n0 has high null rate (25%)."
+    assert flags[:14] == [f"n{i} has high null rate (25%)." for i in range(14)]
+    assert flags[14:] == ["both has high null rate (25%).", "both shows outliers (IQR heuristic)."]
+    keys = interpret.bk_candidates(prof).collect()[0]["bk_candidates"]
+    assert [k["column"] for k in keys] == [f"k{i}" for i in range(5)]
 
 
 def test_odd_names_and_types_through_the_batch(spark):
@@ -169,3 +176,55 @@ def test_odd_names_and_types_through_the_batch(spark):
         st = {s.column: s for s in rep.stats}
         assert st["dec"].max_num == 49.0 and st["a.b"].min_str == "x0"
         assert [p.column for p in rep.pii_info] == ["contact_name"]
+
+
+def test_guards_change_no_match(spark):
+    from tabscope.functions.exprs import literal_prefix
+    assert [literal_prefix(x) for x in (r"ACC-\d{6}", "ab?c", "a|b", r"^x", "", "abc", "ab*", "a+", "(?i)ab", r"a\.b")] == [
+        "ACC-", "a", "", "", "", "abc", "a", "a", "", "a"]
+    vals = ["EUR", "EUR\n", "EUR\r\n", "EURO", "DEUTDEFF", "DEUTDEFFXXX\r\n", "DE12345678901234\n", "DE1234567890123", "DE123456789012", "2024-01-02T", "20240102",
+            "a@b.com", "ab.com", "a@b.com\n", "xACC-123456", "ACC-12345", None, ""]
+    df = _strings(spark, vals)
+    got = {r["pattern"]: r["match_count"] for r in patterns.pattern_scores(df).collect()}
+    plain = {n: df.selectExpr(f"count_if(v RLIKE r'{rx}')").first()[0] for n, rx, _ in patterns.all_patterns(ts.ProfileOptions().custom_patterns)}
+    assert got == plain
+
+
+def test_patterns_from_a_table(spark):
+    table = spark.createDataFrame([("ZIP", r"^\d{5}$"), ("EMAIL", "@"), (None, "x")], "name string, regex string")
+    custom = ts.patterns_from(table)
+    assert custom == (("EMAIL", "@"), ("ZIP", r"^\d{5}$"))
+    got = {r["pattern"]: r for r in ts.pattern_scores(_strings(spark, ["12345", "1", "a@"]), ts.ProfileOptions(custom_patterns=custom)).collect()}
+    assert got["ZIP"]["match_count"] == 1 and (got["EMAIL"]["match_count"], got["EMAIL"]["layer"]) == (1, "custom")
+    with pytest.raises(ValueError):
+        ts.patterns_from(spark.createDataFrame([("a", "x"), ("a", "y")], "name string, regex string"))
+
+
+def test_nan_in_both_modes(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(float(i), nan if i % 10 < 3 else float(i), nan, nan if i == 7 else 1.0) for i in range(1000)], "a double, b double, c double, d double")
+    for opts in (ts.ProfileOptions(quantile_error=0.001), EXACT):
+        p = by_col(ts.column_profile(df, opts))
+        assert abs(p["b"]["q1"] - 249) <= 3 and abs(p["b"]["q3"] - 749) <= 3 and p["b"]["outlier_count"] == 300  # NaN is above any fence
+        assert p["c"]["q1"] is None and p["c"]["outlier_count"] is None and p["c"]["distinct_exact"] in (1, None)
+        assert (p["d"]["q1"], p["d"]["upper_bound"], p["d"]["outlier_count"]) == (1.0, 1.0, 1)
+    assert by_col(ts.column_profile(df, EXACT))["b"]["q1"] == df.selectExpr("percentile_disc(0.25) WITHIN GROUP (ORDER BY nanvl(b, NULL))").first()[0]
+
+
+def test_whole_numbers_beyond_double_precision(spark):
+    big = 2 ** 53
+    df = spark.createDataFrame([(big, Decimal("1" + "0" * 30)), (big + 1, Decimal("1" + "0" * 29 + "1"))], "k bigint, d decimal(38,0)")
+    for opts in (ts.ProfileOptions(), EXACT):
+        p = by_col(ts.column_profile(df, opts))
+        assert p["k"]["distinct_exact"] == 2 and p["k"]["is_pk_candidate"]
+        assert p["d"]["distinct_exact"] == 2 and p["d"]["is_pk_candidate"]
+
+
+def test_distinct_counts_of_every_type(spark):
+    long = "x" * 100
+    df = spark.createDataFrame([(0.0, "a", long + "1", b"a", True, [1]), (-0.0, "a", long + "2", b"b", False, [1]), (float("nan"), None, long + "2", b"", None, [2]),
+                                (float("nan"), "", long + "1", None, True, None)], "f double, s string, l string, b binary, t boolean, r array<int>")
+    df = df.selectExpr("*", "DATE'2024-01-01' + CAST(f > 0 AS INT) AS day", "TIMESTAMP'2024-01-01 00:00:00' AS at", "CAST(f AS FLOAT) AS g", "named_struct('x', s) AS st")
+    got = {r["ordinal"]: r["distinct_exact"] for r in stats.exact_distinct(df, ts.column_specs(df.schema)).collect()}
+    want = df.agg(*[F.countDistinct(F.when(F.col(c).isNotNull(), F.struct(c))) for c in df.columns]).first()
+    assert [got.get(i + 1, 0) for i in range(len(df.columns))] == list(want)

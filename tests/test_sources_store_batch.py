@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import tabscope as ts
 from tabscope.sources.readers import discover_siblings, infer_format, read_path
-from tabscope.plans.profile import batch_summary, sampling_guard, summarize
+from tabscope.plans.profile import batch_summary, summarize
 
 from conftest import SF_SMALL
 
@@ -38,7 +38,7 @@ def test_parquet_by_path_and_format_inference(spark, scratch):
 def test_catalog_table(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS banking")
     spark.range(4).write.mode("overwrite").saveAsTable("banking.acct")
-    assert ts.read_source(spark, ts.SourceSpec(table="acct", connection_type="catalog")).count() == 4
+    assert ts.read_source(spark, ts.SourceSpec(table="acct", database="banking", connection_type="catalog")).count() == 4
 
 
 def test_sibling_discovery_skips_store_and_broken(spark, scratch):
@@ -47,8 +47,15 @@ def test_sibling_discovery_skips_store_and_broken(spark, scratch):
         spark.range(2).write.parquet(os.path.join(root, t))
     os.makedirs(os.path.join(root, "broken"))
     open(os.path.join(root, "broken", "x.parquet"), "w").write("not parquet")
-    found = discover_siblings(spark, root, exclude=["a"])
-    assert sorted(found) == ["b"]
+    found, failed = discover_siblings(spark, root, exclude=["a"])
+    assert sorted(found) == ["b"] and list(failed) == ["broken"] and failed["broken"]
+
+
+def test_catalog_siblings(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS siblings")
+    for name in ("one", "two", "profiling_reports"):
+        spark.range(2).write.mode("overwrite").saveAsTable(f"siblings.{name}")
+    assert {k: df.count() for k, df in ts.catalog_tables(spark, "siblings", exclude=["TWO"]).items()} == {"one": 2}
 
 
 def test_report_store_round_trip(spark, scratch):
@@ -63,18 +70,48 @@ def test_report_store_round_trip(spark, scratch):
     doc = ts.get_report(spark, rid, path=store)
     assert doc["source_table"] == "labels" and doc["schema_version"] == "1.1.0"
     assert doc["fk_hints"][0]["target_table"] == "documents"
+    assert doc["stats"][0]["q1"] is not None and "max_str" in doc["stats"][0] and doc["stats"][0]["max_str"] is None  # nulls are kept
+    later = batch.report.where("source_table = 'labels'").withColumn("profiled_at", F.expr("profiled_at + INTERVAL 1 DAY")).withColumn("source_system", F.lit("new"))
+    ts.write_reports(later, path=store)
+    assert ts.get_report(spark, rid, path=store)["source_system"] == "new"
     assert ts.get_report(spark, "missing", path=store) is None
-    assert ts.read_reports(spark, store).count() == 4
+    assert ts.read_reports(spark, store).count() == 5
 
 
 def test_batch_isolates_a_failing_table(spark):
-    good = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
-    bad = spark.range(3).selectExpr("raise_error('boom') AS x")
-    batch = ts.profile_tables({"nation": good, "bad": bad})
-    tables = {r.source_table: r for r in batch.report.collect()}
-    assert "nation" in tables and tables["nation"].errors == []
-    if "bad" in tables:
-        assert tables["bad"].errors
+    frames = {t: spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("nation", "labels", "documents")}
+    frames["bad"] = spark.range(3).selectExpr("raise_error('boom') AS x", "CAST(raise_error('boom') AS BIGINT) AS doc_id")
+    frames["worse"] = spark.range(3).where("raise_error('lost') IS NULL").selectExpr("id AS doc_id")
+    reports = {r.source_table: r for r in ts.profile_tables(frames, failed={"gone": "no such file"}).report.collect()}
+    assert set(reports) == {*frames, "gone"}
+    assert all(reports[t].errors == [] for t in ("nation", "labels", "documents"))
+    assert reports["bad"].row_count == 3 and reports["bad"].columns == []
+    assert any("column x" in e and "boom" in e for e in reports["bad"].errors) and any("foreign keys" in e for e in reports["bad"].errors)
+    assert reports["worse"].row_count is None and "lost" in reports["worse"].errors[0]
+    assert reports["gone"].errors == ["reading gone: no such file"]
+    assert [h.target_table for h in reports["labels"].fk_hints] == ["documents"]
+
+
+def test_a_bad_column_costs_that_column_only(spark):
+    df = spark.range(50).selectExpr("id AS ok_id", "CASE WHEN id = 7 THEN raise_error('broken cell') ELSE concat('a', id, '@x.com') END AS bad_id", "concat('ACC-', 100000 + id) AS account")
+    p = ts.profile_table(df, "t")
+    assert [r["column"] for r in p.profile.orderBy("ordinal").collect()] == ["ok_id", "account"]
+    assert {r["column"] for r in p.pattern_findings.collect()} >= {"ok_id", "account"} - {"ok_id"}
+    assert p.row_count == 50 and all("bad_id" in e and "broken cell" in e for e in p.errors) and len(p.errors) == 3
+
+
+def test_sources_as_specs_with_siblings_and_an_unreadable_one(spark, scratch):
+    for t in ("labels", "documents"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").write.parquet(os.path.join(scratch, "parquet", t))
+    os.makedirs(os.path.join(scratch, "parquet", "broken"))
+    open(os.path.join(scratch, "parquet", "broken", "x.parquet"), "w").write("not parquet")
+    specs = [ts.SourceSpec(table="labels", name="doc_labels", source_system="crm"), ts.SourceSpec(table="missing")]
+    batch = ts.profile_sources(spark, specs, data_root=scratch)
+    reports = {r.source_table: r for r in batch.report.collect()}
+    assert set(reports) == {"labels", "missing", "broken"}
+    assert reports["labels"].interpretation.suggested_entity_name == "Doc Labels" and reports["labels"].source_system == "crm"
+    assert reports["labels"].fk_hints[0].target_table == "documents"  # a sibling, not profiled itself
+    assert reports["missing"].errors and reports["broken"].errors and reports["missing"].row_count is None
 
 
 def test_full_batch_report_shape(spark):
@@ -94,17 +131,6 @@ def test_full_batch_report_shape(spark):
     assert len(top) == 6
 
 
-def test_sampling_guard(spark):
-    df = spark.range(1000)
-    same, sampled = sampling_guard(df, 1000)
-    assert same is df and not sampled
-    s, sampled = sampling_guard(df, 1000, above=100, target=100, seed=3)
-    assert sampled and 40 < s.count() < 200
-    assert s.count() == sampling_guard(df, 1000, above=100, target=100, seed=3)[0].count()
-    p = ts.column_profile(s, row_count=1000, sampled=True).first()
-    assert p["row_count"] == 1000 and p["profiled_rows"] < 1000 and p["is_pk_candidate"] is False
-
-
 def test_report_store_catalog_table(spark):
     frames = {"region": spark.read.parquet(f"{SF_SMALL}/region.parquet")}
     batch = ts.profile_tables(frames)
@@ -114,17 +140,3 @@ def test_report_store_catalog_table(spark):
     doc = ts.get_report(spark, rid, table="profiling.reports")
     assert doc["source_table"] == "region" and doc["columns"][0]["name"] == "r_regionkey"
     assert set(spark.table("profiling.reports").columns) >= {"report_id", "report_json", "profiled_date"}
-
-
-def test_spread_out_only_below_the_size_bound(spark):
-    from tabscope.plans.lineage import size_estimate, spread_out
-
-    df = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
-    assert df.rdd.getNumPartitions() == 1 and size_estimate(df) > 1000
-    same, spread = spread_out(df, max_bytes=1000)
-    assert same is df and not spread
-    wide, spread = spread_out(df)
-    try:
-        assert spread and wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    finally:
-        wide.unpersist()

@@ -8,11 +8,10 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 import tabscope as ts  # noqa: E402
 from tabscope.functions.families import column_specs  # noqa: E402
-from tabscope.operators import pii, patterns, quantiles, relations, stats  # noqa: E402
+from tabscope.operators import pii, patterns, relations, stats  # noqa: E402
 from tabscope.operators.scan import FusedScan  # noqa: E402
 
 
@@ -23,17 +22,17 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     opts = ts.ProfileOptions()
-    scan = FusedScan(li, column_specs(li.schema), opts.max_fields_per_pass)
+    specs = column_specs(li.schema)
+    scan = FusedScan(li, specs)
     stats.add_stats_aggs(scan, opts)
     pii.add_pii_aggs(scan, opts)
     patterns.add_pattern_aggs(scan, opts)
-    for i, (owned, part) in enumerate(scan._plan()):
-        print(f"===== pass 1, chunk {i} ({len(owned)} columns)")
-        part.explain("formatted")
-    print("===== exact quartiles: value counts before the range partitioning")
-    quantiles.value_counts(li, [s for s in column_specs(li.schema) if s.is_numeric]).explain("formatted")
+    print("===== first pass")
+    scan.aggregate().explain("formatted")
+    print("===== exact distinct counts")
+    stats.exact_distinct(li, specs).explain("formatted")
     frames = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "orders", "customer")}
-    print("===== foreign keys, star rule, one job")
+    print("===== foreign keys, star rule")
     relations.containment(frames, rule="star").explain("formatted")
 
 
