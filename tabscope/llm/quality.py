@@ -21,7 +21,7 @@ from .shared import SPACES, text_or_empty, written
 RATIOS = {
     "symbols_per_word": ("n_symbols", "n_words", 0.5, False),
     "dup_lines_per_line": ("n_dup_lines", "n_lines", 0.15, False),
-    "repeats_per_word": ("n_repeat_words", "n_words", 0.1, False),
+    "repeats_per_word": ("n_repeat_words", "n_words", 0.15, False),
     "chars_per_word": ("word_chars", "n_words", 1.0, True),
 }
 _POS = (1 << 24) - 1
