@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import text_bytes, text_or_empty, written
+from .shared import signed, text_bytes, text_or_empty, written
 
 BITS = 64
 
@@ -39,10 +39,6 @@ def masks(radius: int) -> list[int]:
     return [sum(1 << i for i in range(BITS) if ((i % vectors + 1) & v).bit_count() & 1) for v in range(1, vectors + 1)]
 
 
-def _long(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """Majority bits of the XXH64 of all ``words``-word shingles (A-Z lower-cased)."""
     parts = text.lower().split()
@@ -64,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long), one row per document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [_long(fingerprint(t, words, seed)) for t in text_bytes(b.column(1))]
+            fp = [signed(fingerprint(t, words, seed)) for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -77,14 +73,14 @@ def links(distinct: DataFrame, radius: int = 2, pair_limit: int = 16) -> DataFra
     if radius not in (0, 1, 2):
         raise ValueError("the radius is 0, 1 or 2")
     tables = masks(radius)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_long(m))) for m in tables])).alias("t", "key"))
+    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in tables])).alias("t", "key"))
     full = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keyed.join(full, ["t", "key"]))
     pairs = (members.where(F.col("n") <= pair_limit).groupBy("t", "key").agg(F.collect_list("fp").alias("l"))
              .select(F.explode(F.expr(f"flatten(transform(l, a -> transform(filter(l, b -> b < a AND bit_count(a ^ b) <= {radius}), "
                                       "b -> named_struct('a', a, 'b', b))))")).alias("p")).select("p.a", "p.b"))
     hot = members.where(F.col("n") > pair_limit)
-    free = F.element_at(F.array(*[F.array(*[F.lit(_long(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in tables]), F.col("t") + 1)
+    free = F.element_at(F.array(*[F.array(*[F.lit(signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in tables]), F.col("t") + 1)
     points = hot.select("t", "fp", F.explode(F.concat(F.array("fp"), F.transform(free, lambda bit: F.col("fp").bitwiseXOR(bit)))).alias("z"))
     if radius == 2:
         hub = points.groupBy("t", "z").agg(F.min("fp").alias("m"), F.count("*").alias("k")).where("k > 1")
