@@ -3,7 +3,6 @@ from .families import (
     quote, type_family,
 )
 from .names import (
-    DEFAULT_NAME_RULE, STAR_NAME_RULE, NameRule, entity_name, is_person_name,
-    name_heuristics, name_rule,
+    DEFAULT_NAME_RULE, STAR_NAME_RULE, NameRule, entity_name, name_rule,
 )
 from .exprs import ratio, ratio0, sql_credit_card, sql_double, sql_id, sql_matches, sql_str

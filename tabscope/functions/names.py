@@ -4,19 +4,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from .patterns_fixed import NAME_HEURISTICS, PERSON_NAME_REGEX
-
-_PERSON = re.compile(PERSON_NAME_REGEX)
-
-
-def is_person_name(column: str) -> bool:
-    return _PERSON.match(column.lower()) is not None
-
-
-def name_heuristics(column: str) -> list[str]:
-    low = column.lower()
-    return [label for label, suffixes in NAME_HEURISTICS if low.endswith(suffixes)]
-
 
 @dataclass(frozen=True)
 class NameRule:

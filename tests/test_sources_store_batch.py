@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tabscope as ts
-from tabscope.sources.readers import discover_siblings, infer_format, read_path
+from tabscope.sources.readers import discover_siblings, infer_format
 from tabscope.plans.profile import batch_summary, summarize
 
 from conftest import SF_SMALL
