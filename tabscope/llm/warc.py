@@ -121,7 +121,7 @@ def _ranges(rows: list[dict], gap: int, most: int) -> Iterator[list[dict]]:
         yield group
 
 
-def read_records(index: DataFrame, payloads: bool = True, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
+def read_records(index: DataFrame, payloads: bool = True, gap: int = 64 << 10, most: int = 8 << 20, task_bytes: int = 16 << 20) -> DataFrame:
     """The records that the rows of ``index`` (or of a selection of it) name: page_id (string, null if it had none), url, record_type,
     refers_to (string), payload_bytes, payload_digest and, if asked for, payload (null for revisits).  A stored payload
     must match its record's digest."""
@@ -148,7 +148,9 @@ def read_records(index: DataFrame, payloads: bool = True, gap: int = 64 << 10, m
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                              ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
-    chosen = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    chosen = index.select("file", "offset", "length")
+    tasks = 1 + int(chosen.agg(F.sum("length")).first()[0] or 0) // task_bytes  # the index is small; what it names isn't
+    chosen = chosen.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     out = chosen.mapInArrow(run, "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
     return out if payloads else out.drop("payload")
 
