@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import text_or_empty
-from .tokens import LOWER, SPACE, shingle_hashes, span_hashes, utf8, word_spans
+from .tokens import LOWER, SPACE, shingle_hashes, slices, span_hashes, utf8, word_spans
 
 
 def _shingles(text: bytes, words: int) -> set[bytes]:
@@ -90,8 +90,8 @@ def _find(column: pa.Array, index, words: int, threshold: float) -> tuple[list[i
     low = np.uint64((1 << 22) - 1)
     maybe = np.zeros(1 << 22, bool)
     maybe[(h & low).astype(np.int64)] = True
-    for k in range(0, len(column), 1000):
-        part = column.slice(k, 1000)
+    for k, n in slices(column):
+        part = column.slice(k, n)
         hashes, text_of = hashed_shingles(part, words)
         some = maybe[(hashes & low).astype(np.int64)]
         hashes, text_of = hashes[some], text_of[some]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_or_empty
-from .tokens import LOWER, utf8
+from .tokens import LOWER, slices, utf8
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 13
@@ -199,8 +199,8 @@ def fit(labelled: DataFrame, per_language: int = 300, max_rows: int = 2000, max_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
+            for k, n in slices(b.column(1), 64):
+                part = b.slice(k, n)
                 counts = gram_counts(part.column(1))
                 ok = counts.sum(axis=1) > 0
                 blobs = [c.tobytes() for c in counts[ok]]
@@ -224,8 +224,8 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for k, n in slices(b.column(1)):
+                part = b.slice(k, n)
                 langs, score = _predict_rows(part.column(1), sent.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -239,9 +239,10 @@ def known_language(docs: DataFrame, model: dict, min_score: float = 0.0) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                langs, score = _predict_rows(part.column(part.schema.get_field_index("text")), sent.value)
+            at = b.schema.get_field_index("text")
+            for k, n in slices(b.column(at)):
+                part = b.slice(k, n)
+                langs, score = _predict_rows(part.column(at), sent.value)
                 yield part.filter(pa.array([x != UNDETERMINED and s >= min_score for x, s in zip(langs, score)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

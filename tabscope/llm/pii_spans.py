@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import signed, text_or_empty
+from .tokens import slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
@@ -371,8 +372,8 @@ def find_spans(docs: DataFrame, model: dict | None, sure: float = 0.9) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = lambda spans: [dict(zip(("kind", "start", "end"), s)) for s in spans]
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for k, n in slices(b.column(1)):
+                part = b.slice(k, n)
                 found = all_spans(sent.value, part.column(1).to_pylist(), sure)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([rows(x) for x, _ in found], span), pa.array([rows(x) for _, x in found], span)],
                                                  ["doc_id", "base", "spans"])

@@ -2,6 +2,8 @@
 no Python loop over words."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -28,6 +30,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
+def slices(column: pa.Array, rows: int = 1000, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(start, length) of consecutive pieces of a column of texts, of at most ``rows`` rows and ``size`` bytes (or one row)."""
+    ends, start = utf8(column)[1], 0
+    while start < len(column):
+        fits = int(np.searchsorted(ends, ends[start] + size, side="right")) - 1 - start
+        length = min(max(1, fits), rows, len(column) - start)
+        yield start, length
+        start += length
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes that aren't separators; none spans two texts."""
     inside = ~separator[data]

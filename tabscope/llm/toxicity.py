@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_or_empty, written
-from .tokens import LOWER, NOT_ALNUM, span_hashes, utf8, word_spans
+from .tokens import LOWER, NOT_ALNUM, slices, span_hashes, utf8, word_spans
 
 BLOCK = 64
 #: A term is a word or its first so many bytes, if it is longer: inflected forms share those.
@@ -65,8 +65,8 @@ def term_rows(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     """doc_id, terms and counts of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for k, n in slices(b.column(1)):
+                part = b.slice(k, n)
                 text, term, count = term_counts(part.column(1), wanted)
                 cuts = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (term, count.astype(np.int32))]

@@ -338,3 +338,14 @@ def test_native_operators_run_no_python(spark):
     c = spark.read.parquet(f"{SF}/conversations.parquet")
     for df in (quality.text_counts(d), quality.quality_rules(d), chat.chat_format(chat.threads(c))):
         assert not re.search("Python|Pandas|Arrow|MapIn", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pieces_of_a_column_are_bounded_and_whole():
+    from tabscope.llm.tokens import slices
+    rng = random.Random(9)
+    texts = [None if rng.random() < 0.1 else "é" * rng.choice([0, 1, 10, 400]) for _ in range(500)]
+    for column in (pa.array(texts), pa.array(texts).slice(7, 300), pa.array([], pa.string())):
+        pieces = list(slices(column, rows=50, size=1000))
+        assert [k for k, n in pieces for k in range(k, k + n)] == list(range(len(column)))
+        for k, n in pieces:
+            assert n <= 50 and (n == 1 or sum(len((x or "").encode()) for x in column.slice(k, n).to_pylist()) <= 1000)
