@@ -59,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_DUCK_BREAKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _DUCK_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
@@ -72,6 +73,19 @@ f AS (SELECT payload_digest, min(page_id) AS first_id FROM q WHERE payload_bytes
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM q LEFT JOIN f USING (payload_digest)""",
+        "op6_benchmark_decontamination": f"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+words AS (
+  SELECT kind, id, list_filter(string_split(translate(coalesce(text, ''), {_DUCK_BREAKS} || '{_UPPER}', '     {_LOWER}'), ' '),
+                               lambda x: x <> '') AS w FROM texts),
+shingles AS (
+  SELECT DISTINCT kind, id, s FROM (
+    SELECT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words)),
+sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id),
+shared AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS c
+           FROM shingles i JOIN shingles d ON i.s = d.s AND i.kind = 'i' AND d.kind = 'd' GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(c AS DOUBLE) / n AS containment FROM shared JOIN sizes ON item_id = id WHERE CAST(c AS DOUBLE) / n >= 0.8""",
         "op8_chat_formatting": """
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
