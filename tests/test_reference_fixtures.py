@@ -1,4 +1,4 @@
-"""The three inputs of the reference's own tests, with their expectations."""
+"""Three small inputs with their expected results.  FIXED VALUES: rows and expectations are kept as they are."""
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 import tabscope as ts
