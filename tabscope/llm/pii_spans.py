@@ -323,7 +323,7 @@ def rewritten(text: str, labels: np.ndarray, rng: np.random.Generator) -> tuple[
 
 def training_windows(docs: DataFrame, most: int) -> list[tuple[str, bytes]]:
     """At most ``most`` windows, as many as there are up to a third of them without personal data: text and labels.  The
-    choice is by a hash of the window, so it is the same on every run."""
+    choice is by a hash of the window and its labels, so it is the same on every run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             mark, some, text, labels = [], [], [], []
@@ -332,10 +332,10 @@ def training_windows(docs: DataFrame, most: int) -> list[tuple[str, bytes]]:
                     y, starts = labels_of(base_spans(t), len(t)), near_windows(t)
                     for s in starts.tolist():
                         a, e = max(0, s), s + WINDOW
-                        mark.append(signed(xxhash.xxh64_intdigest(t[a:e].encode("utf-8", "replace"), 5)))
                         some.append(bool(y[a:e].any()))
                         text.append(t[a:e])
                         labels.append(y[a:e].tobytes())
+                        mark.append(signed(xxhash.xxh64_intdigest(t[a:e].encode("utf-8", "replace") + labels[-1], 5)))
             yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(some, pa.bool_()), pa.array(text, pa.string()), pa.array(labels, pa.binary())],
                                              ["mark", "some", "text", "labels"])
 
