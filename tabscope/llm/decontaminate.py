@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import text_or_empty
+from .shared import map_whole_rows, text_or_empty
 from .tokens import LOWER, SPACE, shingle_hashes, slices, span_hashes, utf8, word_spans
 
 
@@ -141,12 +141,13 @@ def matches(docs: DataFrame, items: DataFrame, words: int = 5, threshold: float
 def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, threshold: float = 0.8,
                   block_bytes: int = 4 << 20, block_items: int = 20_000) -> DataFrame:
     """``docs`` without the rows whose text contains an item; a scan, no shuffle."""
+    at = docs.columns.index("text")
     for sent in _indexes(items, words, threshold, block_bytes, block_items):
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 stays = np.ones(b.num_rows, bool)
-                stays[_find(b.column(b.schema.get_field_index("text")), sent.value, words, threshold)[0]] = False
+                stays[_find(b.column(at), sent.value, words, threshold)[0]] = False
                 yield b.filter(pa.array(stays))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_whole_rows(docs, run)
     return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import map_whole_rows, text_or_empty
 from .tokens import LOWER, slices, utf8
 
 UNDETERMINED = "und"
@@ -235,17 +235,16 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 def known_language(docs: DataFrame, model: dict, min_score: float = 0.0) -> DataFrame:
     """``docs`` without the rows whose language is undetermined or less certain than ``min_score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("text")
             for k, n in slices(b.column(at)):
                 part = b.slice(k, n)
                 langs, score = _predict_rows(part.column(at), sent.value)
                 yield part.filter(pa.array([x != UNDETERMINED and s >= min_score for x, s in zip(langs, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole_rows(docs, run)
 
 
 def held_out() -> Column:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_bytes, text_or_empty, written
+from .shared import fresh, map_whole_rows, text_bytes, text_or_empty, written
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _LINE = "h1 long, h2 long, doc_id long, tag long, pos int, n_lines int"
@@ -135,30 +135,34 @@ def kept_text(text: bytes, keep: bytes | None) -> bytes:
     return b"\n".join([x for x, stays in zip(lines, bits.tolist()) if stays])
 
 
-def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame, tag: str) -> DataFrame:
-    b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("keep").alias("_keep"))
-    tagged = docs.withColumn(tag, F.xxhash64(text_or_empty()))
-    return tagged.join(b, (tagged["doc_id"] == b["_id"]) & (tagged[tag] == b["_tag"]), "left").drop("_id", "_tag", tag)
+def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and, as the last column, each row's bitmap or null; that column's name."""
+    keep = fresh(docs, "keep")
+    names = [fresh(docs, n) for n in ("bitmap_id", "bitmap_tag")]
+    b = bitmaps.select(F.col("doc_id").alias(names[0]), F.col("tag").alias(names[1]), F.col("keep").alias(keep))
+    joined = docs.join(b, (docs["doc_id"] == b[names[0]]) & (F.xxhash64(text_or_empty()) == b[names[1]]), "left")
+    return joined.drop(*names), keep
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines gone from ``text``; n_chars, if there, follows a changed text."""
+    at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, keeps = b.schema.get_field_index("text"), b.column(b.num_columns - 1).to_pylist()
+            keeps = b.column(b.num_columns - 1).to_pylist()
             if any(k is not None for k in keeps):
                 texts = b.column(at).to_pylist()
                 new = [t if k is None else kept_text(t.encode(), k).decode() for t, k in zip(texts, keeps)]
                 b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
             yield b
 
-    joined = _with_bitmaps(docs, bitmaps, "_tag_of_text")
-    joined = joined.select(*[joined[f"`{c}`"] for c in docs.columns], joined["_keep"])
-    out = joined.mapInArrow(run, joined.schema)
+    joined, keep = _with_bitmaps(docs, bitmaps)
+    out = map_whole_rows(joined, run)
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_keep").isNotNull(), size).otherwise(F.col("n_chars")))
-    return out.drop("_keep")
+        out = out.withColumn("n_chars", F.when(F.col(keep).isNotNull(), size).otherwise(F.col("n_chars")))
+    return out.drop(keep)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -180,6 +184,6 @@ def line_report(docs: DataFrame, min_chars: int = 10) -> DataFrame:
                                              ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     slim = docs.select("doc_id", text_or_empty().alias("text"))
-    joined = _with_bitmaps(slim, written(keep_bitmaps(docs, min_chars)), "_tag_of_text").select("doc_id", "text", "_keep")
+    joined, _ = _with_bitmaps(slim, written(keep_bitmaps(docs, min_chars)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")

@@ -108,7 +108,7 @@ def one_per_group(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame
     whole.  Rows that share a doc_id count as one; rows without one all stay."""
     groups = written(simhash_groups(docs, words, radius))
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == F.col("_id"), "left_semi")
+    kept = docs.join(stay, docs["doc_id"] == stay["_id"], "left_semi")
     if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.where("doc_id IS NULL"))

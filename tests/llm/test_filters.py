@@ -126,7 +126,7 @@ def test_languages_of_held_out_documents(spark):
 def test_language_edges(spark):
     rows = [(1, None, "en"), (2, "", None), (3, "123 ... €", "en"), (4, "the cat sat on the mat and the dog", "en"), (5, "der Hund und die Katze sind im Haus", "de"),
             (6, "你好", None), (4, "the cat sat on the mat and the dog", "en")]
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("clash"), "a.b": F.lit(1)})
     model = langid.fit(d)
     got = sorted((r.doc_id, r.lang_pred) for r in langid.identify(d, model).collect())
     assert got[0] == (1, "und") and got[1] == (2, "und") and got[2] == (3, "und") and got[3] == got[4] == (4, "en") and got[5] == (5, "de")
@@ -173,7 +173,7 @@ def test_partial_containment_is_exact(spark):
         rows.append((i, " ".join([*filler, *item[cut:], "x", *item[: rng.randint(0, 8)], *filler])))
     rows += [(900, None), (901, ""), (902, "w0 w1"), (None, " ".join(item).upper())]
     items = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "w0 w1")], "item_id long, text string")
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit("clash"), "a.b": F.lit(1)})
     s = shingles(" ".join(item))
     want = sorted((str(i), 1, len(s & shingles(t or "")) / len(s)) for i, t in rows if len(s & shingles(t or "")) / len(s) >= 0.8)
     assert sorted((str(r.doc_id), r.item_id, r.containment) for r in decontaminate.matches(d, items).collect()) == want

@@ -117,7 +117,10 @@ def test_a_hot_line_spreads_over_partitions(spark):
 def test_line_edges(spark):
     rows = [(2, None), (1, ""), (5, "same line here!\nx"), (5, "same line here!\nx"), (4, "same line here!"), (None, "same line here!"), (6, "ten chars.\nnine char"),
             (7, "nine char\nten chars."), (8, "é" * 9 + "\n" + "ü" * 10), (9, "é" * 9 + "\n" + "ü" * 10), (10, "\x1csame line here!")]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keep", F.lit("clash")).withColumn("n_chars", F.lit(99))
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("keep", "KEEP_", "bitmap_id", "_id", "a.b", "tag")})
+    d = d.withColumn("n_chars", F.lit(99))
+    assert line_dedup.dedup_lines(d).columns == d.columns == simhash.one_per_group(d).columns
+    assert line_dedup.dedup_lines(d).where("_id != 'clash' OR `a.b` != 'clash' OR keep != 'clash' OR KEEP_ != 'clash'").count() == 0
     got = sorted(((r.doc_id, r.text, r.n_chars) for r in line_dedup.dedup_lines(d).collect()), key=str)
     want = [(2, None, 99), (1, "", 99), (5, "x", 1), (5, "x", 1), (4, "same line here!", 99), (None, "same line here!", 99), (6, "ten chars.\nnine char", 99),
             (7, "nine char", 9), (8, "é" * 9 + "\n" + "ü" * 10, 99), (9, "é" * 9, 9), (10, "\x1csame line here!", 99)]
