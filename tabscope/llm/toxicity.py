@@ -1,17 +1,18 @@
 """Toxicity scores from the nearest labelled examples.
 
 The examples are a bounded sample of the labelled documents (about ``max_examples`` by a hash of
-the id).  Vectors are TF-IDF over the ``max_terms`` words and beginnings of words whose chi-square
-against the label is largest among the examples (at least ``min_chi2``); document frequencies are counted over all
-documents.  Each document's ``k`` nearest examples by exact cosine come from a block-max
-inverted index: examples in blocks of ``BLOCK``, for each word and block the postings
-and their largest weight.  Blocks are scored in order of their upper bound until the
-bound is below the k-th best score, so the search is exact.
+the id).  Vectors are TF-IDF over all words and beginnings of words of the examples, which the sample
+bounds; a term weighs more the larger its chi-square against the label is among the examples, and none
+is dropped.  Document frequencies are counted over all documents; words that no example has can meet
+none and aren't part of a document's norm.  Each document's ``k`` nearest examples by exact cosine come
+from a block-max index: examples in blocks of ``BLOCK``, postings of the rarer terms, and for the
+frequent ones a matrix and each block's largest weights.  A block whose bound is below the k-th best
+score found is skipped, so the search is exact.
 
 Votes are weighted by distance (the cosine); a vote becomes a score by logistic calibration on the
 examples' own leave-one-out votes.  The neighbours come along as evidence.
 
-Edge cases: null and empty texts, and texts without any of the words, are near to no example
+Edge cases: null and empty texts, and texts without any word of the examples, are near to no example
 and get the calibrated rate of such examples; without labelled rows, or with one label only,
 every score is that label's rate (0 without rows); null labels are not learned from; ties of cosine go to the
 example with the smaller doc_id; repeated rows get equal scores; an empty table gives no
@@ -26,10 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, written
+from .shared import text_or_empty
 from .tokens import LOWER, NOT_ALNUM, slices, span_hashes, utf8, word_spans
 
 BLOCK = 64
+#: So many of the most frequent terms are held as a matrix.
+DENSE = 512
+#: Documents searched together.
+QUERIES = 128
+#: More than single precision can lose in a cosine.
+ROUNDING = 1e-4
 #: A term is a word or its first so many bytes, if it is longer: inflected forms share those.
 PREFIXES = (5, 6, 7, 8)
 _TERMS = "doc_id {}, terms array<bigint>, counts array<int>"
@@ -83,41 +90,80 @@ def _weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
     return w / norm if norm else w
 
 
+def _document_counts(terms: list[np.ndarray], n_terms: int) -> np.ndarray:
+    """The number of examples with each term."""
+    out = np.zeros(n_terms, np.int64)
+    for t in terms:
+        out[t] += 1
+    return out
+
+
 def build_index(vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> dict:
-    """Block-max inverted index of examples (terms, unit weights): postings by (term, block), and the largest weight of each."""
-    blocks = max(1, -(-len(vectors) // BLOCK))
-    example = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(vectors)]).astype(np.int64) if vectors else np.zeros(0, np.int64)
-    term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-    weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-    cell = term * blocks + example // BLOCK
-    order = np.argsort(cell, kind="stable")
-    largest = np.zeros(n_terms * blocks)
-    np.maximum.at(largest, cell, weight)
-    return {"blocks": blocks, "starts": np.searchsorted(cell[order], np.arange(n_terms * blocks + 1)), "example": example[order] % BLOCK,
-            "weight": weight[order], "largest": largest.reshape(n_terms, blocks), "n": len(vectors)}
+    """Block-max index of examples (terms, unit weights): the ``DENSE`` most frequent terms as a matrix with the largest
+    weight of each block, all others as postings by term.  Weights are rounded to single precision."""
+    blocks, often = max(1, -(-len(vectors) // BLOCK)), _document_counts([t for t, _ in vectors], n_terms)
+    frequent = np.argsort(-often, kind="stable")[:DENSE]
+    place = np.full(n_terms, -1, np.int32)
+    place[frequent] = np.arange(len(frequent))
+    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.where(place < 0, often, 0))])
+    dense, following = np.zeros((blocks * BLOCK, len(frequent)), np.float32), starts[:-1].copy()
+    example, weight = np.zeros(starts[-1], np.int32), np.zeros(starts[-1], np.float32)
+    for i, (terms, weights) in enumerate(vectors):  # one by one: the driver needs no second copy of the postings
+        at = place[terms]
+        dense[i, at[at >= 0]] = weights[at >= 0]
+        cells = following[terms[at < 0]]
+        example[cells], weight[cells] = i, weights[at < 0]
+        following[terms[at < 0]] += 1
+    return {"blocks": blocks, "place": place, "dense": dense, "largest": dense.reshape(blocks, BLOCK, -1).max(1),
+            "starts": starts, "example": example, "weight": weight, "n": len(vectors)}
+
+
+def nearest_of(index: dict, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (terms, weights) the ``k`` examples of largest cosine above 0 (ties: the first), and the cosines.
+
+    A block is scored for the queries whose bound there reaches their k-th best score in their two best blocks; what
+    comes within the rounding of single precision of the k-th best is scored again in double."""
+    none = np.zeros(0, np.int64), np.zeros(0)
+    if not index["n"]:
+        return [none] * len(queries)
+    blocks, dense, starts = index["blocks"], index["dense"], index["starts"]
+    q, rest = np.zeros((len(queries), dense.shape[1])), np.zeros((len(queries), len(dense)))
+    for i, (terms, weights) in enumerate(queries):
+        at = index["place"][terms]
+        q[i, at[at >= 0]] = weights[at >= 0]
+        terms, weights = terms[at < 0], weights[at < 0]
+        sizes = starts[terms + 1] - starts[terms]
+        cells = np.repeat(starts[terms] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        rest[i] = np.bincount(index["example"][cells], weights=index["weight"][cells] * np.repeat(weights, sizes), minlength=len(dense))
+    single = q.astype(np.float32)
+    bound = rest.reshape(len(queries), blocks, BLOCK).max(2) + single @ index["largest"].T
+    score, least = np.full(rest.shape, -1.0), np.zeros(len(queries))
+    out = [-1] * len(queries) if leave_out is None else leave_out
+    for i, best in enumerate(np.argsort(-bound, axis=1, kind="stable")[:, :2]):
+        for b in best:
+            rows = slice(b * BLOCK, (b + 1) * BLOCK)
+            score[i, rows] = rest[i, rows] + dense[rows] @ single[i]
+        some = np.delete(score[i], out[i]) if out[i] >= 0 else score[i]
+        least[i] = np.partition(some, -k)[-k] if len(some) >= k else -1.0
+    for b in range(blocks):
+        rows = slice(b * BLOCK, (b + 1) * BLOCK)
+        open_ = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= least - ROUNDING))
+        score[open_, rows] = rest[open_, rows] + single[open_] @ dense[rows].T
+    found = []
+    for i, s in enumerate(score):
+        if out[i] >= 0:
+            s[out[i]] = -1.0
+        kth = np.partition(s, -k)[-k] if len(s) >= k else -1.0
+        best = np.flatnonzero((s > 0) & (s >= kth - ROUNDING))
+        cosine = rest[i, best] + dense[best].astype(float) @ q[i]
+        order = np.lexsort((best, -np.round(cosine, 12)))[:k]
+        found.append((best[order], cosine[order]))
+    return found
 
 
 def nearest(index: dict, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` examples of largest cosine above 0 (ties: the first), and the cosines."""
-    best, cosine = np.zeros(0, np.int64), np.zeros(0)
-    if not len(terms) or not index["n"]:
-        return best, cosine
-    bound = weights @ index["largest"][terms]
-    for block in np.argsort(-bound, kind="stable"):
-        if bound[block] <= 0 or (len(best) == k and bound[block] < cosine[-1] - 1e-12):
-            break
-        score = np.zeros(BLOCK)
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            cell = t * index["blocks"] + block
-            a, b = index["starts"][cell], index["starts"][cell + 1]
-            if a < b:
-                score[index["example"][a:b]] += w * index["weight"][a:b]
-        hits = np.flatnonzero(score > 0)
-        hits = hits[hits + block * BLOCK != leave_out]
-        best, cosine = np.append(best, hits + block * BLOCK), np.append(cosine, score[hits])
-        order = np.lexsort((best, -np.round(cosine, 12)))[:k]
-        best, cosine = best[order], cosine[order]
-    return best, cosine
+    """:func:`nearest_of` for one query."""
+    return nearest_of(index, [(terms, weights)], k, [leave_out])[0]
 
 
 def _vote(labels: np.ndarray, best: np.ndarray, cosine: np.ndarray, alone: float, shrink: float = 0.5) -> float:
@@ -135,42 +181,52 @@ def calibration(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tupl
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, max_terms: int = 1024, min_chi2: float = 60.0, k: int = 15) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, k: int = 15) -> dict:
     """The model, but for document frequencies (``idf``), which :func:`score` counts over all documents.
 
-    ``labels``: doc_id, toxic.  Examples come to the driver as terms of the chosen vocabulary only, at most
-    about ``max_examples`` x ``max_terms`` numbers."""
+    ``labels``: doc_id, toxic.  Examples come to the driver with all their terms; these are the vocabulary."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, max_examples / max(1, known.count()))
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("toxicity")), 11) / float(1 << 53)
     sample = known.where(u < share).withColumnRenamed("doc_id", "_id")
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample.select("_id")), F.col("doc_id") == F.col("_id"))
-    rows = written(term_rows(chosen).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).drop("_id"))
-    size = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    n, n1 = float(size[0]), float(size[1])
-    both, one = F.count("*"), F.sum("toxic")  # documents with the term, and of them those of label 1
-    table = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(both.alias("c"), one.alias("c1"))
-    expected = F.col("c") * (n1 / max(n, 1.0))
-    chi2 = F.pow(F.col("c1") - expected, F.lit(2.0)) * n * n / (expected * (n - n1) * (n - F.col("c")) + 1e-9)
-    picked = table.where("c < {}".format(int(n))).select("term", chi2.alias("x")).where(F.col("x") >= min_chi2).orderBy(F.desc("x"), "term").limit(max_terms)
-    vocabulary = np.sort(np.array([r[0] for r in picked.collect()], np.int64).view(np.uint64))
-    places = {int(h): i for i, h in enumerate(vocabulary.view(np.int64))}
-    keep = F.filter(F.arrays_zip("terms", "counts"), lambda x: x["terms"].isin(list(places))) if places else F.expr("filter(arrays_zip(terms, counts), x -> false)")
-    examples = sorted(((r[0], r[1], [(places[x[0]], x[1]) for x in r[2]]) for r in rows.select("doc_id", "toxic", keep.alias("kept")).collect()), key=lambda r: r[0])
-    return {"vocabulary": vocabulary, "examples": examples, "k": k}
-
-
-def _finished(model: dict, frequency: dict[int, int], n_docs: int) -> dict:
+    rows = term_rows(chosen).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "terms", "counts").toArrow()
+    ids, toxic = rows.column(0).to_pylist(), np.array(rows.column(1).to_pylist(), float)
+    vocabulary = np.zeros(0, np.uint64)
+    for part in rows.column(2).chunks:
+        vocabulary = np.union1d(vocabulary, part.flatten().to_numpy().view(np.uint64))
+    places, counts = [], []
+    for terms, numbers in zip(rows.column(2).chunks, rows.column(3).chunks):
+        cuts = np.diff(terms.offsets.to_numpy()).cumsum()[:-1]
+        places += np.split(np.searchsorted(vocabulary, terms.flatten().to_numpy().view(np.uint64)).astype(np.int32), cuts) if len(terms) else []
+        counts += [x.astype(np.min_scalar_type(x.max(initial=0))) for x in np.split(numbers.flatten().to_numpy(), cuts)] if len(terms) else []
+    terms = numbers = part = rows = None
+    pa.default_memory_pool().release_unused()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], places[i].tobytes(), counts[i].tobytes()))
+    return {"vocabulary": vocabulary, "examples": [(ids[i], int(toxic[i]), places[i], counts[i]) for i in order], "k": k,
+            "association": association(places, toxic, len(vocabulary))}
+
+
+def association(places: list[np.ndarray], labels: np.ndarray, n_terms: int, most: float = 20.0, half: float = 60.0) -> np.ndarray:
+    """Weight of each term by its chi-square against the label among the examples (each one's terms, and the labels): 1 without
+    association, up to 1 + ``most``; ``half`` is the chi-square that gives half of that."""
+    n, n1, c, c1 = float(len(labels)), float(labels.sum()), np.zeros(n_terms), np.zeros(n_terms)
+    for terms, label in zip(places, labels):
+        c[terms] += 1
+        c1[terms] += label
+    expected = c * (n1 / max(n, 1.0))
+    x = np.square((c1 - expected) * n) / (expected * (n - n1) * (n - c) + 1e-9)
+    return 1 + most * np.square(x) / (np.square(x) + half * half)
+
+
+def _finished(model: dict, frequency: np.ndarray, n_docs: int) -> dict:
     """The model with weights, index and calibration."""
-    df = np.array([frequency.get(i, 0) for i in range(len(model["vocabulary"]))], float)
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    vectors = []
-    for _, _, kept in model["examples"]:
-        kept = sorted(kept)
-        terms, counts = np.array([t for t, _ in kept], np.int64), np.array([c for _, c in kept], float)
-        vectors.append((terms, _weights(terms, counts, idf)))
-    # examples of one leading term share blocks, so that a block's bound is close
-    lead = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+    idf = (np.log((1 + n_docs) / (1 + frequency)) + 1) * model["association"]
+    vectors = [(terms, _weights(terms, counts.astype(float), idf).astype(np.float32)) for _, _, terms, counts in model["examples"]]
+    # examples of one leading frequent term share blocks, so that a block's bound is close
+    often = _document_counts([t for t, _ in vectors], len(idf))
+    often = often >= np.sort(often)[-min(DENSE, len(often))] if len(often) else often
+    lead = [int(t[(w * often[t]).argmax()]) if len(t) else -1 for t, w in vectors]
     order = sorted(range(len(vectors)), key=lambda i: (lead[i], i))
     labels = np.array([model["examples"][i][1] for i in order], float)
     vectors = [vectors[i] for i in order]
@@ -181,45 +237,64 @@ def _finished(model: dict, frequency: dict[int, int], n_docs: int) -> dict:
     done = {"vocabulary": model["vocabulary"], "idf": idf, "index": index, "labels": labels, "ids": [model["examples"][i][0] for i in order],
             "alone": alone, "k": model["k"], "line": None, "rate": rate}
     if 0 < labels.sum() < len(labels):
-        votes = np.array([_vote(labels, *nearest(index, t, w, model["k"], i), alone) for i, (t, w) in enumerate(vectors)])
-        done["line"] = calibration(votes, labels)
+        found = [x for i in range(0, len(vectors), QUERIES)
+                 for x in nearest_of(index, vectors[i:i + QUERIES], model["k"], list(range(i, min(i + QUERIES, len(vectors)))))]
+        done["line"] = calibration(np.array([_vote(labels, *x, alone) for x in found]), labels)
     return done
 
 
-def _score(m: dict, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list, list]:
-    best, cosine = nearest(m["index"], terms, _weights(terms, counts, m["idf"]), m["k"])
+def _scores(m: dict, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list, list]]:
     if m["line"] is None:
-        return m["rate"], [], []
-    z = m["line"][0] * _vote(m["labels"], best, cosine, m["alone"]) + m["line"][1]
-    return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), [m["ids"][i] for i in best], cosine.tolist()
+        return [(m["rate"], [], [])] * len(queries)
+    out = []
+    for best, cosine in nearest_of(m["index"], queries, m["k"]):
+        z = m["line"][0] * _vote(m["labels"], best, cosine, m["alone"]) + m["line"][1]
+        out.append((float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), [m["ids"][i] for i in best], cosine.tolist()))
+    return out
+
+
+def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """The number of documents with each term of ``vocabulary``, and of all documents; a task gives a row per term at most."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(sent.value) + 1, np.int64)  # the last: documents
+        for b in batches:
+            for k, n in slices(b.column(0)):
+                term = term_counts(b.column(0).slice(k, n), sent.value)[1]
+                counts[:-1] += np.bincount(term, minlength=len(sent.value))
+                counts[-1] += n
+        met = np.flatnonzero(counts)
+        for i in range(0, len(met), 1 << 16):
+            part = met[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["t", "n"])
+
+    counted = docs.select(text_or_empty().alias("text")).mapInArrow(run, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
+    out = np.zeros(len(vocabulary) + 1, np.int64)
+    out[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    return out[:-1], int(out[-1])
 
 
 def score(docs: DataFrame, model: dict, evidence: int = 5) -> DataFrame:
     """One row per document: doc_id, score, predicted, and the ``evidence`` nearest examples' doc_ids, with their cosines."""
-    spark = docs.sparkSession
-    rows = written(term_rows(docs, model["vocabulary"]))
-    counted = rows.select(F.explode("terms").alias("t")).groupBy("t").count()  # a row per word of the vocabulary
-    frequency = {r[0]: r[1] for r in counted.collect()}
-    sent = spark.sparkContext.broadcast(_finished(model, frequency, rows.count()))
+    sent = docs.sparkSession.sparkContext.broadcast(_finished(model, *frequencies(docs, model["vocabulary"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = sent.value, {}
+        m = sent.value
         for b in batches:
-            out = []
-            for terms, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                key = (tuple(terms), tuple(counts))
-                if key not in seen:
-                    if len(seen) >= 50_000:
-                        seen.clear()
-                    seen[key] = _score(m, np.array(terms, np.int64), np.array(counts, float))
-                out.append(seen[key])
-            ids = pa.array([x[1][:evidence] for x in out], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] for x in out], pa.float64()), ids, pa.array([x[2][:evidence] for x in out], pa.list_(pa.float64()))],
-                ["doc_id", "score", "evidence", "cosines"])
+            for k, n in slices(b.column(1), QUERIES):
+                part = b.slice(k, n)
+                text, term, count = term_counts(part.column(1), m["vocabulary"])
+                cuts = np.searchsorted(text, np.arange(1, n))
+                out = _scores(m, [(t, _weights(t, c.astype(float), m["idf"])) for t, c in zip(np.split(term, cuts), np.split(count, cuts))])
+                ids = pa.array([x[1][:evidence] for x in out], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([x[0] for x in out], pa.float64()), ids, pa.array([x[2][:evidence] for x in out], pa.list_(pa.float64()))],
+                    ["doc_id", "score", "evidence", "cosines"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<bigint>, cosines array<double>")
+    scored = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, score double, evidence array<bigint>, cosines array<double>")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

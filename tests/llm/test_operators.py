@@ -1,5 +1,6 @@
 """SimHash, line de-duplication, WARC, personal data, toxicity and chat formatting against plain Python."""
 import hashlib
+import math
 import random
 import re
 import time
@@ -287,6 +288,40 @@ def test_toxicity_of_held_out_documents(spark):
     assert {(r.score, r.predicted) for r in toxicity.toxicity_report(d, lab.limit(0)).collect()} == {(0.0, 0)}
 
 
+def test_texts_without_a_telling_word_have_neighbours_too(spark):
+    """Every word counts in the search, also those without association to the label."""
+    rng = random.Random(12)
+    vocabulary = ["w" + str(i) for i in range(3000)]
+    prose = {i: rng.choices(vocabulary, k=40) for i in range(150)}
+    near = {1000 + i: [*w[:37], *rng.choices(vocabulary, k=3)] for i, w in prose.items()}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in {**prose, **near}.items()], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 10 == 0)) for i in prose], "doc_id long, toxic int")
+    model = toxicity.fit(d, lab)
+    assert len(model["vocabulary"]) == len(set(sum(prose.values(), [])))  # no word here is long enough for a beginning of it
+    got = {r.doc_id: r for r in toxicity.score(d, model, evidence=15).collect()}
+    assert all(got[1000 + i].evidence[0] == i and got[1000 + i].cosines[0] > 0.6 for i in prose)
+    df = {}
+    for w in [*prose.values(), *near.values()]:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    own = set(sum(prose.values(), []))
+    n, n1 = len(prose), sum(i % 10 == 0 for i in prose)
+    def weight(x):
+        c, c1 = sum(x in w for w in prose.values()), sum(x in w for i, w in prose.items() if i % 10 == 0)
+        chi2 = ((c1 - c * n1 / n) * n) ** 2 / (c * n1 / n * (n - n1) * (n - c))
+        return (math.log((1 + 300) / (1 + df[x])) + 1) * (1 + 20 * chi2 ** 2 / (chi2 ** 2 + 3600))
+    weights = {x: weight(x) for x in own}
+    def vector(w):
+        v = {x: (1 + math.log(w.count(x))) * weights[x] for x in set(w) & own}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {x: y / norm for x, y in v.items()}
+    plain = {i: vector(w) for i, w in prose.items()}
+    for i in (1000, 1033, 1149):
+        v = vector(near[i])
+        every = sorted((sum(v[x] * p[x] for x in v.keys() & p.keys()) for p in plain.values()), reverse=True)[:15]
+        assert np.allclose(got[i].cosines, [x for x in every if x > 0], atol=1e-6)
+
+
 # -- chat -----------------------------------------------------------------------------------------------------------
 
 def test_chat_reads_back_what_was_said(spark):
