@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, line_dedup, mixing, pii_spans, quality, simhash, toxicity, warc
+from . import (alignment, chat, decontaminate, hard_negatives, langid, line_dedup, mixing, pii_spans, quality, quality_classifier, simhash,
+               toxicity, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +53,21 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_toxicity, op2_warc_archives, op3_simhash_near_dedup, op4_pii_spans, op5_source_mixing, op6_benchmark_decontamination,
-           op7_language_id, op8_chat_formatting, op9_line_dedup, op10_quality_rules)
+           op7_language_id, op8_chat_formatting, op9_line_dedup, op10_quality_rules, op11_tokenizer_alignment, op12_hard_negatives, op13_quality_classifier)
     return {f.__name__: f for f in own}
 
 
@@ -108,4 +121,18 @@ firsts AS (SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >=
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE first_doc < doc_id) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE first_doc IS NULL OR first_doc >= doc_id), '')) AS kept_sha256
 FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id""",
+        "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
     }
