@@ -216,7 +216,10 @@ def search(units: DataFrame, index: DataFrame, model: dict, same: bool, k: int)
         have = found.groupBy("unit", "w").agg(F.count("*").alias("n"), F.min("score").alias("last"))
         wanting = (asked.select("unit", "bound", F.posexplode("low").alias("w", "least")).join(have, ["unit", "w"], "left")
                    .where(f"NOT (bound < least OR coalesce(n = {k} AND last > bound, false))").select("unit").distinct())
-        opened = written(asked.join(wanting, "unit", "left_semi"))
+        # a full window asks no more for scores below its last
+        floors = have.where(F.col("n") == k).groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("w", "last"))).alias("floor"))
+        raised = F.transform("low", lambda low, w: F.greatest(low, F.coalesce(F.try_element_at("floor", w), low)))
+        opened = written(asked.join(wanting, "unit", "left_semi").join(floors, "unit", "left").withColumn("low", raised).drop("floor"))
         if opened.isEmpty():
             return found
         start, stop = stop, stop * 4
