@@ -38,9 +38,15 @@ def sql_double(x: float) -> str:
 
 
 def sql_credit_card(q: str) -> str:
-    """Does any run of 13 to 19 digits in the text (single spaces or hyphens between them) pass the Luhn check?"""
-    runs = f"regexp_extract_all({q}, {sql_str(r'(?:[0-9][ -]?){12,18}[0-9]')}, 0)"
-    return f"exists({runs}, x -> luhn_check(regexp_replace(x, {sql_str('[ -]')}, '')))"
+    """Does the text hold a number of 13 to 19 digits that passes the Luhn check?
+
+    Digit groups parted by single spaces or hyphens are read together; every run of whole neighbouring groups is tried, so a
+    card is found beside other numbers, and no piece of a longer group counts."""
+    runs = f"regexp_extract_all({q}, {sql_str('[0-9]+(?:[ -][0-9]+)*')}, 0)"
+    tried = ("flatten(transform(g, (x, i) -> transform(sequence(1, least(19, size(g) - i)), n -> array_join(slice(g, i + 1, n), ''))))")
+    fits = f"exists(filter({tried}, c -> length(c) BETWEEN 13 AND 19), c -> luhn_check(c))"
+    groups = f"transform(filter({runs}, r -> length(r) >= 13), r -> split(r, {sql_str('[ -]')}))"
+    return f"exists({groups}, g -> {fits})"
 
 
 _META = set("\\^$.|?*+()[]{}")

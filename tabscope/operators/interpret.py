@@ -7,9 +7,10 @@ per-column frame so that a report needs a single grouping per table.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import local_rows
 from ..functions.names import entity_name
 from ..functions.patterns_fixed import (
     BK_CONFIDENCE, BK_REASONING, DQ_NULL_PCT, DQ_NULL_TEXT, DQ_OUTLIER_TEXT, INTERPRETATION_CONFIDENCE, PII_TEXT,
@@ -42,18 +43,13 @@ def interpretation_aggs() -> list[Column]:
     ]
 
 
-def _entity(names: dict[str, str]) -> Column:
-    """Display names are computed on the driver from table names (metadata)."""
-    fallback = F.initcap(F.translate(F.col("source_table"), "_", " "))
-    if not names:
-        return fallback
-    pairs = []
-    for table, shown in names.items():
-        pairs += [F.lit(table), F.lit(entity_name(shown))]
-    return F.coalesce(F.create_map(*pairs)[F.col("source_table")], fallback)
+def entity_names(spark: SparkSession, names: dict[str, str] | None) -> DataFrame:
+    """(source_table, entity): display names, computed on the driver from table names (metadata), a row per table."""
+    return local_rows(spark, [(t, entity_name(shown)) for t, shown in (names or {}).items()], "source_table string, entity string")
 
 
-def interpretation_struct(names: dict[str, str] | None = None) -> Column:
+def interpretation_struct() -> Column:
+    """The interpretation from the columns of :func:`interpretation_aggs` and ``entity``."""
     chosen = F.when(F.size(F.coalesce("_pk", F.array())) > 0, F.col("_pk")).otherwise(F.col("_id"))
     bk = F.transform(
         chosen,
@@ -63,7 +59,7 @@ def interpretation_struct(names: dict[str, str] | None = None) -> Column:
     pii = F.transform("_pil", lambda x: x["line"])
     dq = F.flatten(F.transform("_dql", lambda x: x["_dq"]))
     return F.struct(
-        _entity(names or {}).alias("suggested_entity_name"),
+        F.coalesce("entity", F.initcap(F.translate("source_table", "_", " "))).alias("suggested_entity_name"),
         F.coalesce(bk, F.array().cast(BK_TYPE)).alias("bk_candidates"),
         F.coalesce(pii, F.array().cast("array<string>")).alias("pii_summary"),
         F.coalesce(dq, F.array().cast("array<string>")).alias("dq_flags"),
@@ -98,5 +94,5 @@ def interpretation(tables: DataFrame, profile: DataFrame, pii_findings: DataFram
     """(source_table, interpretation struct) for every table in ``tables`` (source_table column)."""
     per_col = with_dq_flags(profile.join(_pi_struct(pii_findings), _KEYS, "left"))
     g = per_col.groupBy("source_table").agg(*interpretation_aggs())
-    return tables.select("source_table").join(g, "source_table", "left").select(
-        "source_table", interpretation_struct(display_names).alias("interpretation"))
+    named = tables.select("source_table").join(entity_names(tables.sparkSession, display_names), "source_table", "left")
+    return named.join(g, "source_table", "left").select("source_table", interpretation_struct().alias("interpretation"))

@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio, sql_id, sql_matches, sql_str
+from ..functions.exprs import ratio, sql_id, sql_matches
 from ..functions.families import ColumnSpec, column_specs
 from ..functions.patterns_fixed import (
     HIGH_UNIQUENESS, HIGH_UNIQUENESS_RATIO, LOW_CARDINALITY, LOW_CARDINALITY_MAX_DISTINCT,
     LOW_CARDINALITY_MAX_RATIO, NAME_HEURISTICS, NEEDS, PATTERN_MIN_RATIO, UNIVERSAL_PATTERNS,
 )
 from ..options import ProfileOptions
-from .scan import ROWS, FusedScan
+from .scan import ROWS, FusedScan, Ref
 
 PATTERN_LONG = (
-    "ordinal int, column string, pattern string, layer string, priority int, "
+    "source_table string, ordinal int, column string, pattern string, layer string, priority int, "
     "non_null_count bigint, match_count bigint, profiled_rows bigint"
 )
 
@@ -51,20 +51,29 @@ def add_pattern_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
             scan.add(s, f"pat{j}", f"count_if({sql_matches(q, rx, NEEDS.get(rx, ''))})")
 
 
-def pattern_scores_from(scan: FusedScan, opts: ProfileOptions, source_table: str, specs: list[ColumnSpec]) -> DataFrame:
+def pattern_rows(opts: ProfileOptions, source_table: str):
+    """Long-form rows of a string column; none of others."""
     pats = all_patterns(opts.custom_patterns)
 
-    def build(s, ref):
-        return [(s.ordinal, sql_str(s.name), sql_str(name), sql_str(layer), j, ref("nn"), ref(f"pat{j}"), ROWS)
-                for j, (name, _, layer) in enumerate(pats)]
+    def build(s: ColumnSpec) -> list[tuple]:
+        return [(source_table, s.ordinal, s.name, name, layer, j, Ref("nn", s), Ref(f"pat{j}", s), Ref(ROWS))
+                for j, (name, _, layer) in enumerate(pats) if s.is_string]
+
+    return build
+
 
-    return scan.long([s for s in specs if s.is_string], build, PATTERN_LONG).where(F.col("profiled_rows") > 0).select(
-        F.lit(source_table).alias("source_table"), "ordinal", "column", "pattern", "layer", "priority",
-        "non_null_count", "match_count",
+def pattern_scores_of(long: DataFrame) -> DataFrame:
+    """Scores from the long form, of any number of tables."""
+    return long.where(F.col("profiled_rows") > 0).select(
+        "source_table", "ordinal", "column", "pattern", "layer", "priority", "non_null_count", "match_count",
         ratio(F.col("match_count"), F.col("non_null_count")).alias("match_ratio"),
     )
 
 
+def pattern_scores_from(scan: FusedScan, opts: ProfileOptions, source_table: str, specs: list[ColumnSpec]) -> DataFrame:
+    return pattern_scores_of(scan.long(specs, pattern_rows(opts, source_table), PATTERN_LONG))
+
+
 def pattern_scores(df: DataFrame, opts: ProfileOptions | None = None, source_table: str = "table") -> DataFrame:
     """(source_table, ordinal, column, pattern, layer, priority, non_null_count, match_count, match_ratio); lazy, one scan."""
     opts = opts or ProfileOptions()

@@ -10,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio0, sql_credit_card, sql_id, sql_matches, sql_str
+from ..functions.exprs import ratio0, sql_credit_card, sql_id, sql_matches
 from ..functions.families import ColumnSpec, column_specs
 from ..functions.patterns_fixed import (
     NEEDS, PERSON_NAME_CONFIDENCE, PERSON_NAME_REGEX, PERSON_NAME_TYPE, PII_MIN_CONFIDENCE, PII_PATTERNS,
 )
 from ..options import ProfileOptions
-from .scan import ROWS, FusedScan
+from .scan import ROWS, FusedScan, Ref
 
 PII_LONG = (
-    "ordinal int, column string, pii_type string, priority int, "
+    "source_table string, ordinal int, column string, pii_type string, priority int, "
     "non_null_count bigint, match_count bigint, profiled_rows bigint"
 )
 CREDIT_CARD = "CREDIT_CARD"
@@ -42,20 +42,29 @@ def add_pii_aggs(scan: FusedScan, opts: ProfileOptions) -> None:
             scan.add(s, "piicc", f"count_if(coalesce({sql_credit_card(q)}, false))")
 
 
-def pii_scores_from(scan: FusedScan, opts: ProfileOptions, source_table: str, specs: list[ColumnSpec]) -> DataFrame:
+def pii_rows(opts: ProfileOptions, source_table: str):
+    """Long-form rows of a string column; none of others."""
     keys = [f"pii{j}" for j in range(len(PII_PATTERNS))] + (["piicc"] if opts.credit_card else [])
 
-    def build(s, ref):
-        return [(s.ordinal, sql_str(s.name), sql_str(name), j, ref("nn"), ref(key), ROWS)
-                for j, (name, key) in enumerate(zip(pii_types(opts), keys))]
+    def build(s: ColumnSpec) -> list[tuple]:
+        return [(source_table, s.ordinal, s.name, name, j, Ref("nn", s), Ref(key, s), Ref(ROWS))
+                for j, (name, key) in enumerate(zip(pii_types(opts), keys)) if s.is_string]
+
+    return build
+
 
-    return scan.long([s for s in specs if s.is_string], build, PII_LONG).where(F.col("profiled_rows") > 0).select(
-        F.lit(source_table).alias("source_table"), "ordinal", "column", "pii_type", "priority",
-        "non_null_count", "match_count",
+def pii_scores_of(long: DataFrame) -> DataFrame:
+    """Scores from the long form, of any number of tables."""
+    return long.where(F.col("profiled_rows") > 0).select(
+        "source_table", "ordinal", "column", "pii_type", "priority", "non_null_count", "match_count",
         ratio0(F.col("match_count"), F.col("non_null_count")).alias("confidence"),
     )
 
 
+def pii_scores_from(scan: FusedScan, opts: ProfileOptions, source_table: str, specs: list[ColumnSpec]) -> DataFrame:
+    return pii_scores_of(scan.long(specs, pii_rows(opts, source_table), PII_LONG))
+
+
 def pii_scores(df: DataFrame, opts: ProfileOptions | None = None, source_table: str = "table") -> DataFrame:
     """(source_table, ordinal, column, pii_type, priority, non_null_count, match_count, confidence); lazy, one scan."""
     opts = opts or ProfileOptions()

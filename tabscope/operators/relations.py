@@ -15,11 +15,16 @@
    every pair's shared values.
 
 No pair of rows is ever made; the work is one shuffle of distinct values per class.
+
+Who only asks for hints needs no counts of hopeless pairs: a theta sketch of every attribute, from one scan
+of the key columns without a shuffle, bounds each pair's containment, and the values of attributes without a
+pair that may reach ``min_ratio`` are never shuffled.
 This is the value-grouped form of inclusion-dependency discovery (Kruse,
 Papenbrock, Naumann, BTW 2015).
 """
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -107,11 +112,50 @@ def _per_value(frames: dict[str, DataFrame], attrs: list[Attr], ids: dict[Attr,
     return reduce(lambda x, y: x.unionByName(y), parts).groupBy("v", "a").agg(F.count("*").alias("n"))
 
 
+#: Size of a sketch (powers of two), and how surely a dropped pair is hopeless: chance exp(-SURE) of an error.
+SKETCH_LG_K, SURE = 12, 40.0
+Sketches = dict[tuple[Attr, str], bytes]
+
+
+def attributes(pairs: Iterable[tuple[Attr, Attr]]) -> dict[str, list[tuple[Attr, str]]]:
+    """By table, the attributes of the pairs with the classes in which they are compared."""
+    out: dict[str, list[tuple[Attr, str]]] = {}
+    for x in dict.fromkeys((x, comparison_class(a.spec, b.spec)) for a, b in pairs for x in (a, b)):
+        out.setdefault(x[0].table, []).append(x)
+    return out
+
+
+def key_sketches(df: DataFrame, keys: list[tuple[Attr, str]], lg_k: int = SKETCH_LG_K) -> Sketches:
+    """A theta sketch of the distinct values of each attribute of one table: one scan, a row of bounded sketches."""
+    if not keys:
+        return {}
+    row = df.select(*[F.theta_sketch_agg(_key(a.spec, cls), lg_k).alias(f"k{i}") for i, (a, cls) in enumerate(keys)]).first()
+    return dict(zip(keys, map(bytes, row)))
+
+
+def hopeful(spark, pairs: list[tuple[Attr, Attr]], sketches: Sketches, min_ratio: float = FK_MIN_RATIO, lg_k: int = SKETCH_LG_K) -> list[tuple[Attr, Attr]]:
+    """The pairs whose containment may reach ``min_ratio``.
+
+    The two sketches sample values by one hash up to the smaller of their thresholds, so the source's sampled values that are in the
+    target are a random sample's hits.  A pair goes if Hoeffding's bound says that so few hits have a chance below exp(-SURE)."""
+    ids = {x: i for i, x in enumerate(sketches)}
+    own = local_rows(spark, [(i, sketches[x]) for x, i in ids.items()], "i int, s binary")
+    asked = local_rows(spark, [(n, ids[a, c], ids[b, c]) for n, (a, b) in enumerate(pairs) for c in [comparison_class(a.spec, b.spec)]], "n int, a int, b int")
+    both = asked.join(own.select(F.col("i").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("i").alias("b"), F.col("s").alias("y")), "b")
+    met, source, target = (F.theta_sketch_estimate(e) for e in (F.theta_intersection("x", "y"), F.col("x"), F.col("y")))
+    missed = F.theta_sketch_estimate(F.theta_difference("x", "y"))
+    share = F.coalesce(met / F.nullif(met + missed, F.lit(0).cast("bigint")), F.lit(0.0))
+    sampled = 0.8 * source * F.least(F.lit(1.0), (1 << lg_k) / F.greatest(source, target, F.lit(1)))
+    gap = F.lit(min_ratio) - share
+    keep = both.where((source > 0) & ((gap <= 0) | (2 * sampled * gap * gap < SURE))).select("n").collect()
+    return [pairs[r[0]] for r in sorted(keep)]
+
+
 def containment(frames: dict[str, DataFrame], sources=None, rule: "str | NameRule" = "default",
-                min_ratio: float = FK_MIN_RATIO, extended: bool = False) -> DataFrame:
-    """Containment statistics for every candidate pair (see FK_SCHEMA); lazy."""
+                min_ratio: float = FK_MIN_RATIO, extended: bool = False, pairs: list[tuple[Attr, Attr]] | None = None) -> DataFrame:
+    """Containment statistics for every candidate pair, or for ``pairs`` (see FK_SCHEMA); lazy."""
     spark = next(iter(frames.values())).sparkSession
-    pairs = candidate_pairs(frames, sources, rule, extended)
+    pairs = candidate_pairs(frames, sources, rule, extended) if pairs is None else pairs
     if not pairs:
         return local_rows(spark, [], FK_SCHEMA)
     by_class: dict[str, list[tuple[Attr, Attr]]] = {}
@@ -150,8 +194,15 @@ def containment(frames: dict[str, DataFrame], sources=None, rule: "str | NameRul
 def fk_hints(frames: dict[str, DataFrame], sources=None, rule: "str | NameRule" = "default",
              min_ratio: float = FK_MIN_RATIO, extended: bool = False) -> DataFrame:
     """(source_table, source_col, target_table, target_col, match_count, source_distinct,
-    target_distinct, match_ratio, target_is_unique) for likely foreign keys."""
-    return containment(frames, sources, rule, min_ratio, extended).where("is_hint").drop("is_hint")
+    target_distinct, match_ratio, target_is_unique) for likely foreign keys.  A scan of the key columns of each
+    table runs at once; the rest, of the pairs that their sketches leave, is lazy."""
+    pairs = candidate_pairs(frames, sources, rule, extended)
+    sketches: Sketches = {}
+    for t, keys in attributes(pairs).items():
+        sketches |= key_sketches(frames[t], keys)
+    if pairs:
+        pairs = hopeful(next(iter(frames.values())).sparkSession, pairs, sketches, min_ratio)
+    return containment(frames, min_ratio=min_ratio, pairs=pairs).where("is_hint").drop("is_hint")
 
 
 def semi_containment(source: DataFrame, source_col: str, target: DataFrame, target_col: str) -> DataFrame:

@@ -7,21 +7,38 @@ binary buffers, so the aggregate has one buffer field per sketch and stays small
 for wide tables; a CSV or a derived view is parsed or computed once, whatever its width.
 
 The one wide result row becomes long form (one row per column, or per column and
-pattern) with ``inline(array(struct(...)))``, lazily: nothing runs until the result is
-used, and once the row has been fetched every long form reads that row only.
+pattern): with ``inline(array(struct(...)))`` as long as nothing has run, and as plain rows
+of a local relation once the row has been fetched.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from ..functions.exprs import sql_str
+from ..functions.exprs import sql_id, sql_str
 from ..functions.families import ColumnSpec
 from ..functions.frames import local_rows, schema_of
 
 ROWS = "_rows"
+_CORRUPT = "_corrupt_rows"
+
+
+@dataclass(frozen=True)
+class Ref:
+    """A metric in a long form's row: of the row's column, or (without a column) the table's row count."""
+
+    key: str
+    spec: ColumnSpec | None = None
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    return sql_str(value) if isinstance(value, str) else str(value)
 
 
 def alias(spec: ColumnSpec, key: str) -> str:
@@ -35,13 +52,20 @@ class FusedScan:
         self.df = df
         self.specs = list(specs)
         self._exprs: dict[str, str] = {}
-        self._fields: list[T.StructField] = []
         self._values: dict[str, object] | None = None
 
     def add(self, spec: ColumnSpec, key: str, expr: str) -> None:
         """Register an aggregate, written as SQL text over the table's columns."""
         self._exprs.setdefault(alias(spec, key), expr)
 
+    def count_corrupt(self, column: str) -> None:
+        """Count the rows that the reader marked as not fitting the declared schema."""
+        self._exprs.setdefault(_CORRUPT, f"count({sql_id(column)})")
+
+    @property
+    def corrupt(self) -> int:
+        return self.collect()._values.get(_CORRUPT) or 0
+
     @property
     def is_empty(self) -> bool:
         return not self._exprs
@@ -53,25 +77,19 @@ class FusedScan:
     def collect(self) -> "FusedScan":
         """Run the scan now and keep its row, whose size the schema sets."""
         if self._values is None:
-            frame = self.aggregate()
-            self._values = frame.first().asDict()
-            self._fields = list(frame.schema.fields)
+            self._values = self.aggregate().first().asDict()
         return self
 
     def adopt(self, others: Iterable["FusedScan"]) -> "FusedScan":
         """Take the rows of other scans of the same table instead of scanning."""
         self._values = {}
         for o in others:
-            self._fields += [f for f in o._fields if f.name not in self._values]
             self._values.update(o._values)
         return self
 
-    def put(self, spec: ColumnSpec, key: str, value, kind: T.DataType) -> None:
+    def put(self, spec: ColumnSpec, key: str, value) -> None:
         """Add a result computed by a later pass."""
-        self.collect()
-        name = alias(spec, key)
-        self._fields = [f for f in self._fields if f.name != name] + [T.StructField(name, kind)]
-        self._values[name] = value
+        self.collect()._values[alias(spec, key)] = value
 
     def get(self, spec: ColumnSpec, key: str):
         return self.collect()._values.get(alias(spec, key))
@@ -80,26 +98,31 @@ class FusedScan:
     def rows(self) -> int:
         return self.collect()._values.get(ROWS) or 0
 
-    def _frame(self) -> tuple[DataFrame, set[str]]:
-        if self._values is None:
-            return self.aggregate(), set(self._exprs) | {ROWS}
-        fields = [f for f in self._fields if f.name in self._values]
-        return (local_rows(self.df.sparkSession, [tuple(self._values[f.name] for f in fields)], T.StructType(fields)),
-                {f.name for f in fields})
-
-    def long(self, specs: Iterable[ColumnSpec], build: Callable[[ColumnSpec, Callable[[str], str]], list[tuple]], schema: str) -> DataFrame:
-        """Long form: ``build(spec, ref)`` gives rows of SQL expressions in the order of ``schema``;
-        ``ref(key)`` names a metric of the column, null if there is none."""
+    def long(self, specs: Iterable[ColumnSpec], build: Callable[[ColumnSpec], list[tuple]], schema: str) -> DataFrame:
+        """Long form: ``build(spec)`` gives rows of values and :class:`Ref` in the order of ``schema``; a metric that
+        there isn't is null.  Lazy, if the scan hasn't run; else a local relation."""
+        if self._values is not None:
+            return local_rows(self.df.sparkSession, self.rows_of(specs, build), schema)
         fields = schema_of(schema).fields
-        frame, known = self._frame()
+        frame, known = self.aggregate(), set(self._exprs) | {ROWS}
         rows = []
         for s in specs:
-            def ref(key, s=s):
-                return alias(s, key) if alias(s, key) in known else "NULL"
-
-            for values in build(s, ref):
-                items = ", ".join(f"{sql_str(f.name)}, CAST({v} AS {f.dataType.simpleString()})" for f, v in zip(fields, values))
+            for values in build(s):
+                names = [(alias(v.spec, v.key) if v.spec else v.key) if isinstance(v, Ref) else None for v in values]
+                cells = [(n if n in known else "NULL") if n else _literal(v) for n, v in zip(names, values)]
+                items = ", ".join(f"{sql_str(f.name)}, CAST({c} AS {f.dataType.simpleString()})" for f, c in zip(fields, cells))
                 rows.append(f"named_struct({items})")
         if not rows:
             return local_rows(self.df.sparkSession, [], schema)
         return frame.selectExpr(f"inline(array({', '.join(rows)}))")
+
+    def rows_of(self, specs: Iterable[ColumnSpec], build: Callable[[ColumnSpec], list[tuple]]) -> list[tuple]:
+        """The rows of :meth:`long`, from the fetched row."""
+        self.collect()
+
+        def value(v):
+            if not isinstance(v, Ref):
+                return v
+            return self.get(v.spec, v.key) if v.spec else self.rows
+
+        return [tuple(value(v) for v in values) for s in specs for values in build(s)]

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import ratio, sql_double, sql_id, sql_str
+from ..functions.exprs import ratio, sql_double, sql_id
 from ..functions.families import ColumnSpec, column_specs
 from ..options import ProfileOptions
 from . import quantiles as Q
-from .scan import ROWS, FusedScan
+from .scan import ROWS, FusedScan, Ref
 
 STATS_LONG = (
-    "ordinal int, column string, spark_type string, type_family string, nullable boolean, "
+    "source_table string, ordinal int, column string, spark_type string, type_family string, nullable boolean, "
     "profiled_rows bigint, null_count bigint, non_null_count bigint, cardinality_est bigint, "
     "distinct_exact bigint, min_num double, max_num double, min_str string, max_str string, "
     "mean_val double, stddev_val double, q1 double, q3 double, lower_bound double, upper_bound double, "
@@ -138,31 +138,37 @@ def second_pass(scan: FusedScan, opts: ProfileOptions, specs: list[ColumnSpec])
     distinct = {r[0]: r[1] for r in exact_distinct(df, counted).collect()} if counted else {}
     for s in specs:
         if s in counted:
-            scan.put(s, "dexact", distinct.get(s.ordinal, 0), T.LongType())
+            scan.put(s, "dexact", distinct.get(s.ordinal, 0))
         if s.ordinal in bounds:
             for key, x in zip(("q1", "q3", "lb", "ub"), (*quartiles[s.ordinal], *bounds[s.ordinal])):
-                scan.put(s, key, float(x), T.DoubleType())
-            scan.put(s, "outl", outliers[s.ordinal], T.LongType())
+                scan.put(s, key, float(x))
+            scan.put(s, "outl", outliers[s.ordinal])
 
 
-def _stats_rows(s: ColumnSpec, ref) -> list[tuple]:
-    num, text = s.minmax_kind == "num", s.minmax_kind == "str"
-    return [(
-        s.ordinal, sql_str(s.name), sql_str(s.spark_type), sql_str(s.family), str(s.nullable).lower(), ROWS,
-        ref("nulls"), ref("nn"), ref("adist"), ref("dexact"),
-        ref("min") if num else "NULL", ref("max") if num else "NULL", ref("min") if text else "NULL", ref("max") if text else "NULL",
-        ref("mean"), ref("std"), ref("q1"), ref("q3"), ref("lb"), ref("ub"), ref("outl"),
-    )]
+def stats_rows(source_table: str):
+    """Long-form rows of a column."""
+    def build(s: ColumnSpec) -> list[tuple]:
+        num, text = s.minmax_kind == "num", s.minmax_kind == "str"
 
+        def of(key, wanted=True):
+            return Ref(key, s) if wanted else None
 
-def profile_from(scan: FusedScan, opts: ProfileOptions, source_table: str, specs: list[ColumnSpec]) -> DataFrame:
-    """The column profile of a scan that has been through :func:`second_pass`."""
+        return [(
+            source_table, s.ordinal, s.name, s.spark_type, s.family, s.nullable, Ref(ROWS),
+            *map(of, ("nulls", "nn", "adist", "dexact")), of("min", num), of("max", num), of("min", text), of("max", text),
+            *map(of, ("mean", "std", "q1", "q3", "lb", "ub", "outl")),
+        )]
+
+    return build
+
+
+def profile_of(long: DataFrame, opts: ProfileOptions) -> DataFrame:
+    """The column profile from the long form, of any number of tables."""
     rows = F.col("profiled_rows")
     card = F.col("distinct_exact") if opts.exact else F.col("cardinality_est")
     is_pk = (F.col("null_count") == 0) & (F.col("distinct_exact") == rows)
-    return scan.long(specs, _stats_rows, STATS_LONG).where(rows > 0).select(
-        F.lit(source_table).alias("source_table"),
-        "ordinal", "column", "spark_type", "type_family", "nullable",
+    return long.where(rows > 0).select(
+        "source_table", "ordinal", "column", "spark_type", "type_family", "nullable",
         rows.alias("row_count"), "profiled_rows", "null_count",
         ratio(F.col("null_count"), rows).alias("null_pct"),
         "non_null_count",
@@ -176,6 +182,11 @@ def profile_from(scan: FusedScan, opts: ProfileOptions, source_table: str, specs
     )
 
 
+def profile_from(scan: FusedScan, opts: ProfileOptions, source_table: str, specs: list[ColumnSpec]) -> DataFrame:
+    """The column profile of a scan that has been through :func:`second_pass`."""
+    return profile_of(scan.long(specs, stats_rows(source_table), STATS_LONG), opts)
+
+
 def column_profile(df: DataFrame, opts: ProfileOptions | None = None, source_table: str = "table") -> DataFrame:
     """One row per column: schema, key candidacy and statistics over all rows."""
     opts = opts or ProfileOptions()

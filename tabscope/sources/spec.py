@@ -14,7 +14,8 @@ class SourceSpec:
     ``connection_type`` decides: ``catalog``/``databricks`` read
     ``database.table`` from the catalog, ``parquet``/``delta``/``csv`` read
     ``<data_root>/<type>/<table>``, ``duckdb`` reads the Delta folder of that name.
-    ``options`` go to every reader.
+    ``options`` go to every reader.  ``schema`` (DDL) declares the columns of files, so that none is scanned to
+    infer them; of a CSV the lines that don't fit are counted in the report's errors.
     """
 
     table: str
@@ -25,6 +26,7 @@ class SourceSpec:
     path: str | None = None
     format: str | None = None
     options: dict = field(default_factory=dict)
+    schema: str | None = None
 
     @property
     def display_name(self) -> str:

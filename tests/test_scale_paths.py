@@ -5,7 +5,6 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 import tabscope as ts
 from tabscope.functions.families import column_specs
@@ -62,11 +61,11 @@ def test_exact_quartiles_match_percentile_disc(spark, seed, rank_rows, monkeypat
     for width in (None, 0.2, 9.0):  # as sketched; wide brackets; brackets beside the quartile, as if the sketch had missed
         if width == 9.0:
             for s in specs:
-                scan.put(s, "qb", [1e9, 2e9, 1e9, 2e9], T.ArrayType(T.DoubleType()))
+                scan.put(s, "qb", [1e9, 2e9, 1e9, 2e9])
         elif width:
             for s in specs:
                 b = scan.get(s, "qb")
-                scan.put(s, "qb", [b[0] - 30, b[1] + 30, b[2] - 30, b[3] + 30], T.ArrayType(T.DoubleType()))
+                scan.put(s, "qb", [b[0] - 30, b[1] + 30, b[2] - 30, b[3] + 30])
         got = Q.exact_quartiles(df, specs, scan)
         for s in specs:
             vals = [r[s.ordinal - 1] for r in rows]
