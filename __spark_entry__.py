@@ -18,6 +18,7 @@ import importlib.util
 import os
 import re
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,8 +31,11 @@ from tabscope.functions.exprs import sql_double, sql_id  # noqa: E402
 from tabscope.functions.families import column_specs  # noqa: E402
 from tabscope.operators import interpret, patterns, pii, relations, stats, summary  # noqa: E402
 from tabscope.operators.scan import FusedScan  # noqa: E402
-from tabscope.plans.profile import batch_summary, profile_sources, profile_tables  # noqa: E402
+from tabscope.functions.frames import shared_folder  # noqa: E402
+from tabscope.plans.profile import batch_summary, profile_sources, profile_table, profile_tables  # noqa: E402
+from tabscope.sources.readers import read_source  # noqa: E402
 from tabscope.sources.spec import SourceSpec  # noqa: E402
+from tabscope.sources.store import load_reports, read_reports, report_by_id, write_reports  # noqa: E402
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -129,13 +133,18 @@ NAN_VIEW = ("lineitem", [
     ("nan_or_null", "double", "CASE WHEN l_linenumber < 3 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber < 5 THEN NULL ELSE l_tax END"),
 ])
 
-# Digit runs that are no card stand before, after and beside one that is.
+# Cards beside other numbers, and digit groups that are none.
 CARD_VIEW = ("customer", [
-    ("note", "string", "CASE WHEN c_custkey % 5 = 0 THEN concat('order 1234567890123 card 4111 1111 1111 1111 ', CAST(c_custkey AS STRING)) "
-                       "WHEN c_custkey % 5 = 1 THEN concat('5500-0000-0000-0004/', CAST(c_custkey AS STRING)) "
-                       "WHEN c_custkey % 5 = 2 THEN concat('4111 1111 1111 1112 x 378282246310006 ', CAST(c_custkey AS STRING)) "
-                       "WHEN c_custkey % 5 = 3 THEN concat('378282246310005, ', CAST(c_custkey AS STRING)) END"),
+    ("note", "string", "CASE WHEN c_custkey % 8 = 0 THEN concat('order 1234567890123 card 4111 1111 1111 1111 ', CAST(c_custkey AS STRING)) "
+                       "WHEN c_custkey % 8 = 1 THEN concat('5500-0000-0000-0004/', CAST(c_custkey AS STRING)) "
+                       "WHEN c_custkey % 8 = 2 THEN concat('4111 1111 1111 1112 x 378282246310006 ', CAST(c_custkey AS STRING)) "
+                       "WHEN c_custkey % 8 = 3 THEN concat('378282246310005, ', CAST(c_custkey AS STRING)) "
+                       "WHEN c_custkey % 8 = 4 THEN concat(CAST(c_custkey AS STRING), ' 4111 1111 1111 1111') "
+                       "WHEN c_custkey % 8 = 5 THEN concat('99', CAST(c_custkey AS STRING), '4111111111111111') "
+                       "WHEN c_custkey % 8 = 6 THEN concat('4111-1111-1111-1111-', CAST(c_custkey AS STRING), ' ', CAST(c_custkey AS STRING)) END"),
     ("number", "string", "concat('40000000', lpad(CAST(c_custkey AS STRING), 8, '0'))"),
+    ("groups", "string", "concat(CAST(c_custkey AS STRING), ' ', substring(CAST(4000000000000000 + c_custkey * 7919 AS STRING), 1, 4), ' ', "
+                         "substring(CAST(4000000000000000 + c_custkey * 7919 AS STRING), 5, 6), '-', substring(CAST(4000000000000000 + c_custkey * 7919 AS STRING), 11, 6))"),
 ])
 
 # Keys beyond 2^53 as bigint and decimal, beside a floating one that must not change how they compare.
@@ -179,7 +188,8 @@ def _llm_queries():
 
 
 def _pipeline():
-    return _if_here("corpus_pipeline", "corpus_pipeline")
+    """The pipeline needs the training-data operators: without them its file alone is of no use."""
+    return _llm_queries() and _if_here("corpus_pipeline", "corpus_pipeline")
 
 
 # ---------------------------------------------------------------------------
@@ -344,15 +354,9 @@ def _q_default_bounds(spark, sf_dir):
     return _union(parts)
 
 
-_BATCHES: dict = {}
-
-
 def _report(spark, sf_dir):
-    """The exact-mode batch report of all tables and two views; its inputs are one-row relations, kept for the queries that read it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BATCHES:
-        _BATCHES[key] = profile_tables({t: _load(spark, sf_dir, t) for t in REPORT_TABLES}, EXACT, fk_sources=TABLES).report
-    return _BATCHES[key]
+    """The exact-mode batch report of all tables and two views."""
+    return profile_tables({t: _load(spark, sf_dir, t) for t in REPORT_TABLES}, EXACT, fk_sources=TABLES).report
 
 
 def _exploded(field):
@@ -378,6 +382,70 @@ def _q_profile_sources(spark, sf_dir):
                                (F.size("errors") > 0).alias("failed"), F.size("fk_hints").alias("n_fk_hints"))
 
 
+STORED_TABLES = ["region", "nation", "customer", "supplier", "orders", "labels", "documents", "pii_view"]
+
+
+def _stored_reports(spark, sf_dir) -> str:
+    """A new store with the exact-mode reports of eight tables, written twice (each must be there once)."""
+    path = shared_folder(spark)
+    reports = profile_tables({t: _load(spark, sf_dir, t) for t in STORED_TABLES}, EXACT).report
+    write_reports(reports, path=path)
+    write_reports(reports, path=path)
+    return path
+
+
+def _q_stored_stats(spark, sf_dir):
+    """Statistics of reports read back as typed rows."""
+    r = load_reports(spark, _stored_reports(spark, sf_dir)).select("source_table", F.inline("stats"))
+    return r.withColumn("mean_val", F.round("mean_val", 4)).withColumn("stddev_val", F.round("stddev_val", 4))
+
+
+def _q_stored_lookup(spark, sf_dir):
+    """Every report looked up by its id, with what its document says."""
+    path = _stored_reports(spark, sf_dir)
+    ids = [r[0] for r in read_reports(spark, path).select("report_id").collect()]
+    found = _union([report_by_id(spark, i, path) for i in ids])
+    doc = F.from_json("report_json", "row_count bigint, columns array<struct<name:string>>, schema_version string, fk_hints array<struct<target_table:string>>")
+    return found.select("source_table", doc.alias("d")).select(
+        "source_table", "d.row_count", F.array_join("d.columns.name", ",").alias("columns"), "d.schema_version", F.array_join("d.fk_hints.target_table", ",").alias("targets"))
+
+
+def _q_csv_declared(spark, sf_dir):
+    """Orders written as CSV lines with one that doesn't fit, read with a declared schema: the profile and the error."""
+    path, orders = shared_folder(spark), _load(spark, sf_dir, "orders")
+    lines = orders.select(F.to_csv(F.struct(*orders.columns)).alias("value"))
+    lines.union(spark.createDataFrame([("not a number,x",)], "value string")).write.text(path)
+    spec = SourceSpec(table="orders", path=path, format="csv", schema=", ".join(f"{c} {t}" for c, t in TABLE_COLUMNS["orders"]), options={"header": "false"})
+    t = profile_table(read_source(spark, spec), "orders", EXACT)
+    return _rounded(t.profile).select(
+        "ordinal", "column", "spark_type", "row_count", "null_count", "distinct_exact", "min_num", "max_num", "min_str", "max_str", "mean_val", "q1", "q3", "outlier_count",
+        F.lit(" | ".join(t.errors)).alias("errors"))
+
+
+def _q_named_sources(spark, sf_dir):
+    """Sources by name: a catalog table whose sibling in the database is a foreign-key target, a typed Parquet folder, a CSV with
+    inferred columns, and a catalog table that isn't there."""
+    root, db = shared_folder(spark), f"tabscope_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {db}")
+    for t in ("labels", "documents"):
+        _load(spark, sf_dir, t).write.saveAsTable(f"{db}.{t}")
+    _load(spark, sf_dir, "orders").write.parquet(f"{root}/parquet/orders")
+    _load(spark, sf_dir, "customer").write.option("header", True).csv(f"{root}/csv/customer.csv")
+    specs = [SourceSpec(table="labels", database=db, connection_type="catalog", source_system="catalog"), SourceSpec(table="orders"),
+             SourceSpec(table="customer", connection_type="csv", source_system="files"), SourceSpec(table="absent", database=db, connection_type="catalog")]
+    r = profile_sources(spark, specs, data_root=root).report
+    return r.select("source_table", "source_system", "row_count", F.array_join("columns.name", ",").alias("columns"), F.array_join("columns.spark_type", ",").alias("types"),
+                    (F.size("errors") > 0).alias("failed"),
+                    F.array_join(F.transform("fk_hints", lambda h: F.concat(h["source_col"], F.lit(">"), h["target_table"], F.lit("."), h["target_col"])), ",").alias("hints"))
+
+
+def _q_empty_tables(spark, sf_dir):
+    """Tables of which no row is left: a report without columns, and no failure."""
+    none = {"customer": "c_custkey < 0", "orders": "o_orderkey < 0", "documents": "doc_id < 0", "embeddings": "vec_id < 0", "events": "event_id < 0"}
+    r = profile_tables({t: _load(spark, sf_dir, t).where(w) for t, w in none.items()}).report
+    return r.select("source_table", "row_count", *[F.size(c).alias(f"n_{c}") for c in ("columns", "stats", "pii_info", "detected_patterns", "fk_hints", "errors")])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: profile all tables at sf0.001 and return one nested report per table."""
     sf_dir = "/root/testdata/sf0.001"
@@ -412,6 +480,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["report_patterns"] = _q_report_patterns
     q["report_fk"] = _exploded("fk_hints")
     q["profile_sources"] = _q_profile_sources
+    q["stored_report_stats"] = _q_stored_stats
+    q["stored_report_lookup"] = _q_stored_lookup
+    q["csv_declared_schema"] = _q_csv_declared
+    q["profile_named_sources"] = _q_named_sources
+    q["empty_tables"] = _q_empty_tables
     if llm := _llm_queries():
         q.update(llm.queries())
     if pipeline := _pipeline():
@@ -422,7 +495,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ---------------------------------------------------------------------------
 # DuckDB side
 # ---------------------------------------------------------------------------
-# The rules and values of the behaviour to match, written out: the SQL must not share code with what it checks.
+# FIXED VALUES - the regexes and names of the behaviour to match, written out: the SQL must not share code with what it checks.
 PII_PATTERNS = [
     ("EMAIL", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
     ("SSN", r"\d{3}-\d{2}-\d{4}"),
@@ -439,7 +512,10 @@ VALUE_PATTERNS = [
     ("LOAN_ID", r"LOAN-\d{6}", "custom"),
     ("BRANCH_CODE", r"BR-\d{3}", "custom"),
 ]
-PERSON_NAME = r"^((first|last|full|given|middle|sur|family|customer|person|employee|client|owner|contact)_)?name$"
+PERSON_NAME = (
+    r"^(?:(?:first|last|full|given|middle|sur|family|"
+    r"customer|person|employee|client|owner|contact)_)?name$"
+)
 _ENTITY = "array_to_string(list_transform(string_split({0}, '_'), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
 _NUMERIC = {"int", "bigint", "double", "float"}
 #: Columns that Spark knows to hold no null: a CASE whose branches are all literals.
@@ -716,21 +792,68 @@ FROM (SELECT count(*) FILTER (WHERE {q} IS NULL) AS nulls, count({q}) AS nn, cou
     return "\nUNION ALL\n".join(parts)
 
 
+def _keyed(column: str) -> str:
+    """A column of the card view with the row's key."""
+    expr = next(e for c, _, e in CARD_VIEW[1] if c == column)
+    return f"(SELECT c_custkey AS id, {expr} AS t FROM customer)"
+
+
 def sql_credit_card_scores() -> str:
+    """By brute force: every piece of the text from 13 to 37 characters that is digits with single spaces or hyphens, not beside a digit."""
     src, parts = _src("card_view"), []
-    digit = "CAST(d[k:k] AS INTEGER)"
-    luhn = (f"list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 0 THEN {digit} "
-            f"WHEN {digit} * 2 > 9 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0")
     for i, (c, _) in enumerate(_columns("card_view"), 1):
-        runs = f"list_transform(regexp_extract_all({_id(c)}, '([0-9][ -]?){{12,18}}[0-9]'), lambda x: regexp_replace(x, '[ -]', '', 'g'))"
-        hit = f"len(list_filter({runs}, lambda d: {luhn})) > 0"
+        digit = "CAST(d[k:k] AS INTEGER)"
+        luhn = (f"list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 0 THEN {digit} "
+                f"WHEN {digit} * 2 > 9 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0")
         parts.append(f"""
-SELECT 'card_view' AS source_table, CAST({i} AS INTEGER) AS ordinal, {_lit(c)} AS "column", a.nn AS non_null_count, a.m AS match_count,
-  CAST(a.m AS DOUBLE) / a.nn AS confidence
-FROM (SELECT count({_id(c)}) AS nn, count(*) FILTER (WHERE {hit}) AS m FROM {src}) a""")
+SELECT 'card_view' AS source_table, CAST({i} AS INTEGER) AS ordinal, {_lit(c)} AS "column", a.nn AS non_null_count, coalesce(b.m, 0) AS match_count,
+  CAST(coalesce(b.m, 0) AS DOUBLE) / a.nn AS confidence
+FROM (SELECT count({_id(c)}) AS nn FROM {src}) a, (
+  SELECT count(DISTINCT id) AS m FROM (
+    SELECT id, regexp_replace(t[p:p + n - 1], '[ -]', '', 'g') AS d
+    FROM (SELECT id, t, p, unnest(range(13, 38)) AS n FROM (
+      SELECT id, t, unnest(range(1, length(t) - 11)) AS p FROM {_keyed(c)}))
+    WHERE p + n - 1 <= length(t) AND regexp_matches(t[p:p], '[0-9]') AND regexp_matches(t[p + n - 1:p + n - 1], '[0-9]')
+      AND (p = 1 OR NOT regexp_matches(t[p - 1:p - 1], '[0-9]')) AND NOT regexp_matches(t[p + n:p + n], '[0-9]')
+      AND regexp_full_match(t[p:p + n - 1], '[0-9]+([ -][0-9]+)*'))
+  WHERE length(d) BETWEEN 13 AND 19 AND {luhn}) b""")
     return "\nUNION ALL\n".join(parts)
 
 
+def sql_empty_tables() -> str:
+    zeros = ", ".join(f"CAST(0 AS INTEGER) AS n_{c}" for c in ("columns", "stats", "pii_info", "detected_patterns", "fk_hints", "errors"))
+    none = {"customer": "c_custkey < 0", "orders": "o_orderkey < 0", "documents": "doc_id < 0", "embeddings": "vec_id < 0", "events": "event_id < 0"}
+    return "\nUNION ALL\n".join(f"SELECT {_lit(t)} AS source_table, (SELECT count(*) FROM {t} WHERE {w}) AS row_count, {zeros}" for t, w in none.items())
+
+
+def sql_named_sources() -> str:
+    def one(table, system, columns, hints="''", rows=None):
+        said = ", ".join(_lit(",".join(x)) for x in zip(*columns)) if columns else "'', ''"
+        return (f"SELECT {_lit(table)} AS source_table, {_lit(system)} AS source_system, {rows or f'(SELECT count(*) FROM {table})'} AS row_count, "
+                + "{0} AS columns, {1} AS types, ".format(*said.split(", ", 1)) + f"{str(not columns).lower()} AS failed, {hints} AS hints")
+
+    # a CSV's columns are typed by what they look like
+    seen = [(c, {"bigint": "int"}.get(t, t)) for c, t in TABLE_COLUMNS["customer"]]
+    held = "(SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) >= 0.9 * (SELECT count(DISTINCT doc_id) FROM labels)"
+    return "\nUNION ALL\n".join([
+        one("labels", "catalog", TABLE_COLUMNS["labels"], f"CASE WHEN {held} THEN 'doc_id>documents.doc_id' ELSE '' END"), one("orders", "unknown", TABLE_COLUMNS["orders"]),
+        one("customer", "files", seen), one("absent", "unknown", [], rows="CAST(NULL AS BIGINT)")])
+
+
+def sql_csv_declared() -> str:
+    nulls = ", ".join(f"CAST(NULL AS {'TIMESTAMP' if t.startswith('timestamp') else 'VARCHAR' if t == 'string' else t.upper()}) AS {c}" for c, t in TABLE_COLUMNS["orders"])
+    profile = sql_profile("orders").replace("FROM orders", f"FROM (SELECT * FROM orders UNION ALL SELECT {nulls})")
+    return (f"SELECT ordinal, \"column\", spark_type, row_count, null_count, distinct_exact, min_num, max_num, min_str, max_str, mean_val, q1, q3, outlier_count, "
+            f"'1 rows don''t fit the declared schema' AS errors FROM ({profile})")
+
+
+def sql_stored_lookup() -> str:
+    hints = sql_fk("default", True, tuple(STORED_TABLES))
+    return "\nUNION ALL\n".join(
+        f"SELECT {_lit(t)} AS source_table, (SELECT count(*) FROM {_src(t)}) AS row_count, {_lit(','.join(c for c, _ in _columns(t)))} AS columns, '1.1.0' AS schema_version, "
+        f"coalesce((SELECT string_agg(target_table, ',' ORDER BY source_col, target_table, target_col) FROM ({hints}) WHERE source_table = {_lit(t)}), '') AS targets" for t in STORED_TABLES)
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     for t in TABLES:
@@ -782,6 +905,13 @@ FROM (SELECT DISTINCT l_orderkey, l_orderkey IN (SELECT o_orderkey FROM orders W
         f"CAST({len(TABLE_COLUMNS[t])} AS INTEGER) AS n_columns, false AS failed, "
         f"(SELECT CAST(count(*) AS INTEGER) FROM ({hints}) WHERE source_table = {_lit(t)}) AS n_fk_hints" for t in TABLES
     ) + "\nUNION ALL\nSELECT 'no_such_table', 'unknown', CAST(NULL AS BIGINT), 0, true, 0"
+    o["stored_report_stats"] = "\nUNION ALL\n".join(
+        f"SELECT source_table, ordinal, \"column\", null_pct, cardinality_est, min_num, max_num, min_str, max_str, mean_val, stddev_val, q1, q3, "
+        f"outlier_count, has_outliers FROM ({sql_profile(t)})" for t in STORED_TABLES)
+    o["stored_report_lookup"] = sql_stored_lookup()
+    o["csv_declared_schema"] = sql_csv_declared()
+    o["profile_named_sources"] = sql_named_sources()
+    o["empty_tables"] = sql_empty_tables()
     if llm := _llm_queries():
         o.update(llm.oracle_sql())
     if (pipeline := _pipeline()) and pipeline.ORACLE_SQL:

@@ -18,6 +18,6 @@ from .plans.profile import (
 )
 from .sources.spec import SourceSpec
 from .sources.readers import catalog_tables, discover_siblings, read_source
-from .sources.store import get_report, read_reports, report_by_id, write_reports
+from .sources.store import get_report, load_reports, read_reports, report_by_id, write_reports
 
 __all__ = [n for n in dir() if not n.startswith("_")]
