@@ -61,10 +61,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = ()) -> np.ndarray:
-    """A 64-bit hash of every span's bytes, equal for equal bytes anywhere.  With ``prefixes`` a row of hashes:
-    the spans, then for each length their first so many bytes (0 for spans that aren't longer)."""
-    out = np.zeros((1 + len(prefixes), len(starts)), np.uint64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every span's bytes, equal for equal bytes anywhere."""
+    out = np.zeros(len(starts), np.uint64)
     for k in range(0, len(starts), _CHUNK):
         a, b = starts[k:k + _CHUNK], ends[k:k + _CHUNK]
         base = a[0]
@@ -75,13 +74,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * powers, dtype=np.uint64)])
         powers[1:] = np.uint64(_P_INV)
         np.multiply.accumulate(powers, out=powers)
-        before, unit = sums[a - base], powers[a - base]
-        out[0, k:k + _CHUNK] = mixed((sums[b - base] - before) * unit)
-        for row, n in enumerate(prefixes, 1):
-            longer = np.flatnonzero(b - a > n)
-            h = (sums[a[longer] - base + n] - before[longer]) * unit[longer]
-            out[row, k + longer] = mixed(h + np.uint64(n * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-    return out if prefixes else out[0]
+        out[k:k + _CHUNK] = mixed((sums[b - base] - sums[a - base]) * powers[a - base])
+    return out
 
 
 def shingle_hashes(words: np.ndarray, text_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

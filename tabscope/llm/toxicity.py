@@ -1,21 +1,22 @@
 """Toxicity scores from the nearest labelled examples.
 
 The examples are a bounded sample of the labelled documents (about ``max_examples`` by a hash of
-the id).  Vectors are TF-IDF over all words and beginnings of words of the examples, which the sample
-bounds; a term weighs more the larger its chi-square against the label is among the examples, and none
-is dropped.  Document frequencies are counted over all documents; words that no example has can meet
-none and aren't part of a document's norm.  Each document's ``k`` nearest examples by exact cosine come
-from a block-max index: examples in blocks of ``BLOCK``, postings of the rarer terms, and for the
+the id).  Vectors are TF-IDF over all words of the examples, which the sample bounds; a word weighs more the
+larger its damped chi-square against the label is among the examples, and none is dropped.  Texts are hashed once: the
+rows of (word, count) are written, document frequencies are counted over all of them, and the search reads them.  Words that
+no example has can meet none and aren't part of a document's norm.  Each document's ``k`` nearest examples by exact
+cosine come from a block-max index: examples in blocks of ``BLOCK``, postings of the rarer words, and for the
 frequent ones a matrix and each block's largest weights.  A block whose bound is below the k-th best
 score found is skipped, so the search is exact.
 
-Votes are weighted by distance (the cosine); a vote becomes a score by logistic calibration on the
-examples' own leave-one-out votes.  The neighbours come along as evidence.
+Votes are weighted by distance (the cosine); a vote becomes a score by logistic calibration on votes of the
+examples: each half is searched among the other half's examples, with word weights that only those have set, so no
+example's label has a part in its own vote.  The neighbours come along as evidence.
 
 Edge cases: null and empty texts, and texts without any word of the examples, are near to no example
 and get the calibrated rate of such examples; without labelled rows, or with one label only,
-every score is that label's rate (0 without rows); null labels are not learned from; ties of cosine go to the
-example with the smaller doc_id; repeated rows get equal scores; an empty table gives no
+every score is that label's rate (0 without rows); null labels are not learned from; ids may be of any type that orders; ties of
+cosine go to the example with the smaller doc_id; repeated rows get equal scores; an empty table gives no
 rows; other columns are ignored.
 """
 from __future__ import annotations
@@ -24,10 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import text_or_empty
+from .shared import text_or_empty, written
 from .tokens import LOWER, NOT_ALNUM, slices, span_hashes, utf8, word_spans
 
 BLOCK = 64
@@ -37,9 +40,6 @@ DENSE = 512
 QUERIES = 128
 #: More than single precision can lose in a cosine.
 ROUNDING = 1e-4
-#: A term is a word or its first so many bytes, if it is longer: inflected forms share those.
-PREFIXES = (5, 6, 7, 8)
-_TERMS = "doc_id {}, terms array<bigint>, counts array<int>"
 
 
 def term_counts(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,9 +49,7 @@ def term_counts(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.
     data = LOWER[data]
     starts, ends = word_spans(data, offsets, NOT_ALNUM)
     text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
-    h = span_hashes(data, starts, ends, PREFIXES).ravel()
-    text_of = np.tile(text_of, 1 + len(PREFIXES))
-    text_of, h = text_of[h != 0], h[h != 0]
+    h = span_hashes(data, starts, ends)
     if wanted is not None:
         if not len(wanted):
             return (np.zeros(0, np.int64),) * 3
@@ -68,19 +66,19 @@ def term_counts(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.
     return text_of[first], h[first].view(np.int64), np.diff(np.append(first, len(h)))
 
 
-def term_rows(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """doc_id, terms and counts of every document."""
+def term_rows(docs: DataFrame, vocabulary=None) -> DataFrame:
+    """doc_id, terms and counts of every document; ``vocabulary``: a broadcast of sorted hashes, of which the terms are places then."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, n in slices(b.column(1)):
                 part = b.slice(k, n)
-                text, term, count = term_counts(part.column(1), wanted)
+                text, term, count = term_counts(part.column(1), None if vocabulary is None else vocabulary.value)
                 cuts = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (term, count.astype(np.int32))]
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (term if vocabulary is None else term.astype(np.int32), count.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["doc_id", "terms", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, _TERMS.format(kind))
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, terms array<{'bigint' if vocabulary is None else 'int'}>, counts array<int>")
 
 
 def _weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -118,7 +116,7 @@ def build_index(vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> d
             "starts": starts, "example": example, "weight": weight, "n": len(vectors)}
 
 
-def nearest_of(index: dict, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+def nearest_of(index: dict, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query (terms, weights) the ``k`` examples of largest cosine above 0 (ties: the first), and the cosines.
 
     A block is scored for the queries whose bound there reaches their k-th best score in their two best blocks; what
@@ -138,12 +136,11 @@ def nearest_of(index: dict, queries: list[tuple[np.ndarray, np.ndarray]], k: int
     single = q.astype(np.float32)
     bound = rest.reshape(len(queries), blocks, BLOCK).max(2) + single @ index["largest"].T
     score, least = np.full(rest.shape, -1.0), np.zeros(len(queries))
-    out = [-1] * len(queries) if leave_out is None else leave_out
     for i, best in enumerate(np.argsort(-bound, axis=1, kind="stable")[:, :2]):
         for b in best:
             rows = slice(b * BLOCK, (b + 1) * BLOCK)
             score[i, rows] = rest[i, rows] + dense[rows] @ single[i]
-        some = np.delete(score[i], out[i]) if out[i] >= 0 else score[i]
+        some = np.concatenate([score[i, b * BLOCK:(b + 1) * BLOCK] for b in best])
         least[i] = np.partition(some, -k)[-k] if len(some) >= k else -1.0
     for b in range(blocks):
         rows = slice(b * BLOCK, (b + 1) * BLOCK)
@@ -151,8 +148,6 @@ def nearest_of(index: dict, queries: list[tuple[np.ndarray, np.ndarray]], k: int
         score[open_, rows] = rest[open_, rows] + single[open_] @ dense[rows].T
     found = []
     for i, s in enumerate(score):
-        if out[i] >= 0:
-            s[out[i]] = -1.0
         kth = np.partition(s, -k)[-k] if len(s) >= k else -1.0
         best = np.flatnonzero((s > 0) & (s >= kth - ROUNDING))
         cosine = rest[i, best] + dense[best].astype(float) @ q[i]
@@ -161,9 +156,9 @@ def nearest_of(index: dict, queries: list[tuple[np.ndarray, np.ndarray]], k: int
     return found
 
 
-def nearest(index: dict, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+def nearest(index: dict, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """:func:`nearest_of` for one query."""
-    return nearest_of(index, [(terms, weights)], k, [leave_out])[0]
+    return nearest_of(index, [(terms, weights)], k)[0]
 
 
 def _vote(labels: np.ndarray, best: np.ndarray, cosine: np.ndarray, alone: float, shrink: float = 0.5) -> float:
@@ -203,43 +198,58 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, k: int =
     terms = numbers = part = rows = None
     pa.default_memory_pool().release_unused()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], places[i].tobytes(), counts[i].tobytes()))
-    return {"vocabulary": vocabulary, "examples": [(ids[i], int(toxic[i]), places[i], counts[i]) for i in order], "k": k,
-            "association": association(places, toxic, len(vocabulary))}
+    return {"vocabulary": vocabulary, "examples": [(ids[i], int(toxic[i]), places[i], counts[i]) for i in order], "k": k}
 
 
-def association(places: list[np.ndarray], labels: np.ndarray, n_terms: int, most: float = 20.0, half: float = 60.0) -> np.ndarray:
+def association(places: list[np.ndarray], labels: np.ndarray, n_terms: int, most: float = 20.0, half: float = 10.0, damping: float = 5.0) -> np.ndarray:
     """Weight of each term by its chi-square against the label among the examples (each one's terms, and the labels): 1 without
-    association, up to 1 + ``most``; ``half`` is the chi-square that gives half of that."""
+    association, up to 1 + ``most``; ``half`` is the chi-square that gives half of that.  ``damping`` examples more are expected of
+    every term, so that one met once or twice tells little."""
     n, n1, c, c1 = float(len(labels)), float(labels.sum()), np.zeros(n_terms), np.zeros(n_terms)
     for terms, label in zip(places, labels):
         c[terms] += 1
         c1[terms] += label
     expected = c * (n1 / max(n, 1.0))
-    x = np.square((c1 - expected) * n) / (expected * (n - n1) * (n - c) + 1e-9)
+    x = np.square((c1 - expected) * n) / ((expected + damping) * (n - n1) * (n - c) + 1e-9)
     return 1 + most * np.square(x) / (np.square(x) + half * half)
 
 
-def _finished(model: dict, frequency: np.ndarray, n_docs: int) -> dict:
-    """The model with weights, index and calibration."""
-    idf = (np.log((1 + n_docs) / (1 + frequency)) + 1) * model["association"]
-    vectors = [(terms, _weights(terms, counts.astype(float), idf).astype(np.float32)) for _, _, terms, counts in model["examples"]]
+def _indexed(examples: list, chosen: list[int], idf: np.ndarray) -> tuple[dict, np.ndarray, list[int], np.ndarray]:
+    """Index of the chosen examples, their labels and places in its order, and the terms' weights that they set."""
+    labels = np.array([examples[i][1] for i in chosen], float)
+    weight = idf * association([examples[i][2] for i in chosen], labels, len(idf))
+    vectors = [(examples[i][2], _weights(examples[i][2], examples[i][3].astype(float), weight).astype(np.float32)) for i in chosen]
     # examples of one leading frequent term share blocks, so that a block's bound is close
     often = _document_counts([t for t, _ in vectors], len(idf))
     often = often >= np.sort(often)[-min(DENSE, len(often))] if len(often) else often
     lead = [int(t[(w * often[t]).argmax()]) if len(t) else -1 for t, w in vectors]
     order = sorted(range(len(vectors)), key=lambda i: (lead[i], i))
-    labels = np.array([model["examples"][i][1] for i in order], float)
-    vectors = [vectors[i] for i in order]
-    index = build_index(vectors, len(idf))
-    empty = np.array([not len(t) for t, _ in vectors], bool)
+    return build_index([vectors[i] for i in order], len(idf)), labels[order], [chosen[i] for i in order], weight
+
+
+def _votes(examples: list, idf: np.ndarray, k: int, alone: float) -> np.ndarray:
+    """Each example's vote from the other half of the examples."""
+    votes = np.zeros(len(examples))
+    for half in (0, 1):
+        asked = list(range(half, len(examples), 2))
+        index, labels, _, weight = _indexed(examples, list(range(1 - half, len(examples), 2)), idf)
+        for i in range(0, len(asked), QUERIES):
+            part = asked[i:i + QUERIES]
+            found = nearest_of(index, [(examples[j][2], _weights(examples[j][2], examples[j][3].astype(float), weight)) for j in part], k)
+            votes[part] = [_vote(labels, *x, alone) for x in found]
+    return votes
+
+
+def _finished(model: dict, frequency: np.ndarray, n_docs: int) -> dict:
+    """The model with weights, index and calibration."""
+    idf, examples = np.log((1 + n_docs) / (1 + frequency)) + 1, model["examples"]
+    index, labels, order, weight = _indexed(examples, list(range(len(examples))), idf)
+    empty = np.array([not len(examples[i][2]) for i in order], bool)
     rate = float(labels.mean()) if len(labels) else 0.0
     alone = float((labels[empty].sum() + rate) / (empty.sum() + 1))
-    done = {"vocabulary": model["vocabulary"], "idf": idf, "index": index, "labels": labels, "ids": [model["examples"][i][0] for i in order],
-            "alone": alone, "k": model["k"], "line": None, "rate": rate}
+    done = {"weight": weight, "index": index, "labels": labels, "ids": [examples[i][0] for i in order], "alone": alone, "k": model["k"], "line": None, "rate": rate}
     if 0 < labels.sum() < len(labels):
-        found = [x for i in range(0, len(vectors), QUERIES)
-                 for x in nearest_of(index, vectors[i:i + QUERIES], model["k"], list(range(i, min(i + QUERIES, len(vectors)))))]
-        done["line"] = calibration(np.array([_vote(labels, *x, alone) for x in found]), labels)
+        done["line"] = calibration(_votes(examples, idf, model["k"], alone), np.array([x[1] for x in examples], float))
     return done
 
 
@@ -253,48 +263,54 @@ def _scores(m: dict, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple
     return out
 
 
-def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """The number of documents with each term of ``vocabulary``, and of all documents; a task gives a row per term at most."""
+def known_terms(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """doc_id, terms (places in ``vocabulary``) and counts of every document, written."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = written(term_rows(docs, sent))
+    sent.destroy()
+    return rows
+
 
+def frequencies(rows: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """The number of documents with each term, and of all documents; a task gives a row per term at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(sent.value) + 1, np.int64)  # the last: documents
+        counts = np.zeros(n_terms + 1, np.int64)  # the last: documents
         for b in batches:
-            for k, n in slices(b.column(0)):
-                term = term_counts(b.column(0).slice(k, n), sent.value)[1]
-                counts[:-1] += np.bincount(term, minlength=len(sent.value))
-                counts[-1] += n
+            counts[:-1] += np.bincount(b.column(0).flatten().to_numpy(), minlength=n_terms)
+            counts[-1] += b.num_rows
         met = np.flatnonzero(counts)
         for i in range(0, len(met), 1 << 16):
             part = met[i:i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["t", "n"])
 
-    counted = docs.select(text_or_empty().alias("text")).mapInArrow(run, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
-    sent.destroy()
-    out = np.zeros(len(vocabulary) + 1, np.int64)
+    counted = rows.select("terms").mapInArrow(run, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n_terms + 1, np.int64)
     out[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
     return out[:-1], int(out[-1])
 
 
 def score(docs: DataFrame, model: dict, evidence: int = 5) -> DataFrame:
     """One row per document: doc_id, score, predicted, and the ``evidence`` nearest examples' doc_ids, with their cosines."""
-    sent = docs.sparkSession.sparkContext.broadcast(_finished(model, *frequencies(docs, model["vocabulary"])))
+    rows = known_terms(docs, model["vocabulary"])
+    sent = docs.sparkSession.sparkContext.broadcast(_finished(model, *frequencies(rows, len(model["vocabulary"]))))
+    kind = docs.schema["doc_id"].dataType
+    ids_type = pa.list_(to_arrow_type(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            for k, n in slices(b.column(1), QUERIES):
-                part = b.slice(k, n)
-                text, term, count = term_counts(part.column(1), m["vocabulary"])
-                cuts = np.searchsorted(text, np.arange(1, n))
-                out = _scores(m, [(t, _weights(t, c.astype(float), m["idf"])) for t, c in zip(np.split(term, cuts), np.split(count, cuts))])
-                ids = pa.array([x[1][:evidence] for x in out], pa.list_(pa.int64()))
+            for k in range(0, b.num_rows, QUERIES):
+                part = b.slice(k, QUERIES)
+                terms, counts = (c.flatten().to_numpy() for c in (part.column(1), part.column(2)))
+                cuts = np.cumsum(pc.list_value_length(part.column(1)).to_numpy())[:-1]
+                out = _scores(m, [(t, _weights(t, c.astype(float), m["weight"])) for t, c in zip(np.split(terms, cuts), np.split(counts, cuts))])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x[0] for x in out], pa.float64()), ids, pa.array([x[2][:evidence] for x in out], pa.list_(pa.float64()))],
+                    [part.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1][:evidence] for x in out], ids_type),
+                     pa.array([x[2][:evidence] for x in out], pa.list_(pa.float64()))],
                     ["doc_id", "score", "evidence", "cosines"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, score double, evidence array<bigint>, cosines array<double>")
+    name = kind.simpleString()
+    scored = rows.mapInArrow(run, f"doc_id {name}, score double, evidence array<{name}>, cosines array<double>")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

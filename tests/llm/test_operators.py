@@ -258,8 +258,7 @@ def test_term_counts_are_the_plain_ones():
     text, term, count = toxicity.term_counts(pa.array(texts))
     for i, t in enumerate(texts):
         words = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", lower(t or ""))
-        terms = [x for w in words for x in [w.encode(), *[w.encode()[:n] + bytes([n]) for n in toxicity.PREFIXES if len(w.encode()) > n]]]
-        assert sorted(count[text == i].tolist()) == sorted(terms.count(x) for x in set(terms))
+        assert sorted(count[text == i].tolist()) == sorted(words.count(x) for x in set(words))
 
 
 def test_toxicity_of_held_out_documents(spark):
@@ -297,7 +296,7 @@ def test_texts_without_a_telling_word_have_neighbours_too(spark):
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in {**prose, **near}.items()], "doc_id long, text string")
     lab = spark.createDataFrame([(i, int(i % 10 == 0)) for i in prose], "doc_id long, toxic int")
     model = toxicity.fit(d, lab)
-    assert len(model["vocabulary"]) == len(set(sum(prose.values(), [])))  # no word here is long enough for a beginning of it
+    assert len(model["vocabulary"]) == len(set(sum(prose.values(), [])))
     got = {r.doc_id: r for r in toxicity.score(d, model, evidence=15).collect()}
     assert all(got[1000 + i].evidence[0] == i and got[1000 + i].cosines[0] > 0.6 for i in prose)
     df = {}
@@ -308,8 +307,8 @@ def test_texts_without_a_telling_word_have_neighbours_too(spark):
     n, n1 = len(prose), sum(i % 10 == 0 for i in prose)
     def weight(x):
         c, c1 = sum(x in w for w in prose.values()), sum(x in w for i, w in prose.items() if i % 10 == 0)
-        chi2 = ((c1 - c * n1 / n) * n) ** 2 / (c * n1 / n * (n - n1) * (n - c))
-        return (math.log((1 + 300) / (1 + df[x])) + 1) * (1 + 20 * chi2 ** 2 / (chi2 ** 2 + 3600))
+        chi2 = ((c1 - c * n1 / n) * n) ** 2 / ((c * n1 / n + 5) * (n - n1) * (n - c))
+        return (math.log((1 + 300) / (1 + df[x])) + 1) * (1 + 20 * chi2 ** 2 / (chi2 ** 2 + 100))
     weights = {x: weight(x) for x in own}
     def vector(w):
         v = {x: (1 + math.log(w.count(x))) * weights[x] for x in set(w) & own}
@@ -322,6 +321,55 @@ def test_texts_without_a_telling_word_have_neighbours_too(spark):
         assert np.allclose(got[i].cosines, [x for x in every if x > 0], atol=1e-6)
 
 
+def test_toxicity_is_the_plain_one(spark):
+    """Votes, cross-fitted calibration and scores, by loops over word lists."""
+    rng = random.Random(21)
+    vocabulary = ["w" + str(i) for i in range(60)]
+    texts = {f"d{i:03}": " ".join(rng.choices(vocabulary, k=12) + (["vile"] if i % 4 == 0 and rng.random() < 0.9 else [])) for i in range(90)}
+    texts |= {"x1": "", "x2": "unheard of"}
+    label = {i: int(n % 4 == 0) for n, i in enumerate(texts) if n < 70}
+    d, lab = spark.createDataFrame(list(texts.items()), "doc_id string, text string"), spark.createDataFrame(list(label.items()), "doc_id string, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(d, toxicity.fit(d, lab, k=4), evidence=4).collect()}
+    words = {i: t.split() for i, t in texts.items()}
+    examples = sorted(label)
+    own = {x for i in examples for x in words[i]}
+    idf = {x: math.log((1 + len(texts)) / (1 + sum(x in w for w in words.values()))) + 1 for x in own}
+
+    def weights(chosen):
+        n, n1, out = len(chosen), sum(label[i] for i in chosen), {}
+        for x in own:
+            c, c1 = sum(x in words[i] for i in chosen), sum(label[i] for i in chosen if x in words[i])
+            e = c * n1 / n
+            chi2 = ((c1 - e) * n) ** 2 / ((e + 5) * (n - n1) * (n - c) + 1e-9)
+            out[x] = idf[x] * (1 + 20 * chi2 ** 2 / (chi2 ** 2 + 100))
+        return out
+
+    def vector(i, w):
+        v = {x: (1 + math.log(words[i].count(x))) * w[x] for x in set(words[i]) & own}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {x: y / norm for x, y in v.items()}
+
+    def near(i, chosen, w):
+        v = vector(i, w)
+        every = sorted((-round(sum(v[x] * p[x] for x in v.keys() & p.keys()), 5), j) for j in chosen for p in [vector(j, w)])
+        return [(j, -s) for s, j in every if s < 0][:4]
+
+    rate = sum(label.values()) / len(label)
+
+    def vote(found):
+        return (sum(c * label[j] for j, c in found) + 0.5 * rate) / (sum(c for _, c in found) + 0.5)
+
+    halves = examples[0::2], examples[1::2]
+    by = [weights(h) for h in halves]
+    votes = [vote(near(i, halves[1 - k % 2], by[1 - k % 2])) for k, i in enumerate(examples)]
+    slope, level = toxicity.calibration(np.array(votes), np.array([label[i] for i in examples], float))
+    w = weights(examples)
+    for i in texts:
+        found = near(i, examples, w)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-slope * vote(found) - level)), abs=2e-3), i
+        assert np.allclose(got[i].cosines, [c for _, c in found], atol=1e-4)
+
+
 # -- chat -----------------------------------------------------------------------------------------------------------
 
 def test_chat_reads_back_what_was_said(spark):
