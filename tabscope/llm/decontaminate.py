@@ -12,8 +12,9 @@ The items are the query set: they go to the tasks in blocks of at most
 ``block_bytes`` of text (and ``block_items`` items), one scan of the documents a
 block, whatever their number.  Documents are never shuffled for the search.
 
-Edge cases: null and empty texts, and texts and items of fewer than ``words``
-words, have no shingles and match nothing; repeated rows match alike; an empty
+An item of fewer than ``words`` words is one shingle of its own length, looked up in documents at that length.
+
+Edge cases: null and empty texts and items have no shingles and match nothing; repeated rows match alike; an empty
 benchmark or table gives no matches; other columns are ignored, or pass
 :func:`decontaminate` unchanged.
 """
@@ -52,22 +53,31 @@ def hashed_shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarra
     return hashes, text_of[at]
 
 
+def _word_counts(column: pa.Array) -> np.ndarray:
+    data, offsets = utf8(column)
+    return np.diff(np.searchsorted(word_spans(data, offsets, SPACE)[0], offsets))
+
+
 def sketches(ids: list, texts: list[str | None], words: int, threshold: float):
-    """The block's index: sketch hashes, sorted, and the item of each; the items' shingles."""
-    hashes, item = hashed_shingles(pa.array(texts, pa.string()), words)
-    h, of, exact = [], [], {}
-    for i, text in enumerate(texts):
-        own = np.unique(hashes[item == i])
-        if len(own):
-            exact[i] = (ids[i], _shingles((text or "").encode(), words))
-            least = own[: sketch_size(len(own), threshold)]
-            h.append(least)
-            of.append(np.full(len(least), i))
-    if not h:
-        return None
-    h, of = np.concatenate(h), np.concatenate(of)
-    order = np.argsort(h, kind="stable")
-    return h[order], of[order], exact
+    """The block's index: for each length of shingle the sketch hashes, sorted, and the item of each; the items' shingles."""
+    column = pa.array(texts, pa.string())
+    lengths, exact, by_length = np.minimum(_word_counts(column), words), {}, {}
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        hashes, item = hashed_shingles(column, length)
+        order = np.lexsort((hashes, item))
+        hashes, item = hashes[order], item[order]
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (item[1:] != item[:-1])])
+        hashes, item = hashes[new], item[new]
+        cuts, h, of = np.searchsorted(item, np.arange(len(texts) + 1)), [], []
+        for i in np.flatnonzero(lengths == length).tolist():
+            own = hashes[cuts[i]:cuts[i + 1]]
+            exact[i] = (ids[i], length, _shingles(texts[i].encode(), length))
+            h.append(own[: sketch_size(len(own), threshold)])
+            of.append(np.full(len(h[-1]), i))
+        h, of = np.concatenate(h), np.concatenate(of)
+        order = np.argsort(h, kind="stable")
+        by_length[length] = h[order], of[order]
+    return (by_length, exact) if exact else None
 
 
 def _blocks(items: DataFrame, block_bytes: int, block_items: int) -> Iterator[tuple[list, list]]:
@@ -85,26 +95,30 @@ def _blocks(items: DataFrame, block_bytes: int, block_items: int) -> Iterator[tu
 
 def _find(column: pa.Array, index, words: int, threshold: float) -> tuple[list[int], list, list[float]]:
     """Rows of a column of texts, the items that they contain, and how much of them."""
-    h, of, exact = index
+    by_length, exact = index
     row, item, share = [], [], []
-    low = np.uint64((1 << 22) - 1)
-    maybe = np.zeros(1 << 22, bool)
-    maybe[(h & low).astype(np.int64)] = True
+    low, maybe = np.uint64((1 << 22) - 1), {}
+    for length, (h, _) in by_length.items():
+        maybe[length] = np.zeros(1 << 22, bool)
+        maybe[length][(h & low).astype(np.int64)] = True
     for k, n in slices(column):
         part = column.slice(k, n)
-        hashes, text_of = hashed_shingles(part, words)
-        some = maybe[(hashes & low).astype(np.int64)]
-        hashes, text_of = hashes[some], text_of[some]
-        first, last = np.searchsorted(h, hashes), np.searchsorted(h, hashes, side="right")
         candidates: dict[int, set[int]] = {}
-        for t, x, y in zip(text_of.tolist(), first.tolist(), last.tolist()):
-            if x < y:
+        for length, (h, of) in by_length.items():
+            hashes, text_of = hashed_shingles(part, length)
+            some = maybe[length][(hashes & low).astype(np.int64)]
+            hashes, text_of = hashes[some], text_of[some]
+            first, last = np.searchsorted(h, hashes), np.searchsorted(h, hashes, side="right")
+            met = np.flatnonzero(first < last)
+            for t, x, y in zip(text_of[met].tolist(), first[met].tolist(), last[met].tolist()):
                 candidates.setdefault(t, set()).update(of[x:y].tolist())
-        for t, near in candidates.items():
-            own = _shingles(part[t].as_py().encode(), words)
+        for t, near in sorted(candidates.items()):
+            text, own = part[t].as_py().encode(), {}
             for i in sorted(near):
-                item_id, wanted = exact[i]
-                c = len(wanted & own) / len(wanted)
+                item_id, length, wanted = exact[i]
+                if length not in own:
+                    own[length] = _shingles(text, length)
+                c = len(wanted & own[length]) / len(wanted)
                 if c >= threshold:
                     row.append(k + t)
                     item.append(item_id)

@@ -92,12 +92,15 @@ WITH texts AS (
 words AS (
   SELECT kind, id, list_filter(string_split(translate(coalesce(text, ''), {_DUCK_BREAKS} || '{_UPPER}', '     {_LOWER}'), ' '),
                                lambda x: x <> '') AS w FROM texts),
+items AS (SELECT id, w, least(5, len(w)) AS m FROM words WHERE kind = 'i' AND len(w) > 0),
+lengths AS (SELECT DISTINCT m FROM items),
+sides AS (SELECT 'i' AS kind, id, w, m FROM items UNION ALL SELECT 'd', id, w, m FROM words, lengths WHERE kind = 'd'),
 shingles AS (
-  SELECT DISTINCT kind, id, s FROM (
-    SELECT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words)),
+  SELECT DISTINCT kind, id, m, s FROM (
+    SELECT kind, id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS s FROM sides)),
 sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id),
 shared AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS c
-           FROM shingles i JOIN shingles d ON i.s = d.s AND i.kind = 'i' AND d.kind = 'd' GROUP BY 1, 2)
+           FROM shingles i JOIN shingles d ON i.s = d.s AND i.m = d.m AND i.kind = 'i' AND d.kind = 'd' GROUP BY 1, 2)
 SELECT doc_id, item_id, CAST(c AS DOUBLE) / n AS containment FROM shared JOIN sizes ON item_id = id WHERE CAST(c AS DOUBLE) / n >= 0.8""",
         "op8_chat_formatting": """
 WITH said AS (

@@ -234,13 +234,17 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: dict, min_score: float = 0.0) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or less certain than ``min_score``."""
+    """``docs`` without the rows whose language is undetermined or less certain than ``min_score``.  A model that
+    knows no language can't tell: then every text with a letter stays."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, n in slices(b.column(at)):
                 part = b.slice(k, n)
+                if not sent.value["members"]:
+                    yield part.filter(pa.array(has_letter(part.column(at))))
+                    continue
                 langs, score = _predict_rows(part.column(at), sent.value)
                 yield part.filter(pa.array([x != UNDETERMINED and s >= min_score for x, s in zip(langs, score)], pa.bool_()))
 

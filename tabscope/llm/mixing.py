@@ -51,8 +51,8 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...], m
 
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 2,
-        quality: Column | None = None, bucket_rows: int = 500, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, epochs, taken.
+        quality: Column | None = None, bucket_rows: int = 500, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, epochs, taken, and the columns ``keep`` of ``docs``.
 
     ``taken`` is the number of words that the mix takes of the document, repeats
     counted: ``epochs`` whole copies and, by key order, the rest of the target; the
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     w = F.least(F.lit(4.0), F.greatest(F.lit(1.0), quality if quality is not None else quality_weight(text)))
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
     rows = written(docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-                               (-F.log(u) / w).alias("key")))
+                               (-F.log(u) / w).alias("key"), *[F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)]))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     words = F.floor(F.col("target") + 0.5)
     plan = (source_targets(sizes, share, weights, max_epochs)
@@ -86,4 +86,4 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - before))
     ordered = placed.join(offsets, placed.source.eqNullSafe(offsets.s) & (placed.bucket == offsets.b)).drop("s", "b")
     return ordered.select("doc_id", "source", "size", "source_size", "target", F.col("epochs").cast("long").alias("epochs"),
-                          (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+                          (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"_kept{i}").alias(c) for i, c in enumerate(keep)])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import signed, text_bytes, text_or_empty, written
+from .shared import fresh, signed, text_bytes, text_or_empty, written
 
 BITS = 64
 
@@ -56,15 +56,16 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long), one row per document."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text_hash: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a long), one row per document; with ``text_hash`` also h, a hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [signed(fingerprint(t, words, seed)) for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    kind, text = docs.schema["doc_id"].dataType.simpleString(), text_or_empty()
+    also = [F.xxhash64(text).alias("h")] if text_hash else []
+    return docs.select("doc_id", text.alias("text"), *also).mapInArrow(run, f"doc_id {kind}, fp long" + ", h long" * text_hash)
 
 
 def links(distinct: DataFrame, radius: int = 2, pair_limit: int = 16) -> DataFrame:
@@ -91,24 +92,32 @@ def links(distinct: DataFrame, radius: int = 2, pair_limit: int = 16) -> DataFra
     return pairs.union(stars)
 
 
-def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, pair_limit: int = 16) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that
-    chains of links of at most ``radius`` differing bits reach)."""
-    fps = written(fingerprints(docs, words, seed))
+def _components(fps: DataFrame, radius: int, pair_limit: int) -> DataFrame:
+    """Rows of fp, component_id (the smallest doc_id that chains of links reach) and label (one fingerprint of the component)."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     labels = components(links(distinct.select("fp"), radius, pair_limit))
     named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(least, "label").select("fp", "component_id")
+    return named.join(least, "label").select("fp", "component_id", "label")
+
+
+def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, pair_limit: int = 16) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that
+    chains of links of at most ``radius`` differing bits reach)."""
+    fps = written(fingerprints(docs, words, seed))
+    by_fp = _components(fps, radius, pair_limit).drop("label")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` without the near-duplicates: of each component the row with the smallest doc_id stays,
-    whole.  Rows that share a doc_id count as one; rows without one all stay."""
-    groups = written(simhash_groups(docs, words, radius))
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["_id"], "left_semi")
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id IS NULL"))
+def one_per_group(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, pair_limit: int = 16) -> DataFrame:
+    """``docs`` without the near-duplicates: of each component one row stays, whole, that with the smallest doc_id (null last)
+    and, of several rows with that id, the smallest fingerprint and text hash.  Rows whose id and text are equal are
+    one, and any of them stays; rows of one id with unrelated texts are in different components and stay both."""
+    fps = written(fingerprints(docs, words, seed, text_hash=True))
+    rows = fps.join(_components(fps, radius, pair_limit).drop("component_id"), "fp")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "h")).alias("x"))
+    stay = first.select(F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h"))
+    id_name, h_name = fresh(docs, "_id_of"), fresh(docs, "_text_hash")
+    marked = docs.withColumns({id_name: F.col("doc_id"), h_name: F.xxhash64(text_or_empty())})
+    kept = marked.join(stay, marked[id_name].eqNullSafe(stay["_id"]) & (marked[h_name] == stay["_h"]), "left_semi")
+    return kept.dropDuplicates([id_name, h_name]).drop(id_name, h_name)

@@ -135,6 +135,7 @@ def test_language_edges(spark):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [4, 4, 5, 6]
     nothing = langid.fit(d.limit(0))
     assert {r.lang_pred for r in langid.identify(d, nothing).collect()} == {"und"}
+    assert sorted(r.doc_id for r in langid.known_language(d, nothing).collect()) == [4, 4, 5, 6]  # what can't be told stays
     assert langid.identify(d.limit(0), model).collect() == []
 
 
@@ -163,6 +164,30 @@ def test_matches_are_the_plain_ones(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in docs_of(d)} - {a for a, _ in want}
 
 
+def test_short_items_are_looked_up_at_their_length(spark):
+    items = spark.createDataFrame([(1, "Two plus\ttwo"), (2, "yes"), (3, "a b c d"), (4, ""), (5, None), (6, "one two three four five")], "item_id long, text string")
+    rows = [(1, "so two plus two is four"), (2, "two plus"), (3, "YES"), (4, "a b c e"), (5, "x a  b\nc d y"), (6, "One two three four five six"), (7, None), (8, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.containment) for r in decontaminate.matches(d, items, block_items=2).collect()) == [(1, 1, 1.0), (3, 2, 1.0), (5, 3, 1.0), (6, 6, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(d, items).collect()) == [2, 4, 7, 8]
+
+
+def test_sql_of_decontamination_knows_short_items(spark):
+    import duckdb
+
+    from tabscope.llm.entry_queries import oracle_sql
+
+    items = [(1, "two plus two"), (2, "yes"), (3, "a b c d"), (4, ""), (5, None), (6, "one two three four five six seven")]
+    rows = [(1, "so two plus two is four"), (2, "two plus"), (3, "YES"), (4, "a b c e"), (5, "x a  b\nc d y"), (6, "One two three four five six"), (7, None), (8, "yes two plus two yes")]
+    con = duckdb.connect()
+    for name, key, data in (("documents", "doc_id", rows), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", data)
+    want = sorted(con.execute(oracle_sql()["op6_benchmark_decontamination"]).fetchall())
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 5
+
+
 def test_partial_containment_is_exact(spark):
     rng = random.Random(3)
     item = [f"w{i}" for i in range(24)]  # 20 shingles
@@ -172,7 +197,7 @@ def test_partial_containment_is_exact(spark):
         filler = [f"f{rng.randint(0, 10**6)}" for _ in range(rng.choice([0, 5000]))]
         rows.append((i, " ".join([*filler, *item[cut:], "x", *item[: rng.randint(0, 8)], *filler])))
     rows += [(900, None), (901, ""), (902, "w0 w1"), (None, " ".join(item).upper())]
-    items = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "w0 w1")], "item_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "w0 w0")], "item_id long, text string")
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit("clash"), "a.b": F.lit(1)})
     s = shingles(" ".join(item))
     want = sorted((str(i), 1, len(s & shingles(t or "")) / len(s)) for i, t in rows if len(s & shingles(t or "")) / len(s) >= 0.8)
@@ -208,6 +233,7 @@ def test_pipeline_stages_are_the_plain_ones(spark):
     five = by_name["source_mixing"](spark, four, SF)
     _, want = plain_mix([(r.doc_id, r.source, r.text) for r in four.collect()])
     assert sorted((r.doc_id, r["size"], r.source_size, r.taken) for r in five.collect()) == [x for x in want if x[3]]
+    assert set(docs_of(five)) <= set(docs_of(four)) and set(d.columns) < set(five.columns)  # a corpus with its texts
 
 
 def test_pipeline_runs_and_reruns_alike(spark):
