@@ -34,8 +34,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes: doc_id, source, size, source_size, target, epochs, taken."""
-    return mixing.mix(docs).where("taken > 0")
+    """The corpus: the documents that the mix takes, whole, with size, source_size, target, epochs and taken (words, repeats counted)."""
+    own = ("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
+    return mixing.mix(docs, keep=tuple(c for c in docs.columns if c.lower() not in own)).where("taken > 0")
 
 
 STAGES = [
