@@ -1,9 +1,11 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 One scan gives each text's counts; mergeable KLL sketches per language and source
-give quartiles of four ratios; a document that the fixed base rules keep is kept
-if every ratio is within its group's fences.  A group of fewer than ``min_group``
-documents takes the fences of its language, from the merged sketches of its
+give quantiles of four ratios; a document that the fixed base rules keep is kept
+if every ratio is within its group's fences: ``spread`` times the distance from the median to the upper (lower)
+tenth beyond that tenth, so they are as wide as the group's own rows spread.  What a text may hold by chance, two symbols, two
+repeated lines or one repeated sentence, is left out of its ratios, and a fence has no other floor than a rounding margin.
+A group of fewer than ``min_group`` documents takes the fences of its language, from the merged sketches of its
 sources (or of all languages, if that too is small).
 
 Edge cases: null and empty texts have no words and fail the base rule; null
@@ -17,13 +19,15 @@ from pyspark.sql import functions as F
 
 from .shared import SPACES, text_or_empty, written
 
-#: ratio: (numerator, denominator, least spread for the fence, also a lower fence)
+#: ratio: (numerator, how much of it is chance, denominator, rounding margin, also a lower fence)
 RATIOS = {
-    "symbols_per_word": ("n_symbols", "n_words", 0.5, False),
-    "dup_lines_per_line": ("n_dup_lines", "n_lines", 0.15, False),
-    "repeats_per_word": ("n_repeat_words", "n_words", 0.15, False),
-    "chars_per_word": ("word_chars", "n_words", 1.0, True),
+    "symbols_per_word": ("n_symbols", 2, "n_words", 0.02, False),
+    "dup_lines_per_line": ("n_dup_lines", 2, "n_lines", 0.02, False),
+    "repeats_per_word": ("n_repeat_words", 40, "n_words", 0.02, False),
+    "chars_per_word": ("word_chars", 0, "n_words", 0.1, True),
 }
+#: The quantiles from which the fences are drawn.
+LOW, MIDDLE, HIGH = 0.1, 0.5, 0.9
 _POS = (1 << 24) - 1
 
 
@@ -68,23 +72,28 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def ratio(name: str) -> Column:
+    """A ratio from the columns of :func:`text_counts`."""
+    above, chance, below, _, _ = RATIOS[name]
+    return F.greatest(F.col(above) - chance, F.lit(0)) / F.col(below)
+
+
 def fences(counts: DataFrame, spread: float = 3.0, min_group: int = 50, k: int = 800) -> DataFrame:
-    """One row per (lang, source): ``<ratio>_low`` and ``<ratio>_high``, the quartiles of the
-    group's documents that pass the base rules, ``spread`` interquartile ranges outwards."""
-    ratio = {r: F.col(a) / F.col(b) for r, (a, b, _, _) in RATIOS.items()}
+    """One row per (lang, source): ``<ratio>_low`` and ``<ratio>_high``, from the quantiles of the
+    group's documents that pass the base rules."""
     sketches = written(counts.where(~base_failed()).groupBy("lang", "source").agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(x, F.lit(k)).alias(r) for r, x in ratio.items()]))
+        F.count("*").alias("n"), *[F.kll_sketch_agg_double(ratio(r), F.lit(k)).alias(r) for r in RATIOS]))
     merged = [F.kll_merge_agg_double(r).alias(r) for r in RATIOS]
     by_lang = sketches.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("l_n"), *merged)
     by_lang = by_lang.select("l", "l_n", *[F.col(r).alias(f"l_{r}") for r in RATIOS])
     of_all = {r: sketches.agg(F.kll_merge_agg_double(r)).scalar() for r in RATIOS}
     groups = sketches.join(by_lang, F.col("lang").eqNullSafe(F.col("l")))
     out = [F.col("lang"), F.col("source")]
-    for r, (_, _, least, both) in RATIOS.items():
+    for r, (_, _, _, margin, both) in RATIOS.items():
         s = F.when(F.col("n") >= min_group, F.col(r)).when(F.col("l_n") >= min_group, F.col(f"l_{r}")).otherwise(of_all[r])
-        low, high = (F.kll_sketch_get_quantile_double(s, F.lit(q)) for q in (0.25, 0.75))
-        reach = spread * F.greatest(high - low, F.lit(least))
-        out += [(low - reach if both else F.lit(None).cast("double")).alias(f"{r}_low"), (high + reach).alias(f"{r}_high")]
+        low, middle, high = (F.kll_sketch_get_quantile_double(s, F.lit(q)) for q in (LOW, MIDDLE, HIGH))
+        least = low - spread * (middle - low) - margin if both else F.lit(None).cast("double")
+        out += [least.alias(f"{r}_low"), (high + spread * (high - middle) + margin).alias(f"{r}_high")]
     return groups.select(*out)
 
 
@@ -95,8 +104,7 @@ def quality_rules(docs: DataFrame, spread: float = 3.0, min_group: int = 50, k:
     limits = fences(counts, spread, min_group, k).withColumnsRenamed({"lang": "l", "source": "s"})
     joined = counts.join(limits, counts.lang.eqNullSafe(limits.l) & counts.source.eqNullSafe(limits.s), "left")
     ok = F.lit(True)
-    for r, (a, b, _, _) in RATIOS.items():
-        x = F.col(a) / F.col(b)
-        ok = ok & F.coalesce(x <= F.col(f"{r}_high"), F.lit(True)) & F.coalesce(x >= F.col(f"{r}_low"), F.lit(True))
+    for r in RATIOS:
+        ok = ok & F.coalesce(ratio(r) <= F.col(f"{r}_high"), F.lit(True)) & F.coalesce(ratio(r) >= F.col(f"{r}_low"), F.lit(True))
     failed = base_failed()
     return joined.select(*counts.columns, failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(ok).alias("kept"))

@@ -111,6 +111,46 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert quality.quality_rules(d.limit(0)).collect() == []
 
 
+def test_each_ratio_rejects_its_junk_and_verdicts_are_the_plain_ones(spark):
+    """Groups of fewer than the sketch's size have exact quantiles; junk of each of the four kinds, clean rows with what chance brings."""
+    rng = random.Random(9)
+    word = lambda a, b: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(a, b)))
+    prose = lambda n=120, a=2, b=9: [word(a, b) for _ in range(n)]
+    rows = []
+    for g, n in (("s", 150), ("t", 150), (None, 12)):
+        for i in range(n):
+            w = prose()
+            text = " ".join(w[:60]) + "\n" + " ".join(w[60:])
+            text += {0: " $5 100%", 1: "\n" + " ".join(w[:12]), 2: "\nsame line here\nsame line here"}.get(i % 20, "")
+            rows.append((text, g, True))
+    for g in ("s", "t"):
+        rows += [(" ".join(x + "#$" for x in prose()), g, False), ("\n".join(["home page", "log in"] * 9 + [" ".join(prose(90))]), g, False),
+                 (" ".join([*prose(100), *((prose(30)) * 3)]), g, False), (" ".join(prose(80, 14, 18)), g, False), (" ".join(prose(120, 1, 1)), g, False)]
+    d = spark.createDataFrame([(i, t, "en", g) for i, (t, g, _) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality_rules(d).collect()}
+    assert all(got[i].kept for i, (_, _, clean) in enumerate(rows) if clean)
+    assert not any(got[i].kept for i, (_, _, clean) in enumerate(rows) if not clean) and sum(not r.base_failed and not r.kept for r in got.values()) >= 8
+
+    def ratios(t):
+        n, chars, symbols, dup, repeat = plain_counts(t)
+        lines = len([x for x in t.split("\n") if x.strip()])
+        return max(0, symbols - 2) / n, max(0, dup - 2) / lines, max(0, repeat - 40) / n, chars / n
+
+    def quantile(v, q):
+        return sorted(v)[max(0, -(-int(q * 1000) * len(v) // 1000) - 1)]
+
+    passed = [i for i in got if not got[i].base_failed]
+    everything = [ratios(rows[i][0]) for i in passed]
+    for i in passed:
+        own = [x for x, j in zip(everything, passed) if rows[j][1] == rows[i][1]]
+        own = own if len(own) >= 50 else everything
+        ok = True
+        for k, (x, margin) in enumerate(zip(ratios(rows[i][0]), (0.02, 0.02, 0.02, 0.1))):
+            low, middle, high = (quantile([o[k] for o in own], q) for q in (0.1, 0.5, 0.9))
+            ok &= x <= high + 3 * (high - middle) + margin and (k < 3 or x >= low - 3 * (middle - low) - margin)
+        assert ok == got[i].kept, rows[i]
+
+
 # -- language ID ----------------------------------------------------------------------------------------------
 
 def test_languages_of_held_out_documents(spark):
