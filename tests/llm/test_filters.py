@@ -188,6 +188,58 @@ def test_ngrams_do_not_depend_on_chunks(monkeypatch):
     assert np.array_equal(whole, langid.gram_counts(texts))
 
 
+def plain_buckets(text):
+    """The buckets of a text's n-grams, one by one."""
+    folded = [b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalpha() else b for b in (text or "").encode()]
+    out = []
+    for n in langid.GRAMS:
+        for k in range(len(folded) - n + 1):
+            if folded[k:k + 2] != [32, 32]:
+                code = n
+                for b in folded[k:k + n]:
+                    code = (code * 0x01000193 & 0xFFFFFFFF) ^ b
+                code ^= code >> 15
+                out.append((code * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - 13))
+    return out
+
+
+def plain_language(model, text):
+    """Family by the largest posterior, then the language with most pairwise wins (ties: the larger sum of margins)."""
+    grams = plain_buckets(text)
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    mean = [sum(float(w[g]) for g in grams) / max(1, len(grams)) + float(b) for w, b in zip(model["weights"], model["bias"])]
+    families = list(model["members"])
+    logits = [x * min(len(grams), 60) for x in mean[:len(families)]]
+    odds = [math.exp(x - max(logits)) for x in logits]
+    best = max(range(len(families)), key=lambda k: odds[k])
+    own = model["members"][families[best]]
+    wins, margins, sure = {x: 0 for x in own}, {x: 0.0 for x in own}, {x: 1.0 for x in own}
+    for (family, a, b), s in zip(model["pairs"], mean[len(families):]):
+        if family == families[best]:
+            wins[b if s > 0 else a] += 1
+            for lang, side in ((a, -s), (b, s)):
+                margins[lang] += side
+                sure[lang] = min(sure[lang], 1 / (1 + math.exp(-max(-30, min(30, 2 * side)))))
+    lang = max(own, key=lambda x: (wins[x], margins[x]))
+    return lang, odds[best] / sum(odds) * sure[lang]
+
+
+def test_predictions_are_the_plain_ones(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "12 ... 34"), (-4, "A"), (-5, "  the   END \t of it  "), (-6, "Größe " * 3000)], "doc_id long, text string")
+    # three languages of one family, so that votes and margins decide
+    model = langid.fit(d.where(~langid.held_out()), families={"all": ("en", "de", "fr", "es", "it")})
+    assert len(model["pairs"]) >= 3
+    for m in (model, langid.fit(d.where(~langid.held_out()))):
+        rows = d.select("doc_id", "text").union(odd)
+        got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(rows, m).collect()}
+        short = [r for r in rows.collect() if len(r.text or "") < 20_000]
+        for r in short:
+            lang, score = plain_language(m, r.text)
+            assert got[r.doc_id][0] == lang and got[r.doc_id][1] == pytest.approx(score, rel=1e-3, abs=1e-6), r.doc_id
+
+
 # -- decontamination --------------------------------------------------------------------------------------------
 
 def test_matches_are_the_plain_ones(spark):
