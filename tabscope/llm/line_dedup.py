@@ -14,8 +14,8 @@ The result is a compressed bitmap per document that loses lines, not text:
 
 Edge cases: null and empty texts are one empty line and lose nothing; rows that share a
 doc_id are one document for counting and each lose the lines that it loses; rows
-without a doc_id stay whole and count for nothing; an empty table gives no rows;
-other columns pass :func:`dedup_lines` unchanged.
+without a doc_id stay whole and count for nothing; ids are of any type that sorts and
+keep it ("smallest" is Spark's order of that type); an empty table gives no rows; other columns pass :func:`dedup_lines` unchanged.
 """
 from __future__ import annotations
 
@@ -32,7 +32,19 @@ from pyspark.sql import functions as F
 from .shared import fresh, map_whole_rows, text_bytes, text_or_empty, written
 
 _SPACE = b" \t\n\x0b\x0c\r"
-_LINE = "h1 long, h2 long, doc_id long, tag long, pos int, n_lines int"
+
+
+def _line_schema(docs: DataFrame) -> str:
+    return f"h1 long, h2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag long, pos int, n_lines int"
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    """Whole numbers as they are, ids of any other type as Python values."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy()
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
 
 
 def line_key(line: bytes) -> bytes:
@@ -66,8 +78,8 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
                 ["h1", "h2", "doc_id", "tag", "pos", "n_lines"])
 
     text = text_or_empty()
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    return rows.mapInArrow(run, _LINE)
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(text).alias("tag"), text.alias("text"))
+    return rows.mapInArrow(run, _line_schema(docs))
 
 
 def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +90,7 @@ def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for b in batches:
         if not b.num_rows:
             continue
-        h1, h2, doc = (b.column(k).to_numpy() for k in range(3))
+        h1, h2, doc = b.column(0).to_numpy(), b.column(1).to_numpy(), _ids(b.column(2))
         new = np.ones(len(doc), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         new[0] = any_rows and (h1[0], h2[0]) != run_hash
@@ -86,7 +98,7 @@ def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             first = doc[0]
         any_rows = True
         run = np.cumsum(new)
-        firsts = np.concatenate([[first], doc[new]])
+        firsts = np.concatenate([np.array([first], doc.dtype), doc[new]])
         early = (run == 0) if in_first_run else np.zeros(len(doc), bool)
         in_first_run = in_first_run and run[-1] == 0
         kind = np.where(doc != firsts[run], 0, np.where(early, 1, -1)).astype(np.int32)
@@ -95,7 +107,7 @@ def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([*[c.filter(some) for c in b.columns], pa.array(kind[kind >= 0])], [*b.schema.names, "kind"])
     if any_rows:
         values = [[run_hash[0]], [run_hash[1]], [first], [0], [0], [0], [2]]
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 3
+        kinds = [*b.schema.types, pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["h1", "h2", "doc_id", "tag", "pos", "n_lines", "kind"])
 
 
@@ -103,7 +115,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """The lines to drop: doc_id, tag, pos, n_lines."""
     order = ["h1", "h2", "doc_id", "pos"]
     ranged = line_rows(docs, min_chars).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(ranged.mapInArrow(_first_occurrences, f"{_LINE}, kind int"))
+    found = written(ranged.mapInArrow(_first_occurrences, f"{_line_schema(docs)}, kind int"))
     begun = found.where("kind = 2").groupBy("h1", "h2").agg(F.min("doc_id").alias("begun"))
     later = found.where("kind = 1").join(begun, ["h1", "h2"]).where("begun < doc_id")
     cols = ["doc_id", "tag", "pos", "n_lines"]
@@ -124,7 +136,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
     rows = dropped_lines(docs, min_chars).groupBy("doc_id", "tag").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("pos"))
     rows = rows.select("doc_id", "tag", "n_lines", "pos", F.size("pos").alias("n_dropped"))
-    return rows.mapInArrow(run, "doc_id long, tag long, n_lines int, n_dropped int, keep binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, tag long, n_lines int, n_dropped int, keep binary")
 
 
 def kept_text(text: bytes, keep: bytes | None) -> bytes:
