@@ -65,19 +65,30 @@ def parsed(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http.decode().split("\r\n")[1:]), payload
 
 
-def _payload_roles(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
-    """``pages`` as (page_id, url, payload, size, digest, refers_to); payload only where it is stored."""
+def _payload_roles(pages: DataFrame, min_revisit_bytes: int, broadcast_bytes: int) -> DataFrame:
+    """``pages`` as (page_id, url, payload, size, digest, refers_to); payload only where it is stored.
+
+    The digests that several pages share are found first, from ids and digests alone.  Up to ``broadcast_bytes`` of them
+    are sent to the tasks, so no payload is shuffled; beyond that the pages that can be revisits are joined, and the
+    smaller ones, many of which have one digest, are left where they are."""
     text = text_or_empty("html")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), text.alias("payload"),
                         F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("digest"))
-    shared = (rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-              .where("n > 1").select(F.col("digest").alias("d"), "first"))
+    large = F.col("size") >= min_revisit_bytes
+    shared = written(rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+                     .where("n > 1").select(F.col("digest").alias("d"), "first"))
+    weight = F.octet_length("d") + F.coalesce(F.octet_length(F.col("first").cast("string")), F.lit(0))
+    if (shared.agg(F.sum(weight)).first()[0] or 0) <= broadcast_bytes:
+        joined = rows.join(F.broadcast(shared), F.col("digest") == F.col("d"), "left")
+    else:
+        nothing = [F.lit(None).cast(shared.schema[c].dataType).alias(c) for c in ("d", "first")]
+        joined = rows.where(large).join(shared, F.col("digest") == F.col("d"), "left").union(rows.where(~large).select("*", *nothing))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    joined = rows.join(shared, rows["digest"] == shared["d"], "left").withColumn("refers_to", refers)
-    return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
+    return joined.withColumn("refers_to", refers).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 100, level: int = 6) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 100, level: int = 6,
+                   broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Writes the WARC files below ``folder`` (by default a new one in the shared folder); returns the index."""
     folder = folder or shared_dir(pages.sparkSession)
     date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -104,7 +115,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
         if out is not None:
             out.close()
 
-    index = _payload_roles(pages, min_revisit_bytes).mapInArrow(run, _INDEX)
+    index = _payload_roles(pages, min_revisit_bytes, broadcast_bytes).mapInArrow(run, _INDEX)
     return written(index.withColumn("file", F.concat(F.lit(f"{folder}/warc/"), "file")), f"{folder}/index")
 
 
