@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Every document gets an exponential key ``-ln(u) / w``: ``u`` from a hash of its
-id, ``w`` its quality weight.  Within a source the documents are sorted by key
+id and text, ``w`` its quality weight.  Within a source the documents are sorted by key
 and their sizes prefix-summed; those before the source's budget are taken.  A
 target of more than the source takes complete epochs first and only the rest by
 key.
@@ -11,25 +11,31 @@ The prefix sum has levels, so no task holds a source: keys fall into about
 1000 buckets give each bucket's offset, and only a bucket's rows are sorted together.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in
-order; rows with equal ids are separate documents with one key, ordered by size;
-an empty table gives no rows; sources of size 0 get target 0; other columns are ignored.
+order; rows with equal ids, null ones too, are separate documents with keys of their own unless
+their texts are equal as well; an empty table gives no rows; sources of size 0 get target 0; other columns are ignored.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACES, WORD, text_or_empty, written
+from .shared import SPACES, text_or_empty, written
 
 #: Characters that quality_weight() counts against a document.
 MARKUP = "#*$%&|<>{}[]=_~^\\"
+#: Distinct words that a text of ``n`` words has for each square root of ``n``, at least, if it doesn't repeat itself.
+VOCABULARY = 4.0
 
 
-def quality_weight(text: Column) -> Column:
-    """1 (nothing but markup characters) to 4 (prose)."""
+def quality_weight(text: Column, words: Column) -> Column:
+    """1 to 4 (prose), from counts of a text and the array of its words: the product of the squared share of characters that aren't markup,
+    the share of lines that differ, and how far its distinct words come up to ``VOCABULARY``."""
     n = F.length(F.translate(text, SPACES, ""))
     clean = F.length(F.translate(text, SPACES + MARKUP, ""))
-    return F.when(n > 0, 1 + 3 * F.pow(clean / n, F.lit(2.0))).otherwise(F.lit(1.0))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    differ = F.size(F.array_distinct(lines)) / F.size(lines)
+    rich = F.least(F.lit(1.0), F.size(F.array_distinct(words)) / (VOCABULARY * F.sqrt(F.size(words))))
+    return F.when(n > 0, 1 + 3 * (F.pow(clean / n, F.lit(2.0)) * differ * rich)).otherwise(F.lit(1.0))
 
 
 def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
@@ -58,11 +64,13 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     counted: ``epochs`` whole copies and, by key order, the rest of the target; the
     last document of a source is taken only up to the target.  ``quality``: weights
     from 1 to 4 (others are clipped), by default :func:`quality_weight` of the text."""
-    text = text_or_empty()
-    w = F.least(F.lit(4.0), F.greatest(F.lit(1.0), quality if quality is not None else quality_weight(text)))
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    rows = written(docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-                               (-F.log(u) / w).alias("key"), *[F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)]))
+    text, kept = text_or_empty(), [f"_kept{i}" for i in range(len(keep))]
+    read = docs.select("doc_id", "source", text.alias("_text"), F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("_words"),
+                       *[] if quality is None else [quality.alias("_quality")], *[F.col(c).alias(k) for c, k in zip(keep, kept)])
+    own = quality_weight(F.col("_text"), F.col("_words")) if quality is None else F.col("_quality")
+    w = F.least(F.lit(4.0), F.greatest(F.lit(1.0), own))
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "_text", F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    rows = written(read.select("doc_id", "source", F.size("_words").cast("long").alias("size"), (-F.log(u) / w).alias("key"), *kept))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     words = F.floor(F.col("target") + 0.5)
     plan = (source_targets(sizes, share, weights, max_epochs)
