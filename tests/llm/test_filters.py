@@ -48,9 +48,13 @@ def plain_mix(rows):
             t = r[2] or ""
             n = sum(c not in mixing.SPACES for c in t)
             clean = sum(c not in mixing.SPACES + mixing.MARKUP for c in t)
-            w = 1 + 3 * (clean / n) ** 2 if n else 1.0
-            # Spark's hash of a long and an int: the second takes the first as its seed
+            own, lines = t.encode().split(), [x for x in t.split("\n") if x.encode().split()]
+            w = 1.0
+            if n:
+                w += 3 * ((clean / n) ** 2 * (len(set(lines)) / len(lines)) * min(1.0, len(set(own)) / (4.0 * math.sqrt(len(own)))))
+            # Spark's hash of a long, a string and an int: each takes the one before as its seed
             h = xxhash.xxh64_intdigest(r[0].to_bytes(8, "little", signed=True), 42)
+            h = xxhash.xxh64_intdigest(t.encode(), h)
             h = xxhash.xxh64_intdigest((42).to_bytes(4, "little"), h)
             return -math.log(((h >> 11) + 0.5) / (1 << 53)) / w
         budget = math.floor(target[s] + 0.5)
@@ -73,6 +77,24 @@ def test_mix_is_the_plain_one(spark, bucket_rows):
         assert r.target == pytest.approx(target[r.source], rel=1e-9)
 
 
+def test_rows_of_one_id_have_keys_of_their_own(spark):
+    """Null ids that fill most of a source: the mix takes some of their rows, not all or none by one key."""
+    rows = [(None if i % 3 else i, "s" if i < 3000 else "t", f"own words number {i} here") for i in range(3600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), max_epochs=1, share=0.5, weights=(1,), bucket_rows=100)
+    taken = got.where("source = 's' AND doc_id IS NULL").groupBy((F.col("taken") > 0).alias("t")).count().collect()
+    assert len(taken) == 2 and min(r["count"] for r in taken) > 200
+    sums = got.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("w")).collect()
+    assert all(abs(r.t - r.w) <= 0.5 for r in sums)
+
+
+def test_weights_put_prose_first(spark):
+    prose = " ".join(f"word{i}" for i in range(120))
+    texts = [prose, "spam ham " * 60, "same line of words\n" * 40, "# $ | < > " * 30 + prose, "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("w", F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), ""))
+    got = [r[0] for r in d.orderBy("doc_id").select(mixing.quality_weight(F.coalesce("text", F.lit("")), F.col("w"))).collect()]
+    assert got[0] == 4.0 and all(1.0 <= x < 3.5 for x in got[1:]) and got[4:] == [1.0, 1.0]
+
+
 def test_mix_edges(spark):
     d = spark.createDataFrame([(1, None, None), (2, "s", ""), (3, "s", "a b"), (3, "s", "a b"), (None, "t", "x y z")], "doc_id long, source string, text string")
     got = mixing.mix(d.withColumn("target", F.lit("clash")).withColumn("bucket", F.lit(1)))

@@ -125,6 +125,25 @@ def test_a_hot_line_spreads_over_partitions(spark):
     assert got == keep_lines(dict(rows))
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "binary", "date", "decimal(20,2)"])
+def test_lines_with_ids_of_any_type(spark, kind):
+    """Ids of other types that sort alike lose the same lines, across many partitions too."""
+    rng = random.Random(6)
+    rows = [(i, "\n".join(["the very common line", f"shared {rng.randint(0, 9)} by some", f"line number {i}"])) for i in range(400)]
+    as_kind = {"string": "format_string('%06d', doc_id)", "binary": "encode(format_string('%06d', doc_id), 'UTF-8')", "date": "date_add(DATE'2000-01-01', CAST(doc_id AS INT))"}
+    d = spark.createDataFrame(rows, "n long, text string").withColumn("doc_id", F.expr(as_kind.get(kind, f"CAST(n AS {kind})").replace("doc_id", "n"))).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = line_dedup.dedup_lines(d)
+        assert got.schema == d.schema
+        assert {r.n: r.text for r in got.collect()} == keep_lines(dict(rows))
+        report = line_dedup.line_report(d)
+        assert report.schema["doc_id"].dataType == d.schema["doc_id"].dataType
+        assert sorted(r.kept_sha256 for r in report.collect()) == sorted(sha(t) for t in keep_lines(dict(rows)).values())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_line_edges(spark):
     rows = [(2, None), (1, ""), (5, "same line here!\nx"), (5, "same line here!\nx"), (4, "same line here!"), (None, "same line here!"), (6, "ten chars.\nnine char"),
             (7, "nine char\nten chars."), (8, "é" * 9 + "\n" + "ü" * 10), (9, "é" * 9 + "\n" + "ü" * 10), (10, "\x1csame line here!")]
@@ -161,6 +180,22 @@ def test_warc_round_trip(spark):
     assert warc.archive_report(pages.limit(0)).collect() == []
 
 
+def test_revisits_are_the_same_with_and_without_a_broadcast(spark):
+    rng = random.Random(8)
+    rows = [(i if i % 11 else None, f"http://h/{i}", rng.choice(["", None, "short", f"<p>{i % 7}" * 40, f"{i}" * 60])) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    first = {}
+    for i, _, h in rows:
+        if i is not None and len(h or "") >= 100:
+            first[h] = min(first.get(h, i), i)
+    want = sorted((u, sha(h or ""), "response" if first.get(h, i) == i else "revisit") for i, u, h in rows)
+    for broadcast_bytes in (8 << 20, 0):
+        index = warc.write_archives(pages, broadcast_bytes=broadcast_bytes)
+        assert sorted((r.url, r.digest, r.record_type) for r in index.collect()) == want
+        refers = {r.url: r.refers_to for r in warc.read_records(index, payloads=False).where("record_type = 'revisit'").collect()}
+        assert refers == {u: str(first[h]) for i, u, h in rows if h in first and first[h] != i}
+
+
 def test_warc_finds_damage(spark):
     index = warc.write_archives(spark.createDataFrame([(1, "u", "x" * 500)], "page_id long, url string, html string"))
     path = re.sub("^file:/+", "/", index.first()["file"])
