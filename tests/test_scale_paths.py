@@ -3,12 +3,16 @@ percentile_disc, and foreign keys on the driver tables."""
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import tabscope as ts
+from tabscope.functions.exprs import sql_matches
 from tabscope.functions.families import column_specs
-from tabscope.operators import patterns, pii, relations, stats
+from tabscope.functions.patterns_fixed import NEEDS, PII_PATTERNS, UNIVERSAL_PATTERNS
+from tabscope.operators import distinct, patterns, pii, relations, stats
 from tabscope.operators import quantiles as Q
 from tabscope.operators.scan import FusedScan
 
@@ -173,3 +177,33 @@ def test_foreign_keys_of_200_tables_plan_in_seconds(spark):
     df = relations.containment(frames)
     df._jdf.queryExecution().optimizedPlan()
     assert len(pairs) > 300_000 and time.time() - began < 90
+
+
+def test_distinct_counts_in_bounded_blocks(spark, monkeypatch):
+    """Many columns are counted without a row for each cell, in blocks and buckets of any size, repeats across tasks and blocks included."""
+    df = spark.range(0, 6000, 1, 5).selectExpr(
+        "id", "id % 7 AS few", "CAST(id % 900 AS DOUBLE) / 4 - 3 AS d", "CASE WHEN id % 3 > 0 THEN concat('k', CAST(id * id % 5000 AS STRING)) END AS s",
+        "repeat(CAST(id % 40 AS STRING), 50) AS long", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(id % 300 AS INT)) AS at",
+        "CAST(NULL AS STRING) AS no", "array(id % 11) AS nested", "'hot' AS hot")
+    want = list(df.agg(*[F.countDistinct(c) for c in df.columns]).first())
+    specs = column_specs(df.schema)
+    plan = stats.exact_distinct(df.drop("nested"), column_specs(df.drop("nested").schema), 6000)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    for rows, kept, size, block in ((6000, 1 << 18, 1 << 27, 1 << 16), (10 ** 7, 200, 1 << 27, 64), (10 ** 7, 1 << 18, 5000, 50)):
+        for name, value in (("KEPT_VALUES", kept), ("KEPT_BYTES", size), ("BLOCK_VALUES", block)):
+            monkeypatch.setattr(distinct, name, value)
+        got = {r["ordinal"]: r["distinct_exact"] for r in stats.exact_distinct(df, specs, rows).collect()}
+        assert [got.get(s.ordinal, 0) for s in specs] == want
+    # a text whose distinct values fill a bucket evenly: no bucket holds much more than its share
+    held = distinct._buckets(pa.array([b"\x00key%d" % i for i in range(20000)]), 20)
+    assert max(np.bincount(held)) < 1300
+    assert max(np.bincount(distinct._buckets(pa.array(range(0, 2000000, 100), pa.int64()), 20))) < 1300
+
+
+def test_conditions_before_regexes_lose_no_match(spark):
+    texts = ["123 456 7890", "123-456-7890", "x123.456.7890", "123-45-6789", "é123-45-6789", "2024-01-02", "2024-1-02", "+1 (123) 456-7890", "123 456 789", "", "\n2024-01-02", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for _, regex in (*PII_PATTERNS, *UNIVERSAL_PATTERNS):
+        plain = df.where(F.col("t").rlike(regex)).count()
+        assert df.where(sql_matches("t", regex, NEEDS.get(regex, ""))).count() == plain
+    assert all(regex in NEEDS for _, regex in (*PII_PATTERNS, *UNIVERSAL_PATTERNS))  # every regex has one
