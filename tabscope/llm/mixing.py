@@ -30,9 +30,10 @@ VOCABULARY = 4.0
 def quality_weight(text: Column, words: Column) -> Column:
     """1 to 4 (prose), from counts of a text and the array of its words: the product of the squared share of characters that aren't markup,
     the share of lines that differ, and how far its distinct words come up to ``VOCABULARY``."""
-    n = F.length(F.translate(text, SPACES, ""))
-    clean = F.length(F.translate(text, SPACES + MARKUP, ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    joined = F.array_join(words, "")
+    n = F.length(joined)
+    clean = n - F.regexp_count(joined, F.lit("[" + "".join("\\" + c for c in MARKUP) + "]"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(SPACES)) != "")
     differ = F.size(F.array_distinct(lines)) / F.size(lines)
     rich = F.least(F.lit(1.0), F.size(F.array_distinct(words)) / (VOCABULARY * F.sqrt(F.size(words))))
     return F.when(n > 0, 1 + 3 * (F.pow(clean / n, F.lit(2.0)) * differ * rich)).otherwise(F.lit(1.0))

@@ -95,6 +95,20 @@ def test_weights_put_prose_first(spark):
     assert got[0] == 4.0 and all(1.0 <= x < 3.5 for x in got[1:]) and got[4:] == [1.0, 1.0]
 
 
+def test_quality_weight_reads_no_text_character_by_character(spark):
+    """The weights of a translation to nothing, without one."""
+    texts = ["", " \n\t\n", "a\\b^[x] é#€ \x1c  \n \n \x0b\nq", "\n\n[[]]\n[[]]", "".join(mixing.MARKUP), "plain words\nplain words\r\nplain words", "😀 {x} \x85 _~"]
+    t = F.col("t")
+    d = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("w", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), ""))
+    own = mixing.quality_weight(t, F.col("w"))
+    assert "translate(" not in d.select(own)._jdf.queryExecution().analyzed().toString()
+    n, clean = F.length(F.translate(t, mixing.SPACES, "")), F.length(F.translate(t, mixing.SPACES + mixing.MARKUP, ""))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, mixing.SPACES, "")) > 0)
+    rich = F.least(F.lit(1.0), F.size(F.array_distinct("w")) / (mixing.VOCABULARY * F.sqrt(F.size("w"))))
+    want = F.when(n > 0, 1 + 3 * (F.pow(clean / n, F.lit(2.0)) * (F.size(F.array_distinct(lines)) / F.size(lines)) * rich)).otherwise(F.lit(1.0))
+    assert all(a == b for a, b in d.select(own, want).collect())
+
+
 def test_mix_edges(spark):
     d = spark.createDataFrame([(1, None, None), (2, "s", ""), (3, "s", "a b"), (3, "s", "a b"), (None, "t", "x y z")], "doc_id long, source string, text string")
     got = mixing.mix(d.withColumn("target", F.lit("clash")).withColumn("bucket", F.lit(1)))
