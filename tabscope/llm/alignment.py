@@ -4,7 +4,7 @@ Texts go through both tokenizers in chunks of bounded bytes, and all that follow
 flattened with their parents' indices; a running sum of the tokens' byte lengths, less its value where the text began,
 gives each token's end; a hash join of both sides' (text, end) keys finds the offsets where tokens of both end, which cut
 the tokens into groups; grouped by (group, id) on either side and joined on the group they give the linked pairs with how often
-they occur, so that no group's pairs are made one by one.  Each chunk counts its pairs' documents; Spark adds the
+they occur, so that no group's pairs are made one by one; a group of one token on either side is a pair as it stands.  Each chunk counts its pairs' documents; Spark adds the
 counts up, finds each id's best, and sends them back to the chunks that hold the pair.
 
 A document's links stay in its row as places in its chunk's list of pairs.  Pairs travel once a chunk, not once a
@@ -140,27 +140,40 @@ def align(texts: list[str | None], a: tuple, b: tuple) -> dict:
     raw = [b""] * len(texts)
     for i, t in zip(live, plain):
         raw[i] = t.encode()
-    right = np.logical_and(*[_spells(_lists(own), spelt, raw) for own, (_, spelt) in zip(sides, (a, b))]) if texts else np.zeros(0, bool)
+    lists = [_lists(own) for own in sides]
+    right = np.logical_and(*[_spells(ids, spelt, raw) for ids, (_, spelt) in zip(lists, (a, b))]) if texts else np.zeros(0, bool)
     if not all(right):
         sides = [[ids if ok else [] for ids, ok in zip(own, right)] for own in sides]
-    lists = [_lists(own) for own in sides]
+        lists = [_lists(own) for own in sides]
     (ida, keya, _), (idb, keyb, _) = [_ends(ids, pc.binary_length(spelt).cast(pa.int64())) for ids, (_, spelt) in zip(lists, (a, b))]
-    cuts = pa.table({"k": keya}).join(pa.table({"k": keyb}), "k", join_type="inner", use_threads=False).sort_by("k")["k"].combine_chunks()
-    if isinstance(cuts, pa.ChunkedArray):
-        cuts = pa.array([], pa.int64())
-    doc_of = pc.shift_right(cuts, pa.scalar(40, pa.int64()))
-    groups = [pa.array(np.searchsorted(cuts.to_numpy(), key.to_numpy())) for key in (keya, keyb)]  # how many cuts lie before a token's end
-    n, g = len(texts), len(cuts)
-    counts = [pa.table({"g": grp, name: ids}).group_by(["g", name], use_threads=False).aggregate([([], "count_all")]).rename_columns(["g", name, f"n{name}"])
-              for grp, ids, name in ((groups[0], ida, "a"), (groups[1], idb, "b"))]
+    both = pa.table({"k": keya, "x": np.arange(len(keya))}).join(pa.table({"k": keyb, "y": np.arange(len(keyb))}), "k", join_type="inner", use_threads=False)
+    ends = [np.zeros(len(key), bool) for key in (keya, keyb)]  # does a cut lie at a token's end
+    for at_end, place in zip(ends, ("x", "y")):
+        at_end[both[place].to_numpy()] = True
+    doc_of = pc.shift_right(keya.filter(pa.array(ends[0])), pa.scalar(40, pa.int64()))
+    groups = [np.cumsum(at_end) - at_end for at_end in ends]  # how many cuts lie before a token's end
+    n, g = len(texts), len(doc_of)
+    single = np.logical_and(*[np.bincount(grp, minlength=g + 1) == 1 for grp in groups])  # groups of one token and one
+    one, many = zip(*[(pa.array(single[grp]), pa.array(~single[grp])) for grp in groups])
+    counts = [pa.table({"g": groups[k], name: ids}).filter(many[k]).group_by(["g", name], use_threads=False).aggregate([([], "count_all")])
+              .rename_columns(["g", name, f"n{name}"]) for k, ids, name in ((0, ida, "a"), (1, idb, "b"))]
     links = counts[0].join(counts[1], "g", join_type="inner", use_threads=False)
-    pair = pc.bit_wise_or(pc.shift_left(links["a"].cast(pa.int64()), pa.scalar(32, pa.int64())), links["b"].cast(pa.int64()))
-    linked = pa.table({"d": doc_of.take(links["g"].combine_chunks()) if g else pa.array([], pa.int64()), "pair": pair, "t": pc.multiply(links["na"], links["nb"])})
+
+    def code(x, y):
+        return pc.bit_wise_or(pc.shift_left(x.cast(pa.int64()), pa.scalar(32, pa.int64())), y.cast(pa.int64()))
+
+    def doc(group):
+        return doc_of.take(group) if g else pa.array([], pa.int64())
+
+    own = pa.array(np.flatnonzero(single[:g]))
+    linked = pa.concat_tables([
+        pa.table({"d": doc(own), "pair": code(ida.filter(one[0]), idb.filter(one[1])), "t": pa.array(np.ones(len(own), np.int64))}),
+        pa.table({"d": doc(links["g"].combine_chunks()), "pair": code(links["a"], links["b"]), "t": pc.multiply(links["na"], links["nb"])})])
     per_doc = linked.group_by(["d", "pair"], use_threads=False).aggregate([("t", "sum")]).sort_by("d")
     coded = per_doc["pair"].combine_chunks().dictionary_encode() if per_doc.num_rows else pa.array([], pa.int64()).dictionary_encode()
     held = pa.table({"i": coded.indices}).group_by("i", use_threads=False).aggregate([([], "count_all")]).sort_by("i")["count_all"]
     owner, at_cut = per_doc["d"].to_numpy(), doc_of.to_numpy()
-    ga, gb = (x.to_numpy() for x in groups)
+    ga, gb = groups
     spoken = pc.binary_join_element_wise(_written_out(ida, ga, g), _written_out(idb, gb, g), "|")
     spoken = pc.binary_join(_cut(spoken, at_cut, n), ";").to_pylist()
     times = per_doc["t_sum"].combine_chunks() if per_doc.num_rows else pa.array([], pa.int64())

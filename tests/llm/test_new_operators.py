@@ -67,6 +67,50 @@ def test_alignment_is_the_plain_one(spark, chunk_bytes):
     assert sorted(map(tuple, got.collect())) == plain_alignment([tuple(r) for r in d.collect()])
 
 
+def test_pairs_of_small_and_large_groups():
+    """Groups of one token on either side, of one and many, and of many, against all pairs of tokens one by one."""
+    spelt = pa.array([b" ", b"a", b"b", b" a", b"ab", b"bb"], pa.binary())
+    code = {x: i for i, x in enumerate([" ", "a", "b", " a", "ab", "bb"])}
+
+    def greedy(*tokens):
+        def one(t):
+            out = []
+            while t:
+                x = next(x for x in tokens if t.startswith(x))
+                out.append(code[x])
+                t = t[len(x):]
+            return out
+        return lambda texts: [one(" " + t) for t in texts]
+
+    a, b = (greedy(" ", "a", "b"), spelt), (greedy(" a", "ab", "bb", " ", "a", "b"), spelt)
+    texts = ["b b b b", "ab", "bbb", "b", None, "", "aab abb"]
+
+    def pairs(c):
+        pair, held = (x.to_pylist() for x in c["pairs"])
+        return [sorted((pair[i], n) for i, n in zip(x, y)) for x, y in zip(c["at"].to_pylist(), c["times"].to_pylist())], sorted(zip(pair, held))
+
+    got = pairs(alignment.align(texts, a, b))
+    per, docs = [], Counter()
+    for t in texts:
+        links = Counter()
+        if t:
+            ends = []
+            for enc, _ in (a, b):
+                at, own = 0, []
+                for i in enc([t])[0]:
+                    at += len(spelt[i].as_py())
+                    own.append((at, i))
+                ends.append(own)
+            cuts = sorted({e for e, _ in ends[0]} & {e for e, _ in ends[1]})
+            for x, i in ends[0]:
+                for y, j in ends[1]:
+                    if bisect.bisect_left(cuts, x) == bisect.bisect_left(cuts, y):
+                        links[(i << 32) + j] += 1
+        per.append(sorted(links.items()))
+        docs.update(links.keys())
+    assert got == (per, sorted(docs.items()))
+
+
 def test_alignment_edges(spark):
     rows = [(None, "one two"), ("k", "one two"), ("k", "one two"), ("e", None), ("f", "")]
     got = alignment.align_report(spark.createDataFrame(rows, "doc_id string, text string")).collect()
