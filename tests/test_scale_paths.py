@@ -14,7 +14,7 @@ from tabscope.functions.families import column_specs
 from tabscope.functions.patterns_fixed import NEEDS, PII_PATTERNS, UNIVERSAL_PATTERNS
 from tabscope.operators import distinct, patterns, pii, relations, stats
 from tabscope.operators import quantiles as Q
-from tabscope.operators.scan import FusedScan
+from tabscope.operators.scan import FusedScan, reads_columns_apart
 
 from conftest import SF, by_col
 
@@ -207,3 +207,31 @@ def test_conditions_before_regexes_lose_no_match(spark):
         plain = df.where(F.col("t").rlike(regex)).count()
         assert df.where(sql_matches("t", regex, NEEDS.get(regex, ""))).count() == plain
     assert all(regex in NEEDS for _, regex in (*PII_PATTERNS, *UNIVERSAL_PATTERNS))  # every regex has one
+
+
+def test_wide_scans_in_groups_of_columns(spark, scratch):
+    """Where columns can be read apart, no scan of a wide table has more aggregates than Spark compiles; the results are those of one scan."""
+    cols = ["id"]
+    for i in range(8):
+        cols += [f"IF(id % 5 = {i}, NULL, id * {i + 1} % 97) AS n{i}", f"CASE WHEN id % 11 = {i} THEN CAST('NaN' AS DOUBLE) WHEN id % 7 > 0 THEN id / {i + 3} END AS d{i}",
+                 f"IF(id % 4 = 0, NULL, concat('u', CAST(id % {i + 2} AS STRING), '@x.com')) AS s{i}"]
+    spark.range(0, 900, 1, 3).selectExpr(*cols, "CAST(NULL AS DOUBLE) AS no", "CAST('NaN' AS DOUBLE) AS nan", "timestamp_micros(id * id) AS at", "array(id % 3) AS nested").write.parquet(f"{scratch}/wide")
+    apart = spark.read.parquet(f"{scratch}/wide").where("id < 800")
+    together = spark.createDataFrame(apart.collect(), apart.schema)
+    assert reads_columns_apart(apart) and reads_columns_apart(apart.selectExpr("id + 1 AS x")) and not reads_columns_apart(together)
+    assert not reads_columns_apart(apart.distinct()) and not reads_columns_apart(apart.join(together, "id"))
+    rows = lambda df: sorted(repr(r) for r in df.withColumn("mean_val", F.round("mean_val", 9)).withColumn("stddev_val", F.round("stddev_val", 9)).collect())
+    for opts in (ts.ProfileOptions(exact=True), ts.ProfileOptions()):
+        sketched = [] if opts.exact else ["q1", "q3", "lower_bound", "upper_bound", "outlier_count", "has_outliers"]  # they depend on the rows' order
+        assert rows(ts.column_profile(apart, opts).drop(*sketched)) == rows(ts.column_profile(together, opts).drop(*sketched))
+        scan = FusedScan(apart, column_specs(apart.schema))
+        stats.add_stats_aggs(scan, opts)
+        asked = []
+        scan.aggregate = lambda names=None: asked.append(list(names)) or FusedScan.aggregate(scan, names)
+        scan.collect()
+        assert len(asked) > 3 and max(map(len, asked)) <= 40 and sorted(sum(asked, [])) == sorted(scan._exprs)
+    for scores in (ts.pii_scores, ts.pattern_scores):
+        assert sorted(map(repr, scores(apart).collect())) == sorted(map(repr, scores(together).collect()))
+    assert _plan(ts.pattern_scores(apart)).count("FileScan parquet") > 1
+    counted = stats.exact_distinct(apart.drop("nested"), column_specs(apart.drop("nested").schema), 800)
+    assert _plan(counted).count("FileScan parquet") == 3
