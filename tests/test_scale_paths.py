@@ -244,10 +244,11 @@ def test_wide_scans_in_groups_of_columns(spark, scratch):
         assert rows(ts.column_profile(apart, opts).drop(*sketched)) == rows(ts.column_profile(together, opts).drop(*sketched))
         scan = FusedScan(apart, column_specs(apart.schema))
         stats.add_stats_aggs(scan, opts)
+        scan.count_corrupt("s1")
         asked = []
-        scan.aggregate = lambda names=None: asked.append(list(names)) or FusedScan.aggregate(scan, names)
+        scan._part = lambda names: asked.append(list(names)) or FusedScan._part(scan, names)
         scan.collect()
-        assert len(asked) > 3 and max(map(len, asked)) <= 40 and sorted(sum(asked, [])) == sorted(scan._exprs)
+        assert len(asked) > 3 and max(map(len, asked)) <= 40 and sorted(sum(asked, [])) == sorted(scan._exprs) and scan.corrupt == 600
     for scores in (ts.pii_scores, ts.pattern_scores):
         assert sorted(map(repr, scores(apart).collect())) == sorted(map(repr, scores(together).collect()))
     assert _plan(ts.pattern_scores(apart)).count("FileScan parquet") > 1
